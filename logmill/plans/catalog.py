@@ -133,7 +133,7 @@ def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = append_to_parquet(
         _stored_stream(spark, sf_dir), f"{folder}/facts", f"{folder}/checkpoint", DRAIN
     )
-    await_streams(spark, query)
+    await_streams(query)
     schema = ddl(_EVENT_ID, ENRICHED_FIELDS)
     return _zone_free(spark.read.schema(schema).parquet(f"{folder}/facts"))
 
@@ -147,7 +147,7 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/checkpoint",
         DRAIN,
     )
-    await_streams(spark, query)
+    await_streams(query)
     good = read_facts(spark, f"{folder}/facts", _EVENT_ID)
     bad = read_quarantine(spark, f"{folder}/quarantine", _EVENT_ID)
     return good.select("event_id", F.lit(False).alias("is_malformed")).union(
@@ -161,7 +161,7 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stored_stream(spark, sf_dir), f"{folder}/minutes", f"{folder}/checkpoint",
         ROLLUP_DELAY, DRAIN,
     )
-    await_streams(spark, query)
+    await_streams(query)
     return read_rollup(spark, f"{folder}/minutes").drop("process_date")
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
@@ -110,15 +110,13 @@ def to_console(rows: DataFrame, trigger: dict | None = None) -> StreamingQuery:
     )
 
 
-def await_streams(spark: SparkSession, *queries: StreamingQuery) -> None:
+def await_streams(*queries: StreamingQuery) -> None:
     """Wait for all queries. If one fails, stop the others and raise its error."""
+    running = list(queries)
     try:
-        while any(query.isActive for query in queries):
-            spark.streams.awaitAnyTermination()
-            spark.streams.resetTerminated()
-        for query in queries:
-            if query.exception() is not None:
-                raise query.exception()
+        while running:
+            # Returns early when the query ends and raises if it failed.
+            running = [query for query in running if not query.awaitTermination(1)]
     finally:
-        for query in queries:
+        for query in running:
             query.stop()

@@ -1,0 +1,42 @@
+"""Every registered query against its SQL on the same tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registry
+
+from conftest import CHECKED
+
+TABLES = "events documents pages conversations labels benchmark".split()
+
+
+@pytest.fixture(scope="module")
+def database():
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{CHECKED}/{table}.parquet'")
+    return connection
+
+
+def comparable(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(columns), sorted(str([row[i] for i in order]) for row in rows)
+
+
+def test_every_query_has_its_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(registry.queries()))
+def test_query_matches_its_sql(spark, database, name):
+    got = registry.queries()[name](spark, CHECKED)
+    found = database.execute(registry.oracle_sql()[name])
+    want = comparable([c[0] for c in found.description], found.fetchall())
+    assert comparable(got.columns, [tuple(r) for r in got.collect()]) == want
+    assert want[1]
+
+
+def test_entry(spark):
+    rows = registry.entry(spark)
+    assert rows.columns == ["process_timestamp", "response_code", "total_count"]
+    assert 0 < rows.count() <= 10

@@ -1,0 +1,87 @@
+import json
+from collections import Counter, defaultdict
+from datetime import date
+
+import pytest
+
+from logmill.operators import serving
+from logmill.sources.tables import read_facts, write_facts
+
+COLUMNS = (
+    "ip_address string, remote_log_name string, user_id string, log_timestamp timestamp, "
+    "response_code int, response_bytes bigint, referrer string, user_agent string, "
+    "response_time int, process_timestamp string, request_type string, api string, "
+    "protocol string, process_date date"
+)
+DAY = date(2023, 9, 10)
+
+
+def fact(minute, code, size, day=DAY):
+    return (
+        "1.2.3.4", "-", "-", None, code, size, "-", "a", 1, f"{day} {minute}", "GET", "/", "HTTP/1.0", day,
+    )
+
+
+ROWS = [
+    fact(f"{i % 24:02}:{i % 7:02}", 200 + i % 3, 3_000_000_000 + i) for i in range(500)
+] + [fact("23:59", 500, 1, date(2023, 9, 9)), fact("00:00", 500, 1, date(2023, 9, 11))]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("facts") / "table")
+    write_facts(spark.createDataFrame(ROWS, COLUMNS), path, "load")
+    return read_facts(spark, path)
+
+
+def of_day():
+    return [(r[9], r[4], r[5]) for r in ROWS if r[13] == DAY]
+
+
+def pairs(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_codes_by_minute(stored):
+    counts = Counter((minute, code) for minute, code, _ in of_day())
+    want = [(m, c, n) for (m, c), n in sorted(counts.items(), reverse=True)]
+    assert pairs(serving.response_codes_by_minute(stored, "2023-09-10")) == want[:10]
+    assert pairs(serving.response_codes_by_minute(stored, DAY, k=10_000)) == want
+    totals = defaultdict(int)
+    for _, code, n in want[:10]:
+        totals[code] += n
+    assert dict(pairs(serving.response_code_distribution(stored, DAY))) == totals
+
+
+def test_bytes_and_requests_by_minute(stored):
+    sizes, counts = defaultdict(int), Counter()
+    for minute, _, size in of_day():
+        sizes[minute] += size
+        counts[minute] += 1
+    assert pairs(serving.output_bytes_by_minute(stored, DAY)) == sorted(sizes.items(), reverse=True)[:10]
+    want = sorted(counts.items(), reverse=True)[:10]
+    assert pairs(serving.total_requests_by_minute(stored, DAY)) == want
+    rows = serving.rows_as_json(serving.total_requests_by_minute(stored, DAY)).collect()
+    assert [json.loads(r.row_json) for r in rows] == [
+        {"process_timestamp": m, "total_requests": n} for m, n in want
+    ]
+
+
+def test_day_without_data(stored):
+    assert pairs(serving.day_has_data(stored, DAY)) == [(DAY, True)]
+    assert pairs(serving.day_has_data(stored, "2023-09-12")) == [(date(2023, 9, 12), False)]
+    assert serving.total_requests_by_minute(stored, "2023-09-12").isEmpty()
+
+
+def test_default_day_is_today(spark):
+    today = spark.sql("SELECT current_date()").first()[0]
+    facts = spark.createDataFrame([fact("10:00", 200, 5, today), fact("10:00", 200, 5)], COLUMNS)
+    assert serving.day_rows(facts).count() == 1
+
+
+def test_a_day_reads_its_own_folder_and_two_columns(stored):
+    plan = serving.output_bytes_by_minute(stored, DAY)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(process_date" in plan
+    assert "ReadSchema: struct<response_bytes:bigint,process_timestamp:string>" in plan
+    today = serving.output_bytes_by_minute(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(process_date" in today

@@ -1,0 +1,222 @@
+import json
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from logmill.functions.clock import instant_of, wall_clock
+from logmill.operators.enrich import enrich
+from logmill.operators.parse import parse_lines
+from logmill.sources.events import event_lines, read_event_lines
+from logmill.sources.lines import records
+from logmill.sources.tables import read_facts, read_quarantine
+from logmill.streaming.pipelines import (
+    DRAIN,
+    append_to_parquet,
+    await_streams,
+    connector_writer,
+    fact_writer,
+    fan_out,
+    parse_records,
+    quarantine_writer,
+    to_console,
+)
+from logmill.streaming.rollup import append_rollup, minute_rollup, read_rollup, update_rollup
+
+from conftest import SMALL, VALID
+
+START = datetime(2024, 1, 5, 10, 0, 30)
+
+
+def payload(code=200, size=10):
+    line = VALID.replace(" 200 ", f" {code} ").replace("4988", str(size))
+    return json.dumps(line + "\n")
+
+
+@pytest.fixture
+def topic(spark, tmp_path):
+    """A folder of record files standing for a topic: (put, stream)."""
+    folder = tmp_path / "topic"
+    folder.mkdir()
+    count = [0]
+
+    def put(*rows):
+        """One file of (minutes after START, payload)."""
+        values = [(str(START + timedelta(minutes=m)), p) for m, p in rows]
+        frame = spark.createDataFrame(values, "t string, p string").select(
+            instant_of(F.col("t").cast("timestamp_ntz")).alias("timestamp"),
+            F.col("p").cast("binary").alias("value"),
+        )
+        frame.coalesce(1).write.mode("append").parquet(str(folder))
+        count[0] += 1
+
+    def stream():
+        source = spark.readStream.schema("timestamp timestamp, value binary")
+        return records(source.option("maxFilesPerTrigger", 1).parquet(str(folder)))
+
+    return put, stream
+
+
+def test_append_to_parquet_and_restart(spark, topic, tmp_path):
+    put, stream = topic
+    out, checkpoint = str(tmp_path / "facts"), str(tmp_path / "cp")
+    put((0, payload()), (1, payload(404)), (2, "{bad"), (24 * 60, payload(500)))
+    for expected in (3, 3):  # the second run finds nothing new
+        await_streams(append_to_parquet(stream(), out, checkpoint, DRAIN))
+        assert spark.read.parquet(out).count() == expected
+    put((3, payload()))
+    await_streams(append_to_parquet(stream(), out, checkpoint, DRAIN))
+    rows = spark.read.parquet(out)
+    assert Counter(str(r.process_date) for r in rows.collect()) == {"2024-01-05": 3, "2024-01-06": 1}
+
+
+def test_fan_out_keeps_every_record_once(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()), (0, "{bad"), (1, None))
+    put((1, payload(404)), (2, "5"), (2, json.dumps("junk\n")))
+    put((3, payload(3_000_000_000)))
+    facts, quarantine, checkpoint = (str(tmp_path / n) for n in ("facts", "bad", "cp"))
+    seen = []
+
+    def run():
+        await_streams(fan_out(
+            stream(),
+            [fact_writer(facts), lambda rows, load, batch: seen.append((load, batch, rows.count()))],
+            [quarantine_writer(quarantine)], checkpoint, DRAIN,
+        ))
+
+    run()
+    assert [s[1] for s in seen] == [0, 1, 2] and sum(s[2] for s in seen) == 2
+    run()
+    assert len(seen) == 3
+    assert Counter(r.response_code for r in read_facts(spark, facts).collect()) == {200: 1, 404: 1}
+    assert Counter((r.raw, r.reason) for r in read_quarantine(spark, quarantine).collect()) == {
+        ("{bad", "bad_json"): 1,
+        (None, "null_payload"): 1,
+        ("5", "not_json_string"): 1,
+        ("junk", "no_match"): 1,
+        (json.loads(payload(3_000_000_000))[:-1], "number_overflow"): 1,
+    }
+
+
+def test_fan_out_batch_that_fails_half_way_is_not_doubled(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()), (0, "{bad"))
+    put((1, payload(404)), (1, "{bad"))
+    facts, quarantine, checkpoint = (str(tmp_path / n) for n in ("facts", "bad", "cp"))
+    failures = [1]
+
+    def fail_once(rows, load_id, batch_id):
+        if batch_id == 1 and failures:
+            failures.pop()
+            raise RuntimeError("sink is down")
+
+    def run():
+        writers = [fact_writer(facts), fail_once]
+        return fan_out(stream(), writers, [quarantine_writer(quarantine)], checkpoint, DRAIN)
+
+    with pytest.raises(Exception, match="sink is down"):
+        await_streams(run())
+    assert read_facts(spark, facts).count() == 2  # batch 1 was stored before the failure
+    await_streams(run())
+    assert Counter(r.response_code for r in read_facts(spark, facts).collect()) == {200: 1, 404: 1}
+    assert read_quarantine(spark, quarantine).count() == 2
+
+
+def test_new_checkpoint_does_not_overwrite_older_loads(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()))
+    facts = str(tmp_path / "facts")
+    for name in ("cp1", "cp2"):
+        await_streams(fan_out(stream(), [fact_writer(facts)], [], str(tmp_path / name), DRAIN))
+    assert read_facts(spark, facts).count() == 2
+
+
+def test_connector_writer(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()), (0, payload(404)))
+    out = str(tmp_path / "out")
+    await_streams(fan_out(stream(), [connector_writer("json", path=out)], [], str(tmp_path / "cp"), DRAIN))
+    assert spark.read.json(out).count() == 2
+
+
+def test_console(topic):
+    put, stream = topic
+    put((0, payload(418)))
+    query = to_console(parse_records(stream(), ["response_code"]), DRAIN)
+    await_streams(query)
+    assert "ConsoleTable" in query.lastProgress.sink.description
+    assert query.lastProgress.numInputRows == 1
+
+
+def test_failure_of_any_stream_surfaces(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()))
+
+    def fail(rows, load_id, batch_id):
+        raise RuntimeError("sink is down")
+
+    endless = append_to_parquet(
+        stream(), str(tmp_path / "a"), str(tmp_path / "cp1"), {"processingTime": "1 second"}
+    )
+    broken = fan_out(stream(), [fail], [], str(tmp_path / "cp2"), {"processingTime": "1 second"})
+    with pytest.raises(Exception, match="sink is down"):
+        await_streams(endless, broken)
+    assert not endless.isActive
+
+
+def by_minute(rows):
+    return {(str(r.minute)[11:16], r.response_code): (r.total_count, r.output_bytes) for r in rows}
+
+
+def test_update_rollup_counts_rows_that_arrive_within_the_delay(spark, topic, tmp_path):
+    put, stream = topic
+    out = str(tmp_path / "minutes")
+    put((0, payload(size=1)), (0, payload(size=2)), (1, payload(404, 3)))
+    put((5, payload(size=4)))
+    put((0, payload(size=8)), (5, "{bad"))  # five minutes late
+    await_streams(update_rollup(stream(), out, str(tmp_path / "cp"), "10 minutes", DRAIN))
+    assert by_minute(read_rollup(spark, out).collect()) == {
+        ("10:00", 200): (3, 11), ("10:01", 404): (1, 3), ("10:05", 200): (1, 4),
+    }
+
+
+def test_update_rollup_leaves_out_rows_later_than_the_delay(spark, topic, tmp_path):
+    put, stream = topic
+    out = str(tmp_path / "minutes")
+    put((0, payload(size=1)))
+    put((30, payload(size=4)))
+    put((31, payload(size=4)))
+    put((0, payload(size=8)))
+    await_streams(update_rollup(stream(), out, str(tmp_path / "cp"), "1 minute", DRAIN))
+    got = by_minute(read_rollup(spark, out).collect())
+    assert got[("10:00", 200)] == (1, 1) and len(got) == 3
+
+
+def test_append_rollup_emits_closed_windows_once(spark, topic, tmp_path):
+    put, stream = topic
+    out = str(tmp_path / "minutes")
+    put((0, payload(size=1)), (1, payload(404, 3)))
+    put((0, payload(size=2)))
+    put((60, payload(size=4)))
+    await_streams(append_rollup(stream(), out, str(tmp_path / "cp"), "10 minutes", DRAIN))
+    assert by_minute(spark.read.parquet(out).collect()) == {
+        ("10:00", 200): (2, 3), ("10:01", 404): (1, 3),
+    }
+
+
+@pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_rollup_of_stored_records_as_a_batch(spark, session_zone, session):
+    session_zone(session)
+    lines = read_event_lines(spark, SMALL)
+    recs = lines.selectExpr("process_timestamp", "to_json(CAST(value AS VARIANT)) AS payload").withColumn(
+        "process_timestamp", instant_of(F.col("process_timestamp"))
+    )
+    rolled = minute_rollup(recs, "1 minute").select("minute", "response_code", "total_count", "output_bytes")
+    facts = enrich(parse_lines(lines, fields=["response_code", "response_bytes"]))
+    want = facts.groupBy("process_timestamp", "response_code").agg(
+        F.count("*"), F.sum("response_bytes")
+    ).collect()
+    got = {(str(r[0])[:16], r[1]): (r[2], r[3]) for r in rolled.collect()}
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in want} and len(got) > 900

@@ -1,0 +1,53 @@
+import re
+from collections import Counter
+from statistics import mean, pstdev
+
+from logmill.operators.parse import PERMISSIVE, parse_lines
+from logmill.sources import synthetic
+from logmill.sources.synthetic import synthetic_lines, synthetic_log
+
+LINES = 20_000
+
+
+def test_lines_follow_the_stated_distributions(spark):
+    rows = parse_lines(synthetic_log(spark, LINES), mode=PERMISSIVE).collect()
+    assert len(rows) == LINES and not any(r.reason for r in rows)
+    methods, endpoints, protocols = zip(*(r.request.split(" ") for r in rows))
+    for got, values in (
+        (methods, synthetic.METHODS),
+        (endpoints, synthetic.ENDPOINTS),
+        ([str(r.response_code) for r in rows], synthetic.STATUS_CODES),
+        ([r.user_agent for r in rows], synthetic.USER_AGENTS),
+        ([r.referrer for r in rows], synthetic.REFERRERS),
+    ):
+        counts = Counter(got)
+        assert set(counts) == set(values)
+        even = LINES / len(values)
+        assert all(0.85 * even < n < 1.15 * even for n in counts.values())
+    assert set(protocols) == {"HTTP/1.0"}
+    addresses = Counter(r.ip_address for r in rows)
+    assert len(addresses) == synthetic.ADDRESSES
+    assert all(0 <= int(part) <= 255 for a in addresses for part in a.split("."))
+    moments = Counter(r.log_timestamp for r in rows)
+    assert 8_000 < len(moments) <= synthetic.MOMENTS
+    assert all(re.fullmatch(r"\d\d/[A-Z][a-z]{2}/20\d\d:\d\d:\d\d:\d\d \+0530", m) for m in moments)
+    sizes = [r.response_bytes for r in rows]
+    assert abs(mean(sizes) - 5000) < 3 and abs(pstdev(sizes) - 50) < 2
+    times = [r.response_time for r in rows]
+    assert min(times) >= 1 and max(times) <= 5000 and abs(mean(times) - 2500) < 60
+
+
+def test_a_line_depends_on_seed_and_key_only(spark):
+    keys = spark.range(500)
+    one = {r.id: r.line for r in synthetic_lines(keys.repartition(7), "id").collect()}
+    two = {r.id: r.line for r in synthetic_lines(keys.repartition(3, "id"), "id").collect()}
+    assert one == two
+    other = {r.id: r.line for r in synthetic_lines(keys, "id", seed=43).collect()}
+    assert sum(one[i] == other[i] for i in one) == 0
+
+
+def test_first_and_last_moment(spark):
+    # 10,000 moments, evenly spaced; the end itself is not one of them.
+    rows = parse_lines(synthetic_log(spark, 100_000), fields=["log_timestamp"])
+    years = {r[0][7:11] for r in rows.distinct().collect()}
+    assert years == {str(y) for y in range(2015, 2053)}
