@@ -5,28 +5,22 @@ from pyspark.sql import functions as F
 
 _JSON_SPACE = " \t\n\r"
 
+# One string literal and nothing else: a JSON parser may stop after the first value
+# and not see what follows. The possessive group runs as a loop, so long text with
+# many escapes needs no deep stack.
+SINGLE_STRING = r'(?s)\A[ \t\n\r]*+"(?:[^"\\]++|\\.)*+"[ \t\n\r]*+\z'
+
 
 def encode_json_scalar(line: Column) -> Column:
     """The line as a JSON string literal (quotes included)."""
     return F.to_json(line.cast("variant"))
 
 
-def _is_single_string(text: Column) -> Column:
-    # A parser may stop after the first value; require that the closing quote is
-    # the last character. Escapes are blanked first so that only real quotes count.
-    unescaped = F.replace(
-        F.replace(text, F.lit("\\\\"), F.lit("..")), F.lit('\\"'), F.lit("..")
-    )
-    return F.startswith(text, F.lit('"')) & (
-        F.locate('"', unescaped, 2) == F.char_length(unescaped)
-    )
-
-
 def decode_json_scalar(payload: Column) -> Column:
     """The text of a JSON string literal; NULL for malformed or non-string JSON."""
-    text = F.btrim(payload, F.lit(_JSON_SPACE))
     return F.when(
-        _is_single_string(text), F.try_variant_get(F.try_parse_json(text), "$", "string")
+        F.rlike(payload, F.lit(SINGLE_STRING)),
+        F.try_variant_get(F.try_parse_json(payload), "$", "string"),
     )
 
 

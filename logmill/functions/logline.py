@@ -5,40 +5,50 @@ from pyspark.sql import functions as F
 
 from logmill.schema import LINE_FIELDS
 
-# The accepted line layout. It is searched for, not anchored, so
-# text before and after it is ignored. NON_SPACE and DIGIT spell out, for Java's
-# regex engine, the Unicode-aware meaning the layout gives to \S and \d; (?d)
-# makes only \n a line end.
+# The accepted line layout. It is searched for, not anchored, so text
+# before and after it is ignored; the first place it matches counts, with the time
+# and then the request as short as possible. NON_SPACE and DIGIT spell out, for
+# Java's regex engine, the Unicode-aware meaning the layout gives to \S and \d.
+#   (\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d+) (\d+) "([^"]*)" "([^"]*)" (\d+)
 NON_SPACE = (
     r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
 DIGIT = r"\p{Nd}"
-LINE_PATTERN = (
-    rf"({NON_SPACE}+) ({NON_SPACE}+) ({NON_SPACE}+) "
-    r'\[(.*?)\] "(.*?)" '
-    rf"({DIGIT}+) ({DIGIT}+) "
-    rf'"([^"]*)" "([^"]*)" ({DIGIT}+)'
-)
 
-# Every match of LINE_PATTERN contains these three literals; text without them is
-# rejected by a byte search before the backtracking pattern ever runs.
-MARKERS = (" [", '] "', '" "')
+# What every match contains: two literals, found by a byte search, and the part from
+# the end of the request on. Text without them never meets the general pattern.
+MARKERS = (" [", '] "')
+LINE_END = rf'" {DIGIT}++ {DIGIT}++ "[^"]*+" "[^"]*+" {DIGIT}'
 
-# The common case: a layout match that starts at the first character, with plain
-# ASCII tokens, no quote or newline inside quoted parts and numbers that fit their
-# column types. No quantifier backtracks. Where this matches, LINE_PATTERN's
-# leftmost match is the same one: each token here can end in one place only.
+# The common case: a match at the first character, with plain ASCII tokens, no quote
+# or newline inside quoted parts and numbers that fit their column types. No
+# quantifier backtracks. Where this matches, the layout's first match is the same
+# one: each token here can end in one place only.
 PLAIN_LINE = (
     r"(?s)^([!-~]++) ([!-~]++) ([!-~]++) "
     r'\[([^\]"\n]*+)\] "([^"\n]*+)" '
     r"([0-9]{1,9}+) ([0-9]{1,18}+) "
     r'"([^"\n]*+)" "([^"\n]*+)" ([0-9]{1,9}+)(?!\p{Nd}).*$'
 )
-SEARCHED_LINE = rf"(?ds)^.*?(?-s){LINE_PATTERN}(?s).*$"
+
+# The general case, in time linear in the text. Tried as written, the layout costs
+# a line that fails late (a "-" for its size, say) a hundred times more, as every
+# start, time and request end is tried with every other. Three facts rule them out:
+# the first match starts where a token starts; if a time can end at one '] "' and the
+# rest matches after a later one, it matches after the first; and likewise, within
+# one newline-free stretch, if a later bracket leads to a match the first one does.
+# So each stretch has one candidate, which the atomic groups (?>..) commit to.
+SEARCHED_LINE = (
+    r"^(?s:.*?)(?<![^\n])"
+    rf"(?>[^\n]*?(?<!{NON_SPACE})({NON_SPACE}++) ({NON_SPACE}++) ({NON_SPACE}++) "
+    r'\[)(?>([^\n]*?)\] ")([^\n]*?)" '
+    rf"({DIGIT}++) ({DIGIT}++) "
+    rf'"([^"]*+)" "([^"]*+)" ({DIGIT}++)(?s:.*)$'
+)
 
 # Separators of the extracted fields. No field of PLAIN_LINE holds a newline. No
-# field of LINE_PATTERN holds a quote followed by a newline: tokens and bracketed
-# or request text hold no newline, referrer and agent hold no quote.
+# field of SEARCHED_LINE holds a quote followed by a newline: tokens, time and
+# request hold no newline, referrer and agent hold no quote.
 PLAIN_SEPARATOR = "\n"
 SEARCHED_SEPARATOR = '"\n'
 
@@ -63,9 +73,8 @@ def extract_fields(df: DataFrame, line: str, fields: list[str], into: str) -> Da
     """
     text = F.col(line)
     plain, searched = f"{into}_plain", f"{into}_searched"
-    has_markers = F.contains(text, F.lit(MARKERS[0]))
-    for marker in MARKERS[1:]:
-        has_markers = has_markers & F.contains(text, F.lit(marker))
+    may_match = (F.col(plain) == text) & F.contains(text, F.lit(MARKERS[0]))
+    may_match = may_match & F.contains(text, F.lit(MARKERS[1])) & F.rlike(text, F.lit(LINE_END))
     kept = [F.col(f"`{name}`") for name in df.columns]
     staged = df.select(
         *kept,
@@ -74,7 +83,7 @@ def extract_fields(df: DataFrame, line: str, fields: list[str], into: str) -> Da
         *kept,
         plain,
         F.when(
-            (F.col(plain) == text) & has_markers,
+            may_match,
             F.regexp_replace(text, SEARCHED_LINE, _template(fields, SEARCHED_SEPARATOR)),
         ).alias(searched),
     )

@@ -2,7 +2,9 @@
 
 from pyspark.sql import SparkSession
 
+from logmill.functions.codec import SINGLE_STRING
 from logmill.functions.logline import (
+    LINE_END,
     MARKERS,
     PLAIN_LINE,
     PLAIN_SEPARATOR,
@@ -28,14 +30,17 @@ def _parse_log_body() -> str:
         + (f"get(parts, {i})" if kind == "string" else f"try_cast(get(parts, {i}) AS {kind})")
         for i, (name, kind) in enumerate(LINE_FIELDS.items())
     )
-    has_markers = " AND ".join(f"contains(line, {_literal(marker)})" for marker in MARKERS)
+    may_match = " AND ".join(
+        [f"contains(line, {_literal(marker)})" for marker in MARKERS]
+        + [f"line RLIKE {_literal(LINE_END)}"]
+    )
     searched = f"""get(transform(
         array(regexp_replace(line, {_literal(SEARCHED_LINE)}, {_template(SEARCHED_SEPARATOR)})),
         found -> CASE WHEN found <> line THEN split(found, {_literal(SEARCHED_SEPARATOR)}) END), 0)"""
     parts = f"""get(transform(
         array(regexp_replace(line, {_literal(PLAIN_LINE)}, {_template(PLAIN_SEPARATOR)})),
         plain -> CASE WHEN plain <> line THEN split(plain, {_literal(PLAIN_SEPARATOR)})
-                      WHEN {has_markers} THEN {searched} END), 0)"""
+                      WHEN {may_match} THEN {searched} END), 0)"""
     return f"""get(transform(array({parts}),
         parts -> CASE WHEN parts IS NOT NULL THEN named_struct({fields}) END), 0)"""
 
@@ -48,14 +53,7 @@ def register_functions(spark: SparkSession) -> None:
         f"RETURNS STRUCT<{struct}> RETURN {_parse_log_body()}"
     )
     spark.sql(
-        r"""
-        CREATE OR REPLACE TEMPORARY FUNCTION parse_json_string(payload STRING) RETURNS STRING
-        RETURN get(transform(
-            array(btrim(payload, ' \t\n\r')),
-            text -> CASE
-                WHEN startswith(text, '"')
-                 AND locate('"', replace(replace(text, '\\\\', '..'), '\\"', '..'), 2)
-                     = char_length(replace(replace(text, '\\\\', '..'), '\\"', '..'))
-                THEN try_variant_get(try_parse_json(text), '$', 'string') END), 0)
-        """
+        "CREATE OR REPLACE TEMPORARY FUNCTION parse_json_string(payload STRING) RETURNS STRING "
+        f"RETURN CASE WHEN payload RLIKE {_literal(SINGLE_STRING)} "
+        "THEN try_variant_get(try_parse_json(payload), '$', 'string') END"
     )

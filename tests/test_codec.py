@@ -93,6 +93,13 @@ def test_encode_round_trip(spark, line):
     assert decoded(spark, [encoded, json.dumps(line)])[encoded] == (line, None)
 
 
+def test_long_text_with_many_escapes(spark):
+    line = '"\\' * 200_000
+    assert decoded(spark, [json.dumps(line), json.dumps(line) + '"']) == {
+        json.dumps(line): (line, None), json.dumps(line) + '"': (None, "bad_json"),
+    }
+
+
 def test_records_round_trip(spark, valid_line):
     source = encode_records(spark.createDataFrame([(valid_line,)], "value string")).selectExpr(
         "timestamp'2024-01-01 00:00:00' AS timestamp", "cast(payload AS binary) AS value",

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -156,6 +157,52 @@ def test_matches_brute_force_on_mutated_lines(spark, lines):
             assert row.fields is None
 
 
+def assembled(rng, count):
+    """Text put together from pieces of lines: several starts, ends and newlines."""
+    pieces = [
+        "a b c [", "x y [", " - [", "t", "] ", '] "', '"', '" ', '" 1 2 ', '" 1 2 "', '"r" "u" 3',
+        '" 1 - "-" "u" 3', "\n", " ", "1 2 ", 'a b c [t] "q" 1 2 "r" "u" 3', 'c [t] "', '"r"', "\u0663", "\x1c",
+    ]
+    for _ in range(count):
+        yield "".join(rng.choices(pieces, k=rng.randint(3, 14)))
+
+
+def test_matches_brute_force_on_assembled_text(lines):
+    texts = list(assembled(random.Random(9), 40_000))
+    expected = {i: expected_fields(text) for i, text in enumerate(texts)}
+    assert sum(isinstance(value, tuple) for value in expected.values()) > 5_000
+    got = judged(lines(*texts))
+    assert {i: (texts[i], got[i], expected[i]) for i in got if got[i] != expected[i]} == {}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a b c [" * 30_000 + '\n] "" "',
+        'a b c [t] "' * 30_000 + '" "',
+        'a b c [t] "' + '" 1 2 "r" ' * 30_000,
+        "x" * 200_000 + ' [] "" ""',
+        "a b c [t] \"q\n" * 20_000 + '" 1 2 "r" "u" 3',
+        "\n" * 200_000 + ' [] " "" "',
+    ],
+)
+def test_long_text_without_a_match(lines, text):
+    start = time.monotonic()
+    assert judged(lines(text)) == {0: "no_match"}
+    assert time.monotonic() - start < 20
+
+
+def test_long_text_around_a_match(lines):
+    texts = [
+        "junk\n" * 40_000 + VALID + "\njunk" * 40_000,
+        "a b c [" * 20_000 + "\n" + VALID,
+        VALID.replace("Mozilla", "x" * 300_000),
+    ]
+    got = judged(lines(*texts))
+    assert got[0] == got[1] == EXPECTED
+    assert len(got[2][8]) == len(EXPECTED[8]) - len("Mozilla") + 300_000
+
+
 def test_subset_of_fields_agrees_with_all(lines):
     df = lines(*mutated(random.Random(8), 2_000))
     whole = parse_lines(df)
