@@ -1,4 +1,8 @@
-"""Per-minute figures of one day over stored, enriched rows.
+"""Per-minute figures of one day, over stored rows or over a minute rollup.
+
+``facts`` is either the table of enriched rows or the current figures per minute and
+code that a stream keeps (:func:`logmill.streaming.rollup.read_rollup`), which answer
+the same questions from a few thousand rows a day.
 
 ``day`` is a date or ``yyyy-mm-dd``; the default is today in ``zone``. The day is a
 filter on the partition column, so only that day's files are read. Each figure is
@@ -23,6 +27,14 @@ def day_rows(facts: DataFrame, day: str | date | None = None, zone: str = "UTC")
     return facts.where(F.col("process_date") == _day(day, zone))
 
 
+def _requests(rows: DataFrame) -> Column:
+    return F.sum("total_count") if "total_count" in rows.columns else F.count("*")
+
+
+def _bytes(rows: DataFrame) -> Column:
+    return F.sum("output_bytes" if "output_bytes" in rows.columns else "response_bytes")
+
+
 def response_codes_by_minute(
     facts: DataFrame, day: str | date | None = None, zone: str = "UTC", k: int = 10
 ) -> DataFrame:
@@ -30,7 +42,7 @@ def response_codes_by_minute(
     return (
         day_rows(facts, day, zone)
         .groupBy("process_timestamp", "response_code")
-        .agg(F.count("*").alias("total_count"))
+        .agg(_requests(facts).alias("total_count"))
         .orderBy(F.desc("process_timestamp"), F.desc("response_code"))
         .limit(k)
     )
@@ -42,7 +54,7 @@ def output_bytes_by_minute(
     return (
         day_rows(facts, day, zone)
         .groupBy("process_timestamp")
-        .agg(F.sum("response_bytes").alias("output_bytes"))
+        .agg(_bytes(facts).alias("output_bytes"))
         .orderBy(F.desc("process_timestamp"))
         .limit(k)
     )
@@ -54,7 +66,7 @@ def total_requests_by_minute(
     return (
         day_rows(facts, day, zone)
         .groupBy("process_timestamp")
-        .agg(F.count("*").alias("total_requests"))
+        .agg(_requests(facts).alias("total_requests"))
         .orderBy(F.desc("process_timestamp"))
         .limit(k)
     )

@@ -162,7 +162,9 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ROLLUP_DELAY, DRAIN,
     )
     await_streams(query)
-    return read_rollup(spark, f"{folder}/minutes").drop("process_date")
+    return read_rollup(spark, f"{folder}/minutes").select(
+        "minute", "response_code", "total_count", "output_bytes"
+    )
 
 
 def synth_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:

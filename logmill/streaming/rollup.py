@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logmill.functions.clock import wall_clock
+from logmill.functions.clock import minute_label, wall_clock
 from logmill.schema import LOAD_FIELDS, ddl
 from logmill.sources.tables import write_load
 from logmill.streaming.pipelines import REFRESH, parse_records
@@ -90,7 +90,8 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     newest = versions.groupBy("load_id", "process_date", "minute", "response_code").agg(
         F.max_by(figures, F.col("batch_id")).alias("figures")
     )
-    return newest.groupBy("process_date", "minute", "response_code").agg(
+    current = newest.groupBy("process_date", "minute", "response_code").agg(
         F.sum("figures.total_count").alias("total_count"),
         F.sum("figures.output_bytes").alias("output_bytes"),
     )
+    return current.withColumn("process_timestamp", minute_label(F.col("minute")))

@@ -5,10 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from logmill.functions.clock import instant_of, wall_clock
+from logmill.functions.clock import instant_of
+from logmill.operators import serving
 from logmill.operators.enrich import enrich
 from logmill.operators.parse import parse_lines
-from logmill.sources.events import event_lines, read_event_lines
+from logmill.sources.events import read_event_lines
 from logmill.sources.lines import records
 from logmill.sources.tables import read_facts, read_quarantine
 from logmill.streaming.pipelines import (
@@ -206,6 +207,30 @@ def test_append_rollup_emits_closed_windows_once(spark, topic, tmp_path):
     }
 
 
+def test_day_figures_from_rollup_equal_those_from_facts(spark, topic, tmp_path):
+    put, stream = topic
+    for start in (0, 7, 3):
+        put(*[(start + i % 15, payload(200 + i % 4, 100 + i)) for i in range(60)])
+    put((24 * 60, payload(500, 1)))
+    facts, minutes = str(tmp_path / "facts"), str(tmp_path / "minutes")
+    await_streams(
+        fan_out(stream(), [fact_writer(facts)], [], str(tmp_path / "cp1"), DRAIN),
+        update_rollup(stream(), minutes, str(tmp_path / "cp2"), "2 days", DRAIN),
+    )
+    figures = (
+        serving.response_codes_by_minute, serving.output_bytes_by_minute,
+        serving.total_requests_by_minute, serving.response_code_distribution, serving.day_has_data,
+    )
+    for figure in figures:
+        for day in ("2024-01-05", "2024-01-06", "2024-01-07"):
+            of_facts = figure(read_facts(spark, facts), day)
+            of_rollup = figure(read_rollup(spark, minutes), day)
+            assert of_facts.collect() == of_rollup.collect()
+            assert of_facts.dtypes == of_rollup.dtypes
+    plan = serving.total_requests_by_minute(read_rollup(spark, minutes), "2024-01-05")
+    assert "PartitionFilters: [isnotnull(process_date" in str(plan._jdf.queryExecution().executedPlan())
+
+
 @pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_rollup_of_stored_records_as_a_batch(spark, session_zone, session):
     session_zone(session)
