@@ -32,7 +32,7 @@ def parse_lines(
     inside a regex, so a report on raw lines names what it needs.
 
     ``mode``: DROPMALFORMED returns the rows that parse; PERMISSIVE returns every
-    row, with ``raw`` and ``reason`` (NULL for a good row) added, for
+    row, with ``raw`` and ``reason`` (both NULL for a good row) added, for
     :func:`good_rows` and :func:`malformed_rows`; FAILFAST raises on a bad line.
 
     ``payload_reason`` names a column that says why ``line`` could not be decoded
@@ -69,7 +69,8 @@ def parse_lines(
         raw = F.coalesce(raw, F.col(payload))
     judged = (
         parts.select(*kept, *[F.col(c) for c in helpers], _PARTS, *typed)
-        .select(*kept, *wanted, raw.alias("raw"), reason.alias("reason"))
+        .select(*kept, *[F.col(c) for c in helpers], *wanted, reason.alias("reason"))
+        .select(*kept, *wanted, F.when(F.col("reason").isNotNull(), raw).alias("raw"), "reason")
     )
     if mode == PERMISSIVE:
         return judged
