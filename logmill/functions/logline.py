@@ -59,45 +59,50 @@ def _template(fields: list[str], separator: str) -> str:
     return separator.join(f"${_GROUP[name]}" for name in fields)
 
 
-def extract_fields(df: DataFrame, line: str, fields: list[str], into: str) -> DataFrame:
-    """Add ``into``: the array of ``fields`` as text, NULL where the line has no match.
+def _typed(parts: Column, position: int, name: str) -> Column:
+    """One extracted field in its column type; NULL for a number that does not fit."""
+    text = F.get(parts, F.lit(position))
+    kind = LINE_FIELDS[name]
+    return (text if kind == "string" else text.try_cast(kind)).alias(name)
+
+
+def extract_fields(df: DataFrame, line: str, fields: list[str], matched: str) -> DataFrame:
+    """Add ``fields``, NULL where they are missing, and ``matched``: the line matches.
 
     One regex pass per plain line. The pass rewrites the line to the wanted groups
     only, so unwanted fields cost no string building. A rewritten line always
     differs from the line (the layout's own punctuation is gone), which is how a
     match is told from a non-match without running the pattern twice.
 
-    The array goes through ``explode(array(..))``, a one-row generator: filters on
-    the result stay above it. Without it the optimizer pushes them below the
-    projection and every regex runs twice per line.
+    The fields leave through ``inline(array(struct(..)))``, a one-row generator:
+    filters on them stay above it. Without it the optimizer pushes filters below the
+    projection, and every regex and cast runs twice per line.
     """
     text = F.col(line)
-    plain, searched = f"{into}_plain", f"{into}_searched"
-    may_match = (F.col(plain) == text) & F.contains(text, F.lit(MARKERS[0]))
-    may_match = may_match & F.contains(text, F.lit(MARKERS[1])) & F.rlike(text, F.lit(LINE_END))
     kept = [F.col(f"`{name}`") for name in df.columns]
-    staged = df.select(
+    may_match = F.contains(text, F.lit(MARKERS[0])) & F.contains(text, F.lit(MARKERS[1]))
+    may_match = may_match & F.rlike(text, F.lit(LINE_END))
+    plain, searched, parts = F.col("_plain"), F.col("_searched"), F.col("_parts")
+    rewritten = df.select(
         *kept,
-        F.regexp_replace(text, PLAIN_LINE, _template(fields, PLAIN_SEPARATOR)).alias(plain),
+        F.regexp_replace(text, PLAIN_LINE, _template(fields, PLAIN_SEPARATOR)).alias("_plain"),
     ).select(
         *kept,
         plain,
         F.when(
-            may_match,
+            (plain == text) & may_match,
             F.regexp_replace(text, SEARCHED_LINE, _template(fields, SEARCHED_SEPARATOR)),
-        ).alias(searched),
+        ).alias("_searched"),
     )
-    parts = F.when(F.col(plain) != text, F.split(F.col(plain), PLAIN_SEPARATOR)).when(
-        F.col(searched) != text, F.split(F.col(searched), SEARCHED_SEPARATOR)
+    split = rewritten.select(
+        *kept,
+        F.when(plain != text, F.split(plain, PLAIN_SEPARATOR))
+        .when(searched != text, F.split(searched, SEARCHED_SEPARATOR))
+        .alias("_parts"),
     )
-    return staged.select(*kept, F.explode(F.array(parts)).alias(into))
-
-
-def typed_field(parts: str, fields: list[str], name: str) -> Column:
-    """One extracted field in its column type; NULL for a number that does not fit."""
-    text = F.get(F.col(parts), F.lit(fields.index(name)))
-    kind = LINE_FIELDS[name]
-    return (text if kind == "string" else text.try_cast(kind)).alias(name)
+    typed = [_typed(parts, i, name) for i, name in enumerate(fields)]
+    row = F.struct(*typed, parts.isNotNull().alias(matched))
+    return split.select(*kept, F.inline(F.array(row)))
 
 
 def strip_line_end(line: Column) -> Column:

@@ -3,12 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.functions.logline import extract_fields, strip_line_end, typed_field
+from logmill.functions.logline import extract_fields, strip_line_end
 from logmill.schema import LINE_FIELDS, NUMERIC_FIELDS
 
 PERMISSIVE, DROPMALFORMED, FAILFAST = "PERMISSIVE", "DROPMALFORMED", "FAILFAST"
 
-_PARTS = "_parts"
+_MATCHED = "_matched"
 
 
 def _any_null(names: list[str]) -> Column:
@@ -48,29 +48,24 @@ def parse_lines(
     # The numbers always take part: a line whose numbers do not fit is malformed.
     extracted = [n for n in LINE_FIELDS if n in wanted or n in NUMERIC_FIELDS]
     helpers = {line, payload_reason, payload} - {None}
+    clash = {c for c in df.columns if c not in helpers} & {*LINE_FIELDS, "raw", "reason"}
+    if clash:
+        raise ValueError(f"columns have the names of results: {sorted(clash)}")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in helpers]
-    parts = extract_fields(df, line, extracted, _PARTS)
-    typed = [typed_field(_PARTS, extracted, name) for name in extracted]
+    rows = extract_fields(df, line, extracted, _MATCHED)
 
     if mode == DROPMALFORMED:
-        return (
-            parts.where(F.col(_PARTS).isNotNull())
-            .select(*kept, *typed)
-            .where(~_any_null(NUMERIC_FIELDS))
-            .select(*kept, *wanted)
-        )
+        return rows.where(~_any_null(NUMERIC_FIELDS)).select(*kept, *wanted)
 
-    reason = F.when(F.col(_PARTS).isNull(), F.lit("no_match")).when(
+    reason = F.when(~F.col(_MATCHED), F.lit("no_match")).when(
         _any_null(NUMERIC_FIELDS), F.lit("number_overflow")
     )
     raw = strip_line_end(F.col(line))
     if payload_reason is not None:
         reason = F.coalesce(F.col(payload_reason), reason)
         raw = F.coalesce(raw, F.col(payload))
-    judged = (
-        parts.select(*kept, *[F.col(c) for c in helpers], _PARTS, *typed)
-        .select(*kept, *[F.col(c) for c in helpers], *wanted, reason.alias("reason"))
-        .select(*kept, *wanted, F.when(F.col("reason").isNotNull(), raw).alias("raw"), "reason")
+    judged = rows.withColumn("reason", reason).select(
+        *kept, *wanted, F.when(F.col("reason").isNotNull(), raw).alias("raw"), "reason"
     )
     if mode == PERMISSIVE:
         return judged

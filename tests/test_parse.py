@@ -221,6 +221,12 @@ def test_unknown_field_or_mode(lines, valid_line):
         parse_lines(lines(valid_line), mode="LENIENT")
 
 
+def test_column_named_like_a_field(spark, valid_line):
+    df = spark.createDataFrame([(valid_line, 7)], "value string, user_id int")
+    with pytest.raises(ValueError, match="user_id"):
+        parse_lines(df)
+
+
 def test_split_into_good_and_malformed(lines, valid_line):
     both = parse_lines(lines(valid_line, "junk\n", None), mode=PERMISSIVE)
     assert [r.id for r in good_rows(both).collect()] == [0]
