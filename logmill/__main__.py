@@ -2,6 +2,7 @@
 
 import argparse
 
+from logmill.functions.clock import today
 from logmill.operators import serving
 from logmill.plans.batch import analyze
 from logmill.session import build_session
@@ -62,8 +63,9 @@ def _rollup(spark, args):
 
 
 def _day(spark, args):
-    facts = read_facts(spark, args.facts)
-    if serving.day_rows(facts, args.day, args.zone).isEmpty():
+    day = args.day or today(args.zone)
+    facts = read_facts(spark, args.facts, day)
+    if facts.isEmpty():
         print("No data available for the day")
         return
     for figure in (
@@ -72,7 +74,7 @@ def _day(spark, args):
         serving.response_code_distribution,
         serving.output_bytes_by_minute,
     ):
-        rows = figure(facts, args.day, args.zone)
+        rows = figure(facts, day)
         if args.json:
             rows = serving.rows_as_json(rows)
         print(figure.__name__)

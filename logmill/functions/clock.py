@@ -1,5 +1,8 @@
 """Time columns that do not depend on the session time zone."""
 
+from datetime import date, datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +42,8 @@ def minute_label(clock: Column) -> Column:
     return F.substring(clock.cast("string"), 1, 16)
 
 
-def today(zone: str = "UTC") -> Column:
-    return wall_clock(F.current_timestamp(), zone).cast("date")
+def today(zone: str = "UTC") -> date:
+    return datetime.now(ZoneInfo(zone)).date()
 
 
 def parse_log_time(text: Column) -> Column:

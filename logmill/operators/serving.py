@@ -18,9 +18,9 @@ from logmill.functions.clock import today
 
 
 def _day(day: str | date | None, zone: str) -> Column:
-    if day is None:
-        return today(zone)
-    return F.lit(day if isinstance(day, date) else date.fromisoformat(day))
+    if isinstance(day, str):
+        day = date.fromisoformat(day)
+    return F.lit(day or today(zone))
 
 
 def day_rows(facts: DataFrame, day: str | date | None = None, zone: str = "UTC") -> DataFrame:

@@ -119,7 +119,7 @@ def partition_day_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the enriched rows by date, then read one date back."""
     table = shared_folder(spark, "facts")
     write_facts(_facts(spark, sf_dir), table, load_id="events")
-    stored = read_facts(spark, table, _EVENT_ID)
+    stored = read_facts(spark, table, DAY, _EVENT_ID)
     rows = serving.day_rows(stored, DAY).select("event_id", "process_date", "response_code")
     return _date_label(rows)
 
@@ -148,7 +148,7 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         DRAIN,
     )
     await_streams(query)
-    good = read_facts(spark, f"{folder}/facts", _EVENT_ID)
+    good = read_facts(spark, f"{folder}/facts", extra=_EVENT_ID)
     bad = read_quarantine(spark, f"{folder}/quarantine", _EVENT_ID)
     return good.select("event_id", F.lit(False).alias("is_malformed")).union(
         bad.select("event_id", F.lit(True))

@@ -5,6 +5,9 @@ comes first so that a day's query reads one folder. Load and batch make a rewrit
 of the same batch replace exactly its own files.
 """
 
+from datetime import date
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +44,36 @@ def write_facts(
     write_load(rows, path, load_id, batch_id, ["process_date"])
 
 
-def _read(
-    spark: SparkSession, path: str, fields: dict[str, str], extra: dict[str, str] | None
+def read_by_date(
+    spark: SparkSession, path: str, schema: str, day: str | date | None = None
 ) -> DataFrame:
-    schema = ddl(extra or {}, fields, LOAD_FIELDS)
-    return spark.read.schema(schema).parquet(path).drop(*_LOAD)
+    """Rows of a table whose folders start with ``process_date=``, of one day or all.
+
+    With ``day``, only that date's folder is listed: a table that streams have written
+    for years has far more folders than one day's query should touch. A day without a
+    folder has no rows. The schema is declared, so no file is opened to infer it.
+    """
+    reader = spark.read.schema(schema)
+    if day is None:
+        return reader.parquet(path)
+    try:
+        return reader.option("basePath", path).parquet(f"{path}/process_date={day}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_facts(
-    spark: SparkSession, path: str, extra: dict[str, str] | None = None
+    spark: SparkSession, path: str, day: str | date | None = None, extra: dict[str, str] | None = None
 ) -> DataFrame:
-    """Enriched rows. The schema is declared, so no file is opened to infer it;
-    ``extra`` declares columns that were carried along in front."""
-    return _read(spark, path, ENRICHED_FIELDS, extra)
+    """Enriched rows. ``extra`` declares columns that were carried along in front."""
+    schema = ddl(extra or {}, ENRICHED_FIELDS, LOAD_FIELDS)
+    return read_by_date(spark, path, schema, day).drop(*_LOAD)
 
 
 def read_quarantine(
     spark: SparkSession, path: str, extra: dict[str, str] | None = None
 ) -> DataFrame:
-    return _read(spark, path, QUARANTINE_FIELDS, extra)
+    schema = ddl(extra or {}, QUARANTINE_FIELDS, LOAD_FIELDS)
+    return spark.read.schema(schema).parquet(path).drop(*_LOAD)

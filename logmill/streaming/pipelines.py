@@ -49,6 +49,14 @@ def connector_writer(source: str, **options: str) -> Writer:
     return write
 
 
+def load_of(batch: DataFrame) -> str:
+    """Id of the streaming query a micro-batch belongs to; it lives in the checkpoint."""
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query_id:
+        raise RuntimeError("not called for a micro-batch of a streaming query")
+    return query_id
+
+
 def append_to_parquet(
     recs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, zone: str = "UTC"
 ) -> StreamingQuery:
@@ -75,12 +83,12 @@ def fan_out(
 ) -> StreamingQuery:
     """One read and one parse per micro-batch, several tables.
 
-    A batch may run again after a failure. Writers get the query's id, which lives in
-    the checkpoint, and the batch number, so a table can replace instead of repeat.
+    A batch may run again after a failure. Writers get the query's id and the batch
+    number, so a table can replace instead of repeat.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        load_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        load_id = load_of(batch)
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for writer in facts:

@@ -1,13 +1,15 @@
 """Requests and bytes per minute and response code, kept up to date by a stream."""
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logmill.functions.clock import minute_label, wall_clock
 from logmill.schema import LOAD_FIELDS, ddl
-from logmill.sources.tables import write_load
-from logmill.streaming.pipelines import REFRESH, parse_records
+from logmill.sources.tables import read_by_date, write_load
+from logmill.streaming.pipelines import REFRESH, load_of, parse_records
 
 ROLLUP_FIELDS = {
     "minute": "timestamp_ntz",
@@ -53,8 +55,7 @@ def update_rollup(
     """Write the windows each batch changed. Read with :func:`read_rollup`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        load_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        write_load(batch, path, load_id, batch_id, ["process_date"])
+        write_load(batch, path, load_of(batch), batch_id, ["process_date"])
 
     return (
         minute_rollup(recs, delay, zone)
@@ -83,9 +84,11 @@ def append_rollup(
     )
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+def read_rollup(
+    spark: SparkSession, path: str, day: str | date | None = None
+) -> DataFrame:
     """Current figures of an updated rollup: the newest version of each window."""
-    versions = spark.read.schema(ddl(ROLLUP_FIELDS, LOAD_FIELDS)).parquet(path)
+    versions = read_by_date(spark, path, ddl(ROLLUP_FIELDS, LOAD_FIELDS), day)
     figures = F.struct("total_count", "output_bytes")
     newest = versions.groupBy("load_id", "process_date", "minute", "response_code").agg(
         F.max_by(figures, F.col("batch_id")).alias("figures")

@@ -89,9 +89,5 @@ def test_columns_that_were_not_parsed_are_left_out(spark, valid_line):
     assert rows.columns == ["id", "response_code", "process_timestamp", "process_date"]
 
 
-def test_today_is_the_zones_date(spark, session_zone):
-    session_zone("America/New_York")
-    row = spark.range(1).select(
-        today("Pacific/Kiritimati").alias("east"), today("Etc/GMT+12").alias("west")
-    ).first()
-    assert (row.east - row.west).days in (1, 2)
+def test_today_is_the_zones_date():
+    assert (today("Pacific/Kiritimati") - today("Etc/GMT+12")).days in (1, 2)

@@ -19,6 +19,7 @@ from logmill.streaming.pipelines import (
     connector_writer,
     fact_writer,
     fan_out,
+    load_of,
     parse_records,
     quarantine_writer,
     to_console,
@@ -134,6 +135,11 @@ def test_new_checkpoint_does_not_overwrite_older_loads(spark, topic, tmp_path):
     assert read_facts(spark, facts).count() == 2
 
 
+def test_load_id_needs_a_micro_batch(spark):
+    with pytest.raises(RuntimeError):
+        load_of(spark.range(1))
+
+
 def test_connector_writer(spark, topic, tmp_path):
     put, stream = topic
     put((0, payload()), (0, payload(404)))
@@ -224,7 +230,7 @@ def test_day_figures_from_rollup_equal_those_from_facts(spark, topic, tmp_path):
     for figure in figures:
         for day in ("2024-01-05", "2024-01-06", "2024-01-07"):
             of_facts = figure(read_facts(spark, facts), day)
-            of_rollup = figure(read_rollup(spark, minutes), day)
+            of_rollup = figure(read_rollup(spark, minutes, day), day)
             assert of_facts.collect() == of_rollup.collect()
             assert of_facts.dtypes == of_rollup.dtypes
     plan = serving.total_requests_by_minute(read_rollup(spark, minutes), "2024-01-05")

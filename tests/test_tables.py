@@ -1,12 +1,13 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from logmill.sources import shared
 from logmill.sources.lines import PUBLISH_OPTIONS, read_text_lines, topic_options
 from logmill.sources.tables import read_facts, read_quarantine, write_facts, write_load
 
-from test_serving import COLUMNS, ROWS, fact
+from test_serving import COLUMNS, DAY, ROWS, fact
 
 
 def files_of(path, day):
@@ -24,6 +25,19 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert read_facts(spark, path).columns == rows.columns
 
 
+def test_one_day_is_read_from_its_own_folder(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    for batch_id in range(3):
+        write_facts(spark.createDataFrame(ROWS, COLUMNS), path, "stream", batch_id)
+    whole = read_facts(spark, path)
+    for day in (DAY, "2023-09-11", "2023-09-12"):
+        rows = read_facts(spark, path, day)
+        assert rows.schema == whole.schema
+        want = whole.where(F.col("process_date") == F.lit(str(day)).cast("date"))
+        assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+        assert all(f"process_date={day}" in file for file in rows.inputFiles())
+
+
 def test_clustered_write_keeps_rows_and_merges_files(spark, tmp_path):
     # One date holds nearly all rows.
     rows = [fact("10:00", 200, i) for i in range(3_000)]
