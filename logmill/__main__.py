@@ -11,6 +11,7 @@ from logmill.sources.synthetic import synthetic_log
 from logmill.sources.tables import read_facts
 from logmill.streaming.pipelines import (
     await_streams,
+    console_writer,
     fact_writer,
     fan_out,
     quarantine_writer,
@@ -41,10 +42,13 @@ def _trigger(args):
 
 
 def _stream(spark, args):
+    writers = [fact_writer(f"{args.out}/facts")]
+    if args.console:
+        writers.append(console_writer())
     await_streams(
         fan_out(
             _topic(spark, args),
-            [fact_writer(f"{args.out}/facts")],
+            writers,
             [quarantine_writer(f"{args.out}/quarantine")],
             f"{args.out}/checkpoints/facts",
             _trigger(args),
@@ -116,6 +120,8 @@ def parser() -> argparse.ArgumentParser:
         stream.add_argument("--zone", default="UTC")
         if name == "rollup":
             stream.add_argument("--delay", default="1 hour", help="how late records may arrive")
+        else:
+            stream.add_argument("--console", action="store_true", help="also show each batch")
 
     day = command("day", _day, "per-minute figures of one day")
     day.add_argument("facts")

@@ -38,10 +38,13 @@ def write_facts(
     A task writes one file per date it holds. Log files and micro-batches hold few
     dates, so rows go straight to disk. For input that mixes many dates,
     ``cluster=True`` brings each date together first; adaptive execution sizes those
-    partitions, splitting a date that is too large for one.
+    partitions, splitting a date that is too large for one task. Where it is off, one
+    task would get a whole date, so rows are written as they are.
     """
-    rows = facts.hint("rebalance", "process_date") if cluster else facts
-    write_load(rows, path, load_id, batch_id, ["process_date"])
+    adaptive = facts.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    if cluster and adaptive:
+        facts = facts.hint("rebalance", "process_date")
+    write_load(facts, path, load_id, batch_id, ["process_date"])
 
 
 def read_by_date(

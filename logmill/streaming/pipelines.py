@@ -39,6 +39,16 @@ def quarantine_writer(path: str) -> Writer:
     return lambda rows, load_id, batch_id: write_load(rows, path, load_id, batch_id)
 
 
+def console_writer(rows: int = 20) -> Writer:
+    """Show each batch's first rows on the driver, next to the tables it goes to."""
+
+    def write(batch: DataFrame, load_id: str, batch_id: int) -> None:
+        print(f"batch {batch_id}")
+        batch.show(rows, truncate=False)
+
+    return write
+
+
 def connector_writer(source: str, **options: str) -> Writer:
     """Append through any connector. A retried batch is appended again: the target
     must upsert by key, or rows repeat."""

@@ -17,6 +17,7 @@ from logmill.schema import LINE_FIELDS, NUMERIC_FIELDS
 
 from conftest import SMALL, VALID
 
+# Fixed value: the line layout.
 LAYOUT = re.compile(
     r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d+) (\d+) "([^"]*)" "([^"]*)" (\d+)'
 )

@@ -36,6 +36,19 @@ def test_query_matches_its_sql(spark, database, name):
     assert want[1]
 
 
+@pytest.mark.parametrize("name", [n for n in registry.queries() if not n.startswith("stream")])
+def test_plan(spark, name):
+    query = registry.queries()[name](spark, CHECKED)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    for costly in ("EvalPython", "InPandas", "Cartesian", "NestedLoop", "Broadcast"):
+        assert costly not in plan
+    # Each pattern once: plain and general layout, and a malformed line's end.
+    assert plan.count("regexp_replace(") <= 3
+    assert plan.count("try_to_timestamp") <= 1 and plan.count("Exchange ") <= 2
+    if name.endswith("_by_minute"):
+        assert "GreaterThanOrEqual(ts,2024-01-05T00:00), LessThan(ts,2024-01-06T00:00)]" in plan
+
+
 def test_entry(spark):
     rows = registry.entry(spark)
     assert rows.columns == ["process_timestamp", "response_code", "total_count"]

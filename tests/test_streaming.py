@@ -17,6 +17,7 @@ from logmill.streaming.pipelines import (
     append_to_parquet,
     await_streams,
     connector_writer,
+    console_writer,
     fact_writer,
     fan_out,
     load_of,
@@ -148,6 +149,17 @@ def test_connector_writer(spark, topic, tmp_path):
     assert spark.read.json(out).count() == 2
 
 
+def test_console_next_to_a_table(spark, topic, tmp_path, capsys):
+    put, stream = topic
+    put((0, payload(418)))
+    facts = str(tmp_path / "facts")
+    await_streams(
+        fan_out(stream(), [fact_writer(facts), console_writer()], [], str(tmp_path / "cp"), DRAIN)
+    )
+    assert "|418" in capsys.readouterr().out.replace(" ", "")
+    assert read_facts(spark, facts).count() == 1
+
+
 def test_console(topic):
     put, stream = topic
     put((0, payload(418)))
