@@ -1,5 +1,8 @@
 """Field extraction from one access-log line with built-in expressions."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,13 @@ SEARCHED_LINE = (
 PLAIN_SEPARATOR = "\n"
 SEARCHED_SEPARATOR = '"\n'
 
+# Decimal digits of other scripts, which the layout accepts in numbers, and the ASCII
+# digits they stand for, in the same order.
+OTHER_DIGITS = "".join(
+    c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"
+)
+SAME_DIGITS = "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)
+
 _GROUP = {name: number for number, name in enumerate(LINE_FIELDS, start=1)}
 
 
@@ -63,7 +73,10 @@ def _typed(parts: Column, position: int, name: str) -> Column:
     """One extracted field in its column type; NULL for a number that does not fit."""
     text = F.get(parts, F.lit(position))
     kind = LINE_FIELDS[name]
-    return (text if kind == "string" else text.try_cast(kind)).alias(name)
+    if kind == "string":
+        return text.alias(name)
+    translated = F.translate(text, OTHER_DIGITS, SAME_DIGITS)
+    return F.coalesce(text.try_cast(kind), translated.try_cast(kind)).alias(name)
 
 
 def extract_fields(df: DataFrame, line: str, fields: list[str], matched: str) -> DataFrame:

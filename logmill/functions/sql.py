@@ -6,8 +6,10 @@ from logmill.functions.codec import SINGLE_STRING
 from logmill.functions.logline import (
     LINE_END,
     MARKERS,
+    OTHER_DIGITS,
     PLAIN_LINE,
     PLAIN_SEPARATOR,
+    SAME_DIGITS,
     SEARCHED_LINE,
     SEARCHED_SEPARATOR,
 )
@@ -22,13 +24,19 @@ def _template(separator: str) -> str:
     return _literal(separator.join(f"${i}" for i in range(1, len(LINE_FIELDS) + 1)))
 
 
+def _typed(position: int, kind: str) -> str:
+    text = f"get(parts, {position})"
+    if kind == "string":
+        return text
+    translated = f"translate({text}, '{OTHER_DIGITS}', '{SAME_DIGITS}')"
+    return f"coalesce(try_cast({text} AS {kind}), try_cast({translated} AS {kind}))"
+
+
 def _parse_log_body() -> str:
     # A lambda parameter is evaluated once however often it is used; a plain alias
     # would be inlined, and each regex run, at every use.
     fields = ", ".join(
-        f"'{name}', "
-        + (f"get(parts, {i})" if kind == "string" else f"try_cast(get(parts, {i}) AS {kind})")
-        for i, (name, kind) in enumerate(LINE_FIELDS.items())
+        f"'{name}', {_typed(i, kind)}" for i, (name, kind) in enumerate(LINE_FIELDS.items())
     )
     may_match = " AND ".join(
         [f"contains(line, {_literal(marker)})" for marker in MARKERS]

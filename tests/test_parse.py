@@ -35,9 +35,9 @@ def expected_fields(line):
         return "no_match"
     values = dict(zip(LINE_FIELDS, match.groups()))
     for name in NUMERIC_FIELDS:
-        if not values[name].isascii() or int(values[name]) >= LIMITS[name]:
-            return "number_overflow"
         values[name] = int(values[name])
+        if values[name] >= LIMITS[name]:
+            return "number_overflow"
     return tuple(values.values())
 
 
@@ -64,9 +64,13 @@ def test_accepted(lines, line):
     assert judged(lines(line)) == {0: EXPECTED}
 
 
-def test_digits_continue_into_other_scripts(lines):
-    line = VALID + "\u0663"
-    assert judged(lines(line)) == {0: "number_overflow"}
+def test_digits_of_other_scripts(lines):
+    texts = [VALID + "\u0663", VALID.replace("200", "\u06630\uff12"), VALID.replace("4988", "\u096a\U0001d7ce")]
+    texts += [VALID.replace("4988", "\u0663" * 20), VALID.replace(" 200 ", " \u2460 ")]
+    got = judged(lines(*texts))
+    assert got == {i: expected_fields(text) for i, text in enumerate(texts)}
+    assert (got[0][9], got[1][5], got[2][6]) == (12343, 302, 40)
+    assert (got[3], got[4]) == ("number_overflow", "no_match")
 
 
 @pytest.mark.parametrize(
