@@ -17,9 +17,24 @@ _LOAD = list(LOAD_FIELDS)
 
 
 def write_load(
-    rows: DataFrame, path: str, load_id: str, batch_id: int = 0, partition: list[str] | None = None
+    rows: DataFrame,
+    path: str,
+    load_id: str,
+    batch_id: int = 0,
+    partition: list[str] | None = None,
+    cluster: bool = False,
 ) -> None:
-    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat."""
+    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat.
+
+    A task writes one file per partition value it holds: many small files, when a
+    batch has many tasks or mixes many dates. ``cluster=True`` brings rows of a value
+    together first. Adaptive execution sizes those partitions, merging small ones and
+    splitting a value that is too large for one task; where it is off, one task would
+    get everything of a value, so rows are written as they are.
+    """
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    if cluster and adaptive:
+        rows = rows.hint("rebalance", *(partition or []))
     (
         rows.withColumn("load_id", F.lit(load_id))
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -31,20 +46,11 @@ def write_load(
 
 
 def write_facts(
-    facts: DataFrame, path: str, load_id: str, batch_id: int = 0, cluster: bool = False
+    facts: DataFrame, path: str, load_id: str, batch_id: int = 0, cluster: bool = True
 ) -> None:
-    """Store enriched rows by date.
-
-    A task writes one file per date it holds. Log files and micro-batches hold few
-    dates, so rows go straight to disk. For input that mixes many dates,
-    ``cluster=True`` brings each date together first; adaptive execution sizes those
-    partitions, splitting a date that is too large for one task. Where it is off, one
-    task would get a whole date, so rows are written as they are.
-    """
-    adaptive = facts.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
-    if cluster and adaptive:
-        facts = facts.hint("rebalance", "process_date")
-    write_load(facts, path, load_id, batch_id, ["process_date"])
+    """Store enriched rows by date. ``cluster=False`` saves the shuffle for input whose
+    tasks are few, or large and of one date each."""
+    write_load(facts, path, load_id, batch_id, ["process_date"], cluster)
 
 
 def read_by_date(

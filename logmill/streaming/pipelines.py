@@ -31,12 +31,14 @@ def parse_records(recs: DataFrame, fields: list[str] | None = None) -> DataFrame
     return parse_lines(decoded, fields=fields)
 
 
-def fact_writer(path: str) -> Writer:
-    return lambda rows, load_id, batch_id: write_facts(rows, path, load_id, batch_id)
+def fact_writer(path: str, cluster: bool = True) -> Writer:
+    return lambda rows, load_id, batch_id: write_facts(rows, path, load_id, batch_id, cluster)
 
 
-def quarantine_writer(path: str) -> Writer:
-    return lambda rows, load_id, batch_id: write_load(rows, path, load_id, batch_id)
+def quarantine_writer(path: str, cluster: bool = True) -> Writer:
+    return lambda rows, load_id, batch_id: write_load(
+        rows, path, load_id, batch_id, cluster=cluster
+    )
 
 
 def console_writer(rows: int = 20) -> Writer:

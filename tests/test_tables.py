@@ -43,8 +43,8 @@ def test_clustered_write_keeps_rows_and_merges_files(spark, tmp_path):
     rows = [fact("10:00", 200, i) for i in range(3_000)]
     rows += [fact("10:00", 200, i, other) for i, other in enumerate([r[13] for r in ROWS[-2:]] * 20)]
     df = spark.createDataFrame(rows, COLUMNS).repartition(8)
-    write_facts(df, str(tmp_path / "loose"), "a")
-    write_facts(df, str(tmp_path / "clustered"), "a", cluster=True)
+    write_facts(df, str(tmp_path / "loose"), "a", cluster=False)
+    write_facts(df, str(tmp_path / "clustered"), "a")
     for name in ("loose", "clustered"):
         got = read_facts(spark, str(tmp_path / name))
         assert Counter(map(str, got.collect())) == Counter(map(str, df.collect()))
@@ -59,13 +59,30 @@ def test_large_date_is_split_by_clustering(spark, tmp_path):
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
     try:
-        write_facts(rows, str(tmp_path / "t"), "a", cluster=True)
+        write_facts(rows, str(tmp_path / "t"), "a")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(files_of(tmp_path / "t", "2024-01-01")) > 1
     assert spark.read.parquet(str(tmp_path / "t")).count() == 300_000
 
 
+def test_without_adaptive_execution_rows_are_not_gathered(spark, tmp_path):
+    rows = spark.range(8_000, numPartitions=8).selectExpr("id", "DATE'2024-01-01' AS process_date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_facts(rows, str(tmp_path / "t"), "a")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(files_of(tmp_path / "t", "2024-01-01")) == 8
+
+
+def test_quarantine_batch_is_one_file(spark, tmp_path):
+    rows = spark.range(80, numPartitions=8).selectExpr("cast(id AS string) AS raw", "'no_match' AS reason")
+    write_load(rows, str(tmp_path / "t"), "a", cluster=True)
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 80
+
+
 def test_empty_batch(spark, tmp_path):
     path = str(tmp_path / "quarantine")
     empty = spark.createDataFrame([], "process_timestamp timestamp, raw string, reason string")
