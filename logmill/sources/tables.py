@@ -16,6 +16,18 @@ from logmill.schema import ENRICHED_FIELDS, LOAD_FIELDS, QUARANTINE_FIELDS, ddl
 _LOAD = list(LOAD_FIELDS)
 
 
+def gather(rows: DataFrame, partition: list[str]) -> DataFrame:
+    """Bring rows of a partition value together before they are written.
+
+    A task writes one file per value it holds: many small files, when a batch has many
+    tasks or mixes many dates. Adaptive execution sizes the gathered partitions, merging
+    small ones and splitting a value that is too large for one task. Where it is off,
+    one task would get everything of a value, so rows are left as they are.
+    """
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    return rows.hint("rebalance", *partition) if adaptive else rows
+
+
 def write_load(
     rows: DataFrame,
     path: str,
@@ -24,17 +36,9 @@ def write_load(
     partition: list[str] | None = None,
     cluster: bool = False,
 ) -> None:
-    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat.
-
-    A task writes one file per partition value it holds: many small files, when a
-    batch has many tasks or mixes many dates. ``cluster=True`` brings rows of a value
-    together first. Adaptive execution sizes those partitions, merging small ones and
-    splitting a value that is too large for one task; where it is off, one task would
-    get everything of a value, so rows are written as they are.
-    """
-    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
-    if cluster and adaptive:
-        rows = rows.hint("rebalance", *(partition or []))
+    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat."""
+    if cluster:
+        rows = gather(rows, partition or [])
     (
         rows.withColumn("load_id", F.lit(load_id))
         .withColumn("batch_id", F.lit(batch_id).cast("bigint"))

@@ -9,7 +9,7 @@ from pyspark.storagelevel import StorageLevel
 from logmill.operators.enrich import enrich
 from logmill.operators.parse import PERMISSIVE, good_rows, malformed_rows, parse_lines
 from logmill.sources.lines import decode_records
-from logmill.sources.tables import write_facts, write_load
+from logmill.sources.tables import gather, write_facts, write_load
 
 # Fixed value: how often a live view is refreshed.
 REFRESH = {"processingTime": "10 seconds"}
@@ -70,10 +70,17 @@ def load_of(batch: DataFrame) -> str:
 
 
 def append_to_parquet(
-    recs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, zone: str = "UTC"
+    recs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, zone: str = "UTC",
+    cluster: bool = True,
 ) -> StreamingQuery:
-    """Good rows to a date-partitioned file sink, exactly once."""
+    """Good rows to a date-partitioned file sink, exactly once.
+
+    ``cluster`` gathers each batch's rows by date; Spark plans streams without state
+    adaptively from 4.1 on, so pass False on older versions.
+    """
     rows = enrich(parse_records(recs), zone=zone)
+    if cluster:
+        rows = gather(rows, ["process_date"])
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")

@@ -74,6 +74,26 @@ def test_append_to_parquet_and_restart(spark, topic, tmp_path):
     assert Counter(str(r.process_date) for r in rows.collect()) == {"2024-01-05": 3, "2024-01-06": 1}
 
 
+@pytest.mark.parametrize(("cluster", "files"), [(True, 2), (False, 10)])
+def test_files_per_batch_of_the_append_sink(spark, topic, tmp_path, cluster, files):
+    put, _ = topic
+    for minute in range(5):
+        put((minute, payload()), (24 * 60 + minute, payload(404)))
+    source = spark.readStream.schema("timestamp timestamp, value binary")
+    # One task per source file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        recs = records(source.parquet(str(tmp_path / "topic")))
+        out = tmp_path / "facts"
+        await_streams(
+            append_to_parquet(recs, str(out), str(tmp_path / "cp"), DRAIN, cluster=cluster)
+        )
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.read.parquet(str(out)).count() == 10
+    assert len(list(out.rglob("*.parquet"))) == files
+
+
 def test_fan_out_keeps_every_record_once(spark, topic, tmp_path):
     put, stream = topic
     put((0, payload()), (0, "{bad"), (1, None))
