@@ -22,7 +22,7 @@ def parse_lines(
     df: DataFrame,
     line: str = "value",
     fields: list[str] | None = None,
-    mode: str = DROPMALFORMED,
+    mode: str = PERMISSIVE,
     payload_reason: str | None = None,
     payload: str | None = None,
 ) -> DataFrame:
@@ -31,9 +31,9 @@ def parse_lines(
     ``fields`` limits the output to some line fields. The optimizer cannot prune
     inside a regex, so a report on raw lines names what it needs.
 
-    ``mode``: DROPMALFORMED returns the rows that parse; PERMISSIVE returns every
-    row, with ``raw`` and ``reason`` (both NULL for a good row) added, for
-    :func:`good_rows` and :func:`malformed_rows`; FAILFAST raises on a bad line.
+    ``mode``: PERMISSIVE returns every row, with ``raw`` and ``reason`` (both NULL for
+    a good row) added, for :func:`good_rows` and :func:`malformed_rows`; DROPMALFORMED
+    returns the rows that parse; FAILFAST raises on a bad line.
 
     ``payload_reason`` names a column that says why ``line`` could not be decoded
     from ``payload``; it takes precedence over the line's own reason.

@@ -15,7 +15,7 @@ from logmill.functions.codec import decode_json_scalar, encode_json_scalar
 from logmill.functions.request import request_parts
 from logmill.operators import reports, serving
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import PERMISSIVE, malformed_rows, parse_lines
+from logmill.operators.parse import DROPMALFORMED, PERMISSIVE, malformed_rows, parse_lines
 from logmill.schema import ENRICHED_FIELDS, LINE_FIELDS, ddl
 from logmill.sources.events import read_event_lines, read_event_records, stream_event_records
 from logmill.sources.lines import decode_records, records
@@ -40,7 +40,8 @@ _EVENT_ID = {"event_id": "bigint"}
 
 
 def _parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    return parse_lines(read_event_lines(spark, sf_dir), fields=list(fields) or None)
+    lines = read_event_lines(spark, sf_dir)
+    return parse_lines(lines, fields=list(fields) or None, mode=DROPMALFORMED)
 
 
 def _facts(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:

@@ -7,7 +7,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import PERMISSIVE, good_rows, malformed_rows, parse_lines
+from logmill.operators.parse import (
+    DROPMALFORMED,
+    PERMISSIVE,
+    good_rows,
+    malformed_rows,
+    parse_lines,
+)
 from logmill.sources.lines import decode_records
 from logmill.sources.tables import gather, write_facts, write_load
 
@@ -28,7 +34,7 @@ def judge_records(recs: DataFrame) -> DataFrame:
 def parse_records(recs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Decode and parse records; only those that parse are kept."""
     decoded = decode_records(recs).drop("payload", "payload_reason")
-    return parse_lines(decoded, fields=fields)
+    return parse_lines(decoded, fields=fields, mode=DROPMALFORMED)
 
 
 def fact_writer(path: str, cluster: bool = True) -> Writer:

@@ -4,7 +4,7 @@ import pytest
 
 from logmill.__main__ import main, parser
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import parse_lines
+from logmill.operators.parse import DROPMALFORMED, parse_lines
 from logmill.plans.batch import analyze
 from logmill.sources.events import read_event_lines
 from logmill.sources.tables import write_facts
@@ -47,12 +47,13 @@ def test_command_line(spark, log, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "requests per address" in out and "no_match" in out
     facts = str(tmp_path / "facts")
-    write_facts(enrich(parse_lines(read_event_lines(spark, SMALL))), facts, "a")
+    good = parse_lines(read_event_lines(spark, SMALL), mode=DROPMALFORMED)
+    write_facts(enrich(good), facts, "a")
     main(["day", facts, "--day", "2024-01-05", "--json"])
     assert '{"process_timestamp":"2024-01-05 ' in capsys.readouterr().out
     main(["day", facts])
     assert "No data available for the day" in capsys.readouterr().out
     main(["synth", str(tmp_path / "made"), "--lines", "50"])
-    assert parse_lines(spark.read.text(str(tmp_path / "made"))).count() == 50
+    assert parse_lines(spark.read.text(str(tmp_path / "made")), mode=DROPMALFORMED).count() == 50
     args = parser().parse_args(["rollup", "--brokers", "b:1", "--topic", "t", "--out", "o"])
     assert (args.starting_offsets, args.delay, args.every) == ("latest", "1 hour", "10 seconds")

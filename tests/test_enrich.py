@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions.clock import instant_of, minute_label, today, wall_clock
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import parse_lines
+from logmill.operators.parse import DROPMALFORMED, parse_lines
 from logmill.schema import ENRICHED_FIELDS
 
 ZONES = ["UTC", "America/New_York", "Asia/Kolkata", "Australia/Lord_Howe"]
@@ -15,7 +15,7 @@ def enriched(spark, line, record_time="2023-09-10T20:00:30.5Z", zone="UTC"):
     df = spark.createDataFrame([(line,)], "value string").withColumn(
         "process_timestamp", F.lit(record_time).cast("timestamp")
     )
-    rows = enrich(parse_lines(df), zone=zone)
+    rows = enrich(parse_lines(df, mode=DROPMALFORMED), zone=zone)
     assert rows.columns == list(ENRICHED_FIELDS)
     assert dict(rows.dtypes) == ENRICHED_FIELDS
     return rows.withColumn("log_timestamp", wall_clock(F.col("log_timestamp"))).first()
@@ -56,7 +56,7 @@ def test_wall_clock_record_time_is_kept(spark, valid_line):
     df = spark.createDataFrame([(valid_line,)], "value string").withColumn(
         "process_timestamp", F.lit("2024-01-05 23:59:59").cast("timestamp_ntz")
     )
-    row = enrich(parse_lines(df)).first()
+    row = enrich(parse_lines(df, mode=DROPMALFORMED)).first()
     assert (row.process_timestamp, row.process_date) == ("2024-01-05 23:59", date(2024, 1, 5))
 
 
@@ -85,7 +85,7 @@ def test_columns_that_were_not_parsed_are_left_out(spark, valid_line):
     df = spark.createDataFrame([(1, valid_line)], "id int, value string").withColumn(
         "process_timestamp", F.lit("2024-01-05 23:59:59").cast("timestamp_ntz")
     )
-    rows = enrich(parse_lines(df, fields=["response_code"]))
+    rows = enrich(parse_lines(df, fields=["response_code"], mode=DROPMALFORMED))
     assert rows.columns == ["id", "response_code", "process_timestamp", "process_date"]
 
 

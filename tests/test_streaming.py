@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logmill.functions.clock import instant_of
 from logmill.operators import serving
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import parse_lines
+from logmill.operators.parse import DROPMALFORMED, parse_lines
 from logmill.sources.events import read_event_lines
 from logmill.sources.lines import records
 from logmill.sources.tables import read_facts, read_quarantine
@@ -277,7 +277,9 @@ def test_rollup_of_stored_records_as_a_batch(spark, session_zone, session):
         "process_timestamp", instant_of(F.col("process_timestamp"))
     )
     rolled = minute_rollup(recs, "1 minute").select("minute", "response_code", "total_count", "output_bytes")
-    facts = enrich(parse_lines(lines, fields=["response_code", "response_bytes"]))
+    facts = enrich(
+        parse_lines(lines, fields=["response_code", "response_bytes"], mode=DROPMALFORMED)
+    )
     want = facts.groupBy("process_timestamp", "response_code").agg(
         F.count("*"), F.sum("response_bytes")
     ).collect()
