@@ -1,32 +1,59 @@
 """Where a job may keep checkpoints and tables that other executors must see."""
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_base: str | None = None
+# Folders made by this process, by session: (application id, base) -> folder.
+_folders: dict[tuple[str, str], str] = {}
+_LOCAL_SCHEMES = ("file:", "/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``.
 
-    Where that setting is absent, a local-mode session gets a temporary folder,
-    removed when the process ends; on a cluster there is no safe default.
+    Where that setting is absent, a local-mode session gets a temporary folder; on a
+    cluster there is no safe default, and a machine-local path is refused. All folders
+    of a session go when its JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _temporary_base(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = _base(spark)
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _folders:
+        _folders[key] = f"{base.rstrip('/')}/logmill-{uuid.uuid4().hex}"
+        _make_for_session(spark, _folders[key])
+    return f"{_folders[key]}/{name}-{uuid.uuid4().hex}"
+
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``shared_folder`` once nothing reads it any more."""
+    if not any(folder.startswith(f"{made}/") for made in _folders.values()):
+        raise ValueError(f"not a folder of this session: {folder}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def _temporary_base(spark: SparkSession) -> str:
-    global _local_base
-    if not spark.sparkContext.master.startswith("local"):
+
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    if base:
+        if not local and base.startswith(_LOCAL_SCHEMES) and not _is_mounted(spark):
+            raise ValueError(
+                f"spark.checkpoint.dir is {base}, a path of one machine; name a store that "
+                "all executors share, or set spark.logmill.sharedMount=true if it is a mount"
+            )
+        return base
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_base is None:
-        _local_base = tempfile.mkdtemp(prefix="logmill-")
-        atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
-    return _local_base
+    return f"file://{tempfile.gettempdir()}"
+
+
+def _is_mounted(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.logmill.sharedMount", "false") == "true"
+
+
+def _make_for_session(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
