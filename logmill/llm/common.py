@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,14 +38,34 @@ def crc_fold(key: Column, folds: int) -> Column:
     return (F.crc32(key.cast("string").cast("binary")) % folds).cast("int")
 
 
+# Text handled at once by a Python worker; a longer text is handled alone.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some MB of ``column``, each of at least one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and held + size > PIECE_BYTES:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: StructType | str,
+    column: str = "text",
 ) -> DataFrame:
-    """``function`` over Arrow batches; an empty batch is passed on as no batch."""
+    """``function`` over Arrow batches, in slices of some MB of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for piece in pieces(batch, column):
+                yield function(piece)
 
     return df.mapInArrow(run, schema)

@@ -4,15 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import sentencepiece_bpe, token_files
+from logmill.llm import sentencepiece_bpe, token_files, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": winnowing.op4_decontamination,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op8_token_files": token_files.op8_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": winnowing.OP4_SQL}

@@ -29,7 +29,7 @@ BLANK = "▁"
 # Chunks of up to this many characters are worked off together.
 SHORT = 32
 # Remembered chunks per Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _NO_PAIR = np.iinfo(np.int32).max
 _CODE_POINTS = 0x110000
 

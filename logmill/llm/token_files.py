@@ -31,7 +31,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 # Ids of a shard (a few ten MB) and of a block; a longer document has a block of its own.
 SHARD_IDS, BLOCK_IDS = 8_000_000, 1 << 20
 # Remembered chunks per Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # magic, documents, ids, data bytes
 _HEADER = struct.Struct("<8sQQQ")
 _MAGIC = b"LMTOKEN1"
