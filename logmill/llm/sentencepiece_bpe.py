@@ -2,8 +2,9 @@
 
 A text becomes characters; an agenda of adjacent symbol pairs, ordered by the score of
 the piece that a pair makes and then from left to right, is worked off until no pair
-makes a piece. No piece has a blank after another character, so the agenda of a whole
-text falls apart, exactly, into one agenda per blank-led chunk; chunks are remembered.
+makes a piece. No piece has a blank after another character, nor joins characters of certain
+groups (letters and commas, say), so the agenda of a whole text falls apart, exactly,
+into one agenda per chunk; chunks are remembered.
 Many short chunks are worked off together as rows of a matrix, the best pair of each row
 per round; long ones one by one with a heap. ``agrees_with_library`` compares with the
 sentencepiece library in the same Arrow batches.
@@ -12,7 +13,7 @@ sentencepiece library in the same Arrow batches.
 import codecs
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -71,6 +72,27 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _chunk_pattern(pieces: Iterable[str]) -> str:
+    """Cuts a text where no piece can reach across.
+
+    Characters that follow each other in some piece belong together; two that do not
+    belong together never share a piece. Those that no piece joins make one more group.
+    """
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        inside = piece.lstrip(BLANK)
+        for pair in zip(inside, inside[1:]):
+            first, second = (group.setdefault(c, {c}) for c in pair)
+            if first is not second:
+                small, large = sorted((first, second), key=len)
+                large |= small
+                group.update((c, large) for c in small)
+    groups = {id(g): g for g in group.values()}.values()
+    classes = ["".join(map(re.escape, sorted(g))) for g in groups]
+    runs = [f"[{c}]+" for c in classes] + [f"[^ {''.join(classes)}]+"]
+    return f" *(?:{'|'.join(runs)})| +"
+
+
 class PieceModel:
     """Encoder and decoder of one BPE model file."""
 
@@ -111,9 +133,7 @@ class PieceModel:
             if len(piece) == 1:
                 self._symbol[ord(piece)] = i
         self._build_pairs(normal, library)
-        inside = {c for piece in normal if len(piece) > 1 for c in piece}
-        line_end = "" if "\n" in inside else "\n"
-        self._chunks = re.compile(f" +[^ {line_end}]*|[^ {line_end}]+" + "|\n" * bool(line_end)).findall
+        self._chunks = re.compile(_chunk_pattern(normal)).findall
         self._memory: dict[str, bytes] = {}
 
     @staticmethod

@@ -38,8 +38,13 @@ _MAGIC = b"LMTOKEN1"
 _NO_DOC = np.iinfo(np.int64).min
 # White space by Unicode's property.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Where the vocabulary's own splitting always cuts, whatever stands between.
-_chunks = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
+# Letters of the Latin blocks, a part of all letters.
+_LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+# Cuts only where the vocabulary's own splitting always cuts: at white space, and between
+# a whole run of letters and a sign or digit.
+_chunks = re.compile(
+    rf" ?[{_LATIN}]+(?=[!-@\[-`{{-~])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
+).findall
 
 
 class ChunkEncoder:
