@@ -4,11 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import sentencepiece_bpe, simhash, token_files, winnowing
+from logmill.llm import language_id, sentencepiece_bpe, simhash, token_files, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op4_decontamination": winnowing.op4_decontamination,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op8_token_files": token_files.op8_token_files,
