@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import language_id, sentencepiece_bpe, simhash, token_files, winnowing
+from logmill.llm import class_lm, language_id, sentencepiece_bpe, simhash, token_files, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op8_token_files": token_files.op8_token_files,
         "op9_simhash": simhash.op9_simhash,
+        "op10_class_lm": class_lm.op10_class_lm,
     }
 
 
