@@ -39,7 +39,7 @@ def crc_fold(key: Column, folds: int) -> Column:
 
 
 # Text handled at once by a Python worker; a longer text is handled alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -69,3 +69,16 @@ def map_batches(
                 yield function(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def remember(memory: dict, fresh: dict, asked: int, absent: int, limit: int) -> dict:
+    """``memory`` with ``fresh`` entries while it has room.
+
+    A full memory stays as it is, since what came first is mostly what comes often; it
+    starts anew when it no longer fits the texts, that is when half of what is asked for
+    is absent.
+    """
+    if len(memory) >= limit:
+        return fresh if 2 * absent > asked else memory
+    memory.update(fresh)
+    return memory

@@ -23,14 +23,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm.common import map_batches, read_table
+from logmill.llm.common import map_batches, read_table, remember
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 # Chunks of up to this many characters are worked off together.
 SHORT = 32
-# Remembered chunks per Python worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
+# Remembered chunks per Python worker.
+REMEMBERED = 200_000
 _NO_PAIR = np.iinfo(np.int32).max
 _CODE_POINTS = 0x110000
 
@@ -240,46 +240,46 @@ class PieceModel:
             )
         return ids.astype("<i4").tobytes()
 
-    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; blanks already are BLANK."""
-        found, by_length = {}, {}
-        for chunk in chunks:
+        found = [b""] * len(chunks)
+        by_length: dict[int, list[int]] = {}
+        for place, chunk in enumerate(chunks):
             if len(chunk) > SHORT:
-                found[chunk] = self._as_bytes(self._agenda(chunk))
+                found[place] = self._as_bytes(self._agenda(chunk))
             else:
-                by_length.setdefault(len(chunk), []).append(chunk)
-        for length, group in by_length.items():
-            codes = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32)
+                by_length.setdefault(len(chunk), []).append(place)
+        for length, places in by_length.items():
+            codes = np.frombuffer("".join([chunks[p] for p in places]).encode("utf-32-le"), np.uint32)
             for rows, symbols in self._rounds(self._symbol[codes].reshape(-1, length)):
                 if symbols.size and symbols.max() >= self.size:
-                    found.update(zip([group[r] for r in rows], map(self._as_bytes, symbols)))
+                    for row, line in zip(rows.tolist(), symbols, strict=True):
+                        found[places[row]] = self._as_bytes(line)
                 else:
                     flat, step = symbols.astype("<i4").tobytes(), symbols.shape[1] * 4
-                    found.update(
-                        (group[r], flat[k * step : (k + 1) * step]) for k, r in enumerate(rows)
-                    )
+                    for k, row in enumerate(rows.tolist()):
+                        found[places[row]] = flat[k * step : (k + 1) * step]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        if len(self._memory) > REMEMBERED:
-            self._memory.clear()
-        memory, look_up = self._memory, self._memory.get
-        rows, gaps, new = [], [], {}
+        rows, gaps, new, asked, absent = [], [], {}, 0, 0
+        look_up = self._memory.get
         for text in texts:
             chunks = self._chunks(" " + text.replace(BLANK, " ")) if text else []
             found = list(map(look_up, chunks))
+            asked += len(found)
             if None in found:
                 missing = [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]
+                absent += len(missing)
                 gaps.append((found, missing))
-                new.update((chunk, chunk.replace(" ", BLANK)) for _, chunk in missing)
+                new.update((chunk, None) for _, chunk in missing)
             rows.append(found)
-        if new:
-            encoded = self.encode_chunks(list(set(new.values())))
-            memory.update((chunk, encoded[written]) for chunk, written in new.items())
+        fresh = dict(zip(new, self.encode_chunks([chunk.replace(" ", BLANK) for chunk in new]), strict=True))
         for found, missing in gaps:
             for k, chunk in missing:
-                found[k] = memory[chunk]
+                found[k] = fresh[chunk]
+        self._memory = remember(self._memory, fresh, asked, absent, REMEMBERED)
         return [b"".join(found) for found in rows]
 
     def decode(self, ids: list[int]) -> str:

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import files
-from logmill.llm.common import map_batches, read_table, stored
+from logmill.llm.common import map_batches, read_table, remember, stored
 from logmill.sources.shared import shared_folder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 # Ids of a shard (a few ten MB) and of a block; a longer document has a block of its own.
 SHARD_IDS, BLOCK_IDS = 8_000_000, 1 << 20
-# Remembered chunks per Python worker; beyond it the memory starts anew.
-REMEMBERED = 250_000
+# Remembered chunks per Python worker.
+REMEMBERED = 200_000
 # magic, documents, ids, data bytes
 _HEADER = struct.Struct("<8sQQQ")
 _MAGIC = b"LMTOKEN1"
@@ -43,7 +43,7 @@ _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 # Cuts only where the vocabulary's own splitting always cuts: at white space, and between
 # a whole run of letters and a sign or digit.
 _chunks = re.compile(
-    rf" ?[{_LATIN}]+(?=[!-@\[-`{{-~])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
+    rf" ?(?:[{_LATIN}]++(?=[!-@\[-`{{-~])|[^{_SPACE}]++)|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
 ).findall
 
 
@@ -57,6 +57,9 @@ class ChunkEncoder:
         # Added tokens cut a text before anything else does.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        ids = [self.library.encode(t, add_special_tokens=False).ids for t in ("\n", "a\na", "a\n a")]
+        alone = len(ids[0]) == 1 and all(i.count(ids[0][0]) == 1 and len(i) == 3 for i in ids[1:])
+        self.line_end = ids[0][0] if alone else None
 
     @property
     def size(self) -> int:
@@ -66,29 +69,49 @@ class ChunkEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, many in one call: a line end between them always is its own token."""
+        plain = [c for c in chunks if not c.isspace()] if self.line_end is not None else []
+        found: dict[str, bytes] = {}
+        for start in range(0, len(plain), 4096):
+            part = plain[start : start + 4096]
+            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) != len(part) - 1:
+                continue  # someone's own line end: these go one by one
+            data = ids.tobytes()
+            starts = [0, *(4 * (cuts + 1)).tolist()]
+            ends = [*(4 * cuts).tolist(), len(data)]
+            found.update((c, data[a:b]) for c, a, b in zip(part, starts, ends, strict=True))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._library_ids(rest), strict=True))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        rows, gaps, whole, new = [], [], [], {}
+        rows, gaps, whole, new, asked, absent = [], [], [], {}, 0, 0
+        look_up = self.memory.get
         for text in texts:
             if any(token in text for token in self.added):
                 whole.append(len(rows))
                 rows.append([])
                 continue
             chunks = _chunks(text)
-            found = list(map(self.memory.get, chunks))
+            found = list(map(look_up, chunks))
+            asked += len(found)
             if None in found:
                 missing = [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]
+                absent += len(missing)
                 gaps.append((found, missing))
                 new.update((chunk, None) for _, chunk in missing)
             rows.append(found)
-        self.memory.update(zip(new, self._library_ids(list(new)), strict=True))
+        fresh = self._chunk_ids(list(new))
         for found, missing in gaps:
             for k, chunk in missing:
-                found[k] = self.memory[chunk]
+                found[k] = fresh[chunk]
         for row, ids in zip(whole, self._library_ids([texts[r] for r in whole]), strict=True):
             rows[row] = [ids]
+        self.memory = remember(self.memory, fresh, asked, absent, REMEMBERED)
         return [b"".join(found) for found in rows]
 
 
