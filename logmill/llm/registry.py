@@ -4,13 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import ball_tree, class_lm, language_id, sentencepiece_bpe, simhash, token_files, winnowing
+from logmill.llm import ball_tree, class_lm, language_id, sentencepiece_bpe, simhash, token_files, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op4_decontamination": winnowing.op4_decontamination,
+        "op5_warc": warc.op5_warc,
         "op6_ball_tree": ball_tree.op6_ball_tree,
         "op7_sentencepiece": sentencepiece_bpe.op7_sentencepiece,
         "op8_token_files": token_files.op8_token_files,
@@ -20,4 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": winnowing.OP4_SQL, "op6_ball_tree": ball_tree.OP6_SQL}
+    return {
+        "op4_decontamination": winnowing.OP4_SQL,
+        "op5_warc": warc.OP5_SQL,
+        "op6_ball_tree": ball_tree.OP6_SQL,
+    }
