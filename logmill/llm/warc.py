@@ -289,7 +289,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.col("metadata.fields")[name].cast("bigint")
+    return F.col("metadata.fields")[name].try_cast("bigint")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
