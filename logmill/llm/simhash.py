@@ -117,14 +117,8 @@ def _forest(ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _compare(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups of equal (list, low, high) of sorted rows."""
-    names = ("list", "low", "high")
-    keys = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
-    prints = rows.column("print").to_numpy().view(np.uint64)
-    new_group = np.ones(len(prints), bool)
-    new_group[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-    group = np.cumsum(new_group)
+def _compare(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``group`` numbers."""
     first, step, firsts, seconds = np.arange(len(prints)), 1, [], []
     while len(first):
         first = first[first + step < len(prints)]
@@ -143,49 +137,56 @@ def _search(postings: DataFrame, radius: int, limit: int) -> DataFrame:
     """Links within each group of postings (``low`` = -1), and, for groups of more than
     ``limit`` members, their members with their block (``low``)."""
 
-    def links(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        if tables:
-            u, v = _compare(pa.concat_tables(tables), radius)
-            if len(u):
-                yield pa.RecordBatch.from_pydict(
-                    {"u": u.view(np.int64), "v": v.view(np.int64), "low": np.full(len(u), -1, np.int32)}
-                )
-
-    def members(key: tuple, prints: np.ndarray, start: int) -> pa.RecordBatch:
-        block = ((start + np.arange(len(prints))) // BLOCK).astype(np.int32)
-        return pa.RecordBatch.from_pydict(
-            {"u": np.full(len(prints), key[0], np.int64), "v": prints, "low": block}
+    def rows(u: np.ndarray, v: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(u.astype(np.int64)), pa.array(v.view(np.int64)), pa.array(low.astype(np.int32))], ["u", "v", "low"]
         )
 
+    def members(key: int, prints: np.ndarray, start: int) -> pa.RecordBatch:
+        return rows(np.full(len(prints), key), prints, (start + np.arange(len(prints))) // BLOCK)
+
+    def found(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Results of whole groups of at most ``limit`` members."""
+        change = np.ones(len(prints), bool)
+        change[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        u, v = _compare(np.cumsum(change), prints, radius)
+        if len(u):
+            yield rows(u.view(np.int64), v, np.full(len(u), -1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, held = [], 0  # complete small groups, compared together
-        open_key, open_rows, passed = None, [], 0  # the group that the next batch may go on with
+        keys, prints = np.empty((3, 0), np.int64), np.empty(0, np.uint64)
+        long_key, passed = None, 0  # the long list that is being dealt out, and how far
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            columns = [table.column(n).to_numpy() for n in ("list", "low", "high")]
-            change = np.ones(len(table), bool)
-            change[1:] = False
-            for column in columns:
-                change[1:] |= column[1:] != column[:-1]
-            starts = np.flatnonzero(change)
-            ends = np.append(starts[1:], len(table))
-            for start, end in zip(starts, ends, strict=True) if len(starts) else ():
-                key = tuple(int(c[start]) for c in columns)
-                if key != open_key:
-                    whole += open_rows
-                    held += sum(map(len, open_rows))
-                    open_key, open_rows, passed = key, [], 0
-                if passed or sum(map(len, open_rows)) + end - start > limit:
-                    for rows in [*open_rows, table.slice(start, end - start)]:
-                        yield members(key, rows.column("print").to_numpy(), passed)
-                        passed += len(rows)
-                    open_rows = []
-                else:
-                    open_rows.append(table.slice(start, end - start))
-            if held > 1 << 18:
-                yield from links(whole)
-                whole, held = [], 0
-        yield from links(whole + open_rows)
+            new = [batch.column(n).to_numpy().astype(np.int64) for n in ("list", "low", "high")]
+            keys = np.concatenate([keys, new], axis=1)
+            prints = np.concatenate([prints, batch.column("print").to_numpy().view(np.uint64)])
+            if long_key is not None:
+                other = np.flatnonzero((keys != long_key[:, None]).any(axis=0))
+                end = other[0] if len(other) else len(prints)
+                if end:
+                    yield members(int(long_key[0]), prints[:end], passed)
+                    passed += int(end)
+                if not len(other):
+                    keys, prints = keys[:, :0], prints[:0]
+                    continue
+                keys, prints, long_key = keys[:, end:], prints[end:], None
+            if not len(prints):
+                continue
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            sizes = np.diff(np.append(starts, len(prints)))
+            last = starts[-1]  # this group may go on in the next batch
+            for place in np.flatnonzero(sizes[:-1] > limit):
+                start, size = starts[place], sizes[place]
+                yield members(int(keys[0, start]), prints[start : start + size], 0)
+            short = np.repeat(sizes <= limit, sizes)
+            short[last:] = False
+            yield from found(keys[:, short], prints[short])
+            if sizes[-1] > limit:
+                long_key, passed = keys[:, last].copy(), int(sizes[-1])
+                yield members(int(long_key[0]), prints[last:], 0)
+                last = len(prints)
+            keys, prints = keys[:, last:].copy(), prints[last:].copy()
+        yield from found(keys, prints)
 
     spread = postings.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "print")
     return spread.mapInArrow(run, "u bigint, v bigint, low int")
