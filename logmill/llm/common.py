@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows stored with ``number``, one of its own for each, and ``row``, the row itself.
+
+    Written, so that numbers stay what they are wherever the rows are read again.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "numbered")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

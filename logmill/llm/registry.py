@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import ball_tree, class_lm, language_id, link_trust, sentencepiece_bpe, simhash, token_files, warc, winnowing
+from logmill.llm import ball_tree, class_lm, language_id, link_trust, sentencepiece_bpe, simhash, surrogates, token_files, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_surrogates": surrogates.op2_surrogates,
         "op3_link_trust": link_trust.op3_link_trust,
         "op4_decontamination": winnowing.op4_decontamination,
         "op5_warc": warc.op5_warc,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_surrogates": surrogates.op2_surrogates,
         "op3_link_trust": link_trust.op3_link_trust,
         "op4_decontamination": winnowing.OP4_SQL,
         "op5_warc": warc.OP5_SQL,
