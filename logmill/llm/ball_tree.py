@@ -196,7 +196,7 @@ def search_tree(block: Block, tree: dict[str, np.ndarray]) -> None:
         most = points[rows] @ centres[node] + lengths[rows] * tree["radius"][node]
         # Rounding must not cut off a vector on the ball's edge.
         slack = 1e-9 * lengths[rows] * (np.linalg.norm(centres[node]) + tree["radius"][node]) + 1e-6
-        return most + slack
+        return np.maximum(most + slack, float(_LEAST))  # scores end there as well
 
     agenda: list = []
     tie = itertools.count()

@@ -100,10 +100,8 @@ class Vocabulary:
     # Of the words of each shape without a class of their own: tokens and distinct words.
     shape_tokens: np.ndarray
     shape_types: np.ndarray
-
-    @property
-    def exchanged(self) -> int:
-        return min(EXCHANGE_WORDS, len(self.words))
+    # So many of the words have a class of their own.
+    exchanged: int
 
     def units(self) -> np.ndarray:
         """What is counted in pairs, by known word: itself or its shape."""
@@ -135,6 +133,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         sum(row["types"] for row in by_shape),
         shape_tokens,
         shape_types,
+        min(EXCHANGE_WORDS, len(known)),
     )
 
 
@@ -194,8 +193,9 @@ def best_move(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
     after, before = after.copy(), before.copy()
     after[own] -= self_pairs
     before[own] -= self_pairs
-    rows, columns = without.sum(1), without.sum(0)
-    here = np.arange(CLASSES)
+    # Pairs with the word count in their other class's sum wherever the word goes.
+    rows, columns = without.sum(1) + before, without.sum(0) + after
+    here = np.arange(len(matrix) - SHAPES - 1)
     # Joining class b changes row b and column b; their crossing holds both and the pairs
     # of the word with itself.
     total_after, total_before = after.sum() + self_pairs, before.sum() + self_pairs

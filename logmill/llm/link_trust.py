@@ -72,9 +72,9 @@ def _by_rule(rules: list[Rule], value) -> Column:
 
 
 def judged_by_rule(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url") -> DataFrame:
-    """Kept columns, ``host``, ``path``, ``rule`` and ``by_rule``, its verdict."""
-    kept = [c for c in keep if c not in ("host", "path", "rule", "by_rule")]
-    rows = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    """Kept columns as the struct ``kept``, ``host``, ``path``, ``rule`` and ``by_rule``, its verdict."""
+    kept = F.struct(*keep) if keep else F.lit(0)
+    rows = pages.select(kept.alias("kept"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     return rows.withColumn("rule", _by_rule(rules, lambda r: r.name)).withColumn(
         "by_rule", _by_rule(rules, lambda r: r.verdict)
     )
@@ -150,7 +150,7 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
     counts, and they are allowed. NULL and empty texts have no links. Repeated rows stay
     and count as often as they occur. Kept columns named like a result give way to it.
     """
-    results = ("host", "path", "rule", "by_rule", "trust", "distrust", "verdict")
+    results = ("host", "path", "rule", "trust", "distrust", "verdict")
     kept = [c for c in keep if c not in results]
     rows = judged_by_rule(pages, rules, kept, url)
     seeds = (
@@ -166,7 +166,7 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     by_links = F.when(distrust > THRESHOLD * trust, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return met.select(
-        *kept,
+        *[F.col("kept")[c].alias(c) for c in kept],
         "host",
         "path",
         "rule",

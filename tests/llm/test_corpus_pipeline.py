@@ -1,0 +1,78 @@
+import public_tokenizers
+import sentencepiece
+
+import corpus_pipeline as cp
+from conftest import CHECKED
+from logmill.llm import simhash as sh
+from logmill.llm import surrogates as sg
+from logmill.llm.language_id import held_out, predict, train
+from odd import CLASHING, TEXTS, documents, folder
+from test_simhash import plain_components, plain_fingerprint
+from test_winnowing import judged
+
+
+def rows_of(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_stages_on_all_documents(spark):
+    docs = cp.read_table(spark, CHECKED, "documents")
+    model = train(docs.filter(~held_out(docs["doc_id"])))
+    clear = predict(docs, model, docs.columns).filter("lang_pred <> 'und' AND NOT ambiguous").select(*docs.columns)
+    told = cp.stored(cp.language_id(spark, docs, CHECKED), "t")
+    assert rows_of(told) == rows_of(clear) and told.count() > 0.99 * docs.count()
+
+    texts = {r["doc_id"]: r["text"] for r in told.collect()}
+    roots = plain_components(list(texts), [plain_fingerprint(t) for t in texts.values()])
+    single = cp.stored(cp.near_dedup(spark, told, CHECKED), "s")
+    assert {r["doc_id"] for r in single.collect()} == set(roots) and single.columns == docs.columns
+
+    items = [tuple(r) for r in cp.read_table(spark, CHECKED, "benchmark").collect()]
+    want = {i for i in set(roots) if not judged(i, texts[i], items)[-1]}
+    clean = cp.stored(cp.decontaminate(spark, single, CHECKED), "c")
+    assert {r["doc_id"] for r in clean.collect()} == want < set(roots)
+
+    safe = cp.stored(cp.replace_pii(spark, clean, CHECKED), "p")
+    new = {r["doc_id"]: r["text"] for r in sg.replace_entities(clean).collect()}
+    assert {r["doc_id"]: r["text"] for r in safe.collect()} == new and safe.columns == docs.columns
+    assert all(r["n_chars"] == len(r["text"]) for r in safe.collect())
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    last = cp.tokenize(spark, safe, CHECKED).collect()
+    assert {r["doc_id"]: r["ids"] for r in last} == {i: library.encode(t) for i, t in new.items()}
+    assert all(r["round_trip"] for r in last)
+    assert {r["doc_id"] for r in cp.run(spark, CHECKED).collect()} == want
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    docs = documents(spark, clashing=True)
+    where = folder(tmp_path, benchmark=spark.createDataFrame([(1, None), (2, "")], "item_id long, text string"))
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, where)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        ids = [r["doc_id"] for r in rows]
+        if name == "language_id":
+            assert set(ids) <= {1, 5, 6, 7, 8, None}
+        elif name == "near_dedup":
+            assert len(rows) == len({sh.fingerprint(t or "") for _, t, *_ in TEXTS}) and {6, -4, 1, 5} <= set(ids)
+        else:
+            assert len(rows) == len(TEXTS), name
+    assert len(cp.tokenize(spark, docs, where).collect()) == len(TEXTS) and set(CLASHING) <= set(docs.columns)
+
+
+def test_empty_tables(spark, tmp_path):
+    empty = documents(spark, [])
+    where = folder(tmp_path, documents=empty, benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert cp.run(spark, where).collect() == []
+
+
+def test_unlabelled_documents_stay(spark, tmp_path):
+    rows = [(1, "some words", None, None, None), (2, "...", None, None, None), (3, None, None, None, None)]
+    assert [r["doc_id"] for r in cp.language_id(spark, documents(spark, rows), str(tmp_path)).collect()] == [1]
+
+
+def test_surrogates_do_not_depend_on_the_stage_before(spark):
+    rows = [(i, f"mail a{i}.b@x.org", "en", "s", 1) for i in range(5)]
+    whole = {r["doc_id"]: r["text"] for r in cp.replace_pii(spark, documents(spark, rows), "").collect()}
+    assert len(set(whole.values())) == 5 and not any(t in {r[1] for r in rows} for t in whole.values())

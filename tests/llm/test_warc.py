@@ -1,0 +1,140 @@
+import gzip
+import hashlib
+import io
+
+import duckdb
+import pytest
+
+from conftest import CHECKED
+from logmill.llm import files, warc
+from odd import folder
+
+PAGES = "page_id long, url string, html string"
+BIG, EDGE = "x" * 2000 + "é", "y" * 1000
+ROWS = [
+    (1, "http://a/b c", BIG),
+    (2, None, BIG),
+    (3, "http://a/é\r\nWARC-Type: request", BIG),
+    (4, "u", None),
+    (5, "u", "s"),
+    (6, "u", "s"),
+    (7, "http://q", EDGE),
+    (8, "http://q?z", EDGE),
+    (9, "", "z" * 999),
+    (10, "", "z" * 999),
+    (11, "http://long", "\r\n\r\nWARC/1.1\r\n" * 100_000),
+    (12, "http://nul", "\x00\x01" * 700),
+]
+
+
+def expected(rows):
+    found, last = [], {}
+    for page_id, _, html in rows:
+        last[html] = max(page_id, last.get(html, page_id))
+    for page_id, _, html in rows:
+        data = (html or "").encode()
+        again = len(data) >= 1000 and last[html] != page_id
+        kind = "revisit" if again else "response"
+        found.append((page_id, len(data), hashlib.sha1(data).hexdigest(), kind, last[html] if again else None))
+    return sorted(found)
+
+
+def query(spark, tmp_path, rows, clashing=False):
+    pages = spark.createDataFrame(rows, PAGES)
+    if clashing:
+        names = "payload digest original wanted shared record_id type concurrent_to response request metadata root linked"
+        pages = pages.selectExpr("*", *[f"1 AS {n}" for n in names.split()])
+    return [tuple(r) for r in warc.op5_warc(spark, folder(tmp_path, pages=pages)).collect()]
+
+
+def test_odd_rows(spark, tmp_path):
+    assert sorted(query(spark, tmp_path, ROWS, clashing=True)) == expected(ROWS)
+
+
+def test_repeated_and_nameless_rows(spark, tmp_path):
+    rows = [*ROWS[:3], ROWS[0], (None, "n", BIG), (None, "n", "s")]
+    got = sorted(query(spark, tmp_path, rows), key=str)
+    nameless = [r for r in got if r[0] is None]
+    assert [r for r in got if r[0] is not None] == expected(ROWS[:3])
+    assert sorted((r[3], r[4]) for r in nameless if r[4]) == [("revisit", 3)] and len(nameless) == 2
+
+
+def test_empty_table(spark, tmp_path):
+    assert query(spark, tmp_path, []) == []
+
+
+def test_query_matches_its_sql(spark):
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW pages AS SELECT * FROM '{CHECKED}/pages.parquet'")
+    want = database.execute(warc.OP5_SQL).fetchall()
+    assert sorted(map(tuple, warc.op5_warc(spark, CHECKED).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.fixture
+def archives(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, PAGES).coalesce(1)
+    return warc.write_archives(warc.with_originals(pages), f"file://{tmp_path}")
+
+
+def test_archives_are_plain_warc(archives):
+    data = b"".join(gzip.decompress(files.read_bytes(r["path"])) for r in archives.collect())
+    stream, count = io.BytesIO(data), 0
+    while line := stream.readline():
+        assert line == b"WARC/1.1\r\n"
+        headers = {}
+        while (line := stream.readline()) != b"\r\n":
+            key, _, value = line.decode().partition(": ")
+            assert key not in headers
+            headers[key] = value.strip()
+        block = stream.read(int(headers["Content-Length"]))
+        assert headers["WARC-Block-Digest"] == f"sha1:{hashlib.sha1(block).hexdigest()}"
+        assert stream.read(4) == b"\r\n\r\n"
+        count += 1
+    assert count == 3 * len(ROWS)
+
+
+def test_captures_are_nested(archives):
+    captures = warc.assemble(warc.read_records(archives)).collect()
+    assert len(captures) == len(ROWS)
+    by_page = {r["metadata"]["fields"]["pageId"]: r for r in captures}
+    for page_id, url, html in ROWS:
+        row = by_page[str(page_id)]
+        assert row["request"]["concurrent_to"] == row["metadata"]["concurrent_to"] == [row["capture_id"]]
+        assert row["response"]["target_uri"] == (None if url is None else warc.one_line(url)) and row["others"] == 0
+        if row["response"]["type"] == "response":
+            assert bytes(row["response"]["payload"]) == (html or "").encode()
+        else:
+            assert row["response"]["payload"] is None and row["response"]["refers_to"] in {r["capture_id"] for r in captures}
+
+
+def records(spark, *rows):
+    full = [
+        (i, kind, None, names, None, None, None, b"p" if kind == "response" else None, None) for i, kind, names in rows
+    ]
+    return spark.createDataFrame(full, warc.RECORD)
+
+
+def test_links_over_another_record_and_broken_ones(spark):
+    found = warc.assemble(
+        records(
+            spark,
+            ("r1", "response", []),
+            ("r1", "response", []),
+            ("q1", "request", ["r1"]),
+            ("m1", "metadata", ["q1"]),
+            ("m2", "metadata", ["r1"]),
+            ("r2", "response", None),
+            ("q9", "request", ["gone"]),
+            ("w", "warcinfo", []),
+        )
+    )
+    got = {r["capture_id"]: r for r in found.collect()}
+    assert got.keys() == {"r1", "r2"}
+    assert (got["r1"]["request"]["record_id"], got["r1"]["metadata"]["record_id"], got["r1"]["others"]) == ("q1", "m1", 1)
+    assert got["r2"]["request"] is None and got["r2"]["metadata"] is None
+
+
+def test_cut_archive_is_an_error(tmp_path):
+    data = warc.record({"WARC-Type": "response"}, b"x" * 100)
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(io.BytesIO(data[:-9])))
