@@ -114,9 +114,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From ``word_counts``; what comes to the driver is bounded by ``KNOWN_WORDS``."""
+    """From ``word_counts``. The known words are all of the counts that ``KNOWN_WORDS`` has
+    room for, words of equal counts in or out together.
+
+    To the driver come those words, and how many words each count has: as many rows as
+    there are different counts, fewer than the root of twice the tokens.
+    """
     words = counts.filter(F.col("shape") < SHAPES)
-    known = words.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
+    least, room = None, KNOWN_WORDS
+    for row in sorted(words.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
+        room -= row["types"]
+        if room < 0:
+            break
+        least = row["n"]
+    known = [] if least is None else words.filter(F.col("n") >= least).collect()
+    known.sort(key=lambda row: (-row["n"], row["word"]))
     shape_tokens, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     for row in by_shape:
