@@ -2,7 +2,7 @@
 
 import argparse
 
-from logmill.functions.clock import today
+from logmill.functions.clock import as_day, today
 from logmill.operators import serving
 from logmill.plans.batch import analyze
 from logmill.session import build_session
@@ -20,14 +20,14 @@ from logmill.streaming.rollup import update_rollup
 
 
 def _batch(spark, args):
-    analysis = analyze(spark, args.path, args.store)
-    analysis.parsed.printSchema()
-    analysis.parsed.show(5)
-    for title, report in analysis.reports.items():
-        print(title)
-        report.show(truncate=False)
-    print("malformed lines")
-    analysis.malformed.groupBy("reason").count().show()
+    with analyze(spark, args.path, args.store) as analysis:
+        analysis.parsed.printSchema()
+        analysis.parsed.show(5)
+        for title, report in analysis.reports.items():
+            print(title)
+            report.show(truncate=False)
+        print("malformed lines")
+        analysis.malformed.groupBy("reason").count().show()
 
 
 def _topic(spark, args):
@@ -61,13 +61,13 @@ def _rollup(spark, args):
     await_streams(
         update_rollup(
             _topic(spark, args), f"{args.out}/minutes", f"{args.out}/checkpoints/minutes",
-            args.delay, _trigger(args), args.zone,
+            _trigger(args), args.zone,
         )
     )
 
 
 def _day(spark, args):
-    day = args.day or today(args.zone)
+    day = as_day(args.day) if args.day else today(args.zone)
     facts = read_facts(spark, args.facts, day)
     if facts.isEmpty():
         print("No data available for the day")
@@ -116,16 +116,14 @@ def parser() -> argparse.ArgumentParser:
         stream.add_argument("--out", required=True, help="folder for tables and checkpoints")
         stream.add_argument("--starting-offsets", default="latest")
         stream.add_argument("--batch-records", help="most records per micro-batch")
-        stream.add_argument("--every", default="10 seconds")
+        stream.add_argument("--every", default="1 minute")
         stream.add_argument("--zone", default="UTC")
-        if name == "rollup":
-            stream.add_argument("--delay", default="1 hour", help="how late records may arrive")
-        else:
+        if name == "stream":
             stream.add_argument("--console", action="store_true", help="also show each batch")
 
     day = command("day", _day, "per-minute figures of one day")
     day.add_argument("facts")
-    day.add_argument("--day", help="yyyy-mm-dd, default today")
+    day.add_argument("--day", help="yyyy-mm-dd or yyyymmdd, default today")
     day.add_argument("--zone", default="UTC")
     day.add_argument("--json", action="store_true")
 

@@ -46,6 +46,13 @@ def today(zone: str = "UTC") -> date:
     return datetime.now(ZoneInfo(zone)).date()
 
 
+def as_day(day: str | date) -> date:
+    """A date, the date of a datetime, ``yyyy-mm-dd`` or ``yyyymmdd``."""
+    if isinstance(day, str):
+        return date.fromisoformat(day)
+    return day.date() if isinstance(day, datetime) else day
+
+
 def parse_log_time(text: Column) -> Column:
     """Instant of a log line's time; NULL where the text is not one."""
     return F.try_to_timestamp(text, F.lit(LOG_TIME_FORMAT))

@@ -18,21 +18,48 @@ def content_size_stats(parsed: DataFrame) -> DataFrame:
     )
 
 
+def code_summary(parsed: DataFrame) -> DataFrame:
+    """Per code, what the whole-log figures are made of: a row per code, from one pass."""
+    size = F.col("response_bytes")
+    return parsed.groupBy("response_code").agg(
+        F.count("*").alias("total_count"),
+        F.sum(size).alias("sum_bytes"),
+        F.count(size).alias("sized"),
+        F.min(size).alias("min_bytes"),
+        F.max(size).alias("max_bytes"),
+    )
+
+
+def content_size_of(summary: DataFrame) -> DataFrame:
+    """``content_size_stats`` from ``code_summary``."""
+    return summary.agg(
+        F.expr("sum(sum_bytes) div nullif(sum(sized), 0)").alias("avg_bytes"),
+        F.min("min_bytes").alias("min_bytes"),
+        F.max("max_bytes").alias("max_bytes"),
+    )
+
+
 def response_code_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("response_code").agg(F.count("*").alias("total_count"))
 
 
 def top_response_codes(parsed: DataFrame, k: int = 10) -> DataFrame:
-    return (
-        response_code_counts(parsed)
-        .orderBy(F.desc("total_count"), F.asc("response_code"))
-        .limit(k)
-    )
+    return top_codes_of(response_code_counts(parsed), k)
+
+
+def top_codes_of(counts: DataFrame, k: int = 10) -> DataFrame:
+    """The most frequent codes, from counts or a summary per code."""
+    rows = counts.select("response_code", "total_count")
+    return rows.orderBy(F.desc("total_count"), F.asc("response_code")).limit(k)
 
 
 def response_code_totals(parsed: DataFrame) -> DataFrame:
     """Number of different codes and of requests, from the per-code counts."""
-    return response_code_counts(parsed).agg(
+    return code_totals_of(response_code_counts(parsed))
+
+
+def code_totals_of(counts: DataFrame) -> DataFrame:
+    return counts.agg(
         F.count("response_code").alias("distinct_codes"),
         F.coalesce(F.sum("total_count"), F.lit(0)).alias("total_requests"),
     )
@@ -43,11 +70,11 @@ def _requests_per(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def top_user_agents(parsed: DataFrame, k: int = 5) -> DataFrame:
-    return (
-        _requests_per(parsed, "user_agent")
-        .orderBy(F.desc("total_requests"), F.asc("user_agent"))
-        .limit(k)
-    )
+    return top_agents_of(_requests_per(parsed, "user_agent"), k)
+
+
+def top_agents_of(counts: DataFrame, k: int = 5) -> DataFrame:
+    return counts.orderBy(F.desc("total_requests"), F.asc("user_agent")).limit(k)
 
 
 def requests_per_user_agent(parsed: DataFrame) -> DataFrame:

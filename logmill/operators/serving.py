@@ -4,7 +4,7 @@
 code that a stream keeps (:func:`logmill.streaming.rollup.read_rollup`), which answer
 the same questions from a few thousand rows a day.
 
-``day`` is a date or ``yyyy-mm-dd``; the default is today in ``zone``. The day is a
+``day`` is a date, a datetime, ``yyyy-mm-dd`` or ``yyyymmdd``; the default is today in ``zone``. The day is a
 filter on the partition column, so only that day's files are read. Each figure is
 limited to the latest ``k`` groups.
 """
@@ -14,13 +14,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.functions.clock import today
+from logmill.functions.clock import as_day, today
 
 
 def _day(day: str | date | None, zone: str) -> Column:
-    if isinstance(day, str):
-        day = date.fromisoformat(day)
-    return F.lit(day or today(zone))
+    return F.lit(today(zone) if day is None else as_day(day))
 
 
 def day_rows(facts: DataFrame, day: str | date | None = None, zone: str = "UTC") -> DataFrame:

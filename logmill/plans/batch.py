@@ -1,6 +1,6 @@
 """The statistics of a log file or folder, from one parse."""
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -11,32 +11,55 @@ from logmill.schema import LINE_FIELDS, ddl
 from logmill.sources.lines import read_text_lines
 
 
-@dataclass
 class LogAnalysis:
-    """Lazy reports; each is computed when shown, written or collected."""
+    """Lazy reports; each is computed when shown, written or collected.
 
-    parsed: DataFrame
-    malformed: DataFrame
+    Reports on codes share one pass over the rows, those on agents another: the counts
+    they start from are kept. ``close``, or leaving a ``with`` block, releases all that
+    is kept.
+    """
+
+    def __init__(self, parsed: DataFrame, malformed: DataFrame, kept: DataFrame | None = None):
+        self.parsed = parsed
+        self.malformed = malformed
+        self._kept = [] if kept is None else [kept]
+
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        self._kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return rows
 
-    @property
+    @cached_property
     def reports(self) -> dict[str, DataFrame]:
+        codes = self._keep(reports.code_summary(self.parsed))
+        agents = self._keep(reports.requests_per_user_agent(self.parsed))
         return {
-            "content size": reports.content_size_stats(self.parsed),
-            "top response codes": reports.top_response_codes(self.parsed),
-            "response codes": reports.response_code_totals(self.parsed),
-            "top user agents": reports.top_user_agents(self.parsed),
-            "requests per user agent": reports.requests_per_user_agent(self.parsed),
+            "content size": reports.content_size_of(codes),
+            "top response codes": reports.top_codes_of(codes),
+            "response codes": reports.code_totals_of(codes),
+            "top user agents": reports.top_agents_of(agents),
+            "requests per user agent": agents,
             "requests per timestamp": reports.requests_per_timestamp(self.parsed),
             "requests per address": reports.requests_per_ip(self.parsed),
         }
 
+    def close(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> "LogAnalysis":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
 
 def analyze(spark: SparkSession, path: str | list[str], store: str | None = None) -> LogAnalysis:
     """Parse ``path`` once and register the good rows as view ``logs``.
 
     With ``store``, good and malformed lines are written there as Parquet, in one pass
     over the text, and every report reads only the columns it names: the way for logs
-    larger than memory. Without, the parsed rows are kept by the executors.
+    larger than memory. Without, the parsed rows are kept by the executors until the
+    analysis is closed.
     """
     judged = parse_lines(read_text_lines(spark, path), mode=PERMISSIVE)
     if store is None:
@@ -51,4 +74,4 @@ def analyze(spark: SparkSession, path: str | list[str], store: str | None = None
         return LogAnalysis(parsed, stored.where("is_malformed").select("raw", "reason"))
     parsed = good_rows(judged)
     parsed.createOrReplaceTempView("logs")
-    return LogAnalysis(parsed, malformed_rows(judged))
+    return LogAnalysis(parsed, malformed_rows(judged), judged)

@@ -19,9 +19,8 @@ from logmill.operators.parse import DROPMALFORMED, PERMISSIVE, malformed_rows, p
 from logmill.schema import ENRICHED_FIELDS, LINE_FIELDS, ddl
 from logmill.sources.events import read_event_lines, read_event_records, stream_event_records
 from logmill.sources.lines import decode_records, records
-from logmill.sources.shared import shared_folder
-from logmill.sources.synthetic import synthetic_lines
-from logmill.sources.tables import read_facts, read_quarantine, write_facts
+from logmill.sources.shared import remove_folder, shared_folder
+from logmill.sources.tables import make_table, read_facts, read_quarantine, write_facts
 from logmill.streaming.pipelines import (
     DRAIN,
     append_to_parquet,
@@ -29,12 +28,11 @@ from logmill.streaming.pipelines import (
     fact_writer,
     fan_out,
     quarantine_writer,
+    read_appended,
 )
 from logmill.streaming.rollup import read_rollup, update_rollup
 
 DAY = "2024-01-05"
-# Longer than the events' whole time range: no order of files makes a row late.
-ROLLUP_DELAY = "60 days"
 
 _EVENT_ID = {"event_id": "bigint"}
 
@@ -116,9 +114,23 @@ def enriched_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(_facts(spark, sf_dir))
 
 
+# The folder of each query's last run: (application, query, table folder) -> folder.
+_last: dict[tuple[str, str, str], str] = {}
+
+
+def _own_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A new folder for a query's tables. That of its last run on the same input goes,
+    so a result must be used before the query is made again."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key in _last:
+        remove_folder(spark, _last[key])
+    _last[key] = shared_folder(spark, name)
+    return _last[key]
+
+
 def partition_day_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the enriched rows by date, then read one date back."""
-    table = shared_folder(spark, "facts")
+    table = _own_folder(spark, "facts", sf_dir)
     write_facts(_facts(spark, sf_dir), table, load_id="events")
     stored = read_facts(spark, table, DAY, _EVENT_ID)
     rows = serving.day_rows(stored, DAY).select("event_id", "process_date", "response_code")
@@ -130,21 +142,20 @@ def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "append")
+    folder = _own_folder(spark, "append", sf_dir)
     query = append_to_parquet(
         _stored_stream(spark, sf_dir), f"{folder}/facts", f"{folder}/checkpoint", DRAIN
     )
     await_streams(query)
-    schema = ddl(_EVENT_ID, ENRICHED_FIELDS)
-    return _zone_free(spark.read.schema(schema).parquet(f"{folder}/facts"))
+    return _zone_free(read_appended(spark, f"{folder}/facts", extra=_EVENT_ID))
 
 
 def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "fan-out")
+    folder = _own_folder(spark, "fan-out", sf_dir)
     query = fan_out(
         _stored_stream(spark, sf_dir),
-        [fact_writer(f"{folder}/facts")],
-        [quarantine_writer(f"{folder}/quarantine")],
+        [fact_writer(make_table(spark, f"{folder}/facts"))],
+        [quarantine_writer(make_table(spark, f"{folder}/quarantine"))],
         f"{folder}/checkpoint",
         DRAIN,
     )
@@ -157,10 +168,10 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "rollup")
+    folder = _own_folder(spark, "rollup", sf_dir)
     query = update_rollup(
-        _stored_stream(spark, sf_dir), f"{folder}/minutes", f"{folder}/checkpoint",
-        ROLLUP_DELAY, DRAIN,
+        _stored_stream(spark, sf_dir), make_table(spark, f"{folder}/minutes"),
+        f"{folder}/checkpoint", DRAIN,
     )
     await_streams(query)
     return read_rollup(spark, f"{folder}/minutes").select(
@@ -168,12 +179,6 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def synth_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic line per event."""
-    keys = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    return synthetic_lines(keys, "event_id")
-
-
 def _over_logs_view(statement: str, field: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _parsed(spark, sf_dir, field).createOrReplaceTempView("logs")
@@ -227,5 +232,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_parse_append": stream_parse_append,
         "stream_foreach_batch": stream_foreach_batch,
         "stream_minute_rollup": stream_minute_rollup,
-        "synth_access_log": synth_access_log,
     }

@@ -68,43 +68,6 @@ _REQUESTS_BY_MINUTE = f"""
   FROM facts WHERE process_date = {_DAY}
   GROUP BY process_timestamp ORDER BY process_timestamp DESC LIMIT 10"""
 
-# What a synthetic line is made of.
-_SYNTHETIC = """
-WITH draws AS (
-  SELECT event_id,
-    CAST('0x' || substr(h, 1, 13) AS BIGINT) AS d0, CAST('0x' || substr(h, 14, 13) AS BIGINT) AS d1,
-    CAST('0x' || substr(h, 27, 13) AS BIGINT) AS d2, CAST('0x' || substr(h, 40, 13) AS BIGINT) AS d3
-  FROM (SELECT event_id, sha256('42:' || CAST(event_id AS VARCHAR)) AS h FROM events)),
-picks AS (
-  SELECT event_id,
-    ['GET', 'POST', 'PUT', 'DELETE'][d0 % 4 + 1] AS method,
-    ['/usr', '/usr/admin', '/usr/admin/developer', '/usr/login', '/usr/register'][d0 // 4 % 5 + 1] AS endpoint,
-    ['303', '404', '500', '403', '502', '304', '200'][d0 // 20 % 7 + 1] AS code,
-    ['-', 'https://www.example.com/search/main.html'][d0 // 140 % 2 + 1] AS referrer,
-    ['Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:84.0) Gecko/20100101 Firefox/84.0',
-     'Mozilla/5.0 (Android 10; Mobile; rv:84.0) Gecko/84.0 Firefox/84.0',
-     'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/87.0.4280.141 Safari/537.36',
-     'Mozilla/5.0 (Linux; Android 10; ONEPLUS A6000) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/87.0.4280.141 Mobile Safari/537.36',
-     'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/89.0.4380.0 Safari/537.36 Edg/89.0.759.0',
-     'Mozilla/5.0 (Linux; Android 10; ONEPLUS A6000) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/77.0.3865.116 Mobile Safari/537.36 EdgA/45.12.4.5121',
-     'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/87.0.4280.88 Safari/537.36 OPR/73.0.3856.329',
-     'Mozilla/5.0 (Linux; Android 10; ONEPLUS A6000) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/86.0.4240.198 Mobile Safari/537.36 OPR/61.2.3076.56749',
-     'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_9_3) AppleWebKit/537.75.14 (KHTML, like Gecko) Version/7.0.3 Safari/7046A194A',
-     'Mozilla/5.0 (iPhone; CPU iPhone OS 12_4_9 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/12.1.2 Mobile/15E148 Safari/604.1'
-    ][d0 // 280 % 10 + 1] AS agent,
-    d0 // 2800 % 5000 + 1 AS ms,
-    d1 % 100 AS host,
-    TIMESTAMP '2015-01-01 12:00:00' + to_seconds(d1 // 100 % 10000
-      * date_diff('second', TIMESTAMP '2015-01-01 12:00:00', TIMESTAMP '2053-01-01 12:00:00') // 10000) AS moment,
-    CAST(trunc(5000 + 50 * (sqrt(-2 * ln((d2 + 1) / pow(16, 13))) * cos(2 * pi() * (d3 / pow(16, 13)))))
-      AS BIGINT) AS size
-  FROM draws)
-SELECT event_id, concat(
-  host * 37 % 223 + 1, '.', (host * 91 + 17) % 256, '.', (host * 53 + 101) % 256, '.', host * 29 % 254 + 1,
-  ' - - [', strftime(moment, '%d/%b/%Y:%H:%M:%S'), ' +0530] "', method, ' ', endpoint,
-  ' HTTP/1.0" ', code, ' ', size, ' "', referrer, '" "', agent, '" ', ms) AS line
-FROM picks"""
-
 
 def oracle_sql() -> dict[str, str]:
     enriched_log = f"{_OF_FACTS} SELECT * FROM facts"
@@ -175,5 +138,4 @@ def oracle_sql() -> dict[str, str]:
             SELECT date_trunc('minute', ts) AS minute, response_code, count(*) AS total_count,
               CAST(sum(response_bytes) AS BIGINT) AS output_bytes
             FROM parsed GROUP BY 1, 2""",
-        "synth_access_log": _SYNTHETIC,
     }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logmill.functions.clock import instant_of
 from logmill.sources.lines import encode_records
 from logmill.sources.synthetic import log_time
+from logmill.sources.tables import exists, is_folder
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -64,5 +65,11 @@ def read_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_event_records(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
-    source = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-    return event_records(source.options(**options).parquet(sf_dir))
+    """All records of the table as a stream, whether it is one file or a folder of files."""
+    table = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(EVENTS_SCHEMA).options(**options)
+    if is_folder(spark, table):
+        return event_records(source.parquet(table))
+    if not exists(spark, table):
+        raise FileNotFoundError(f"no table to stream: {table}")
+    return event_records(source.option("pathGlobFilter", "events.parquet").parquet(sf_dir))

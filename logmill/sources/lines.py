@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from logmill.functions.codec import decode_json_scalar, encode_json_scalar, payload_reason
 
@@ -57,12 +58,41 @@ def encode_records(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.withColumn("payload", encoded).drop(line)
 
 
+def _messages(lines: DataFrame, line: str) -> DataFrame:
+    payload = encode_records(lines.select(line), line)
+    return payload.select(F.col("payload").cast("binary").alias("value"))
+
+
+def _publish_options(brokers: str, topic: str, options: dict[str, str]) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": brokers, "topic": topic, **PUBLISH_OPTIONS, **options}
+
+
 def publish(lines: DataFrame, brokers: str, topic: str, line: str = "value", **options: str) -> None:
     """Write every line to a topic, in parallel, as one batch. Needs the connector."""
-    (
-        encode_records(lines.select(line), line)
-        .select(F.col("payload").cast("binary").alias("value"))
-        .write.format("kafka")
-        .options(**{"kafka.bootstrap.servers": brokers, "topic": topic, **PUBLISH_OPTIONS, **options})
-        .save()
+    writer = _messages(lines, line).write.format("kafka")
+    writer.options(**_publish_options(brokers, topic, options)).save()
+
+
+def publish_stream(
+    lines: DataFrame,
+    brokers: str,
+    topic: str,
+    checkpoint: str,
+    line: str = "value",
+    trigger: dict | None = None,
+    connector: str = "kafka",
+    **options: str,
+) -> StreamingQuery:
+    """Send the lines of a stream to a topic as they come; each at least once.
+
+    ``connector`` names another sink that takes a ``value`` column.
+    """
+    return (
+        _messages(lines, line)
+        .writeStream.format(connector)
+        .outputMode("append")
+        .options(**_publish_options(brokers, topic, options))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
     )

@@ -1,16 +1,16 @@
 """Partitioned Parquet tables: enriched rows and quarantined lines.
 
 Layout: ``process_date=/load_id=/batch_id=`` (no date for the quarantine). The date
-comes first so that a day's query reads one folder. Load and batch make a rewrite
-of the same batch replace exactly its own files.
+comes first so that a day's query reads one folder. A rewrite of a batch of a load
+replaces all rows that it wrote before, and no others.
 """
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logmill.functions.clock import as_day
 from logmill.schema import ENRICHED_FIELDS, LOAD_FIELDS, QUARANTINE_FIELDS, ddl
 
 _LOAD = list(LOAD_FIELDS)
@@ -36,7 +36,14 @@ def write_load(
     partition: list[str] | None = None,
     cluster: bool = False,
 ) -> None:
-    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat."""
+    """Store ``rows`` as batch ``batch_id`` of ``load_id``; safe to repeat.
+
+    Dates that the new rows touch are replaced by the write, those that only an earlier
+    run touched are removed after it: between the two, readers find old or new rows of a
+    date, never none. A run that fails there is put right by the next.
+    """
+    spark = rows.sparkSession
+    before = _files_of_batch(spark, path, load_id, batch_id, partition or [])
     if cluster:
         rows = gather(rows, partition or [])
     (
@@ -47,6 +54,49 @@ def write_load(
         .partitionBy(*(partition or []), *_LOAD)
         .parquet(path)
     )
+    if before:
+        after = _files_of_batch(spark, path, load_id, batch_id, partition or [])
+        fs = _file_system(spark, path)
+        for folder, files in before.items():
+            # A folder that was written anew has other files.
+            if files & after.get(folder, set()):
+                fs.delete(_hadoop_path(spark, folder), True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(_hadoop_path(spark, path))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path), _hadoop_path(spark, path)
+    return fs.exists(place) and fs.getFileStatus(place).isDirectory()
+
+
+def make_table(spark: SparkSession, path: str) -> str:
+    """An empty table, if there is none: what a stream that finds no input leaves."""
+    _file_system(spark, path).mkdirs(_hadoop_path(spark, path))
+    return path
+
+
+def _files_of_batch(
+    spark: SparkSession, path: str, load_id: str, batch_id: int, partition: list[str]
+) -> dict[str, set[str]]:
+    """Names of a batch's files by folder. Looks for one folder in each partition value."""
+    pattern = "/".join([path, *(f"{name}=*" for name in partition), f"load_id={load_id}", f"batch_id={batch_id}", "*"])
+    found: dict[str, set[str]] = {}
+    for status in _file_system(spark, path).globStatus(_hadoop_path(spark, pattern)) or []:
+        file = status.getPath()
+        if file.getName().startswith("part-"):
+            found.setdefault(file.getParent().toString(), set()).add(file.getName())
+    return found
 
 
 def write_facts(
@@ -64,17 +114,16 @@ def read_by_date(
 
     With ``day``, only that date's folder is listed: a table that streams have written
     for years has far more folders than one day's query should touch. A day without a
-    folder has no rows. The schema is declared, so no file is opened to infer it.
+    folder has no rows; a table that does not exist is an error either way. The schema is
+    declared, so no file is opened to infer it.
     """
     reader = spark.read.schema(schema)
-    if day is None:
+    if day is None or not exists(spark, path):
         return reader.parquet(path)
-    try:
-        return reader.option("basePath", path).parquet(f"{path}/process_date={day}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    folder = f"{path}/process_date={as_day(day)}"
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
+    return reader.option("basePath", path).parquet(folder)
 
 
 def read_facts(

@@ -2,7 +2,8 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
@@ -14,27 +15,39 @@ from logmill.operators.parse import (
     malformed_rows,
     parse_lines,
 )
+from logmill.schema import ENRICHED_FIELDS, ddl
 from logmill.sources.lines import decode_records
 from logmill.sources.tables import gather, write_facts, write_load
 
-# Fixed value: how often a live view is refreshed.
+# Fixed value: how often a live view is refreshed. Every trigger leaves files in a table,
+# so tables are written less often.
 REFRESH = {"processingTime": "10 seconds"}
+STORE = {"processingTime": "1 minute"}
 DRAIN = {"availableNow": True}
 
 Writer = Callable[[DataFrame, str, int], None]
 
+_APPENDED = ["is_malformed", "process_date"]
 
-def judge_records(recs: DataFrame) -> DataFrame:
-    """Decode and parse records; every record is kept, with ``raw`` and ``reason``."""
+
+def judge_records(
+    recs: DataFrame, fields: list[str] | None = None, mode: str = PERMISSIVE
+) -> DataFrame:
+    """Decode and parse records. ``PERMISSIVE`` keeps every record, with ``raw`` and ``reason``."""
     return parse_lines(
-        decode_records(recs), mode=PERMISSIVE, payload_reason="payload_reason", payload="payload"
+        decode_records(recs), fields=fields, mode=mode,
+        payload_reason="payload_reason", payload="payload",
     )
 
 
-def parse_records(recs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Decode and parse records; only those that parse are kept."""
+def parse_records(
+    recs: DataFrame, fields: list[str] | None = None, mode: str = DROPMALFORMED
+) -> DataFrame:
+    """Decode and parse records; only those that parse are kept, or the first bad one raises."""
+    if mode == PERMISSIVE:
+        raise ValueError("bad records are kept by judge_records")
     decoded = decode_records(recs).drop("payload", "payload_reason")
-    return parse_lines(decoded, fields=fields, mode=DROPMALFORMED)
+    return parse_lines(decoded, fields=fields, mode=mode)
 
 
 def fact_writer(path: str, cluster: bool = True) -> Writer:
@@ -77,27 +90,45 @@ def load_of(batch: DataFrame) -> str:
 
 def append_to_parquet(
     recs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, zone: str = "UTC",
-    cluster: bool = True,
+    cluster: bool = True, mode: str = PERMISSIVE,
 ) -> StreamingQuery:
-    """Good rows to a date-partitioned file sink, exactly once.
+    """Records to a file sink, exactly once, by ``is_malformed`` and date.
 
-    ``cluster`` gathers each batch's rows by date; Spark plans streams without state
-    adaptively from 4.1 on, so pass False on older versions.
+    Good and bad records go through one sink and one checkpoint, so none is lost and
+    nothing is renamed; read them with :func:`read_appended`. ``DROPMALFORMED`` leaves
+    bad records out, ``FAILFAST`` stops at the first. ``cluster`` gathers each batch's
+    rows by date; Spark plans streams without state adaptively from 4.1 on, so pass
+    False on older versions.
     """
-    rows = enrich(parse_records(recs), zone=zone)
+    if mode == PERMISSIVE:
+        judged = judge_records(recs)
+    else:
+        judged = parse_records(recs, mode=mode)
+        judged = judged.selectExpr("*", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS reason")
+    rows = enrich(judged, zone=zone).withColumn("is_malformed", F.col("reason").isNotNull())
     if cluster:
-        rows = gather(rows, ["process_date"])
+        rows = gather(rows, _APPENDED)
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("process_date")
-        .trigger(**(trigger or REFRESH))
+        .partitionBy(*_APPENDED)
+        .trigger(**(trigger or STORE))
         .start()
     )
 
 
+def read_appended(
+    spark: SparkSession, path: str, malformed: bool = False, extra: dict[str, str] | None = None
+) -> DataFrame:
+    """What :func:`append_to_parquet` has stored: good rows, or bad records with ``raw`` and ``reason``."""
+    why = {"raw": "string", "reason": "string"}
+    stored = spark.read.schema(ddl(extra or {}, why, ENRICHED_FIELDS, {"is_malformed": "boolean"})).parquet(path)
+    columns = [*(extra or {}), *(["process_timestamp", "raw", "reason"] if malformed else ENRICHED_FIELDS)]
+    return stored.where(F.col("is_malformed") == F.lit(malformed)).select(*columns)
+
+
 def fan_out(
     recs: DataFrame,
     facts: list[Writer],
@@ -105,10 +136,11 @@ def fan_out(
     checkpoint: str,
     trigger: dict | None = None,
     zone: str = "UTC",
+    fields: list[str] | None = None,
 ) -> StreamingQuery:
     """One read and one parse per micro-batch, several tables.
 
-    A batch may run again after a failure. Writers get the query's id and the batch
+    ``fields`` limits what is parsed to some line fields. A batch may run again after a failure. Writers get the query's id and the batch
     number, so a table can replace instead of repeat.
     """
 
@@ -124,11 +156,11 @@ def fan_out(
             batch.unpersist()
 
     return (
-        judge_records(recs)
+        judge_records(recs, fields)
         .writeStream.foreachBatch(write)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or REFRESH))
+        .trigger(**(trigger or STORE))
         .start()
     )
 

@@ -1,4 +1,8 @@
-"""Requests and bytes per minute and response code, kept up to date by a stream."""
+"""Requests and bytes per minute and response code, kept up to date by a stream.
+
+Counts and sums add up, so a stream needs no state for them: each micro-batch stores the
+counts of its own rows, and reading adds the batches. However late a row is, it counts.
+"""
 
 from datetime import date
 
@@ -7,9 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logmill.functions.clock import minute_label, wall_clock
+from logmill.operators.parse import DROPMALFORMED, FAILFAST
 from logmill.schema import LOAD_FIELDS, ddl
-from logmill.sources.tables import read_by_date, write_load
-from logmill.streaming.pipelines import REFRESH, load_of, parse_records
+from logmill.sources.tables import gather, read_by_date, write_load
+from logmill.streaming.pipelines import (
+    STORE,
+    Writer,
+    fan_out,
+    parse_records,
+    quarantine_writer,
+)
 
 ROLLUP_FIELDS = {
     "minute": "timestamp_ntz",
@@ -18,15 +29,44 @@ ROLLUP_FIELDS = {
     "output_bytes": "bigint",
     "process_date": "date",
 }
+_PARSED = ["response_code", "response_bytes"]
+
+
+def rollup_writer(path: str) -> Writer:
+    """Counts of a batch's rows per minute and code; a repeated batch replaces its own."""
+
+    def write(rows: DataFrame, load_id: str, batch_id: int) -> None:
+        minute = F.concat("process_timestamp", F.lit(":00")).cast("timestamp_ntz")
+        counted = rows.groupBy("process_date", minute.alias("minute"), "response_code").agg(
+            F.count("*").alias("total_count"), F.sum("response_bytes").alias("output_bytes")
+        )
+        write_load(counted.select(*ROLLUP_FIELDS), path, load_id, batch_id, ["process_date"], cluster=True)
+
+    return write
 
 
-def minute_rollup(recs: DataFrame, delay: str, zone: str = "UTC") -> DataFrame:
+def update_rollup(
+    recs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, zone: str = "UTC",
+    quarantine: str | None = None,
+) -> StreamingQuery:
+    """Add every batch's counts to the table; read it with :func:`read_rollup`.
+
+    Bad records are kept, with their reason, in the table ``quarantine``, by default next
+    to the rollup.
+    """
+    bad = quarantine_writer(quarantine or f"{path.rstrip('/')}_quarantine")
+    return fan_out(recs, [rollup_writer(path)], [bad], checkpoint, trigger, zone, _PARSED)
+
+
+def minute_rollup(
+    recs: DataFrame, delay: str, zone: str = "UTC", mode: str = DROPMALFORMED
+) -> DataFrame:
     """Tumbling one-minute windows on record time; ``minute`` is wall clock in ``zone``.
 
-    ``delay`` must exceed how far records arrive out of order. State is one row per
-    open (minute, code); records are combined within each task before the shuffle.
+    A stream closes a window once records are ``delay`` newer, and leaves out what comes
+    later; see :func:`dropped_rows`. State is one row per open (minute, code).
     """
-    parsed = parse_records(recs, ["response_code", "response_bytes"])
+    parsed = parse_records(recs, _PARSED, mode)
     counted = (
         parsed.withWatermark("process_timestamp", delay)
         .groupBy(F.window("process_timestamp", "1 minute"), "response_code")
@@ -36,65 +76,52 @@ def minute_rollup(recs: DataFrame, delay: str, zone: str = "UTC") -> DataFrame:
         )
     )
     minute = wall_clock(F.col("window.start"), zone)
-    figures = counted.select(
+    return counted.select(
         minute.alias("minute"),
         "response_code",
         "total_count",
         "output_bytes",
         minute.cast("date").alias("process_date"),
     )
-    # A date has at most 1,440 minutes per code, whatever the traffic: one task, and
-    # one file per batch, instead of a sliver from every state partition.
-    return figures.repartition("process_date")
-
-
-def update_rollup(
-    recs: DataFrame, path: str, checkpoint: str, delay: str,
-    trigger: dict | None = None, zone: str = "UTC",
-) -> StreamingQuery:
-    """Write the windows each batch changed. Read with :func:`read_rollup`."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_load(batch, path, load_of(batch), batch_id, ["process_date"])
-
-    return (
-        minute_rollup(recs, delay, zone)
-        .writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or REFRESH))
-        .start()
-    )
 
 
 def append_rollup(
     recs: DataFrame, path: str, checkpoint: str, delay: str,
-    trigger: dict | None = None, zone: str = "UTC",
+    trigger: dict | None = None, zone: str = "UTC", mode: str = FAILFAST,
 ) -> StreamingQuery:
-    """Write each window once, after the watermark has passed it."""
+    """Write each window once, after the watermark has passed it.
+
+    For sinks that cannot add up: rows later than ``delay`` are left out and counted by
+    :func:`dropped_rows`, and a bad record stops the stream. ``update_rollup`` loses neither.
+    """
     return (
-        minute_rollup(recs, delay, zone)
+        gather(minute_rollup(recs, delay, zone, mode), ["process_date"])
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .partitionBy("process_date")
-        .trigger(**(trigger or REFRESH))
+        .trigger(**(trigger or STORE))
         .start()
     )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark, over the query's recent progress."""
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+
+
 def read_rollup(
     spark: SparkSession, path: str, day: str | date | None = None
 ) -> DataFrame:
-    """Current figures of an updated rollup: the newest version of each window."""
-    versions = read_by_date(spark, path, ddl(ROLLUP_FIELDS, LOAD_FIELDS), day)
-    figures = F.struct("total_count", "output_bytes")
-    newest = versions.groupBy("load_id", "process_date", "minute", "response_code").agg(
-        F.max_by(figures, F.col("batch_id")).alias("figures")
-    )
-    current = newest.groupBy("process_date", "minute", "response_code").agg(
-        F.sum("figures.total_count").alias("total_count"),
-        F.sum("figures.output_bytes").alias("output_bytes"),
+    """Current figures of an updated rollup: the sums over all batches."""
+    counted = read_by_date(spark, path, ddl(ROLLUP_FIELDS, LOAD_FIELDS), day)
+    current = counted.groupBy("process_date", "minute", "response_code").agg(
+        F.sum("total_count").alias("total_count"),
+        F.sum("output_bytes").alias("output_bytes"),
     )
     return current.withColumn("process_timestamp", minute_label(F.col("minute")))

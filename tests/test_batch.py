@@ -5,7 +5,8 @@ import pytest
 from logmill.__main__ import main, parser
 from logmill.operators.enrich import enrich
 from logmill.operators.parse import DROPMALFORMED, parse_lines
-from logmill.plans.batch import analyze
+from logmill.operators import reports
+from logmill.plans.batch import LogAnalysis, analyze
 from logmill.sources.events import read_event_lines
 from logmill.sources.tables import write_facts
 
@@ -51,9 +52,38 @@ def test_command_line(spark, log, tmp_path, capsys):
     write_facts(enrich(good), facts, "a")
     main(["day", facts, "--day", "2024-01-05", "--json"])
     assert '{"process_timestamp":"2024-01-05 ' in capsys.readouterr().out
+    main(["day", facts, "--day", "20240105"])
+    assert "No data" not in capsys.readouterr().out
     main(["day", facts])
     assert "No data available for the day" in capsys.readouterr().out
     main(["synth", str(tmp_path / "made"), "--lines", "50"])
     assert parse_lines(spark.read.text(str(tmp_path / "made")), mode=DROPMALFORMED).count() == 50
     args = parser().parse_args(["rollup", "--brokers", "b:1", "--topic", "t", "--out", "o"])
-    assert (args.starting_offsets, args.delay, args.every) == ("latest", "1 hour", "10 seconds")
+    assert (args.starting_offsets, args.every) == ("latest", "1 minute")
+
+
+def test_a_closed_analysis_keeps_nothing(spark, log):
+    def kept():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    spark.catalog.clearCache()
+    before = kept()
+    with analyze(spark, log) as analysis:
+        for report in analysis.reports.values():
+            report.collect()
+        assert kept() > before
+    assert kept() == before
+
+
+def test_shared_counts_give_the_same_reports(spark, log):
+    with analyze(spark, log) as analysis:
+        for name, report in (
+            ("content size", reports.content_size_stats),
+            ("top response codes", reports.top_response_codes),
+            ("response codes", reports.response_code_totals),
+            ("top user agents", reports.top_user_agents),
+        ):
+            assert analysis.reports[name].collect() == report(analysis.parsed).collect()
+        empty = LogAnalysis(analysis.parsed.limit(0), analysis.malformed)
+        assert empty.reports["content size"].collect() == [(None, None, None)]
+        assert empty.reports["response codes"].collect() == [(0, 0)]

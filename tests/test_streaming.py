@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from logmill.functions.clock import instant_of
 from logmill.operators import serving
 from logmill.operators.enrich import enrich
-from logmill.operators.parse import DROPMALFORMED, parse_lines
-from logmill.sources.events import read_event_lines
+from logmill.operators.parse import DROPMALFORMED, FAILFAST, parse_lines
+from logmill.sources.events import read_event_lines, stream_event_records
 from logmill.sources.lines import records
 from logmill.sources.tables import read_facts, read_quarantine
 from logmill.streaming.pipelines import (
@@ -23,9 +23,18 @@ from logmill.streaming.pipelines import (
     load_of,
     parse_records,
     quarantine_writer,
+    read_appended,
     to_console,
 )
-from logmill.streaming.rollup import append_rollup, minute_rollup, read_rollup, update_rollup
+from logmill.plans import catalog
+from logmill.streaming.rollup import (
+    append_rollup,
+    dropped_rows,
+    minute_rollup,
+    read_rollup,
+    rollup_writer,
+    update_rollup,
+)
 
 from conftest import SMALL, VALID
 
@@ -67,11 +76,26 @@ def test_append_to_parquet_and_restart(spark, topic, tmp_path):
     put((0, payload()), (1, payload(404)), (2, "{bad"), (24 * 60, payload(500)))
     for expected in (3, 3):  # the second run finds nothing new
         await_streams(append_to_parquet(stream(), out, checkpoint, DRAIN))
-        assert spark.read.parquet(out).count() == expected
-    put((3, payload()))
+        assert read_appended(spark, out).count() == expected
+    put((3, payload()), (4, None))
     await_streams(append_to_parquet(stream(), out, checkpoint, DRAIN))
-    rows = spark.read.parquet(out)
+    rows = read_appended(spark, out)
     assert Counter(str(r.process_date) for r in rows.collect()) == {"2024-01-05": 3, "2024-01-06": 1}
+    bad = read_appended(spark, out, malformed=True).collect()
+    assert Counter((r.process_timestamp, r.raw, r.reason) for r in bad) == {
+        ("2024-01-05 10:02", "{bad", "bad_json"): 1,
+        ("2024-01-05 10:04", None, "null_payload"): 1,
+    }
+
+
+def test_append_modes(spark, topic, tmp_path):
+    put, stream = topic
+    put((0, payload()), (2, "{bad"))
+    out = str(tmp_path / "dropped")
+    await_streams(append_to_parquet(stream(), out, str(tmp_path / "cp1"), DRAIN, mode=DROPMALFORMED))
+    assert read_appended(spark, out).count() == 1 and read_appended(spark, out, malformed=True).count() == 0
+    with pytest.raises(Exception, match="Invalid log line"):
+        await_streams(append_to_parquet(stream(), str(tmp_path / "f"), str(tmp_path / "cp2"), DRAIN, mode=FAILFAST))
 
 
 @pytest.mark.parametrize(("cluster", "files"), [(True, 2), (False, 10)])
@@ -90,7 +114,7 @@ def test_files_per_batch_of_the_append_sink(spark, topic, tmp_path, cluster, fil
         )
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert spark.read.parquet(str(out)).count() == 10
+    assert read_appended(spark, str(out)).count() == 10
     assert len(list(out.rglob("*.parquet"))) == files
 
 
@@ -209,28 +233,59 @@ def by_minute(rows):
     return {(str(r.minute)[11:16], r.response_code): (r.total_count, r.output_bytes) for r in rows}
 
 
-def test_update_rollup_counts_rows_that_arrive_within_the_delay(spark, topic, tmp_path):
+def test_update_rollup_counts_every_row_however_late(spark, topic, tmp_path):
     put, stream = topic
-    out = str(tmp_path / "minutes")
+    out, far = str(tmp_path / "minutes"), 150 * 24 * 60
+    put((far, payload(size=4)))
     put((0, payload(size=1)), (0, payload(size=2)), (1, payload(404, 3)))
-    put((5, payload(size=4)))
-    put((0, payload(size=8)), (5, "{bad"))  # five minutes late
-    await_streams(update_rollup(stream(), out, str(tmp_path / "cp"), "10 minutes", DRAIN))
-    assert by_minute(read_rollup(spark, out).collect()) == {
-        ("10:00", 200): (3, 11), ("10:01", 404): (1, 3), ("10:05", 200): (1, 4),
-    }
+    put((far + 31, payload(size=4)), (5, "{bad"))
+    put((0, payload(size=8)))
+    for _ in range(2):
+        await_streams(update_rollup(stream(), out, str(tmp_path / "cp"), DRAIN))
+        got = read_rollup(spark, out).collect()
+        assert by_minute(r for r in got if r.minute < START + timedelta(days=1)) == {
+            ("10:00", 200): (3, 11), ("10:01", 404): (1, 3),
+        }
+        assert sum(r.total_count for r in got) == 6
+    assert [r.reason for r in read_quarantine(spark, f"{out}_quarantine").collect()] == ["bad_json"]
 
 
-def test_update_rollup_leaves_out_rows_later_than_the_delay(spark, topic, tmp_path):
+def test_update_rollup_batch_that_fails_is_not_doubled(spark, topic, tmp_path):
     put, stream = topic
-    out = str(tmp_path / "minutes")
+    out, checkpoint = str(tmp_path / "minutes"), str(tmp_path / "cp")
     put((0, payload(size=1)))
-    put((30, payload(size=4)))
-    put((31, payload(size=4)))
+    put((0, payload(size=2)))
+    failures = [1]
+
+    def fail_once(rows, load_id, batch_id):
+        if batch_id == 1 and failures:
+            failures.pop()
+            raise RuntimeError("sink is down")
+
+    def run():
+        return fan_out(stream(), [rollup_writer(out), fail_once], [], checkpoint, DRAIN)
+
+    with pytest.raises(Exception, match="sink is down"):
+        await_streams(run())
+    await_streams(run())
+    assert by_minute(read_rollup(spark, out).collect()) == {("10:00", 200): (2, 3)}
+
+
+def test_append_rollup_reports_rows_it_leaves_out(spark, topic, tmp_path):
+    put, stream = topic
+    for minute in (0, 30, 31):
+        put((minute, payload(size=4)))
     put((0, payload(size=8)))
-    await_streams(update_rollup(stream(), out, str(tmp_path / "cp"), "1 minute", DRAIN))
-    got = by_minute(read_rollup(spark, out).collect())
-    assert got[("10:00", 200)] == (1, 1) and len(got) == 3
+    query = append_rollup(stream(), str(tmp_path / "m"), str(tmp_path / "cp"), "1 minute", DRAIN)
+    await_streams(query)
+    assert dropped_rows(query) == 1
+
+
+def test_append_rollup_stops_at_a_bad_record(topic, tmp_path):
+    put, stream = topic
+    put((0, "{bad"))
+    with pytest.raises(Exception, match="Invalid log line"):
+        await_streams(append_rollup(stream(), str(tmp_path / "m"), str(tmp_path / "cp"), "1 minute", DRAIN))
 
 
 def test_append_rollup_emits_closed_windows_once(spark, topic, tmp_path):
@@ -253,7 +308,7 @@ def test_day_figures_from_rollup_equal_those_from_facts(spark, topic, tmp_path):
     facts, minutes = str(tmp_path / "facts"), str(tmp_path / "minutes")
     await_streams(
         fan_out(stream(), [fact_writer(facts)], [], str(tmp_path / "cp1"), DRAIN),
-        update_rollup(stream(), minutes, str(tmp_path / "cp2"), "2 days", DRAIN),
+        update_rollup(stream(), minutes, str(tmp_path / "cp2"), DRAIN),
     )
     figures = (
         serving.response_codes_by_minute, serving.output_bytes_by_minute,
@@ -285,3 +340,34 @@ def test_rollup_of_stored_records_as_a_batch(spark, session_zone, session):
     ).collect()
     got = {(str(r[0])[:16], r[1]): (r[2], r[3]) for r in rolled.collect()}
     assert got == {(r[0], r[1]): (r[2], r[3]) for r in want} and len(got) > 900
+
+
+def of_query(spark, name, folder):
+    return Counter(map(str, catalog.queries()[name](spark, folder).collect()))
+
+
+@pytest.mark.parametrize("name", ["stream_parse_append", "stream_foreach_batch", "stream_minute_rollup"])
+def test_streams_read_folder_tables_whole(spark, tmp_path, name):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = of_query(spark, name, str(tmp_path))
+    assert got == of_query(spark, name, SMALL) and got
+
+
+def test_stream_of_a_folder_in_many_batches(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    recs = records(stream_event_records(spark, str(tmp_path), maxFilesPerTrigger="1"), keep=["event_id"])
+    out = str(tmp_path / "minutes")
+    await_streams(update_rollup(recs, out, str(tmp_path / "cp"), DRAIN))
+    got = Counter(str((r.minute, r.response_code, r.total_count, r.output_bytes)) for r in read_rollup(spark, out).collect())
+    want = catalog.queries()["stream_minute_rollup"](spark, SMALL).collect()
+    assert got == Counter(str(tuple(r)) for r in want)
+
+
+@pytest.mark.parametrize("name", ["stream_parse_append", "stream_foreach_batch", "stream_minute_rollup"])
+def test_streams_of_an_empty_and_of_no_table(spark, tmp_path, name):
+    with pytest.raises(FileNotFoundError, match="events.parquet"):
+        catalog.queries()[name](spark, str(tmp_path))
+    spark.read.parquet(f"{SMALL}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.queries()[name](spark, str(tmp_path)).collect() == []

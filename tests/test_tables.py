@@ -1,11 +1,26 @@
 from collections import Counter
+from datetime import date, datetime
+from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from logmill.sources import shared
-from logmill.sources.lines import PUBLISH_OPTIONS, read_text_lines, topic_options
-from logmill.sources.tables import read_facts, read_quarantine, write_facts, write_load
+from logmill.operators.serving import day_rows
+from logmill.plans import catalog
+from logmill.schema import QUARANTINE_FIELDS, ddl
+from logmill.sources import shared, tables
+from logmill.sources.lines import (
+    PUBLISH_OPTIONS,
+    decode_records,
+    publish_stream,
+    read_text_lines,
+    records,
+    topic_options,
+)
+from logmill.sources.tables import exists, read_facts, read_quarantine, write_facts, write_load
+
+from conftest import SMALL
 
 from test_serving import COLUMNS, DAY, ROWS, fact
 
@@ -111,15 +126,119 @@ def test_topic_options():
 
 
 class FakeSession:
-    def __init__(self, master, folder=None):
-        self.sparkContext = type("Context", (), {"master": master})
-        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder)})
-
-
-def test_shared_folder_comes_from_the_session():
-    folder = shared.shared_folder(FakeSession("spark://host:7077", "hdfs://x/checkpoints/"), "t")
-    assert folder.startswith("hdfs://x/checkpoints/t-")
-    assert folder != shared.shared_folder(FakeSession("spark://host:7077", "hdfs://x/checkpoints/"), "t")
-    assert "logmill-" in shared.shared_folder(FakeSession("local[4]"), "t")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_folder(FakeSession("spark://host:7077"), "t")
+    def __init__(self, master, folder=None, mount=None):
+        settings = {"spark.checkpoint.dir": folder, "spark.logmill.sharedMount": mount}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"{master}{folder}"})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, other: settings.get(key) or other)})
+
+
+def test_shared_folder_comes_from_the_session(monkeypatch):
+    made = []
+    monkeypatch.setattr(shared, "_make_for_session", lambda session, folder: made.append(folder))
+    far = FakeSession("spark://host:7077", "hdfs://x/checkpoints/")
+    folder = shared.shared_folder(far, "t")
+    assert folder.startswith("hdfs://x/checkpoints/logmill-") and "/t-" in folder
+    assert folder != shared.shared_folder(far, "t")
+    assert shared.shared_folder(FakeSession("local[4]"), "t").startswith("file:///")
+    assert len(made) == 2  # one folder per session
+    for master, base in (("spark://host:7077", None), ("yarn", "file:/tmp/x"), ("yarn", "/tmp/x")):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_folder(FakeSession(master, base), "t")
+    assert shared.shared_folder(FakeSession("yarn", "/mnt/x", "true"), "t").startswith("/mnt/x/")
+
+
+def test_shared_folders_can_be_removed(spark, tmp_path):
+    folder = shared.shared_folder(spark, "t")
+    spark.range(3).write.parquet(folder)
+    assert exists(spark, folder)
+    shared.remove_folder(spark, folder)
+    assert not exists(spark, folder)
+    with pytest.raises(ValueError, match="not a folder"):
+        shared.remove_folder(spark, str(tmp_path))
+
+
+def test_rewrite_with_fewer_dates_leaves_only_its_rows(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = spark.createDataFrame(ROWS, COLUMNS)
+    dates = sorted({str(r[13]) for r in ROWS})
+    assert len(dates) > 1
+    write_facts(rows, path, "a", 0)
+    write_facts(rows, path, "a", 1)
+    fewer = rows.where(F.col("process_date") == dates[0])
+    write_facts(fewer, path, "a", 0)
+    assert read_facts(spark, path).count() == len(ROWS) + fewer.count()
+    write_facts(rows.limit(0), path, "a", 0)
+    assert read_facts(spark, path).count() == len(ROWS)
+    write_facts(rows, path, "a", 0)
+    assert read_facts(spark, path).count() == 2 * len(ROWS)
+
+
+def test_rewrite_of_a_quarantine_without_rows(spark, tmp_path):
+    path = str(tmp_path / "bad")
+    rows = spark.createDataFrame([(None, "x", "no_match")], ddl(QUARANTINE_FIELDS))
+    write_load(rows, path, "a", 0)
+    write_load(rows, path, "a", 10)
+    write_load(rows.limit(0), path, "a", 0)
+    assert read_quarantine(spark, path).count() == 1
+
+
+def test_a_rewrite_that_fails_before_its_end_is_put_right_by_the_next(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "facts")
+    rows = spark.createDataFrame(ROWS, COLUMNS)
+    fewer = rows.where(F.col("process_date") == DAY)
+    write_facts(rows, path, "a", 0)
+    found, calls = tables._files_of_batch, []
+
+    def fail_after_the_write(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return found(*args)
+
+    monkeypatch.setattr(tables, "_files_of_batch", fail_after_the_write)
+    with pytest.raises(RuntimeError, match="lost"):
+        write_facts(fewer, path, "a", 0)
+    monkeypatch.setattr(tables, "_files_of_batch", found)
+    write_facts(fewer, path, "a", 0)
+    assert read_facts(spark, path).count() == fewer.count()
+
+
+def test_a_missing_table_is_an_error_and_a_missing_day_is_not(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    for day in (None, DAY):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            read_facts(spark, path, day)
+    write_facts(spark.createDataFrame(ROWS, COLUMNS), path, "a")
+    assert read_facts(spark, path, "1999-01-01").count() == 0
+    day = date.fromisoformat(str(DAY))
+    spellings = (day, datetime(day.year, day.month, day.day, 7, 5), day.isoformat(), day.strftime("%Y%m%d"))
+    counts = {read_facts(spark, path, d).count() for d in spellings}
+    counts |= {day_rows(read_facts(spark, path), d).count() for d in spellings}
+    assert len(counts) == 1 and counts.pop() > 0
+    with pytest.raises(ValueError):
+        read_facts(spark, path, "yesterday")
+
+
+@pytest.mark.parametrize("name", ["partition_day_scan", "stream_foreach_batch"])
+def test_queries_that_write_leave_one_folder(spark, name):
+    def size():
+        made = [f.removeprefix("file://") for f in shared._folders.values()]
+        return sum(len(list(Path(folder).iterdir())) for folder in made if Path(folder).exists())
+
+    catalog.queries()[name](spark, SMALL).collect()
+    before = size()
+    catalog.queries()[name](spark, SMALL).collect()
+    assert size() == before
+
+
+def test_lines_are_published_as_they_come(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text('one "1"\ntwo\n')
+    lines = spark.readStream.text(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for _ in range(2):  # the second run finds nothing new
+        query = publish_stream(lines, "b:1", "logs", checkpoint, trigger={"availableNow": True}, connector="parquet", path=out)
+        query.awaitTermination()
+    sent = spark.read.parquet(out).selectExpr("timestamp_millis(0) AS timestamp", "value")
+    decoded = [r.value for r in decode_records(records(sent)).collect()]
+    assert sorted(decoded) == ['one "1"\n', "two\n"]
