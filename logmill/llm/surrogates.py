@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from logmill.llm.common import read_table, stored
 
 KEY = "logmill"
-# Draws again, at most; so many clashes mean that a kind has more entities than surrogates.
-ATTEMPTS = 50
+# From this attempt on, the form gives way to distinctness: where texts hold (nearly) all
+# entities of a form, no other one is left. Draws, at most.
+WIDER, ATTEMPTS = 10, 50
 
 # Titles before names, by the gender they tell.
 MALE = ["Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"]
@@ -120,16 +121,17 @@ def _phone(canon: Column, hash_: Column) -> Column:
     return F.concat(code, F.lit(":"), _digits(hash_, F.length(rest)))
 
 
-def _ip(hash_: Column) -> Column:
-    """An address of the block that is reserved and never routed."""
-    first = (_number(hash_, 0) % 15 + 240).cast("string")
-    return F.concat_ws(".", first, *[_number(hash_, k).cast("string") for k in (1, 2, 3)])
+def _ip(hash_: Column, wider: Column) -> Column:
+    """An address of the block that is reserved and never routed, or of any."""
+    first = F.when(wider, _number(hash_, 0)).otherwise(_number(hash_, 0) % 15 + 240)
+    return F.concat_ws(".", *[n.cast("string") for n in (first, *[_number(hash_, k) for k in (1, 2, 3)])])
 
 
-def _email(canon: Column, hash_: Column) -> Column:
+def _email(canon: Column, hash_: Column, wider: Column) -> Column:
+    more = F.when(wider, F.translate(F.substr(hash_, F.lit(41), F.lit(12)), "0123456789", _LOWER[6:16])).otherwise("")
     domain = F.substring_index(canon, ".", -1)
     body = F.substr(canon, F.lit(1), F.length(canon) - F.length(domain) - 1)
-    return F.concat(_like(body, hash_), F.lit("."), domain)
+    return F.concat(more, _like(body, hash_), F.lit("."), domain)
 
 
 def _script(word: Column) -> Column:
@@ -140,8 +142,8 @@ def _script(word: Column) -> Column:
     )
 
 
-def _name(kind: Column, canon: Column, hash_: Column) -> Column:
-    """Three open syllables and the ending of the script and gender."""
+def _name(kind: Column, canon: Column, hash_: Column, wider: Column) -> Column:
+    """Open syllables and the ending of the script and gender."""
     found = F.lit(None).cast("string")
     for script, onsets in _ONSETS.items():
         syllable = lambda k, onsets=onsets, script=script: F.concat(
@@ -151,22 +153,23 @@ def _name(kind: Column, canon: Column, hash_: Column) -> Column:
         ending = F.lit("")
         for role, letter in _ENDINGS[script].items():
             ending = F.when(kind == role, F.lit(letter)).otherwise(ending)
-        name = F.concat(*[syllable(k) for k in range(4)], ending)
+        more = F.when(wider, F.concat(*[syllable(k) for k in range(4, 8)])).otherwise("")
+        name = F.concat(*[syllable(k) for k in range(4)], more, ending)
         found = F.when(_script(canon) == script, name).otherwise(found)
     return found
 
 
-def surrogate(kind: Column, canon: Column, hash_: Column) -> Column:
+def surrogate(kind: Column, canon: Column, hash_: Column, wider: Column) -> Column:
     """The canonical form of the surrogate of an entity of that kind."""
     return (
-        F.when(kind == "email", _email(canon, hash_))
+        F.when(kind == "email", _email(canon, hash_, wider))
         .when(kind == "secret", _secret(canon, hash_))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), _like(F.substr(canon, F.lit(3)), hash_)))
-        .when(kind == "ip", _ip(hash_))
+        .when(kind == "ip", _ip(hash_, wider))
         .when(kind == "phone", _phone(canon, hash_))
         .when(kind == "ssn", _digits(hash_, F.lit(9)))
         .when(kind == "card", _card(canon, hash_))
-        .otherwise(_name(kind, canon, hash_))
+        .otherwise(_name(kind, canon, hash_, wider))
     )
 
 
@@ -174,7 +177,8 @@ def _draw(units: DataFrame, key: str) -> DataFrame:
     """``units`` with ``new``, the surrogate of the unit's attempt."""
     told = F.concat_ws("\x01", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))
     hashed = stored(units.withColumn("hash", F.sha2(told, 256)), "hashed")
-    return stored(hashed.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("hash"))).drop("hash"), "drawn")
+    new = surrogate(F.col("kind"), F.col("canon"), F.col("hash"), F.col("attempt") >= WIDER)
+    return stored(hashed.withColumn("new", new).drop("hash"), "drawn")
 
 
 def _secret(canon: Column, hash_: Column) -> Column:

@@ -62,11 +62,18 @@ def test_key_decides(spark):
 
 
 def test_few_surrogates_are_drawn_until_they_differ(spark):
-    # Twelve of the 26 addresses of this form: first draws clash with each other and with
-    # addresses of the texts.
+    # Addresses of few letters: first draws clash with each other and with the texts'.
     old = [f"{c}@x.org" for c in "abcdefghijkl"]
     new, _ = replaced(spark, *old)
-    assert len({n.split("@")[0] for n in new} | set()) <= 26 and len(set(new)) == 12 and not set(new) & set(old)
+    assert len(set(new)) == 12 and not set(new) & set(old)
+
+
+def test_a_form_that_is_used_up_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(sg, "WIDER", 1)
+    old = [f"{a}@{b}.org" for a in range(10) for b in range(10)] + [f"Mr {c}" for c in ("Li", "Bo")]
+    new, _ = replaced(spark, *old)
+    assert len(set(new)) == len(old) and not set(new) & set(old)
+    assert all(re.fullmatch(r"[a-z]{12}\d@\d\.org", n) for n in new[:100])
 
 
 def test_odd_rows(spark, tmp_path):
