@@ -1,11 +1,13 @@
-"""Command line: ``python -m logmill batch|stream|rollup|day|publish|synth``."""
+"""Command line: ``python -m logmill batch|stream|rollup|day|compact|publish|synth``."""
 
 import argparse
 
 from logmill.functions.clock import as_day, today
 from logmill.operators import serving
 from logmill.plans.batch import analyze
+from logmill.schema import ENRICHED_FIELDS
 from logmill.session import build_session
+from logmill.sources.compact import compact
 from logmill.sources.lines import publish, read_text_lines, read_topic, records
 from logmill.sources.synthetic import synthetic_log
 from logmill.sources.tables import read_facts
@@ -16,7 +18,7 @@ from logmill.streaming.pipelines import (
     fan_out,
     quarantine_writer,
 )
-from logmill.streaming.rollup import update_rollup
+from logmill.streaming.rollup import ROLLUP_FIELDS, update_rollup
 
 
 def _batch(spark, args):
@@ -85,6 +87,10 @@ def _day(spark, args):
         rows.show(truncate=False)
 
 
+def _compact(spark, args):
+    compact(spark, args.table, args.day, ROLLUP_FIELDS if args.rollup else ENRICHED_FIELDS)
+
+
 def _publish(spark, args):
     publish(read_text_lines(spark, args.path), args.brokers, args.topic)
 
@@ -127,6 +133,11 @@ def parser() -> argparse.ArgumentParser:
     day.add_argument("--zone", default="UTC")
     day.add_argument("--json", action="store_true")
 
+    merge = command("compact", _compact, "merge the batches of a closed day")
+    merge.add_argument("table")
+    merge.add_argument("--day", required=True, help="yyyy-mm-dd or yyyymmdd")
+    merge.add_argument("--rollup", action="store_true", help="the table is a minute rollup")
+
     sender = command("publish", _publish, "send the lines of a log file to a topic")
     sender.add_argument("path")
     sender.add_argument("--brokers", required=True)

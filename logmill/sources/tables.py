@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions.clock import as_day
 from logmill.schema import ENRICHED_FIELDS, LOAD_FIELDS, QUARANTINE_FIELDS, ddl
+from logmill.sources.compact import compact, merged_days, require_settled
 
 _LOAD = list(LOAD_FIELDS)
 
@@ -40,9 +41,14 @@ def write_load(
 
     Dates that the new rows touch are replaced by the write, those that only an earlier
     run touched are removed after it: between the two, readers find old or new rows of a
-    date, never none. A run that fails there is put right by the next.
+    date, never none. A run that fails there is put right by the next. Where an earlier
+    run's rows are in a merged day, they are taken out of it first.
     """
     spark = rows.sparkSession
+    if partition:
+        for day in merged_days(spark, path, load_id, batch_id):
+            fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+            compact(spark, path, day, fields, without=(load_id, batch_id))
     before = _files_of_batch(spark, path, load_id, batch_id, partition or [])
     if cluster:
         rows = gather(rows, partition or [])
@@ -118,6 +124,7 @@ def read_by_date(
     declared, so no file is opened to infer it.
     """
     reader = spark.read.schema(schema)
+    require_settled(spark, path, None if day is None else as_day(day))
     if day is None or not exists(spark, path):
         return reader.parquet(path)
     folder = f"{path}/process_date={as_day(day)}"
