@@ -31,7 +31,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 # Ids of a shard (a few ten MB) and of a block; a longer document has a block of its own.
 SHARD_IDS, BLOCK_IDS = 8_000_000, 1 << 20
 # Remembered chunks per Python worker.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 # magic, documents, ids, data bytes
 _HEADER = struct.Struct("<8sQQQ")
 _MAGIC = b"LMTOKEN1"
@@ -41,9 +41,9 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters of the Latin blocks, a part of all letters.
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 # Cuts only where the vocabulary's own splitting always cuts: at white space, and between
-# a whole run of letters and a sign or digit.
+# a whole run of letters and an ASCII sign or digit.
 _chunks = re.compile(
-    rf" ?(?:[{_LATIN}]++(?=[!-@\[-`{{-~])|[^{_SPACE}]++)|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
+    rf" ?[{_LATIN}]++(?![^\x00-\x7f])| ?[^{_SPACE}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
 ).findall
 
 
@@ -75,7 +75,8 @@ class ChunkEncoder:
         found: dict[str, bytes] = {}
         for start in range(0, len(plain), 4096):
             part = plain[start : start + 4096]
-            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            (joined,) = self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)
+            ids = np.array(joined.ids, "<u4")
             cuts = np.flatnonzero(ids == self.line_end)
             if len(cuts) != len(part) - 1:
                 continue  # someone's own line end: these go one by one
