@@ -24,7 +24,7 @@ from logmill.llm.common import crc_fold, map_batches, read_table
 
 FOLDS, HELD_OUT = 4, 2
 # Labelled rows that a model is fitted on, at most.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
 # Languages up to this many get every split into two as a bit; more get random codewords.
@@ -124,7 +124,8 @@ def fit(rows: np.ndarray, labels: list[str]) -> LanguageModel:
     weight = (1.0 / np.bincount(place, minlength=len(languages)))[place] / len(languages)
     target = code[place]
     centre, goal = weight @ rows, weight @ target
-    scaled = (rows - centre) * np.sqrt(weight)[:, None]
+    scaled = rows - centre
+    scaled *= np.sqrt(weight)[:, None]
     # Rows are fewer than buckets, so solve among the rows.
     gram = scaled @ scaled.T + RIDGE * np.eye(len(rows)) / len(rows)
     weights = scaled.T @ np.linalg.solve(gram, (target - goal) * np.sqrt(weight)[:, None])
@@ -161,14 +162,14 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return pa.RecordBatch.from_arrays(columns, ["lang", "draw", "grams"])
 
     told = map_batches(drawn.select("lang", "text", "draw"), run, "lang string, draw bigint, grams binary")
-    taken: dict[str, list] = {}
-    for row in told.orderBy("draw", "grams").limit(2 * SAMPLE_ROWS).collect():
-        kept = taken.setdefault(row["lang"], [])
-        if len(kept) < quota:
-            kept.append(row)
-    chosen = [row for kept in taken.values() for row in kept]
-    grams = np.frombuffer(b"".join(row["grams"] for row in chosen), np.float32)
-    return fit(grams.reshape(-1, BUCKETS), [row["lang"] for row in chosen])
+    told = told.orderBy("draw", "grams").limit(2 * SAMPLE_ROWS)
+    labels: list[str] = []
+    grams = np.empty((SAMPLE_ROWS, BUCKETS), np.float32)
+    for row in told.toLocalIterator():
+        if labels.count(row["lang"]) < quota and len(labels) < SAMPLE_ROWS:
+            grams[len(labels)] = np.frombuffer(row["grams"], np.float32)
+            labels.append(row["lang"])
+    return fit(grams[: len(labels)], labels)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
