@@ -10,6 +10,7 @@ trust; hosts that neither reaches are allowed.
 Built-in expressions, joins and grouping only; ranks are tables, written each round.
 """
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +18,15 @@ from pyspark.sql import functions as F
 
 from logmill.llm.common import lower_ascii, read_table, stored
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 1.0
-# Share of all mass that may still move when the rounds end.
+DAMPING, THRESHOLD = 0.85, 1.0
+# Rounds at most; None, the default, has no bound: rounds end when ranks have settled.
+ROUNDS: int | None = None
+# Hops of one round; ranks are written and compared once a round.
+STEPS = 4
+# Share of its own rank by which any host may still grow when the rounds end.
 SETTLED = 1e-6
+# A rank this small still tells that a host is reached; products of shares below it are 0.
+LEAST_RANK = 2.0**-1022
 # Rules are part of the expression; a list beyond this should be a table of hosts.
 MOST_RULES = 1000
 ALLOW, BLOCK = "allow", "block"
@@ -103,43 +110,42 @@ def _flows(links: DataFrame) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """``host``, ``trust``, ``distrust`` of every host that either reaches.
 
     ``seeds`` has ``kind`` (allow or block), ``host`` and ``mass``. What flows into hosts
-    without links of their own goes back to the seeds. Rounds end when less than
-    ``SETTLED`` of all mass moves. Without links, the seeds keep their mass; without
-    seeds, the result is empty.
+    without links of their own goes back to the seeds: ranks are added up from flows that
+    start with the seeds' mass, then scaled to it. They only grow; rounds end when no host
+    is reached anew and none grows by more than ``SETTLED`` of itself, however many rounds
+    that takes (and after ``rounds``, if given). Without links, the seeds keep their mass;
+    without seeds, the result is empty.
     """
     seeds = stored(seeds, "seeds")
     flows = stored(_flows(links), "flows")
     masses = {r["kind"]: r["mass"] for r in seeds.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
-    total = F.lit(None).cast("double")
-    for kind, mass in masses.items():
-        total = F.when(F.col("kind") == kind, F.lit(float(mass))).otherwise(total)
-    seeds = seeds.withColumn("total", total)
-    ranks = stored(seeds.select("kind", "host", F.col("mass").alias("rank")), "ranks")
-    for _ in range(rounds):
-        moved = (
-            flows.join(ranks.select(F.col("kind").alias("k"), "host", "rank"), (F.col("kind") == F.col("k")) & (F.col("origin") == F.col("host")))
-            .groupBy("kind", F.col("goal").alias("host"))
-            .agg(F.sum(DAMPING * F.col("rank") * F.col("share")).alias("moved"))
-        )
-        moved = stored(moved, "moved")
-        arrived = {r["kind"]: r["moved"] for r in moved.groupBy("kind").agg(F.sum("moved").alias("moved")).collect()}
-        back = F.lit(0.0)
-        for kind, mass in masses.items():
-            back = F.when(F.col("kind") == kind, F.lit(1.0 - arrived.get(kind, 0.0) / mass)).otherwise(back)
-        started = seeds.select("kind", "host", (F.col("mass") * back).alias("moved"))
-        new = moved.select("kind", "host", "moved").union(started).groupBy("kind", "host").agg(F.sum("moved").alias("rank"))
-        new = stored(new, "ranks")
-        old = ranks.select("kind", "host", (-F.col("rank")).alias("rank"))
-        change = new.union(old).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change"))
-        shifted = change.agg(F.sum("change")).first()[0] or 0.0
+    started = seeds.select("kind", "host", F.col("mass").alias("rank"))
+    ranks = stored(started.withColumn("was", F.lit(0.0)), "ranks")
+    for _ in itertools.count() if rounds is None else range(rounds):
+        new = ranks.select("kind", "host", "rank")
+        for _ in range(STEPS):
+            moved = flows.join(
+                new.select(F.col("kind").alias("k"), "host", "rank"), (F.col("kind") == F.col("k")) & (F.col("origin") == F.col("host"))
+            ).select("kind", F.col("goal").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
+            rank = F.greatest(F.sum("rank"), F.lit(LEAST_RANK)).alias("rank")
+            new = started.union(moved).groupBy("kind", "host").agg(rank)
+        before = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        both = new.withColumn("was", F.lit(0.0)).union(before).groupBy("kind", "host")
+        new = stored(both.agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "ranks")
+        grown = new.agg(F.max((F.col("rank") - F.col("was")) / F.col("rank"))).first()[0] or 0.0
         ranks = new
-        if shifted <= SETTLED * sum(masses.values()):
+        if grown <= SETTLED:
             break
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    sums = {r["kind"]: r["rank"] for r in ranks.groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}
+
+    def of(kind: str) -> Column:
+        scale = masses[kind] / sums[kind] if kind in sums else 0.0
+        return F.sum(F.when(F.col("kind") == kind, F.col("rank") * scale).otherwise(0.0))
+
     return ranks.groupBy("host").agg(of(ALLOW).alias("trust"), of(BLOCK).alias("distrust"))
 
 

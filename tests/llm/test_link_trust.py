@@ -126,6 +126,26 @@ def test_trust_and_distrust_by_brute_force(spark, monkeypatch, seed):
             assert row["verdict"] == ("block" if want[1] > want[0] else "allow")
 
 
+def test_long_chain_is_blocked_to_its_end(spark):
+    # Distrust goes against the links, from the blocked h0.net to h39.net.
+    hosts = [f"h{i}.net" for i in range(40)]
+    rows = [(0, f"http://{hosts[0]}/bad/", "")]
+    rows += [(i, f"http://{hosts[i]}/", f"<a href=http://{hosts[i - 1]}/>") for i in range(1, len(hosts))]
+    found = lt.judge(spark.createDataFrame(rows, PAGES), [lt.Rule("block", hosts[0], "/bad/")], ["page_id"]).collect()
+    share = (1 - lt.DAMPING) / (1 - lt.DAMPING ** len(hosts))
+    assert len(found) == len(hosts)
+    for row in found:
+        assert row["distrust"] == pytest.approx(share * lt.DAMPING ** row["page_id"], rel=1e-5)
+        assert (row["trust"], row["verdict"]) == (0, "block")
+
+
+def test_two_host_ring_settles(spark):
+    pages = [(1, "http://a.net/good/", "<a href=//b.net>"), (2, "http://b.net/", "<a href=//a.net>")]
+    found = lt.judge(spark.createDataFrame(pages, PAGES), [lt.Rule("allow", "a.net", "/good/")], ["page_id"]).collect()
+    want = {1: 1 / (1 + lt.DAMPING), 2: lt.DAMPING / (1 + lt.DAMPING)}
+    assert {r["page_id"]: r["trust"] for r in found} == pytest.approx(want, rel=1e-5)
+
+
 def test_plan_is_native(spark):
     plan = lt.op3_link_trust(spark, CHECKED)._jdf.queryExecution().executedPlan().toString()
     for foreign in ("Python", "InPandas", "InArrow", "Cartesian", "NestedLoop"):
