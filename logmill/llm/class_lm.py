@@ -1,16 +1,17 @@
 """Language-model scores from Brown class-based bigrams.
 
 The probability of a token is that of its class after the class before, times that of
-the token within its class. Exchange clustering assigns the most frequent words to
-classes: word by word, the class is sought that raises the likelihood of the class
+the token within its class. Exchange clustering assigns all words that occur at least
+``MIN_COUNT`` times to classes, whose number grows with theirs: word by word, the class is sought that raises the likelihood of the class
 bigrams most; moves are made for a share of the words at a time and kept only if the
-likelihood rises. All other words share classes by their shape, so every word has one,
-whether it was seen or not. Class transitions and word counts come from all training
+likelihood rises. Words seen once stand for those never seen: both share classes by their
+shape, so every word has one. Class transitions and word counts come from all training
 texts. A text ends with an end token, which also stands before its first word.
 
 Texts are read three times: words are counted, then pairs of neighbouring classes, then
 texts are scored. What frequent words need is sent to the tasks (``KNOWN_WORDS`` entries
-at most); the counts of all other words meet the texts in a join.
+at most); the counts and numbers of all other words meet the texts in joins. The classes
+are sent out as one integer for each clustered word.
 """
 
 import math
@@ -26,13 +27,22 @@ from pyspark.sql import functions as F
 from logmill.llm.common import crc_fold, map_batches, pieces, read_table, stored
 
 FOLDS, HELD_OUT = 7, 2
-# Words with classes of their own choice; learnt classes; words whose counts are sent out.
-EXCHANGE_WORDS, CLASSES, KNOWN_WORDS = 1000, 64, 1 << 16
+# Occurrences of a word with a class of its own choice.
+MIN_COUNT = 2
+# Bounds of such words and learnt classes, for small models; None: all, and ``class_count``.
+EXCHANGE_WORDS: int | None = None
+CLASSES: int | None = None
+# Words whose counts are sent out.
+KNOWN_WORDS = 1 << 16
 ROUNDS = 6
 # Weight of the class's own frequency in a transition.
 PRIOR = 5.0
 # Distinct words that a task holds before it passes counts on.
 HELD_WORDS = 400_000
+# Pairs that a task holds before it passes counts on; words whose moves are weighed at once.
+HELD_PAIRS, BLOCK = 1 << 21, 256
+# Counts up to this have their gains in a table.
+SMALL = 8
 # White space, so never a word.
 END = b"\n"
 SHAPES = 16
@@ -113,30 +123,64 @@ class Vocabulary:
         return self.exchanged + BOUNDARY
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From ``word_counts``. The known words are all of the counts that ``KNOWN_WORDS`` has
-    room for, words of equal counts in or out together.
+def class_count(words: int) -> int:
+    """Learnt classes: 64, from 1000 words on growing with the fourth root of their number."""
+    return CLASSES or max(64, round(64 * (words / 1000) ** 0.25))
 
-    To the driver come those words, and how many words each count has: as many rows as
-    there are different counts, fewer than the root of twice the tokens.
+
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """(vocabulary, ``counts`` with ``unit``), from ``word_counts``.
+
+    The known words are the ``KNOWN_WORDS`` most frequent, of equal counts the first ones.
+    ``unit`` numbers the other words with classes of their own, after the known ones.
+    To the driver come the known words, and how many words each count has: as many rows
+    as there are different counts, fewer than the root of twice the tokens.
     """
     words = counts.filter(F.col("shape") < SHAPES)
-    least, room = None, KNOWN_WORDS
-    for row in sorted(words.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True):
-        room -= row["types"]
-        if room < 0:
+    by_count = sorted(words.groupBy("n").agg(F.count("*").alias("types")).collect(), reverse=True)
+    clustered = sum(row["types"] for row in by_count if row["n"] >= MIN_COUNT)
+    exchanged = clustered if EXCHANGE_WORDS is None else min(EXCHANGE_WORDS, clustered)
+    least, cut, room = None, None, KNOWN_WORDS
+    for row in by_count:
+        if row["types"] > room:
+            cut = row["n"]
             break
+        room -= row["types"]
         least = row["n"]
     known = [] if least is None else words.filter(F.col("n") >= least).collect()
     known.sort(key=lambda row: (-row["n"], row["word"]))
+    ties = words.filter(F.col("n") == cut).orderBy("word").limit(room).collect() if cut and room else []
+    known += ties
     shape_tokens, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     for row in by_shape:
         if row["shape"] < SHAPES:
             shape_tokens[row["shape"]], shape_types[row["shape"]] = row["n"], row["types"]
-    for row in known[:EXCHANGE_WORDS]:
+    for row in known[:exchanged]:
         shape_tokens[row["shape"]] -= row["n"]
         shape_types[row["shape"]] -= 1
+    units = counts.withColumn("unit", F.lit(None).cast("int"))
+    if exchanged > len(known):
+        rest = F.col("n") < cut
+        if ties:
+            rest = rest | ((F.col("n") == cut) & (F.col("word") > F.lit(bytes(ties[-1]["word"]))))
+        elif cut:
+            rest = F.col("n") <= cut
+        tail = words.filter(rest & (F.col("n") >= MIN_COUNT)).orderBy(F.desc("n"), "word")
+        tail = stored(tail.select("word", "shape", "n", F.monotonically_increasing_id().alias("id")), "lm-tail")
+        part = F.shiftright("id", 33)
+        start, starts = len(known), {}
+        for row in sorted(tail.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+            starts[row["part"]] = start
+            start += row["n"]
+        first = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])[part]
+        unit = (first + F.col("id").bitwiseAND((1 << 33) - 1)).cast("int").alias("unit")
+        tail = tail.select("word", "shape", "n", unit).filter(F.col("unit") < exchanged)
+        for row in tail.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+            shape_tokens[row["shape"]] -= row["n"]
+            shape_types[row["shape"]] -= row["types"]
+        numbers = tail.select(F.col("word").alias("numbered"), "unit")
+        units = stored(counts.join(numbers, F.col("word") == F.col("numbered"), "left").drop("numbered"), "lm-units")
     return Vocabulary(
         {bytes(row["word"]): i for i, row in enumerate(known)},
         np.array([row["n"] for row in known], np.int64),
@@ -145,41 +189,83 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         sum(row["types"] for row in by_shape),
         shape_tokens,
         shape_types,
-        min(EXCHANGE_WORDS, len(known)),
-    )
+        exchanged,
+    ), units
 
 
 class _Numbers(dict):
-    """Known words' numbers; other words are numbered by shape, after the known ones."""
+    """Known words' numbers; other words are numbered as they come, after the known ones."""
+
+    def __init__(self, words: dict[bytes, int]):
+        super().__init__(words)
+        self.known, self.others = len(words), []
 
     def __missing__(self, word: bytes) -> int:
-        return len(self) + int(shape(word))
+        self[word] = number = self.known + len(self.others)
+        self.others.append(word)
+        return number
+
+    def forget(self) -> None:
+        for word in self.others:
+            del self[word]
+        self.others = []
 
 
-def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> DataFrame:
-    """``first``, ``second``, ``n``: neighbouring units in all texts."""
-    size = known.boundary + 1
+def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """``first``, ``second``, ``n``: neighbouring units in all texts.
+
+    Words that are not known have the ``unit`` of ``counts``, without one that of their shape.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         numbers = _Numbers(known.words)
-        unit = np.concatenate([known.units(), known.exchanged + np.arange(SHAPES)])
-        pairs = np.zeros(size * size, np.int64)
+        units, end, base = known.units(), known.boundary, known.boundary + 1
+        lines, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            others = numbers.others
+            # Other words have places of their own beyond all units.
+            unit = np.concatenate([units, base + np.arange(len(others))])
+            size = base + len(others)
+            keys = [np.zeros(0, np.int64)]
+            for line in lines:
+                own = np.full(len(line) + 2, end, np.int64)
+                own[1:-1] = unit[line]
+                keys.append(own[:-1] * size + own[1:])
+            found, times = np.unique(np.concatenate(keys), return_counts=True)
+            fallback = np.concatenate([np.arange(base), known.exchanged + np.array([shape(w) for w in others], np.int64)])
+            names = pa.array(others, pa.binary())
+            columns = []
+            for side in (found // size, found % size):
+                place = pa.array(side - base, pa.int32(), mask=side < base)
+                columns += [pa.array(fallback[side].astype(np.int32)), names.take(place)]
+            numbers.forget()
+            return pa.RecordBatch.from_arrays([*columns, pa.array(times, pa.int64())], ["first", "first_word", "second", "second_word", "n"])
+
         for batch in batches:
             for piece in pieces(batch):
                 for value in piece.column("text").to_pylist():
-                    line = np.full(len(words := words_of(value)) + 2, known.boundary, np.int64)
-                    line[1:-1] = unit[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
-                    found, times = np.unique(line[:-1] * size + line[1:], return_counts=True)
-                    pairs[found] += times
-        seen = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((seen // size).astype(np.int32)), pa.array((seen % size).astype(np.int32)), pa.array(pairs[seen])],
-            ["first", "second", "n"],
-        )
-
-    found = _texts(docs, text).mapInArrow(run, "first int, second int, n bigint")
+                    words = words_of(value)
+                    lines.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                    held += len(words) + 1
+                if held > HELD_PAIRS:
+                    yield flush()
+                    lines, held = [], 0
+        yield flush()
+
+    found = _texts(docs, text).mapInArrow(run, "first int, first_word binary, second int, second_word binary, n bigint")
+    if counts is None or known.exchanged <= len(known.words):
+        return found.groupBy("first", "second").agg(F.sum("n").alias("n"))
+    found = found.groupBy("first", "first_word", "second", "second_word").agg(F.sum("n").alias("n"))
+    units = counts.filter(F.col("unit").isNotNull()).select(F.col("word").alias("numbered"), "unit")
+    for side in ("first", "second"):
+        found = stored(found, "lm-raw")
+        word = F.col(f"{side}_word")
+        met = found.filter(word.isNotNull()).join(units, word == F.col("numbered"), "left")
+        met = met.withColumn(side, F.coalesce("unit", side)).select(*found.columns)
+        found = found.filter(word.isNull()).union(met).drop(f"{side}_word")
     return found.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
@@ -224,79 +310,164 @@ def best_move(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
 
 
 def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring classes; ``classes`` is by unit."""
-    size = CLASSES + SHAPES + 1
-    table = F.array(*[F.lit(int(c)) for c in classes])
-    both = (F.get(table, F.col("first")) * size + F.get(table, F.col("second"))).alias("cell")
+    """Counts of neighbouring classes; ``classes`` is by unit, the end's is the last."""
+    size = int(classes[-1]) + 1
+    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, cells = shared.value, np.zeros(size * size)
+        for batch in batches:
+            first, second, n = (batch.column(c).to_numpy() for c in ("first", "second", "n"))
+            np.add.at(cells, classes[first] * size + classes[second], n)
+        seen = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(cells[seen].astype(np.int64))], ["cell", "n"])
+
+    found = pairs.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(size * size)
-    for row in pairs.groupBy(both).agg(F.sum("n").alias("n")).collect():
-        matrix[row["cell"]] = row["n"]
+    matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
     return matrix.reshape(size, size)
 
 
-def _proposals(pairs: DataFrame, classes: np.ndarray, matrix: np.ndarray, exchanged: int, part: int) -> list:
-    """(gain, word, class) of every second word that gains by a move."""
-    table = F.array(*[F.lit(int(c)) for c in classes])
-    size = CLASSES + SHAPES + 1
+def neighbours(pairs: DataFrame, exchanged: int, units: int) -> DataFrame:
+    """``word``, ``other``, ``n``: a row for each clustered word; units before it are numbered after all units."""
+    after = pairs.select(F.col("first").alias("word"), F.col("second").alias("other"), "n")
+    before = pairs.select(F.col("second").alias("word"), (F.col("first") + units).alias("other"), "n")
+    both = after.union(before).filter(F.col("word") < exchanged)
 
-    def side(word: str, other: str, name: str) -> DataFrame:
-        return pairs.filter((F.col(word) < exchanged) & (F.col(word) % 2 == part)).select(
-            F.col(word).alias("word"),
-            F.lit(name).alias("side"),
-            F.get(table, F.col(other)).alias("class"),
-            F.when(F.col("first") == F.col("second"), F.col("n")).otherwise(0).alias("self"),
-            "n",
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    both = side("first", "second", "after").union(side("second", "first", "before"))
-    near = both.groupBy("word", "side", "class").agg(F.sum("n").alias("n"), F.sum("self").alias("self"))
-    words = near.groupBy("word").agg(F.collect_list(F.struct("side", "class", "n", "self")).alias("near"))
+        def rows(table: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+            word, other, n = (np.asarray(table.column(c)) for c in ("word", "other", "n"))
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            offsets = pa.array(np.append(starts, len(word)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (other, n)]
+            return pa.RecordBatch.from_arrays([pa.array(word[starts]), *lists], ["word", "other", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                counts = {"after": np.zeros(size), "before": np.zeros(size)}
-                self_pairs = 0.0
-                for entry in row["near"]:
-                    counts[entry["side"]][entry["class"]] += entry["n"]
-                    self_pairs += entry["self"] / 2  # told from either side
-                own = int(classes[row["word"]])
-                best, gain = best_move(matrix, own, counts["after"], counts["before"], self_pairs)
-                if best != own and gain > 1e-6:
-                    rows.append((gain, row["word"], best))
-            columns = list(zip(*rows)) or [(), (), ()]
-            kinds = (pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gain", "word", "class"]
-            )
+            word = batch.column("word").to_numpy()
+            if not len(word):
+                continue
+            # The last word may go on in the next batch.
+            last = int(np.searchsorted(word, word[-1]))
+            if held and word[0] != held[-1].column("word")[0].as_py():
+                yield rows(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield rows(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield rows(pa.Table.from_batches(held))
+
+    sorted_rows = both.repartition("word").sortWithinPartitions("word")
+    return sorted_rows.mapInArrow(run, "word int, other array<int>, n array<bigint>")
+
+
+def _rise(values: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return _xlogx(values + more) - _xlogx(values)
+
+
+class Gains:
+    """What ``best_move`` finds, for many words at once."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix, self.size = matrix, len(matrix)
+        self.learnt = self.size - SHAPES - 1
+        # By the class beside the word: what learnt classes gain by small counts.
+        self.sides = (matrix[: self.learnt].T.copy(), matrix[:, : self.learnt].copy())
+        self.small = [[_rise(side, np.float64(k)) for k in range(SMALL + 1)] for side in self.sides]
+        self.rows, self.columns = matrix.sum(1), matrix.sum(0)
+
+    def _spread(self, number: int, counts: np.ndarray) -> np.ndarray:
+        gain = np.zeros((len(counts), self.learnt))
+        for i, row in enumerate(counts):
+            beside = np.flatnonzero(row)
+            n = row[beside]
+            for k in np.unique(n[n <= SMALL]).astype(int):
+                gain[i] += self.small[number][k][beside[n == k]].sum(0)
+            if (large := n > SMALL).any():
+                gain[i] += _rise(self.sides[number][beside[large]], n[large, None]).sum(0)
+        return gain
+
+    def best(self, own: np.ndarray, after: np.ndarray, before: np.ndarray, self_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, gain) by word; counts have a row for each word."""
+        matrix, here, at = self.matrix, slice(self.learnt), np.arange(len(own))
+        a, b, s = after[:, here], before[:, here], self_pairs[:, None]
+        own_a, own_b = after[at, own][:, None], before[at, own][:, None]
+        total_a, total_b = after.sum(1)[:, None], before.sum(1)[:, None]
+        gain = self._spread(0, after) + self._spread(1, before)
+        # Pairs with the word's own class do not hold the word itself.
+        to_own, from_own = matrix[here, own].T, matrix[own, here]
+        gain += _rise(to_own - b, own_a - s) - _rise(to_own, own_a)
+        gain += _rise(from_own - a, own_b - s) - _rise(from_own, own_b)
+        cross = matrix.diagonal()[here]
+        gain += _rise(cross, a + b + s) - _rise(cross, a) - _rise(cross, b)
+        gain -= _rise(self.rows[here], total_a) + _rise(self.columns[here], total_b)
+        # The gain of going back.
+        row, column = matrix[own], matrix[:, own].T
+        lost = _xlogx(row) - _xlogx(row - after) + _xlogx(column) - _xlogx(column - before)
+        lost[at, own] = 0
+        stay = lost.sum(1) - _rise(self.rows[own] - total_a[:, 0], total_a[:, 0]) - _rise(self.columns[own] - total_b[:, 0], total_b[:, 0])
+        both = (own_a + own_b - s)[:, 0]
+        stay += _rise(matrix[own, own] - both, both)
+        gain[at, own] = stay
+        best = gain.argmax(1)
+        return best, gain[at, best] - stay
+
+
+def _proposals(near: DataFrame, classes: np.ndarray, matrix: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, classes) of every second word that gains by a move, the greatest gain first."""
+    shared = near.sparkSession.sparkContext.broadcast((classes, matrix))
+    size, units = len(matrix), len(classes)
 
-    found = words.mapInArrow(run, "gain double, word int, class int").collect()
-    return sorted(((r["gain"], r["word"], r["class"]) for r in found), reverse=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (classes, matrix), gains = shared.value, None
+        for batch in batches:
+            gains = gains or Gains(matrix)
+            for start in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(start, BLOCK)
+                word, other, n = (block.column(c) for c in ("word", "other", "n"))
+                word, times = word.to_numpy(), np.diff(other.offsets.to_numpy())
+                other, n = other.flatten().to_numpy(), n.flatten().to_numpy()
+                row = np.repeat(np.arange(len(word)), times)
+                cells = (row * 2 + other // units) * size + classes[other % units]
+                counts = np.bincount(cells, n, len(word) * 2 * size).reshape(-1, 2, size)
+                self_pairs = np.bincount(row, n * (other == word[row]), len(word))
+                best, gain = gains.best(classes[word], counts[:, 0], counts[:, 1], self_pairs)
+                good = (best != classes[word]) & (gain > 1e-6)
+                columns = [pa.array(gain[good]), pa.array(word[good]), pa.array(best[good].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["gain", "word", "class"])
+
+    found = near.filter(F.col("word") % 2 == part).mapInArrow(run, "gain double, word int, class int").toArrow()
+    gain, word, new = (found[c].to_numpy() for c in ("gain", "word", "class"))
+    order = np.lexsort((word, -gain))
+    return word[order], new[order]
 
 
 def exchange(pairs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class by unit, class matrix) after clustering; the likelihood never falls.
 
-    ``pairs`` has at most the square of ``EXCHANGE_WORDS`` and the shapes as rows.
+    The driver holds an integer for each clustered word and the class matrix.
     """
-    start = np.arange(known.exchanged) % CLASSES
-    classes = np.concatenate([start, CLASSES + np.arange(SHAPES + 1)])
+    learnt = class_count(known.exchanged)
+    classes = np.concatenate([np.arange(known.exchanged) % learnt, learnt + np.arange(SHAPES + 1)])
     matrix = class_matrix(pairs, classes)
+    near = stored(neighbours(pairs, known.exchanged, len(classes)), "lm-near")
     idle = 0
     for number in range(rounds):
-        moves = _proposals(pairs, classes, matrix, known.exchanged, number % 2)
+        words, new = _proposals(near, classes, matrix, number % 2)
         kept = False
         # Moves that are good one by one may spoil each other; then fewer are made.
-        while moves and not kept:
+        while len(words) and not kept:
             trial = classes.copy()
-            for _, word, new in moves:
-                trial[word] = new
+            trial[words] = new
             then = class_matrix(pairs, trial)
             if likelihood(then) > likelihood(matrix):
                 classes, matrix, kept = trial, then, True
             else:
-                moves = moves[: len(moves) // 4]
+                fewer = len(words) // 4
+                words, new = words[:fewer], new[:fewer]
         idle = 0 if kept else idle + 1
         if idle == 2:
             break
@@ -317,27 +488,34 @@ class ClassModel:
         steps = (self.matrix + PRIOR * share) / (self.matrix.sum(1, keepdims=True) + PRIOR)
         unit = np.concatenate([known.units(), known.exchanged + np.arange(SHAPES + 1)])
         class_of = self.classes[unit]
-        head = np.arange(known.exchanged)
-        class_tokens = np.bincount(self.classes[head], known.counts[head], minlength=CLASSES)
+        head = np.arange(min(known.exchanged, len(known.words)))
+        # Every token is the second of one pair.
+        class_tokens = self.matrix.sum(0)
         emission = np.zeros(len(unit))
         emission[head] = np.log10(known.counts[head] / class_tokens[self.classes[head]])
         # Within a shape: (count + 1) of all its seen words and one unseen.
         rest = -np.log10(known.shape_tokens + known.shape_types + 1)
         seen = np.log10(known.counts + 1.0)
-        tail = np.arange(known.exchanged, len(known.words))
+        tail = np.arange(len(head), len(known.words))
         emission[tail] = seen[tail] + rest[known.shapes[tail]]
         shapes = len(known.words) + np.arange(SHAPES)
         emission[shapes] = rest
         count = np.zeros(len(unit))
         count[: len(known.words)] = seen
-        return {"steps": np.log10(steps), "class": class_of, "emission": emission, "count": count}
+        return {
+            "steps": np.log10(steps),
+            "class": class_of,
+            "emission": emission,
+            "count": count,
+            "tokens": np.log10(np.maximum(class_tokens, 1.0)),
+        }
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
     """(model, all word counts). An empty table gives a model that has seen nothing."""
     counts = stored(word_counts(docs, text), "lm-words")
-    known = vocabulary(counts)
-    pairs = stored(pair_counts(docs, known, text), "lm-pairs")
+    known, counts = vocabulary(counts)
+    pairs = stored(pair_counts(docs, known, text, counts), "lm-pairs")
     return ClassModel(known, *exchange(pairs, known)), counts
 
 
@@ -351,59 +529,78 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: list[str]
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     kept = [c for c in keep if c not in results]
     known = model.known
-    shared = docs.sparkSession.sparkContext.broadcast((known.words, model.tables()))
+    context = docs.sparkSession.sparkContext
+    shared_words, shared = context.broadcast(known.words), context.broadcast((model.tables(), model.classes, len(known.words)))
     ends = 1 if known.tokens else 0
     # The end token is counted in every training text.
     end_count = math.log10(model.matrix[:, -1].sum() + 1)
     rows = _texts(docs, text, F.monotonically_increasing_id().alias("number"), F.struct(*kept).alias("row"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words_known, tables = shared.value
-        numbers, found = _Numbers(words_known), []
-        size = len(numbers)
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Texts as known words' numbers, after them places among the text's other words."""
+        numbers, lines, others = _Numbers(shared_words.value), [], []
         for value in batch.column("text").to_pylist():
             words = words_of(value)
-            line = np.full(len(words) + 2, size + SHAPES, np.int64)
-            line[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            classes = tables["class"][line]
-            total = tables["steps"][classes[:-1], classes[1:]].sum() + tables["emission"][line[1:]].sum()
-            base = tables["count"][line[1:-1]].sum() + end_count
-            rare = Counter(words[i] for i in np.flatnonzero(line[1:-1] >= size))
-            in_known = len(words) - sum(rare.values()) + ends
-            tail = [{"word": w, "times": n} for w, n in rare.items()]
-            found.append((len(words) + 1, in_known, float(base), float(total), tail))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type)
+            lines.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            others.append(numbers.others)
+            numbers.forget()
+        columns = [pa.array(lines, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays([batch.column("number"), batch.column("row"), *columns], ["number", "row", "line", "others"])
+
+    row_type = rows.schema["row"].dataType.simpleString()
+    lines = stored(map_batches(rows, encode, f"number bigint, row {row_type}, line array<int>, others array<binary>"), "lm-lines")
+    rare = lines.select("number", F.posexplode("others").alias("place", "other"))
+    seen = counts.filter(F.col("shape") < SHAPES).select("word", "n", "unit")
+    met = rare.join(seen, F.col("word") == F.col("other")).groupBy(F.col("number").alias("of"))
+    met = met.agg(F.collect_list(F.struct("place", "n", F.coalesce("unit", F.lit(-1)).alias("unit"))).alias("met"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tables, classes, size = shared.value
+        learnt, found = len(tables["steps"]) - SHAPES - 1, []
+        lines = zip(*(batch.column(c).to_pylist() for c in ("line", "others", "met")), strict=True)
+        for words, others, met in lines:
+            # Tables of this text's words: the known ones, then its others, then the end.
+            shapes = np.array([shape(w) for w in others], np.int64)
+            own, emission, counts = learnt + shapes, tables["emission"][size + shapes], np.zeros(len(others))
+            in_met = np.zeros(len(others), bool)
+            for entry in met or ():
+                place, n = entry["place"], math.log10(entry["n"] + 1)
+                in_met[place], counts[place] = True, n
+                if entry["unit"] < 0:
+                    emission[place] += n
+                else:
+                    own[place] = classes[entry["unit"]]
+                    emission[place] = math.log10(entry["n"]) - tables["tokens"][own[place]]
+            line = np.array(words, np.int64)
+            rare = line >= size
+            places = line[rare] - size
+            of = np.full(len(line) + 2, len(tables["steps"]) - 1)
+            emitted, base = np.zeros(len(line)), np.zeros(len(line))
+            for values, table, others_table in ((of[1:-1], "class", own), (emitted, "emission", emission), (base, "count", counts)):
+                values[~rare] = tables[table][line[~rare]]
+                values[rare] = others_table[places]
+            total = tables["steps"][of[:-1], of[1:]].sum() + emitted.sum()
+            in_known = len(line) - len(places) + int(in_met[places].sum()) + ends
+            found.append((len(line) + 1, in_known, float(base.sum() + end_count), float(total)))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("number"), batch.column("row"), *columns],
-            ["number", "row", "n_tokens", "n_known", "base", "total", "tail"],
-        )
-
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-    schema = (
-        f"number bigint, row {rows.schema['row'].dataType.simpleString()}, n_tokens bigint, n_known bigint, "
-        "base double, total double, tail array<struct<word:binary,times:bigint>>"
-    )
-    scored = stored(map_batches(rows, run, schema), "lm-scored")
-    rare = scored.select("number", F.inline("tail"))
-    seen = counts.filter(F.col("shape") < SHAPES).select(F.col("word").alias("seen"), "n")
-    # A word that was never seen adds log10(0 + 1), nothing.
-    more = (
-        rare.join(seen, F.col("word") == F.col("seen"))
-        .groupBy(F.col("number").alias("of"))
-        .agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"),
-            F.sum("times").alias("more_known"),
-        )
-    )
-    extra = F.coalesce("more", F.lit(0.0))
-    total = F.col("total") + extra
-    return scored.join(more, F.col("number") == F.col("of"), "left").select(
+        return pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_tokens", "n_known", "base", "total"])
+
+    whole = lines.join(met, F.col("number") == F.col("of"), "left").select("row", "line", "others", "met")
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                yield run(batch.slice(start, BLOCK))
+
+    schema = f"row {row_type}, n_tokens bigint, n_known bigint, base double, total double"
+    total = F.col("total")
+    return whole.mapInArrow(run_all, schema).select(
         "row.*",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(known.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * math.log10(known.tokens + known.types + 1)).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * math.log10(known.tokens + known.types + 1)).alias("base_score"),
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

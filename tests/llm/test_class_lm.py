@@ -145,3 +145,37 @@ def test_gain_of_a_move_is_the_rise_of_the_likelihood(monkeypatch):
             moved[word] = new
             rises.append(lm.likelihood(matrix(moved)) - lm.likelihood(matrix(classes)))
         assert gain == pytest.approx(max(rises), abs=1e-8) and rises[best] == pytest.approx(max(rises), abs=1e-8)
+
+
+def test_gains_of_many_words_are_those_of_one(monkeypatch):
+    draw = np.random.default_rng(6)
+    units, learnt = 40, 5
+    size = learnt + lm.SHAPES + 1
+    counts = draw.integers(0, 12, (units, units)) * draw.integers(0, 2, (units, units))
+    classes = draw.integers(0, learnt, units)
+    matrix = np.zeros((size, size))
+    np.add.at(matrix, (classes[:, None], classes[None]), counts)
+    after = np.array([np.bincount(classes, counts[w], size) for w in range(units)])
+    before = np.array([np.bincount(classes, counts[:, w], size) for w in range(units)])
+    own = counts.diagonal().astype(float)
+    best, gain = lm.Gains(matrix).best(classes, after, before, own)
+    want = [lm.best_move(matrix, classes[w], after[w], before[w], own[w]) for w in range(units)]
+    assert gain == pytest.approx([g for _, g in want], abs=1e-8) and list(best) == [c for c, _ in want]
+
+
+def test_all_words_seen_twice_are_clustered(spark, monkeypatch):
+    # 3000 such words, more than are known, so that most are numbered by a join.
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 500)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[i::10] + [f"once{i}"]), None, None, None) for i in range(10)] * 2
+    docs = documents(spark, [(i, r[1].replace("once", f"o{i}x"), None, None, None) for i, r in enumerate(rows)])
+    model, counts = lm.train(docs)
+    assert len(model.known.words) == 500 and model.known.exchanged == 3000
+    learnt = len(model.matrix) - lm.SHAPES - 1
+    assert learnt == lm.class_count(3000) > lm.class_count(1000) == 64
+    # Tokens within learnt classes: all but the 20 words seen once and the ends.
+    assert model.matrix[:, :learnt].sum() == 6000 and model.known.shape_tokens.sum() == 20
+    units = {r["unit"] for r in counts.filter("unit is not null").collect()}
+    assert units == set(range(500, 3000))
+    found = lm.score(docs, model, counts, ["doc_id"]).collect()
+    assert all(r["n_known"] == r["n_tokens"] == 302 for r in found)
