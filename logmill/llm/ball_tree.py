@@ -232,12 +232,11 @@ def search(queries: DataFrame, index: DataFrame, folder: str, top: int = TOP) ->
     Answers are all indexed vectors but those with the query's id; equal scores are
     ranked by id. Fewer vectors give fewer answers, none an empty result. Vectors of
     other widths count as if they ended in zeros. Scores beyond a long stay at its end.
-    Of queries with one id, one is taken; indexed rows with one id are answers each.
+    Of queries with one id, the one with the smallest parts is taken; indexed rows with one id are answers each.
     """
     spark = queries.sparkSession
-    blocks = _write_rows(
-        queries.dropDuplicates(["vec_id"]), folder, "queries", BLOCK, lambda ids, rows: _pack(ids=ids, vectors=rows)
-    )
+    asked = queries.groupBy("vec_id").agg(F.min("parts").alias("parts"))
+    blocks = _write_rows(asked, folder, "queries", BLOCK, lambda ids, rows: _pack(ids=ids, vectors=rows))
     # One row per some thousand vectors: a file listing.
     shards = sorted(row["path"] for row in index.collect())
     groups = [shards[i : i + GROUP] for i in range(0, len(shards), GROUP)]

@@ -76,6 +76,15 @@ def test_repeated_rows(spark, tmp_path):
     assert [r[2] for r in query(spark, tmp_path, rows)] == [5, 5, 7]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_of_queries_with_one_id_the_smallest_is_answered(spark, tmp_path, turn):
+    rows = [(20, [3.0, -1.0], 0), (20, [-2.0, 1.0], 0), (20, [1.0, 1.0], 0)]
+    others = [(i, [float(i % 5 - 2), float(i % 3 - 1)], 0) for i in range(1, 20)]
+    # ``expected`` answers the last row of an id.
+    last = [(20, [3.0, -1.0], 0), (20, [1.0, 1.0], 0), (20, [-2.0, 1.0], 0)]
+    assert query(spark, tmp_path, rows[::turn] + others) == expected(others + last)
+
+
 def test_fewer_vectors_than_answers_and_none(spark, tmp_path):
     assert query(spark, tmp_path / "a", [(0, [1.0], 0), (1, [2.0], 0)]) == [(0, 1, 1, 64 * 128)]
     assert query(spark, tmp_path / "b", [(0, [1.0], 0)]) == []
