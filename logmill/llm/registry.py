@@ -9,6 +9,9 @@ from logmill.llm import (
     class_lm,
     language_id,
     link_trust,
+    merkle,
+    mixing,
+    prefix_trie,
     sentencepiece_bpe,
     simhash,
     surrogates,
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_simhash": simhash.op9_simhash,
         "op10_class_lm": class_lm.op10_class_lm,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_mixing": mixing.op12_mixing,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -41,4 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": winnowing.OP4_SQL,
         "op5_warc": warc.OP5_SQL,
         "op6_ball_tree": ball_tree.OP6_SQL,
+        "op11_merkle": merkle.OP11_SQL,
+        "op12_mixing": mixing.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

@@ -8,14 +8,14 @@ from logmill.llm import registry
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [name.split("_")[0] for name in registry.queries()]
-    assert names == [f"op{n}" for n in range(1, 11)]
+    assert names == [f"op{n}" for n in range(1, 14)]
     assert set(registry.queries()) | {"pipeline"} <= set(entry.queries())
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
 
 
 def test_sql_is_for_queries_and_runs():
     database = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "benchmark"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{CHECKED}/{table}.parquet'")
     for name, statement in registry.oracle_sql().items():
         assert name in registry.queries()
@@ -33,6 +33,9 @@ def test_contract_columns(spark):
         "op8": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
         "op9": "doc_id:bigint fingerprint:string component_id:bigint",
         "op10": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+        "op11": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
+        "op12": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+        "op13": "conv_id:bigint depth:bigint parent_conv_id:bigint n_convs:bigint n_children:bigint n_leaves:bigint saved_tokens:bigint ends_sha256:string",
     }
     small = CHECKED.replace("sf0.01", "sf0.001")
     for name, query in registry.queries().items():
