@@ -1,13 +1,5 @@
-"""Merging the folders that a day's batches have left.
+"""Merging the files that a day's batches have left, in one commit."""
 
-A merged day is one folder, ``load_id=__merged__``, whose rows still say which batch they
-came from, so a batch that is written again can be taken out of it. The merged folder is
-prepared aside and takes the day's place by renames; a marker stands while that happens.
-Readers that find the marker stop with an error instead of missing rows, and so does a
-reader whose files are renamed away.
-"""
-
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,150 +7,59 @@ from pyspark.sql import functions as F
 
 from logmill.functions.clock import as_day
 from logmill.schema import LOAD_FIELDS, ddl
+from logmill.sources.tables import ZONE_COLUMNS, read_entries, write_files
+from logmill.sources.versions import Change, Conflict, Table, Version, merge_loads
 
-MERGED = "__merged__"
-_ORIGIN = {"from_load": "string", "from_batch": "bigint"}
-# Batches of merged folders, by the folder: what a list holds never changes.
-_known: dict[str, frozenset[tuple[str, int]]] = {}
-
-
-class Store:
-    """The file system that a table lies in."""
-
-    def __init__(self, spark: SparkSession, table: str):
-        self.spark = spark
-        self.table = table.rstrip("/")
-        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, inside: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{inside}" if inside else self.table)
-
-    def has(self, inside: str) -> bool:
-        return self.fs.exists(self.path(inside))
-
-    def names(self, pattern: str) -> list[str]:
-        """Last parts of the paths that match."""
-        return sorted(s.getPath().getName() for s in self.fs.globStatus(self.path(pattern)) or [])
-
-    def folders(self, pattern: str) -> list[str]:
-        """The paths that match, below the table."""
-        root = self.fs.makeQualified(self.path("")).toString()
-        return sorted(
-            self.fs.makeQualified(s.getPath()).toString().removeprefix(f"{root}/")
-            for s in self.fs.globStatus(self.path(pattern)) or []
-        )
-
-    def move(self, old: str, new: str) -> None:
-        self.fs.mkdirs(self.path(new).getParent())
-        if not self.fs.rename(self.path(old), self.path(new)):
-            raise OSError(f"cannot rename {self.table}/{old}")
-
-    def remove(self, inside: str) -> None:
-        self.fs.delete(self.path(inside), True)
-
-    def write(self, inside: str, text: str) -> None:
-        stream = self.fs.create(self.path(inside))
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
-    def read(self, inside: str) -> str:
-        stream = self.fs.open(self.path(inside))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-
-def _marker(day: date | str) -> str:
-    return f"_compact/swap-{day}"
-
-
-def require_settled(spark: SparkSession, table: str, day: date | None = None) -> None:
-    """Raise if the day, or any day, is just being exchanged."""
-    found = Store(spark, table).names(_marker("*" if day is None else day))
-    if found:
-        raise RuntimeError(f"{table}: {', '.join(found)} in progress; read again, or compact again if it failed")
-
-
-def merged_days(spark: SparkSession, table: str, load_id: str, batch_id: int) -> list[str]:
-    """Days whose merged folder holds rows of the batch."""
-    store, found = Store(spark, table), []
-    for folder in store.folders(f"process_date=*/load_id={MERGED}/batch_id=*"):
-        key = f"{store.table}/{folder}"
-        if key not in _known:
-            lines = store.read(f"{folder}/_batches").splitlines()
-            _known[key] = frozenset((load, int(batch)) for load, batch in (line.rsplit("\t", 1) for line in lines))
-        if (load_id, batch_id) in _known[key]:
-            found.append(folder.split("/")[0].removeprefix("process_date="))
-    return found
-
-
-def _recover(store: Store, day: date) -> None:
-    """Undo an exchange that was not finished."""
-    place = f"process_date={day}"
-    if not store.has(_marker(day)):
-        return
-    aside = store.read(_marker(day)).strip()
-    if store.has(f"{aside}/old"):
-        if store.has(place):
-            store.remove(place)
-        store.move(f"{aside}/old", place)
-    store.remove(_marker(day))
-    store.remove(aside)
+# Rows of a merged file, as a rule.
+FILE_ROWS = 5_000_000
 
 
 def compact(
-    spark: SparkSession,
-    table: str,
-    day: str | date,
-    fields: dict[str, str],
-    without: tuple[str, int] | None = None,
-) -> None:
-    """Merge all batches of a day into few files; safe to repeat, also after a failure.
+    spark: SparkSession, table: str, day: str | date, fields: dict[str, str], file_rows: int = FILE_ROWS
+) -> Version | None:
+    """Merge all files of a day into few; safe to repeat, also after a failure.
 
     ``fields`` are the table's columns (``ENRICHED_FIELDS``, ``ROLLUP_FIELDS``, columns
-    carried along first). Meant for days that are over: of batches that arrive meanwhile
-    none is lost, they stay beside the merged folder. ``without`` leaves a batch out.
+    carried along first). Rows are laid out by time, so that each merged file covers a
+    stretch of the day and a reader of an hour opens few; a minute with very many rows is
+    split as well. Batches that arrive meanwhile stay beside the merged files. If one that
+    is being merged is written again meanwhile, the merge starts over. None if there is
+    nothing to merge.
     """
-    day, store = as_day(day), Store(spark, table)
-    _recover(store, day)
-    place = f"process_date={day}"
-    batches = store.folders(f"{place}/load_id=*/batch_id=*")
-    if without is None and (len(batches) < 2 or not store.has(place)):
-        return
-    data = {name: kind for name, kind in fields.items() if name != "process_date"}
-    reader = spark.read.schema(ddl(data, _ORIGIN, {"process_date": "date"}, LOAD_FIELDS))
-    rows = reader.option("basePath", store.table).parquet(*[f"{store.table}/{b}" for b in batches])
-    rows = rows.withColumns(
-        {
-            "from_load": F.coalesce("from_load", "load_id"),
-            "from_batch": F.coalesce("from_batch", "batch_id"),
-        }
-    ).select(*data, *_ORIGIN)
-    if without is not None:
-        rows = rows.where(~((F.col("from_load") == without[0]) & (F.col("from_batch") == without[1])))
-
-    number = 1 + max((int(b.rsplit("=", 1)[1]) for b in batches if f"load_id={MERGED}/" in b), default=-1)
-    aside = f"_compact/{uuid.uuid4().hex}"
-    merged = f"load_id={MERGED}/batch_id={number}"
-    _write(rows, f"{store.table}/{aside}/new/{merged}")
-    # As many lines as the day has batches.
-    written = spark.read.schema(ddl(_ORIGIN)).parquet(f"{store.table}/{aside}/new/{merged}")
-    listed = sorted(map(tuple, written.select(*_ORIGIN).distinct().collect()))
-    store.write(f"{aside}/new/{merged}/_batches", "".join(f"{load}\t{batch}\n" for load, batch in listed))
-
-    store.write(_marker(day), aside)
-    store.move(place, f"{aside}/old")
-    store.move(f"{aside}/new", place)
-    for late in store.folders(f"{aside}/old/load_id=*/batch_id=*"):
-        inside = late.removeprefix(f"{aside}/old/")
-        if f"{place}/{inside}" not in batches:
-            store.move(late, f"{place}/{inside}")
-    store.remove(_marker(day))
-    store.remove(aside)
+    day = str(as_day(day))
+    while True:
+        try:
+            return _compact_once(spark, Table(spark, table), day, fields, file_rows)
+        except Conflict:
+            continue
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        rows = rows.hint("rebalance")
-    rows.write.parquet(path)
+def _compact_once(spark: SparkSession, table: Table, day: str, fields: dict[str, str], file_rows: int) -> Version | None:
+    base = table.latest()
+    entries = table.entries(base, day) if base else []
+    count = max(1, -(-sum(e["rows"] for e in entries) // file_rows))
+    if len(entries) <= count:
+        return None
+    data = {name: kind for name, kind in fields.items() if name != "process_date"}
+    schema = ddl(data, {"process_date": "date"}, LOAD_FIELDS)
+    rows = _laid_out(read_entries(spark, table.store.table, schema, entries), count)
+    loads = merge_loads(e["loads"] for e in entries)
+    merged = write_files(rows, table.store.table, ["process_date"], loads)
+    paths = {e["path"] for e in entries}
+
+    def change(latest: Version) -> Change:
+        if not paths <= {e["path"] for e in table.entries(latest, day)}:
+            raise Conflict(day)
+        return Change(merged, {day: paths})
+
+    return table.commit("compact", {}, change)
+
+
+def _laid_out(rows: DataFrame, count: int) -> DataFrame:
+    """Rows in ``count`` ranges of time."""
+    zone = next((c for c in ZONE_COLUMNS if c in rows.columns), None)
+    if count == 1 or zone is None:
+        return rows.repartition(count)
+    # The second key splits a single minute; equal keys are equal rows of it.
+    salt = F.xxhash64(*[F.col(c) for c in rows.columns])
+    return rows.repartitionByRange(count, F.col(zone), salt)

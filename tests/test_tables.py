@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logmill.operators.serving import day_rows
 from logmill.plans import catalog
 from logmill.schema import QUARANTINE_FIELDS, ddl
-from logmill.sources import shared, tables
+from logmill.sources import shared
 from logmill.sources.lines import (
     PUBLISH_OPTIONS,
     decode_records,
@@ -19,14 +19,16 @@ from logmill.sources.lines import (
     topic_options,
 )
 from logmill.sources.tables import exists, read_facts, read_quarantine, write_facts, write_load
+from logmill.sources.versions import Table
 
 from conftest import SMALL
 
 from test_serving import COLUMNS, DAY, ROWS, fact
 
 
-def files_of(path, day):
-    return sorted((path / f"process_date={day}").rglob("*.parquet"))
+def files_of(spark, path, day):
+    table = Table(spark, str(path))
+    return [entry["path"] for entry in table.entries(table.latest(), str(day))]
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
@@ -64,8 +66,8 @@ def test_clustered_write_keeps_rows_and_merges_files(spark, tmp_path):
         got = read_facts(spark, str(tmp_path / name))
         assert Counter(map(str, got.collect())) == Counter(map(str, df.collect()))
     small_day = ROWS[-1][13]
-    assert len(files_of(tmp_path / "loose", small_day)) > 1
-    assert len(files_of(tmp_path / "clustered", small_day)) == 1
+    assert len(files_of(spark, tmp_path / "loose", small_day)) > 1
+    assert len(files_of(spark, tmp_path / "clustered", small_day)) == 1
 
 
 def test_large_date_is_split_by_clustering(spark, tmp_path):
@@ -77,7 +79,7 @@ def test_large_date_is_split_by_clustering(spark, tmp_path):
         write_facts(rows, str(tmp_path / "t"), "a")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    assert len(files_of(tmp_path / "t", "2024-01-01")) > 1
+    assert len(files_of(spark, tmp_path / "t", "2024-01-01")) > 1
     assert spark.read.parquet(str(tmp_path / "t")).count() == 300_000
 
 
@@ -88,13 +90,13 @@ def test_without_adaptive_execution_rows_are_not_gathered(spark, tmp_path):
         write_facts(rows, str(tmp_path / "t"), "a")
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(files_of(tmp_path / "t", "2024-01-01")) == 8
+    assert len(files_of(spark, tmp_path / "t", "2024-01-01")) == 8
 
 
 def test_quarantine_batch_is_one_file(spark, tmp_path):
     rows = spark.range(80, numPartitions=8).selectExpr("cast(id AS string) AS raw", "'no_match' AS reason")
     write_load(rows, str(tmp_path / "t"), "a", cluster=True)
-    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 1
+    assert len(files_of(spark, tmp_path / "t", "")) == 1
     assert spark.read.parquet(str(tmp_path / "t")).count() == 80
 
 
@@ -182,27 +184,6 @@ def test_rewrite_of_a_quarantine_without_rows(spark, tmp_path):
     assert read_quarantine(spark, path).count() == 1
 
 
-def test_a_rewrite_that_fails_before_its_end_is_put_right_by_the_next(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "facts")
-    rows = spark.createDataFrame(ROWS, COLUMNS)
-    fewer = rows.where(F.col("process_date") == DAY)
-    write_facts(rows, path, "a", 0)
-    found, calls = tables._files_of_batch, []
-
-    def fail_after_the_write(*args):
-        calls.append(args)
-        if len(calls) == 2:
-            raise RuntimeError("lost")
-        return found(*args)
-
-    monkeypatch.setattr(tables, "_files_of_batch", fail_after_the_write)
-    with pytest.raises(RuntimeError, match="lost"):
-        write_facts(fewer, path, "a", 0)
-    monkeypatch.setattr(tables, "_files_of_batch", found)
-    write_facts(fewer, path, "a", 0)
-    assert read_facts(spark, path).count() == fewer.count()
-
-
 def test_a_missing_table_is_an_error_and_a_missing_day_is_not(spark, tmp_path):
     path = str(tmp_path / "facts")
     for day in (None, DAY):

@@ -1,0 +1,191 @@
+import threading
+import time
+from collections import Counter
+from datetime import UTC, datetime
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from logmill.schema import ENRICHED_FIELDS
+from logmill.sources import versions
+from logmill.sources.compact import compact
+from logmill.sources.tables import latest_version, make_table, may_hold, read_facts, vacuum, write_facts, write_load
+
+from test_compact import batch, contents
+from test_serving import COLUMNS, DAY, ROWS, fact
+
+
+@given(st.lists(st.integers(0, 30)))
+@settings(max_examples=60, deadline=None)
+def test_ranges_hold_what_was_put_in(numbers):
+    ranges = versions.merge_ranges(*[[[n, n]] for n in numbers])
+    assert [n for n in range(31) if versions.in_ranges(ranges, n)] == sorted(set(numbers))
+    assert all(a[1] + 1 < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_put_if_absent_is_whole_and_first_come(spark, tmp_path):
+    store = versions.Store(spark, str(tmp_path / "t"))
+    won = []
+
+    def put(k):
+        if store.publish("_versions/1", f"{k} " * 50_000):
+            won.append(k)
+
+    threads = [threading.Thread(target=put, args=(k,)) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and store.read("_versions/1") == f"{won[0]} " * 50_000
+    assert store.list("_versions/*") and not list((tmp_path / "t" / "_versions").glob(".*"))
+    assert store._create("_lists/x", "é") and not store._create("_lists/x", "b") and store.read("_lists/x") == "é"
+
+
+def test_writers_side_by_side_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    errors = []
+
+    def write(load):
+        try:
+            for number in range(4):
+                write_facts(batch(spark, number), path, load, number)
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=write, args=(f"load{k}",)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and latest_version(spark, path) == 16
+    want = Counter()
+    for number in range(4):
+        want += contents(batch(spark, number))
+    assert contents(read_facts(spark, path)) == Counter({k: 4 * n for k, n in want.items()})
+
+
+def test_reads_during_a_hundred_commits_are_whole_versions(spark, tmp_path):
+    """Each commit replaces the one batch: a reader must find its rows, all of one commit."""
+    path, seen, done = str(tmp_path / "facts"), Counter(), threading.Event()
+
+    def rows(k):
+        return spark.createDataFrame([fact("10:00", 200, k), fact("23:00", 200, k), fact("09:00", 200, k, ROWS[-1][13])], COLUMNS)
+
+    write_facts(rows(0), path, "s", 0, cluster=False)
+
+    def read():
+        while not done.is_set():
+            got = read_facts(spark, path).collect()
+            found = {r.response_bytes for r in got}
+            assert len(got) == 3 and len(found) == 1
+            one = read_facts(spark, path, DAY).collect()
+            assert len(one) == 2 and len({r.response_bytes for r in one}) == 1
+            seen[found.pop()] += 1
+
+    failed = []
+    reader = threading.Thread(target=lambda: failed.extend(_error(read)))
+    reader.start()
+    for k in range(1, 101):
+        write_facts(rows(k), path, "s", 0, cluster=False)
+    done.set()
+    reader.join()
+    assert not failed and len(seen) > 3 and latest_version(spark, path) == 101
+
+
+def _error(job):
+    try:
+        job()
+        return []
+    except BaseException as error:
+        return [error]
+
+
+def test_pinned_reads(spark, tmp_path):
+    path, states = str(tmp_path / "facts"), {}
+    for number in range(20):  # more lists than a date keeps apart
+        write_facts(batch(spark, number % 7), path, "s", number % 7)
+        if number == 12:
+            compact(spark, path, DAY, ENRICHED_FIELDS)
+        states[latest_version(spark, path)] = contents(read_facts(spark, path))
+    for number, rows in states.items():
+        assert contents(read_facts(spark, path, version=number)) == rows
+    late = read_facts(spark, path)
+    write_facts(batch(spark, 60), path, "s", 0)
+    compact(spark, path, DAY, ENRICHED_FIELDS)
+    assert contents(late) == states[max(states)]
+    with pytest.raises(Exception, match="File .* does not exist|FileNotFound"):
+        read_facts(spark, path, version=999)
+    history = versions.Table(spark, path).history()
+    assert [v.number for v in history] == list(range(1, len(history) + 1))
+    assert {v.what for v in history} == {"write", "compact"}
+
+
+def test_an_hour_opens_only_its_files(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    for hour in range(24):
+        rows = [fact(f"{hour:02}:{minute:02}", 200 + hour, minute) for minute in range(60)]
+        write_facts(spark.createDataFrame(rows, COLUMNS), path, "s", hour)
+    whole = read_facts(spark, path, DAY)
+    assert len(whole.inputFiles()) == 24
+    for low, high, files in (("05:00", "05:59", 1), ("05:30", "07:00", 3), (None, "00:10", 1), ("24:00", None, 0)):
+        bounds = tuple(t and f"{DAY} {t}" for t in (low, high))
+        rows = read_facts(spark, path, DAY, between={"process_timestamp": bounds})
+        assert len(rows.inputFiles()) == files
+        want = [r for r in whole.collect() if (bounds[0] or "") <= r.process_timestamp <= (bounds[1] or "~")]
+        assert sorted(map(str, rows.collect())) == sorted(map(str, want))
+    two = read_facts(spark, path, between={"response_code": (203, 204), "process_timestamp": (None, f"{DAY} 03:30")})
+    assert len(two.inputFiles()) == 1 and two.count() == 31
+
+
+def test_zones_of_instants_and_nulls():
+    noon = datetime(2024, 1, 5, 12, tzinfo=UTC)
+    micros = int(noon.timestamp()) * 1_000_000
+    entry = {"low": {"t": micros, "n": None}, "high": {"t": micros, "n": None}}
+    assert may_hold(entry, {"t": (noon, noon)}) and not may_hold(entry, {"t": (noon.replace(hour=13), None)})
+    assert not may_hold(entry, {"n": (1, None)}) and may_hold(entry, {"unknown": (1, 2)})
+
+
+def test_instants_are_pruned_whatever_the_session_zone(spark, tmp_path, session_zone):
+    path = str(tmp_path / "facts")
+    for hour in range(3):
+        at = F.lit(f"2024-01-05T{10 + hour}:00:00Z").cast("timestamp")
+        write_facts(spark.createDataFrame(ROWS[:3], COLUMNS).withColumn("log_timestamp", at), path, "s", hour)
+    session_zone("Asia/Kolkata")
+    bound = datetime(2024, 1, 5, 11, tzinfo=UTC)
+    rows = read_facts(spark, path, between={"log_timestamp": (bound, bound)})
+    assert len(rows.inputFiles()) == 1 and rows.count() == 3
+
+
+def test_vacuum_keeps_what_is_needed(spark, tmp_path):
+    path = tmp_path / "facts"
+    for number in (0, 1, 1, 1):
+        write_facts(batch(spark, number), str(path), "s", number)
+    compact(spark, str(path), DAY, ENRICHED_FIELDS)
+    (path / "commit=c-dead").mkdir()
+    rows, folders = contents(read_facts(spark, str(path))), len(list(path.glob("commit=*")))
+    assert vacuum(spark, str(path)) == 0 and len(list(path.glob("commit=*"))) == folders
+    time.sleep(1.1)
+    assert vacuum(spark, str(path), keep_hours=1 / 3600) > 0
+    assert contents(read_facts(spark, str(path))) == rows
+    assert len(list(path.glob("commit=*"))) < folders and len(list((path / "_versions").iterdir())) == 1
+    write_facts(batch(spark, 5), str(path), "s", 5)
+    assert contents(read_facts(spark, str(path))) == rows + contents(batch(spark, 5))
+
+
+def test_a_table_made_anew_at_the_same_path(spark, tmp_path):
+    path = tmp_path / "facts"
+    for number in range(3):
+        write_facts(batch(spark, number), str(path), "s", number)
+    versions.Store(spark, str(path)).remove("")
+    write_facts(batch(spark, 9), str(path), "s", 0)
+    assert contents(read_facts(spark, str(path))) == contents(batch(spark, 9))
+
+
+def test_folders_without_versions(spark, tmp_path):
+    empty = make_table(spark, str(tmp_path / "empty"))
+    assert read_facts(spark, empty).count() == 0 and read_facts(spark, empty, DAY).count() == 0
+    plain = str(tmp_path / "plain")
+    spark.createDataFrame(ROWS, COLUMNS).write.partitionBy("process_date").parquet(plain)
+    assert read_facts(spark, plain).count() == len(ROWS)
+    with pytest.raises(ValueError, match="no versions"):
+        write_facts(batch(spark, 1), plain, "s")
+    with pytest.raises(ValueError, match="in front"):
+        write_load(batch(spark, 1), empty, "s", 0, ["api"])
