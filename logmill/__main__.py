@@ -1,6 +1,7 @@
-"""Command line: ``python -m logmill batch|stream|rollup|day|compact|publish|synth``."""
+"""Command line: ``python -m logmill batch|stream|rollup|day|compact|history|vacuum|publish|synth``."""
 
 import argparse
+from datetime import UTC, datetime
 
 from logmill.functions.clock import as_day, today
 from logmill.operators import serving
@@ -8,11 +9,14 @@ from logmill.plans.batch import analyze
 from logmill.schema import ENRICHED_FIELDS
 from logmill.session import build_session
 from logmill.sources.compact import compact
-from logmill.sources.lines import publish, read_text_lines, read_topic, records
+from logmill.sources.lines import publish, publish_stream, read_text_lines, read_topic, records, stream_text_lines
 from logmill.sources.synthetic import synthetic_log
-from logmill.sources.tables import read_facts
+from logmill.sources.tables import read_facts, vacuum
+from logmill.sources.versions import Table
+from logmill.streaming.accounts import keep_accounts
 from logmill.streaming.pipelines import (
     await_streams,
+    connector_writer,
     console_writer,
     fact_writer,
     fan_out,
@@ -44,9 +48,13 @@ def _trigger(args):
 
 
 def _stream(spark, args):
-    writers = [fact_writer(f"{args.out}/facts")]
+    writers = [] if args.sink else [fact_writer(f"{args.out}/facts")]
+    if args.sink:
+        options = dict(option.split("=", 1) for option in args.sink_option)
+        writers.append(connector_writer(args.sink, f"{args.out}/ledger", **options))
     if args.console:
         writers.append(console_writer())
+    keep_accounts(spark, f"{args.out}/accounts")
     await_streams(
         fan_out(
             _topic(spark, args),
@@ -60,6 +68,7 @@ def _stream(spark, args):
 
 
 def _rollup(spark, args):
+    keep_accounts(spark, f"{args.out}/accounts")
     await_streams(
         update_rollup(
             _topic(spark, args), f"{args.out}/minutes", f"{args.out}/checkpoints/minutes",
@@ -70,7 +79,10 @@ def _rollup(spark, args):
 
 def _day(spark, args):
     day = as_day(args.day) if args.day else today(args.zone)
-    facts = read_facts(spark, args.facts, day)
+    between = None
+    if args.hour is not None:
+        between = {"process_timestamp": (f"{day} {args.hour:02}:00", f"{day} {args.hour:02}:59")}
+    facts = read_facts(spark, args.facts, day, between=between)
     if facts.isEmpty():
         print("No data available for the day")
         return
@@ -91,8 +103,27 @@ def _compact(spark, args):
     compact(spark, args.table, args.day, ROLLUP_FIELDS if args.rollup else ENRICHED_FIELDS)
 
 
+def _history(spark, args):
+    for version in Table(spark, args.table).history():
+        at = datetime.fromtimestamp(version.at, UTC).isoformat(" ", "seconds")
+        print(version.number, at, version.what, f"{len(version.days)} dates", sep="\t")
+
+
+def _vacuum(spark, args):
+    print(f"{vacuum(spark, args.table, args.keep_hours)} versions, lists and folders removed")
+
+
 def _publish(spark, args):
-    publish(read_text_lines(spark, args.path), args.brokers, args.topic)
+    if not args.follow:
+        publish(read_text_lines(spark, args.path), args.brokers, args.topic)
+        return
+    options = dict(option.split("=", 1) for option in args.sink_option)
+    lines = stream_text_lines(spark, args.path)
+    trigger = {"availableNow": True} if args.once else {"processingTime": "10 seconds"}
+    query = publish_stream(
+        lines, args.brokers, args.topic, args.follow, trigger=trigger, connector=args.connector, **options
+    )
+    await_streams(query)
 
 
 def _synth(spark, args):
@@ -126,10 +157,13 @@ def parser() -> argparse.ArgumentParser:
         stream.add_argument("--zone", default="UTC")
         if name == "stream":
             stream.add_argument("--console", action="store_true", help="also show each batch")
+            stream.add_argument("--sink", help="append good rows through this connector instead of a table")
+            stream.add_argument("--sink-option", action="append", default=[], metavar="KEY=VALUE")
 
     day = command("day", _day, "per-minute figures of one day")
     day.add_argument("facts")
     day.add_argument("--day", help="yyyy-mm-dd or yyyymmdd, default today")
+    day.add_argument("--hour", type=int, choices=range(24), help="only this hour of the day")
     day.add_argument("--zone", default="UTC")
     day.add_argument("--json", action="store_true")
 
@@ -138,10 +172,21 @@ def parser() -> argparse.ArgumentParser:
     merge.add_argument("--day", required=True, help="yyyy-mm-dd or yyyymmdd")
     merge.add_argument("--rollup", action="store_true", help="the table is a minute rollup")
 
+    history = command("history", _history, "versions of a table")
+    history.add_argument("table")
+
+    tidy = command("vacuum", _vacuum, "remove files that no recent version of a table needs")
+    tidy.add_argument("table")
+    tidy.add_argument("--keep-hours", type=float, default=168)
+
     sender = command("publish", _publish, "send the lines of a log file to a topic")
     sender.add_argument("path")
     sender.add_argument("--brokers", required=True)
     sender.add_argument("--topic", required=True)
+    sender.add_argument("--follow", metavar="CHECKPOINT", help="go on with new files of the folder")
+    sender.add_argument("--once", action="store_true", help="with --follow: end when all files are sent")
+    sender.add_argument("--connector", default="kafka", help="with --follow: sink that takes a value column")
+    sender.add_argument("--sink-option", action="append", default=[], metavar="KEY=VALUE")
 
     synth = command("synth", _synth, "write synthetic log lines as text")
     synth.add_argument("path")

@@ -15,6 +15,18 @@ def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
+def stream_text_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Lines of the files of a folder, and of those that come, as a stream.
+
+    The stream's checkpoint has the log of files, so each is read once, also after a restart;
+    files must appear whole.
+    """
+    reader = spark.readStream
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.text(path)
+
+
 def topic_options(
     brokers: str, topic: str, starting_offsets: str = "latest", **options: str
 ) -> dict[str, str]:

@@ -1,7 +1,5 @@
 """Streams of topic records into tables. The same functions as the batch jobs."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +15,21 @@ from logmill.operators.parse import (
 )
 from logmill.schema import ENRICHED_FIELDS, ddl
 from logmill.sources.lines import decode_records
-from logmill.sources.tables import gather, write_facts, write_load
+from logmill.sources.tables import gather
+from logmill.streaming.accounts import counted
+from logmill.streaming.sinks import (
+    Writer,
+    connector_writer,
+    console_writer,
+    fact_writer,
+    quarantine_writer,
+    side_by_side,
+)
+
+__all__ = [
+    "DRAIN", "REFRESH", "STORE", "Writer", "append_to_parquet", "await_streams", "connector_writer", "console_writer",
+    "fact_writer", "fan_out", "judge_records", "load_of", "parse_records", "quarantine_writer", "read_appended", "to_console",
+]
 
 # Fixed value: how often a live view is refreshed. Every trigger leaves files in a table,
 # so tables are written less often.
@@ -25,8 +37,6 @@ REFRESH = {"processingTime": "10 seconds"}
 STORE = {"processingTime": "1 minute"}
 DRAIN = {"availableNow": True}
 
-Writer = Callable[[DataFrame, str, int], None]
-
 _APPENDED = ["is_malformed", "process_date"]
 
 
@@ -50,36 +60,6 @@ def parse_records(
     return parse_lines(decoded, fields=fields, mode=mode)
 
 
-def fact_writer(path: str, cluster: bool = True) -> Writer:
-    return lambda rows, load_id, batch_id: write_facts(rows, path, load_id, batch_id, cluster)
-
-
-def quarantine_writer(path: str, cluster: bool = True) -> Writer:
-    return lambda rows, load_id, batch_id: write_load(
-        rows, path, load_id, batch_id, cluster=cluster
-    )
-
-
-def console_writer(rows: int = 20) -> Writer:
-    """Show each batch's first rows on the driver, next to the tables it goes to."""
-
-    def write(batch: DataFrame, load_id: str, batch_id: int) -> None:
-        print(f"batch {batch_id}")
-        batch.show(rows, truncate=False)
-
-    return write
-
-
-def connector_writer(source: str, **options: str) -> Writer:
-    """Append through any connector. A retried batch is appended again: the target
-    must upsert by key, or rows repeat."""
-
-    def write(rows: DataFrame, load_id: str, batch_id: int) -> None:
-        rows.write.format(source).mode("append").options(**options).save()
-
-    return write
-
-
 def load_of(batch: DataFrame) -> str:
     """Id of the streaming query a micro-batch belongs to; it lives in the checkpoint."""
     query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -101,7 +81,7 @@ def append_to_parquet(
     False on older versions.
     """
     if mode == PERMISSIVE:
-        judged = judge_records(recs)
+        judged = counted(judge_records(recs))
     else:
         judged = parse_records(recs, mode=mode)
         judged = judged.selectExpr("*", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS reason")
@@ -140,23 +120,26 @@ def fan_out(
 ) -> StreamingQuery:
     """One read and one parse per micro-batch, several tables.
 
-    ``fields`` limits what is parsed to some line fields. A batch may run again after a failure. Writers get the query's id and the batch
-    number, so a table can replace instead of repeat.
+    ``fields`` limits what is parsed to some line fields. The writers of a batch work side by
+    side; if one fails, the others are cancelled and the batch runs again. Writers get the
+    query's id and the batch number, so a table can replace instead of repeat.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         load_id = load_of(batch)
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for writer in facts:
-                writer(enrich(good_rows(batch), zone=zone), load_id, batch_id)
-            for writer in quarantine:
-                writer(malformed_rows(batch), load_id, batch_id)
+            good, bad = enrich(good_rows(batch), zone=zone), malformed_rows(batch)
+            jobs = [(writer, good) for writer in facts] + [(writer, bad) for writer in quarantine]
+            side_by_side(
+                batch.sparkSession,
+                [lambda w=writer, rows=rows: w(rows, load_id, batch_id) for writer, rows in jobs],
+            )
         finally:
             batch.unpersist()
 
     return (
-        judge_records(recs, fields)
+        counted(judge_records(recs, fields))
         .writeStream.foreachBatch(write)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

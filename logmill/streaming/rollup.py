@@ -14,6 +14,7 @@ from logmill.functions.clock import minute_label, wall_clock
 from logmill.operators.parse import DROPMALFORMED, FAILFAST
 from logmill.schema import LOAD_FIELDS, ddl
 from logmill.sources.tables import gather, read_by_date, write_load
+from logmill.streaming.accounts import Accounts
 from logmill.streaming.pipelines import (
     STORE,
     Writer,
@@ -106,8 +107,12 @@ def append_rollup(
     )
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark, over the query's recent progress."""
+def dropped_rows(query: StreamingQuery, accounts: Accounts | None = None) -> int:
+    """Rows that came later than the watermark: of all batches that ``accounts`` were kept of,
+    else of the query's last hundred."""
+    if accounts is not None:
+        accounts.settle()
+        return accounts.of(query.id).left_out
     return sum(
         operator.numRowsDroppedByWatermark
         for progress in query.recentProgress

@@ -1,0 +1,227 @@
+import threading
+import time
+from collections import Counter
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from logmill.sources.tables import read_facts, read_quarantine
+from logmill.streaming import sinks
+from logmill.streaming.accounts import Account, Accounts, keep_accounts
+from logmill.streaming.pipelines import (
+    DRAIN,
+    append_to_parquet,
+    await_streams,
+    connector_writer,
+    fact_writer,
+    fan_out,
+    quarantine_writer,
+)
+from logmill.streaming.rollup import append_rollup, dropped_rows
+from logmill.streaming.sinks import ROW_KEY, Ledger, side_by_side, with_row_keys
+
+from test_streaming import payload, topic  # noqa: F401
+
+SCHEMA = "a string, n int, t timestamp"
+
+
+def upserted(spark, path):
+    """What a target that upserts by key holds of all that was appended."""
+    return Counter(map(str, spark.read.schema("a string, n int").json(path).select("a", "n").collect())), Counter(
+        map(str, spark.read.json(path).dropDuplicates([ROW_KEY]).select("a", "n").collect())
+    )
+
+
+def test_row_keys_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rows = spark.createDataFrame(
+        [("x", 1, None)] * 9000 + [(None, None, None), (None, 1, None), ("", 1, None), ("x", None, None)], SCHEMA
+    )
+    keys = {}
+    for name, dealt in (("one", rows.coalesce(1)), ("many", rows.repartition(7)), ("sorted", rows.orderBy("n", "a"))):
+        keyed = with_row_keys(dealt, "q", 3)
+        assert keyed.columns == ["a", "n", "t", ROW_KEY]
+        keys[name] = Counter((r.a, r.n, r[ROW_KEY]) for r in keyed.collect())
+    assert keys["one"] == keys["many"] == keys["sorted"] and set(keys["one"].values()) == {1}
+    assert len(keys["one"]) == 9004
+    other = {r[ROW_KEY] for r in with_row_keys(rows, "q", 4).collect()}
+    assert not other & {k for _, _, k in keys["one"]}
+
+
+def test_row_keys_of_records_that_have_an_identity(spark):
+    rows = spark.range(5).selectExpr("0 AS partition", "id AS offset", "'same' AS a")
+    keyed = with_row_keys(rows, "q", 0, ["partition", "offset"])
+    assert "Exchange" not in keyed._jdf.queryExecution().toString()
+    assert keyed.select(ROW_KEY).distinct().count() == 5
+
+
+def test_a_whole_append_is_not_repeated_and_a_half_one_is_replaced(spark, tmp_path, monkeypatch):
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    rows = spark.createDataFrame([("x", 1, None)] * 3 + [("y", k, None) for k in range(5)], SCHEMA)
+    write = connector_writer("json", ledger=ledger, path=out)
+    want = Counter(map(str, rows.select("a", "n").collect()))
+    write(rows, "q", 0)
+    write(rows, "q", 0)
+    assert upserted(spark, out) == (want, want)
+    # Half of batch 1 is appended, then the driver is lost.
+    with_row_keys(rows.repartition(3), "q", 1).limit(4).write.mode("append").json(out)
+    # Batch 2 is appended whole, but its entry is lost.
+    enter = Ledger.enter
+    monkeypatch.setattr(Ledger, "enter", lambda *args: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        write(rows, "q", 2)
+    monkeypatch.setattr(Ledger, "enter", enter)
+    for batch in (1, 2, 2):
+        write(rows.repartition(2), "q", batch)
+    assert upserted(spark, out)[1] == Counter({k: 3 * n for k, n in want.items()})
+    write(rows, "other", 0)
+    assert upserted(spark, out)[1] == Counter({k: 4 * n for k, n in want.items()})
+
+
+def test_a_ledger_does_not_grow_with_its_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "_HOUR", 0)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for batch in range(250):
+        ledger.enter("q", batch)
+    assert all(ledger.has("q", b) for b in (0, 99, 249)) and not ledger.has("q", 250) and not ledger.has("p", 0)
+    assert ledger.book.latest().loads == {"q": [[0, 249]]}
+    assert len(list((tmp_path / "ledger" / "_versions").iterdir())) <= 100
+
+
+def test_a_connector_in_a_stream(spark, topic, tmp_path):  # noqa: F811
+    put, stream = topic
+    put((0, payload()), (0, payload()), (1, payload(404)))
+    out, checkpoint, failing = str(tmp_path / "out"), str(tmp_path / "cp"), [1]
+
+    def fail_once(rows, load_id, batch_id):
+        if failing:
+            time.sleep(3)  # until the connector has appended
+            failing.pop()
+            raise RuntimeError("down")
+
+    def run():
+        sink = connector_writer("json", ledger=str(tmp_path / "ledger"), path=out)
+        return fan_out(stream(), [sink, fail_once], [], checkpoint, DRAIN)
+
+    with pytest.raises(Exception, match="down"):
+        await_streams(run())
+    await_streams(run())
+    assert spark.read.json(out).count() == 3 == spark.read.json(out).select(ROW_KEY).distinct().count()
+
+
+def test_slow_writers_work_at_the_same_time(spark):
+    met = threading.Barrier(3, timeout=20)
+    seen = []
+
+    def job(k):
+        def run():
+            met.wait()
+            seen.append(spark.range(k).count())
+
+        return run
+
+    side_by_side(spark, [job(k) for k in (1, 2, 3)])
+    assert sorted(seen) == [1, 2, 3]
+
+
+def test_a_failing_writer_cancels_the_others(spark):
+    began = threading.Event()
+
+    def endless():
+        began.set()
+        spark.range(10**13).selectExpr("max(hash(id))").collect()
+
+    def fail():
+        began.wait(20)
+        time.sleep(1)
+        raise RuntimeError("sink is down")
+
+    start = time.monotonic()
+    with pytest.raises(RuntimeError, match="sink is down"):
+        side_by_side(spark, [endless, fail])
+    assert time.monotonic() - start < 30
+    assert spark.range(5).count() == 5 and not spark.sparkContext.getJobTags()
+
+
+def test_a_failing_writer_leaves_no_half_batch(spark, topic, tmp_path):  # noqa: F811
+    put, stream = topic
+    put((0, payload()), (0, "{bad"))
+    put((1, payload(404)), (1, "{bad"))
+    facts, bad, checkpoint, failures = str(tmp_path / "facts"), str(tmp_path / "bad"), str(tmp_path / "cp"), [1]
+
+    def fail_once(rows, load_id, batch_id):
+        if batch_id == 1 and failures:
+            failures.pop()
+            raise RuntimeError("sink is down")
+
+    def run():
+        return fan_out(stream(), [fact_writer(facts), fail_once], [quarantine_writer(bad)], checkpoint, DRAIN)
+
+    with pytest.raises(Exception, match="sink is down"):
+        await_streams(run())
+    assert read_facts(spark, facts).count() in (1, 2) and read_quarantine(spark, bad).count() in (1, 2)
+    await_streams(run())
+    assert read_facts(spark, facts).count() == 2 == read_quarantine(spark, bad).count()
+
+
+def progress(batch, rows, bad=0, late=0):
+    return SimpleNamespace(
+        progress=SimpleNamespace(
+            id="q", batchId=batch, numInputRows=rows, observedMetrics={"logmill": {"bad": bad}} if bad else {},
+            stateOperators=[SimpleNamespace(numRowsDroppedByWatermark=late)],
+        )
+    )
+
+
+def test_accounts_add_up_over_a_thousand_batches_and_restarts(spark, tmp_path):
+    folder = str(tmp_path / "accounts")
+    for start in range(0, 1000, 250):
+        accounts = Accounts(spark, folder)  # as after a restart
+        for batch in range(max(0, start - 1), start + 250):  # the last batch is reported again
+            accounts.onQueryProgress(progress(batch, 7, bad=batch % 2, late=3))
+    assert Accounts(spark, folder).of("q") == Account(999, 1000, 7000, 500, 3000)
+    assert len(list((tmp_path / "accounts" / "q").iterdir())) == 2
+    assert Accounts(spark, folder).of("unknown") == Account()
+
+
+def test_accounts_of_streams(spark, topic, tmp_path):  # noqa: F811
+    put, stream = topic
+    accounts = keep_accounts(spark, str(tmp_path / "accounts"))
+    try:
+        put((0, payload()), (0, "{bad"), (1, None))
+        put((30, payload()), (31, payload(404)))
+        ids = set()
+        for _ in range(2):
+            query = fan_out(
+                stream(), [fact_writer(str(tmp_path / "f")), fact_writer(str(tmp_path / "g"))],
+                [quarantine_writer(str(tmp_path / "b"))], str(tmp_path / "cp1"), DRAIN,
+            )
+            await_streams(query)
+            ids.add(query.id)
+            put((32, payload()), (33, "{bad"))
+        accounts.settle()
+        assert len(ids) == 1 and accounts.of(ids.pop()) == Account(2, 3, 7, 3, 0)
+        query = append_to_parquet(stream(), str(tmp_path / "p"), str(tmp_path / "cp2"), DRAIN)
+        await_streams(query)
+        accounts.settle()
+        assert accounts.of(query.id).bad == 4 and accounts.of(query.id).rows_in == 9
+    finally:
+        accounts.close()
+
+
+def test_left_out_rows_of_all_batches(spark, topic, tmp_path):  # noqa: F811
+    put, stream = topic
+    accounts = keep_accounts(spark, str(tmp_path / "accounts"))
+    try:
+        for minute in (0, 30, 31, 0, 1):
+            put((minute, payload(size=4)))
+        total = 0
+        for _ in range(2):
+            query = append_rollup(stream(), str(tmp_path / "m"), str(tmp_path / "cp"), "1 minute", DRAIN)
+            await_streams(query)
+            total += dropped_rows(query)
+            assert dropped_rows(query, accounts) == total
+            put((2, payload()))
+        assert total == 3
+    finally:
+        accounts.close()

@@ -165,7 +165,7 @@ def test_fan_out_batch_that_fails_half_way_is_not_doubled(spark, topic, tmp_path
 
     with pytest.raises(Exception, match="sink is down"):
         await_streams(run())
-    assert read_facts(spark, facts).count() == 2  # batch 1 was stored before the failure
+    assert read_facts(spark, facts).count() in (1, 2)  # batch 1 was stored before the failure, or cancelled
     await_streams(run())
     assert Counter(r.response_code for r in read_facts(spark, facts).collect()) == {200: 1, 404: 1}
     assert read_quarantine(spark, quarantine).count() == 2
