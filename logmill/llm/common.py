@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logmill.sources.shared import shared_folder
+from logmill.sources.shared import remove_folder, shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,7 +25,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` has returned, once nothing reads them any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table._stored_at)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.common import stored
+from logmill.llm.common import free, stored
 
 
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The root is the smallest node that can be reached. Large stars and small stars take
     turns until nothing changes, a number of rounds that grows with the logarithm of the
-    node count. The rows in between are written and reread each round. A node's
+    node count. The rows in between are written and reread each round, and those of the
+    round before removed. A node's
     smallest neighbour is combined before the shuffle, and the join that hands it back
     has no grouping on the same key above it, so a node with very many links is split.
     An empty table has no nodes. NULL ends are left out.
@@ -46,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(_distinct_edges(edges.select("u", "v").dropna()), "edges")
     state = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        free(before)
         # Equal rows give an equal sum of hashes whatever their order.
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == state:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm.common import lower_ascii, read_table, stored
+from logmill.llm.common import free, lower_ascii, read_table, stored
 
 DAMPING, THRESHOLD = 0.85, 1.0
 # Rounds at most; None, the default, has no bound: rounds end when ranks have settled.
@@ -30,7 +30,8 @@ LEAST_RANK = 2.0**-1022
 # Rules are part of the expression; a list beyond this should be a table of hosts.
 MOST_RULES = 1000
 ALLOW, BLOCK = "allow", "block"
-_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>\\]+)"""
+# A tag ends where the next begins, so that junk without ``>`` is read once.
+_HREF = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*+=\s*+["']?+\s*+(?:https?:)?+//([^/?#"'\s<>\\]++)"""
 
 
 @dataclass(frozen=True)
@@ -137,6 +138,7 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -
         both = new.withColumn("was", F.lit(0.0)).union(before).groupBy("kind", "host")
         new = stored(both.agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "ranks")
         grown = new.agg(F.max((F.col("rank") - F.col("was")) / F.col("rank"))).first()[0] or 0.0
+        free(ranks)
         ranks = new
         if grown <= SETTLED:
             break

@@ -1,4 +1,10 @@
+import hashlib
+import random
 import re
+import time
+
+import pytest
+import regex
 
 from conftest import CHECKED
 from logmill.llm import surrogates as sg
@@ -109,6 +115,177 @@ def test_all_documents(spark):
     assert len(pairs) > 50 and len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
 
 
+def test_a_person_is_one_with_and_without_titles_and_in_parts(spark):
+    (text,), (kinds,) = replaced(
+        spark, "Mrs Anna Miller came. Dr Anna Miller spoke, then Anna Miller's brother. ANNA! Miller: Prof. Miller, Annabel."
+    )
+    first = regex.match(r"Mrs (\w+a) (\w+r) came", text)
+    given, family = first[1], first[2]
+    assert text == (
+        f"Mrs {given} {family} came. Dr {given} {family} spoke, then {given} {family}'s brother. "
+        f"{given.upper()}! {family}: Prof. {family}, Annabel."
+    )
+    assert given != "Anna" and family != "Miller" and kinds == ["name"] * 7
+
+
+def test_words_of_names(spark):
+    (text,), _ = replaced(
+        spark,
+        "Mr O'Neill; Mrs Mary-Jane Watson; Dr John Ronald Reuel Tolkien; Mr J. R. Smith's; Frau Müller-Lüdenscheidt; Mr Jose\u0301 Diaz",
+    )
+    for left in ("Neill", "Mary", "Jane", "Watson", "John", "Ronald", "Reuel", "Tolkien", "Smith", "denscheidt", "Jos", "Diaz"):
+        assert left not in text
+    assert regex.search(r"; Mr \w\. \w\. \w+'s;", text)
+    (other,), (kinds,) = replaced(spark, "Anna Miller, a Doctor, Mrs. and Mr. x")
+    assert other == "Anna Miller, a Doctor, Mrs. and Mr. x" and kinds == []
+
+
+def test_genders_of_neutral_titles_come_from_elsewhere(spark):
+    texts, _ = replaced(spark, "Mrs Anna Lee", "Dr Anna Bow", "Mr Kim Lee", "Mrs Kim Bow", "Dr Kim Foo", "Mr Kim, Dr Kim Roe")
+    given = [t.split(" ")[1] for t in texts]
+    assert given[0] == given[1] and given[0].endswith("a") and given[4].endswith("y")
+    assert len({t.split(" ")[2] for t in texts[:3]} & {texts[0].split(" ")[2]}) == 1
+
+
+def test_printed_ibans(spark):
+    (text,), (kinds,) = replaced(spark, "DE89 3704 0044 0532 0130 00 DE89370400440532013000 GB29 NWBK 6016 1331 9268 19 NEXT")
+    assert kinds == ["iban"] * 3
+    printed = regex.match(r"(DE\d\d(?: \d{4}){4} \d\d) (DE\d{20}) (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d) NEXT$", text)
+    assert printed[1].replace(" ", "") == printed[2] != "DE89370400440532013000"
+
+
+@pytest.mark.parametrize("kind", ["ssn", "ip", "card", "phone", "iban", "secret", "given", "email"])
+def test_crowded_forms_grow_longer(spark, monkeypatch, kind):
+    """As if every surrogate of the form were taken: from the first draw on all are the same."""
+    monkeypatch.setattr(sg, "WIDER", 2)
+    real = sg.surrogate
+
+    def crowded(kind, canon, hash_, more):
+        return sg.F.when(more == 0, sg.F.lit("taken")).otherwise(real(kind, canon, hash_, more))
+
+    monkeypatch.setattr(sg, "surrogate", crowded)
+    canon = {"phone": "1:555", "iban": "DE8937", "ip": "1.2.3.4"}.get(kind, "4111111111111111")
+    units = spark.createDataFrame([(kind, canon), (kind, canon + "2")], "kind string, canon string")
+    new = {r["new"] for r in sg.draw_surrogates(units).collect()}
+    assert len(new) == 2 and len([n for n in new if n != "taken"]) >= 1
+
+
+LONG = 1 << 20
+CRAFTED = {
+    "labels": "x@" + "a." * LONG + "com",
+    "many labels": ("x@" + "a." * 100) * 10_000,
+    "at": "@" * LONG + "x@" * LONG,
+    "digits": "7" * LONG + " " + "7 " * LONG + "1-" * LONG + "1." * LONG,
+    "capitals": "A" * LONG + " " + "AB12" * (LONG // 4) + " " + "AB12 " * (LONG // 5),
+    "hex": "f" * LONG + "é " + "0f" * (LONG // 2),
+    "keys": "sk-" * (LONG // 3) + "é",
+    "titles": "Mr " * (LONG // 3) + "Dr. " * (LONG // 4),
+    "names": "Mr" + " Ab" * (LONG // 3),
+    "hyphens": "Mrs A" + "-b" * LONG + "'c" * LONG,
+    "plus": "+1 (" * (LONG // 4) + "+12 " * (LONG // 4),
+}
+
+
+@pytest.mark.parametrize("name", CRAFTED)
+def test_no_text_takes_more_than_linear_time_or_a_deep_stack(spark, name):
+    text = CRAFTED[name]
+    start = time.monotonic()
+    (new,), _ = replaced(spark, text)
+    assert time.monotonic() - start < 60
+    if name in ("labels", "at", "keys", "titles"):
+        assert len(new) >= len(text) // 2
+    assert name != "names" or "Ab" not in new.split(" ")[:100]
+
+
+def test_a_document_of_very_many_entities(spark):
+    text = " ".join(f"u{k}@x{k}.org" for k in range(30_000))
+    start = time.monotonic()
+    (new,), (kinds,) = replaced(spark, text)
+    assert len(set(new.split(" "))) == 30_000 == len(kinds) and time.monotonic() - start < 60
+
+
+# An independent replacement, for forms that rarely clash: plain Python, one text at a time.
+WORD = r"\p{L}\p{N}"
+NAME = r"\p{Lu}[\p{L}\p{M}]*(?:(?:-|'(?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*)*"
+PLAIN = regex.compile(
+    rf"(?<email>(?<![{WORD}._%+-])[{WORD}][{WORD}._%+-]*@[{WORD}](?:[{WORD}-]*\.)+\p{{L}}{{2,24}})"
+    r"|(?<ssn>(?<![0-9-])\d{3}-\d\d-\d{4}(?![0-9-]))"
+    rf"|(?<name>(?<![{WORD}])(?<title>Mrs|Mr|Dr)(?: {NAME})+)|(?<word>(?<![{WORD}\p{{M}}]){NAME})"
+)
+
+
+def plain_surrogate(kind, canon):
+    sha = hashlib.sha256("\x01".join([sg.KEY, kind, canon, "0"]).encode()).hexdigest()
+    number = lambda k: int(sha[k % 32 * 2 : k % 32 * 2 + 2], 16)
+    if kind == "ssn":
+        return "".join(str("abcdef".index(c)) if c in "abcdef" else c for c in sha)[:9]
+    if kind == "email":
+        body, _, domain = canon.rpartition(".")
+        like = [str(number(i) % 10) if c.isdigit() else chr(97 + number(i) % 26) if c.isalpha() else c for i, c in enumerate(body)]
+        return f"{''.join(like)}.{domain}"
+    onsets = "bdfghklmnprstvwz"
+    syllables = [onsets[number(2 * k) % 16] + "aeio"[number(2 * k + 1) % 4] for k in range(4)]
+    return "".join(syllables) + {"given_m": "n", "given_f": "a", "given": "y", "family": "r"}[kind]
+
+
+def plain_replaced(texts):
+    told = {}  # (text or None for all, word) -> kinds
+    for at, text in enumerate(texts):
+        for m in PLAIN.finditer(text):
+            if m["name"]:
+                *given, family = m["name"].split(" ")[1:]
+                sort = {"Mr": "given_m", "Mrs": "given_f"}.get(m["title"], "given")
+                for word, kind in [(w, sort) for w in given] + [(family, "family")]:
+                    for place in (at, None):
+                        told.setdefault((place, word.lower()), set()).add(kind)
+
+    def gender(at, word):
+        for place in (at, None):
+            found = told[place, word] & {"given_m", "given_f"}
+            if len(found) == 1:
+                return found.pop()
+        return "given"
+
+    def cased(new, old):
+        return new.upper() if len(old) > 1 and old == old.upper() else new.capitalize()
+
+    def one(at, m):
+        old = m[0]
+        if m["ssn"]:
+            new = plain_surrogate("ssn", old.replace("-", ""))
+            return f"{new[:3]}-{new[3:5]}-{new[5:]}"
+        if m["email"]:
+            new = plain_surrogate("email", old.lower())
+            return new.upper() if old == old.upper() else new
+        if m["word"]:
+            kinds = told.get((at, old.lower()))
+            if not kinds:
+                return old
+            kind = "family" if "family" in kinds else gender(at, old.lower())
+            return cased(plain_surrogate(kind, old.lower()), old)
+        title, *words = old.split(" ")
+        kinds = [{"Mr": "given_m", "Mrs": "given_f"}.get(title) or gender(at, w.lower()) for w in words[:-1]] + ["family"]
+        return " ".join([title, *[cased(plain_surrogate(k, w.lower()), w) for k, w in zip(kinds, words)]])
+
+    return [PLAIN.sub(lambda m, at=at: one(at, m), text) for at, text in enumerate(texts)]
+
+
+def test_equals_plain_replacement(spark):
+    rng = random.Random(7)
+    given, family = ["Anna", "John", "Mary-Jane", "Kim", "Ludwig"], ["Miller", "O'Neill", "SMITH", "Tolkien"]
+    parts = [
+        lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {rng.choice(given)} {rng.choice(family)}",
+        lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {rng.choice(family)}'s",
+        lambda: f"{rng.choice(given)} {rng.choice(family)}", lambda: rng.choice(given).upper(),
+        lambda: f"{rng.choice('abc')}{rng.randrange(99)}.Long-Name@Host{rng.randrange(9)}.example.ORG",
+        lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: "The words between, and then", lambda: "\n", lambda: "x@y @ . é",
+    ]
+    texts = ["; ".join(rng.choice(parts)() for _ in range(rng.randrange(25))) for _ in range(300)]
+    new, _ = replaced(spark, *texts)
+    assert new == plain_replaced(texts) and sum(a != b for a, b in zip(new, texts)) > 200
+
+
 def test_plan_is_native(spark):
     plan = sg.op2_surrogates(spark, CHECKED)._jdf.queryExecution().executedPlan().toString()
     for foreign in ("Python", "InPandas", "InArrow", "Cartesian", "NestedLoop"):
