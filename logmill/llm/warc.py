@@ -36,10 +36,11 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 # Pages have no time of capture of their own.
 _DATE = "1970-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
-RECORD = (
+_FIELDS = (
     "record_id string, type string, target_uri string, concurrent_to array<string>, refers_to string, "
-    "payload_digest string, http_head string, payload binary, fields map<string,string>"
+    "payload_digest string, http_head string, payload_bytes long, payload_sha1 string, fields map<string,string>"
 )
+RECORD = f"{_FIELDS}, payload binary"
 _ARROW = pa.schema(
     [
         ("record_id", pa.string()),
@@ -49,14 +50,17 @@ _ARROW = pa.schema(
         ("refers_to", pa.string()),
         ("payload_digest", pa.string()),
         ("http_head", pa.string()),
-        ("payload", pa.binary()),
+        ("payload_bytes", pa.int64()),
+        ("payload_sha1", pa.string()),
         ("fields", pa.map_(pa.string(), pa.string())),
+        ("payload", pa.binary()),
     ]
 )
 
 
-def record_id(kind: str, page_id: int | None, url: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, repr((kind, page_id, url, digest)))}>"
+def record_id(kind: str, number: int, page_id: int | None, url: str | None, digest: str) -> str:
+    """``number`` tells rows apart that are equal."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, repr((kind, number, page_id, url, digest)))}>"
 
 
 def one_line(text: str) -> str:
@@ -76,8 +80,8 @@ def record(headers: dict[str, str | None], block: bytes) -> bytes:
 
 def capture_records(page: dict) -> list[bytes]:
     """Request, response or revisit, and metadata of a page row."""
-    page_id, url, payload, digest = (page[k] for k in ("page_id", "url", "payload", "digest"))
-    own = record_id("response", page_id, url, digest)
+    number, page_id, url, payload, digest = (page[k] for k in ("number", "page_id", "url", "payload", "digest"))
+    own = record_id("response", number, page_id, url, digest)
     original = page["original"]
     uri = None if url is None else one_line(url)
     host, _, path = (uri or "").partition("://")[2].partition("/")
@@ -91,16 +95,16 @@ def capture_records(page: dict) -> list[bytes]:
     }
     if original is not None:
         answer["WARC-Profile"] = _PROFILE
-        answer["WARC-Refers-To"] = record_id("response", original["page_id"], original["url"], digest)
+        answer["WARC-Refers-To"] = record_id("response", original["number"], original["page_id"], original["url"], digest)
     linked = {"WARC-Target-URI": uri, "WARC-Concurrent-To": own}
     request = {
         "WARC-Type": "request",
-        "WARC-Record-ID": record_id("request", page_id, url, digest),
+        "WARC-Record-ID": record_id("request", number, page_id, url, digest),
         "Content-Type": "application/http; msgtype=request",
     }
     metadata = {
         "WARC-Type": "metadata",
-        "WARC-Record-ID": record_id("metadata", page_id, url, digest),
+        "WARC-Record-ID": record_id("metadata", number, page_id, url, digest),
         "Content-Type": "application/warc-fields",
     }
     fields = {"pageId": "" if page_id is None else page_id, "payloadBytes": len(payload)}
@@ -112,9 +116,14 @@ def capture_records(page: dict) -> list[bytes]:
 
 
 def with_originals(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages with ``payload``, ``digest`` and, where another page's response has the same
-    payload, that page as ``original``."""
+    """Pages with ``number``, ``payload``, ``digest`` and, where another page's response has the
+    same payload, that page as ``original``.
+
+    ``pages`` is read twice and must have its rows in the same places, as stored tables do:
+    ``number`` is a row's place.
+    """
     rows = pages.select(
+        F.monotonically_increasing_id().alias("number"),
         F.col(page_id).cast("bigint").alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"),
@@ -123,13 +132,13 @@ def with_originals(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     first = (
         rows.filter(large & F.col("page_id").isNotNull())
         .groupBy(F.col("digest").alias("shared"))
-        .agg(F.max(F.struct("page_id", "url")).alias("original"))
+        .agg(F.max(F.struct("page_id", "url", "number")).alias("original"))
     )
     # Rows that cannot revisit get keys of their own, so that they spread.
-    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("number")))
     met = rows.withColumn("wanted", key).join(first, F.col("wanted") == F.col("shared"), "left")
     other = ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    return met.select("page_id", "url", "payload", "digest", F.when(other, F.col("original")).alias("original"))
+    return met.select("number", "page_id", "url", "payload", "digest", F.when(other, F.col("original")).alias("original"))
 
 
 def write_archives(captures: DataFrame, folder: str) -> DataFrame:
@@ -200,16 +209,19 @@ def parse_record(data: bytes) -> dict:
     if content.startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
         row["http_head"] = http.decode("utf-8", "replace")
-        row["payload"] = payload if kind == "response" else None
+        if kind == "response":
+            row |= {"payload": payload, "payload_bytes": len(payload), "payload_sha1": hashlib.sha1(payload).hexdigest()}
     elif content.startswith("application/warc-fields"):
         row["fields"] = _fields(block.decode("utf-8", "replace").split("\r\n"))
     else:
-        row["payload"] = block
+        row |= {"payload": block, "payload_bytes": len(block), "payload_sha1": hashlib.sha1(block).hexdigest()}
     return row
 
 
-def read_records(archives: DataFrame) -> DataFrame:
-    """All records of the archives at ``path``."""
+def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
+    """All records of the archives at ``path``; their payloads if wanted, else only what is
+    told of them: ``payload_bytes`` and ``payload_sha1`` of what was read."""
+    schema = _ARROW if payload else _ARROW.remove(_ARROW.get_field_index("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,44 +229,55 @@ def read_records(archives: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 with files.open_input(path) as stream:
                     for data in members(stream):
-                        rows.append(parse_record(data))
+                        row = parse_record(data)
+                        rows.append({name: row[name] for name in schema.names})
                         size += len(data)
                         if size > BATCH_BYTES:
-                            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                            yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     count = max(1, archives.count())
-    return archives.repartition(count, "path").mapInArrow(run, RECORD)
+    return archives.repartition(count, "path").mapInArrow(run, RECORD if payload else _FIELDS)
 
 
-def _roots(links: DataFrame, answers: DataFrame) -> DataFrame:
-    """``linked``, ``root``: the response of every record that names one, itself or by a
-    record that does."""
-    direct = links.join(answers, F.col("names") == F.col("root")).select("linked", "root")
-    rest = links.join(direct.select(F.col("linked").alias("done")).distinct(), F.col("linked") == F.col("done"), "left_anti")
-    via = direct.select(F.col("linked").alias("between"), "root")
-    hop = rest.join(via, F.col("names") == F.col("between")).select("linked", "root")
-    return direct.union(hop).groupBy("linked").agg(F.min("root").alias("root"))
+def _roots(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """``linked``, ``root``: the response of every record from which links lead to one.
+
+    A link counts both ways, whichever of the two records it is written in. Records that are
+    as many links away from several responses belong to that of the smallest id. A round
+    takes all records one link further; there are as many as the longest chain has links.
+    """
+    links = records.select(F.col("record_id").alias("one"), F.explode("concurrent_to").alias("other")).filter("one <> other")
+    links = stored(links.union(links.select("other", "one")).distinct(), "links")
+    known = front = answers.select(F.col("root").alias("linked"), "root")
+    while True:
+        near = links.join(front, F.col("other") == F.col("linked")).groupBy("one").agg(F.min("root").alias("root"))
+        new = near.join(known.select("linked"), F.col("one") == F.col("linked"), "left_anti")
+        front = stored(new.select(F.col("one").alias("linked"), "root"), "linked")
+        if front.isEmpty():
+            return known
+        known = known.union(front)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: ``capture_id``, ``response``, ``request``, ``metadata``, ``others``.
 
-    A capture is a response, revisit or resource record. The records that name it by
-    ``concurrent_to``, or name a record that names it, join it; of several requests or
-    metadata records the one of the smallest id is taken, as a struct; further ones are
-    counted in ``others``. A capture without them has NULL there, and records that lead
-    to no capture are left out. Records of one id are one record.
+    A capture is a response, revisit or resource record. The records that links by
+    ``concurrent_to`` connect with it, over other records too and whichever side names the
+    other, join it; of several requests or metadata records the one of the smallest id is
+    taken, as a struct; further ones are counted in ``others``. A capture without them has
+    NULL there, and records that lead to no capture are left out. Records of one id are one
+    record: of several contents, the one whose fields come first in order. Payloads are in
+    ``response`` if ``records`` has them.
     """
     answer = F.col("type").isin("response", "revisit", "resource")
     # Everything but the payloads, which are read only where they are handed on.
-    slim = stored(records.select("record_id", "type", "target_uri", "concurrent_to", "http_head", "fields"), "records")
+    slim = stored(records.drop("payload"), "records")
     small = slim.filter(~answer)
-    links = small.select(F.col("record_id").alias("linked"), F.explode("concurrent_to").alias("names")).distinct()
     answers = slim.filter(answer).select(F.col("record_id").alias("root")).distinct()
-    roots = _roots(links, answers)
+    roots = _roots(slim, answers)
     whole = F.struct("record_id", "target_uri", "http_head", "type", "concurrent_to", "fields_text")
     kinds = (
         small.withColumn("fields_text", F.to_json("fields"))
@@ -269,9 +292,14 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     found = F.when(F.col("request").isNotNull(), 1).otherwise(0)
     found = found + F.when(F.col("metadata").isNotNull(), 1).otherwise(0)
-    response = F.struct("record_id", "type", "target_uri", "refers_to", "payload_digest", "http_head", "payload")
-    once = records.filter(answer).select("record_id", response.alias("response"))
-    once = once.groupBy("record_id").agg(F.first("response").alias("response"))
+    told = ["type", "target_uri", "refers_to", "payload_digest", "http_head", "payload_bytes", "payload_sha1"]
+    if "payload" in records.columns:
+        response = F.struct("record_id", *told, "payload").alias("response")
+        once = records.filter(answer).select("record_id", response, F.struct(*told).alias("order"))
+        once = once.groupBy("record_id").agg(F.min_by("response", "order").alias("response"))
+    else:
+        response = F.struct("record_id", *told).alias("response")
+        once = slim.filter(answer).select("record_id", response).groupBy("record_id").agg(F.min("response").alias("response"))
     joined = once.join(kinds, F.col("record_id") == F.col("of"), "left")
     part = lambda name: F.when(
         F.col(name).isNotNull(),
@@ -295,19 +323,20 @@ def _field(name: str) -> Column:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages say about each page.
 
-    Pages that repeat in id, URL and text are one capture. A NULL id never is the
-    response that others revisit.
+    Every row is a capture of its own, also of those that are equal. A NULL id never is the
+    response that others revisit. Size and digest of a response are those of the payload as
+    it was read back, taken where it is read, so that payloads are shuffled once.
     """
     folder = shared_folder(spark, "warc")
     archives = write_archives(with_originals(read_table(spark, sf_dir, "pages")), folder)
-    captures = assemble(read_records(archives))
+    captures = assemble(read_records(archives, payload=False))
     held = F.col("response.type") == "response"
     narrow = stored(
         captures.select(
             "capture_id",
             _field("pageId").alias("page_id"),
-            F.when(held, F.octet_length("response.payload")).otherwise(_field("payloadBytes")).cast("bigint").alias("payload_bytes"),
-            F.when(held, F.sha1("response.payload")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+            F.when(held, F.col("response.payload_bytes")).otherwise(_field("payloadBytes")).cast("bigint").alias("payload_bytes"),
+            F.when(held, F.col("response.payload_sha1")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
             F.col("response.type").alias("record_type"),
             F.col("response.refers_to").alias("named"),
         ),

@@ -52,11 +52,21 @@ def test_odd_rows(spark, tmp_path):
 
 
 def test_repeated_and_nameless_rows(spark, tmp_path):
-    rows = [*ROWS[:3], ROWS[0], (None, "n", BIG), (None, "n", "s")]
-    got = sorted(query(spark, tmp_path, rows), key=str)
+    rows = [*ROWS[:3], ROWS[0], ROWS[2], ROWS[2], *ROWS[3:6], ROWS[4], (None, "n", BIG), (None, "n", BIG), (None, "n", "s")]
+    got = query(spark, tmp_path, rows)
+    named = [r for r in rows if r[0] is not None]
+    assert sorted(r for r in got if r[0] is not None) == expected(named)
     nameless = [r for r in got if r[0] is None]
-    assert [r for r in got if r[0] is not None] == expected(ROWS[:3])
-    assert sorted((r[3], r[4]) for r in nameless if r[4]) == [("revisit", 3)] and len(nameless) == 2
+    assert sorted((r[3], r[4]) for r in nameless if r[4]) == [("revisit", 3)] * 2 and len(nameless) == 3
+
+
+def test_repeated_rows_match_the_sql(spark, tmp_path):
+    pages = spark.createDataFrame([*ROWS, *ROWS[:7], *ROWS[:3]], PAGES)
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = database.execute(warc.OP5_SQL).fetchall()
+    assert sorted(map(tuple, warc.op5_warc(spark, f"file://{tmp_path}").collect()), key=str) == sorted(want, key=str)
 
 
 def test_empty_table(spark, tmp_path):
@@ -109,7 +119,8 @@ def test_captures_are_nested(archives):
 
 def records(spark, *rows):
     full = [
-        (i, kind, None, names, None, None, None, b"p" if kind == "response" else None, None) for i, kind, names in rows
+        (i, kind, None, names, None, None, None, None, None, None, b"p" if kind == "response" else None)
+        for i, kind, names in rows
     ]
     return spark.createDataFrame(full, warc.RECORD)
 
@@ -134,6 +145,28 @@ def test_links_over_another_record_and_broken_ones(spark):
     assert got["r2"]["request"] is None and got["r2"]["metadata"] is None
 
 
+def test_a_response_that_names_its_request_and_a_chain_of_four(spark):
+    found = warc.assemble(
+        records(
+            spark,
+            ("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["q1"]),
+            ("r2", "response", []), ("a", "conversion", ["r2"]), ("b", "conversion", ["a"]), ("c", "conversion", ["b"]),
+            ("d", "metadata", ["c"]), ("e", "request", ["d", "e"]), ("r3", "response", ["r2"]), ("lone", "request", ["nobody"]),
+        )
+    )
+    got = {r["capture_id"]: (r["request"] and r["request"]["record_id"], r["metadata"] and r["metadata"]["record_id"], r["others"]) for r in found.collect()}
+    assert got == {"r1": ("q1", "m1", 0), "r2": ("e", "d", 3), "r3": (None, None, 0)}
+
+
+def test_of_records_with_one_id_the_first_in_order_is_taken(spark):
+    rows = [("r", "response", None, [], None, digest, None, 1, digest, None, digest.encode()) for digest in "cabd"]
+    for order in (rows, rows[::-1]):
+        (one,) = warc.assemble(spark.createDataFrame(order, warc.RECORD)).collect()
+        assert one["response"]["payload_digest"] == "a" and bytes(one["response"]["payload"]) == b"a"
+        (slim,) = warc.assemble(spark.createDataFrame(order, warc.RECORD).drop("payload")).collect()
+        assert slim["response"]["payload_sha1"] == "a"
+
+
 def test_cut_archive_is_an_error(tmp_path):
     data = warc.record({"WARC-Type": "response"}, b"x" * 100)
     with pytest.raises(ValueError, match="ends within"):
