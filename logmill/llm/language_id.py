@@ -34,7 +34,7 @@ RIDGE = 1e-3
 # Share below which the nearest codeword does not stand out.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[\W\d_]+")
 # Rows that are scored at once.
 _ROWS = 256
 # Characters hashed at once, whatever the length of a text.
@@ -136,32 +136,33 @@ def fit(rows: np.ndarray, labels: list[str]) -> LanguageModel:
     return LanguageModel(languages, code, weights, offsets, bits / bits.sum(), 6.0)
 
 
-def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on at most ``SAMPLE_ROWS`` rows with a language and a letter.
 
-    Rows are drawn by a hash of key and text, at one rate per language that evens the
-    languages out; repeated rows are drawn together. A table without such rows gives a
-    model that answers ``und``.
+    Rows are drawn by a hash of the text alone, at one rate per language that evens the
+    languages out, so the same texts give the same model whatever their ids. Copies of a
+    text count once. A table without such rows gives a model that answers ``und``.
     """
     usable = rows.select(
         F.col(lang).cast("string").alias("lang"),
         F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(key), F.col(text)).alias("draw"),
+        F.xxhash64(F.col(text).cast("string")).alias("draw"),
     ).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("draw").alias("count")).orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     quota = max(1, SAMPLE_ROWS // max(1, len(counts)))
     spark = rows.sparkSession
     # Somewhat more than the quota is drawn, then cut to it.
     rates = [(r["lang"], min(1.0, 1.5 * quota / r["count"])) for r in counts]
     rated = usable.join(F.broadcast(spark.createDataFrame(rates, "known string, rate double")), F.col("lang") == F.col("known"))
     drawn = rated.filter((F.shiftrightunsigned("draw", 11) / float(1 << 53)) < F.col("rate"))
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(text).tobytes() for text in batch.column("text").to_pylist()]
         columns = [batch.column("lang"), batch.column("draw"), pa.array(found, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "draw", "grams"])
 
-    told = map_batches(drawn.select("lang", "text", "draw"), run, "lang string, draw bigint, grams binary")
+    told = map_batches(drawn, run, "lang string, draw bigint, grams binary")
     told = told.orderBy("draw", "grams").limit(2 * SAMPLE_ROWS)
     labels: list[str] = []
     grams = np.empty((SAMPLE_ROWS, BUCKETS), np.float32)
@@ -181,14 +182,15 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     """
     results = ("lang_pred", "score", "ambiguous", "runner_up")
     kept = [c for c in keep if c not in results]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).cast("string").alias("text"))
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.struct(*kept).alias("row"), whole.alias("text"), has_letter(whole).alias("told"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         found = [(UNKNOWN, 0.0, False, None)] * batch.num_rows
         texts = batch.column("text").to_pylist()
-        told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+        told = [i for i, t in enumerate(batch.column("told").to_pylist()) if t] if model.languages else []
         for start in range(0, len(told), _ROWS):
             part = told[start : start + _ROWS]
             shares = model.shares(np.stack([features(texts[i]) for i in part]))

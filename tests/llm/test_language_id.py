@@ -91,3 +91,41 @@ def test_the_sample_is_bounded_and_even(spark, monkeypatch):
     monkeypatch.setattr(lid, "fit", lambda rows, labels: seen.extend(labels))
     lid.train(spark.read.parquet(f"{CHECKED}/documents.parquet"))
     assert len(seen) <= 40 and all(seen.count(x) <= 10 for x in seen) and len(set(seen)) == 4
+
+
+def test_signs_that_are_no_letters(spark):
+    rows = [(k, f"some words of number {k}", "en", None, None) for k in range(9)] + [(k, f"des mots et {k}", "fr", None, None) for k in range(9, 19)]
+    model = lid.train(documents(spark, rows))
+    odd = ["½ ②", "² ① Ⅷ", "①", "_9_", "ª", "中"]
+    found = lid.predict(documents(spark, [(k, t, None, None, None) for k, t in enumerate(odd)]), model, ["doc_id"]).collect()
+    told = {odd[r["doc_id"]]: r["lang_pred"] for r in found}
+    assert [t for t in odd if told[t] == "und"] == odd[:4]
+
+
+def test_the_model_does_not_depend_on_ids_or_copies(spark):
+    docs = spark.read.parquet(f"{CHECKED}/documents.parquet")
+    one = lid.train(docs)
+    other = lid.train(docs.selectExpr("doc_id * 7 - 5 AS doc_id", "text", "lang", "'z' AS source").repartition(5))
+    copies = lid.train(docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id < 40")))
+    for model in (other, copies):
+        assert model.languages == one.languages and np.array_equal(model.weights, one.weights)
+
+
+def test_decoding_by_plain_loops(spark):
+    docs = spark.read.parquet(f"{CHECKED}/documents.parquet").limit(200)
+    model = lid.train(docs)
+    for row in lid.predict(docs, model, ["text"]).collect():
+        if row["lang_pred"] == "und":
+            continue
+        grams = lid.features(row["text"])
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for bit, want in enumerate(word):
+                margin = float(grams @ model.weights[:, bit] + model.offsets[bit])
+                loss += model.bit_weights[bit] * max(0.0, 1 - want * min(1.5, max(-1.5, margin)))
+            losses.append(loss)
+        near = [np.exp(-model.sharpness * (loss - min(losses))) for loss in losses]
+        best = min(range(len(losses)), key=lambda k: (losses[k], k))
+        assert row["lang_pred"] == model.languages[best]
+        assert row["score"] == pytest.approx(near[best] / sum(near), abs=1e-6)

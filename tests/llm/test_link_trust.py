@@ -1,11 +1,13 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 
 from conftest import CHECKED
 from logmill.llm import link_trust as lt
+from logmill.sources import shared
 from odd import folder
 
 PAGES = "page_id long, url string, html string"
@@ -146,6 +148,22 @@ def test_two_host_ring_settles(spark):
     assert {r["page_id"]: r["trust"] for r in found} == pytest.approx(want, rel=1e-5)
 
 
+@pytest.mark.parametrize("junk", ["<a ", "<a href ", "<a\n", "<a href=", "<a href=//", "href = ", "<a " + "x " * 9])
+def test_junk_takes_linear_time(spark, junk):
+    html = junk * (3_000_000 // len(junk)) + "<a href=//b.net/>"
+    start = time.monotonic()
+    links = lt.host_links(spark.createDataFrame([(1, "http://a.net/" + "/?#" * 300_000, html)], PAGES)).collect()
+    assert time.monotonic() - start < 30
+    assert ("a.net", "b.net", 1) in [tuple(r) for r in links]
+
+
+def test_rounds_leave_one_table_of_ranks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_base", lambda session: f"file://{tmp_path}")
+    rows = [(i, f"http://h{i}.net/", f"<a href=//h{i + 1}.net/>") for i in range(20)]
+    lt.judge(spark.createDataFrame(rows, PAGES), [lt.Rule("allow", "h0.net", "/")], ["page_id"]).collect()
+    assert len(list(tmp_path.glob("*/ranks-*"))) == 1
+
+
 def test_plan_is_native(spark):
     plan = lt.op3_link_trust(spark, CHECKED)._jdf.queryExecution().executedPlan().toString()
     for foreign in ("Python", "InPandas", "InArrow", "Cartesian", "NestedLoop"):
