@@ -113,24 +113,28 @@ class LanguageModel:
 
 
 def fit(rows: np.ndarray, labels: list[str]) -> LanguageModel:
-    """One ridge classifier per bit; without rows, a model that knows no language."""
+    """One ridge classifier per bit; without rows, a model that knows no language.
+
+    ``rows`` are overwritten.
+    """
     languages = sorted(set(labels))
     code = codewords(len(languages))
     if not languages:
         return LanguageModel([], code, np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1), 1.0)
-    rows = rows.astype(np.float64)
     place = np.array([languages.index(label) for label in labels])
     # Every language weighs the same, whatever its number of rows.
     weight = (1.0 / np.bincount(place, minlength=len(languages)))[place] / len(languages)
     target = code[place]
     centre, goal = weight @ rows, weight @ target
-    scaled = rows - centre
-    scaled *= np.sqrt(weight)[:, None]
+    # In place: the driver holds one copy.
+    scaled, root = rows, np.sqrt(weight)[:, None]
+    scaled -= centre
+    scaled *= root
     # Rows are fewer than buckets, so solve among the rows.
     gram = scaled @ scaled.T + RIDGE * np.eye(len(rows)) / len(rows)
-    weights = scaled.T @ np.linalg.solve(gram, (target - goal) * np.sqrt(weight)[:, None])
+    weights = scaled.T @ np.linalg.solve(gram, (target - goal) * root)
     offsets = goal - centre @ weights
-    error = weight @ (np.sign(rows @ weights + offsets) != target)
+    error = weight @ (np.sign(scaled @ weights / root + goal) != target)
     bits = np.log((1.0 - error + 1e-2) / (error + 1e-2))
     bits = np.maximum(bits, 1e-3)
     return LanguageModel(languages, code, weights, offsets, bits / bits.sum(), 6.0)
@@ -156,21 +160,27 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     rated = usable.join(F.broadcast(spark.createDataFrame(rates, "known string, rate double")), F.col("lang") == F.col("known"))
     drawn = rated.filter((F.shiftrightunsigned("draw", 11) / float(1 << 53)) < F.col("rate"))
     drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    # Which rows, by their draws alone; then the n-grams of just those.
+    draws = drawn.select("lang", "draw").orderBy("draw", "lang").limit(2 * SAMPLE_ROWS).collect()
+    chosen: dict[str, list[int]] = {}
+    for row in draws:
+        mine = chosen.setdefault(row["lang"], [])
+        if len(mine) < quota and sum(map(len, chosen.values())) < SAMPLE_ROWS:
+            mine.append(row["draw"])
+    picked = spark.createDataFrame([(k, d) for k, mine in chosen.items() for d in mine], "chosen string, at bigint")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(text).tobytes() for text in batch.column("text").to_pylist()]
         columns = [batch.column("lang"), batch.column("draw"), pa.array(found, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "draw", "grams"])
 
-    told = map_batches(drawn, run, "lang string, draw bigint, grams binary")
-    told = told.orderBy("draw", "grams").limit(2 * SAMPLE_ROWS)
-    labels: list[str] = []
-    grams = np.empty((SAMPLE_ROWS, BUCKETS), np.float32)
-    for row in told.toLocalIterator():
-        if labels.count(row["lang"]) < quota and len(labels) < SAMPLE_ROWS:
-            grams[len(labels)] = np.frombuffer(row["grams"], np.float32)
-            labels.append(row["lang"])
-    return fit(grams[: len(labels)], labels)
+    rows = drawn.join(F.broadcast(picked), (F.col("lang") == F.col("chosen")) & (F.col("draw") == F.col("at")))
+    told = map_batches(rows.select("lang", "draw", "text"), run, "lang string, draw bigint, grams binary").toArrow()
+    told = told.sort_by([("draw", "ascending"), ("lang", "ascending")])
+    grams = np.empty((told.num_rows, BUCKETS), np.float64)
+    for at, row in enumerate(told.column("grams")):
+        grams[at] = np.frombuffer(row.as_buffer(), np.float32)
+    return fit(grams, told.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
