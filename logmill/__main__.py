@@ -1,4 +1,4 @@
-"""Command line: ``python -m logmill batch|stream|rollup|day|compact|history|vacuum|publish|synth``."""
+"""Command line: ``python -m logmill batch|stream|rollup|day|replay|compact|history|vacuum|publish|synth``."""
 
 import argparse
 from datetime import UTC, datetime
@@ -22,6 +22,7 @@ from logmill.streaming.pipelines import (
     fan_out,
     quarantine_writer,
 )
+from logmill.streaming.replay import replay
 from logmill.streaming.rollup import ROLLUP_FIELDS, update_rollup
 
 
@@ -103,6 +104,11 @@ def _compact(spark, args):
     compact(spark, args.table, args.day, ROLLUP_FIELDS if args.rollup else ENRICHED_FIELDS)
 
 
+def _replay(spark, args):
+    moved = replay(spark, f"{args.out}/quarantine", f"{args.out}/facts", args.zone, stopped=args.stopped)
+    print(f"{moved} records moved to the facts")
+
+
 def _history(spark, args):
     for version in Table(spark, args.table).history():
         at = datetime.fromtimestamp(version.at, UTC).isoformat(" ", "seconds")
@@ -172,6 +178,11 @@ def parser() -> argparse.ArgumentParser:
     merge.add_argument("--day", required=True, help="yyyy-mm-dd or yyyymmdd")
     merge.add_argument("--rollup", action="store_true", help="the table is a minute rollup")
 
+    again = command("replay", _replay, "move records of the quarantine that parse now to the facts")
+    again.add_argument("out", help="folder that stream writes to")
+    again.add_argument("--zone", default="UTC")
+    again.add_argument("--stopped", action="store_true", help="the stream is not running: take its last batch too")
+
     history = command("history", _history, "versions of a table")
     history.add_argument("table")
 
