@@ -1,4 +1,4 @@
-"""Command line: ``python -m logmill batch|stream|rollup|day|replay|compact|history|vacuum|publish|synth``."""
+"""Command line: ``python -m logmill batch|stream|rollup|day|days|replay|compact|history|vacuum|publish|synth``."""
 
 import argparse
 from datetime import UTC, datetime
@@ -8,6 +8,7 @@ from logmill.operators import serving
 from logmill.plans.batch import analyze
 from logmill.schema import ENRICHED_FIELDS
 from logmill.session import build_session
+from logmill.sources import partials
 from logmill.sources.compact import compact
 from logmill.sources.lines import publish, publish_stream, read_text_lines, read_topic, records, stream_text_lines
 from logmill.sources.synthetic import synthetic_log
@@ -100,6 +101,19 @@ def _day(spark, args):
         rows.show(truncate=False)
 
 
+def _days(spark, args):
+    print(f"{len(partials.refresh_partials(spark, args.facts, args.partials))} days made anew")
+    made = partials.read_partials(spark, args.partials, args.first, args.last)
+    for figure in (
+        partials.response_code_totals,
+        partials.response_code_counts,
+        partials.requests_per_user_agent,
+        partials.requests_per_ip,
+    ):
+        print(figure.__name__)
+        figure(made).show(truncate=False)
+
+
 def _compact(spark, args):
     compact(spark, args.table, args.day, ROLLUP_FIELDS if args.rollup else ENRICHED_FIELDS)
 
@@ -173,6 +187,12 @@ def parser() -> argparse.ArgumentParser:
     day.add_argument("--zone", default="UTC")
     day.add_argument("--json", action="store_true")
 
+    days = command("days", _days, "figures over many days, from partial figures of each")
+    days.add_argument("facts")
+    days.add_argument("partials", help="folder of the partial figures; changed days are made anew")
+    days.add_argument("--first", help="yyyy-mm-dd or yyyymmdd, default all")
+    days.add_argument("--last", help="yyyy-mm-dd or yyyymmdd, default all")
+
     merge = command("compact", _compact, "merge the batches of a closed day")
     merge.add_argument("table")
     merge.add_argument("--day", required=True, help="yyyy-mm-dd or yyyymmdd")

@@ -17,6 +17,7 @@ from logmill.operators import reports, serving
 from logmill.operators.enrich import enrich
 from logmill.operators.parse import DROPMALFORMED, PERMISSIVE, malformed_rows, parse_lines
 from logmill.schema import ENRICHED_FIELDS, LINE_FIELDS, ddl
+from logmill.sources import partials
 from logmill.sources.events import read_event_lines, read_event_records, stream_event_records
 from logmill.sources.lines import decode_records, records
 from logmill.sources.shared import remove_folder, shared_folder
@@ -179,6 +180,17 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _of_partials(figure: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Store the enriched rows by date and the partials of each day; a figure of all days."""
+        folder = _own_folder(spark, f"partials-{figure.__name__}", sf_dir)
+        write_facts(_facts(spark, sf_dir), f"{folder}/facts", load_id="events")
+        partials.refresh_partials(spark, f"{folder}/facts", f"{folder}/partials")
+        return figure(partials.read_partials(spark, f"{folder}/partials"))
+
+    return query
+
+
 def _over_logs_view(statement: str, field: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _parsed(spark, sf_dir, field).createOrReplaceTempView("logs")
@@ -229,6 +241,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda facts, day: serving.rows_as_json(serving.total_requests_by_minute(facts, day)),
             code,
         ),
+        "days_response_code_totals": _of_partials(partials.response_code_totals),
+        "days_requests_per_user_agent": _of_partials(partials.requests_per_user_agent),
+        "days_requests_per_ip": _of_partials(partials.requests_per_ip),
         "stream_parse_append": stream_parse_append,
         "stream_foreach_batch": stream_foreach_batch,
         "stream_minute_rollup": stream_minute_rollup,

@@ -71,6 +71,14 @@ _REQUESTS_BY_MINUTE = f"""
 
 def oracle_sql() -> dict[str, str]:
     enriched_log = f"{_OF_FACTS} SELECT * FROM facts"
+    totals = f"""{_OF_PARSED}
+            SELECT count(DISTINCT response_code) AS distinct_codes, count(*) AS total_requests
+            FROM parsed"""
+    per_agent = f"""{_OF_PARSED}
+            SELECT user_agent, count(*) AS total_requests FROM parsed GROUP BY user_agent"""
+    per_ip = f"""{_OF_PARSED}
+            SELECT ip_address, count(*) AS total_requests FROM parsed GROUP BY ip_address
+            ORDER BY total_requests, ip_address"""
     return {
         "parse_log_lines": f"{_OF_PARSED} SELECT * EXCLUDE (ts) FROM parsed",
         "malformed_lines": f"""{_OF_LINES}
@@ -100,20 +108,18 @@ def oracle_sql() -> dict[str, str]:
         "top_response_codes": f"""{_OF_PARSED}
             SELECT response_code, count(*) AS total_count FROM parsed GROUP BY response_code
             ORDER BY total_count DESC, response_code LIMIT 10""",
-        "response_code_totals": f"""{_OF_PARSED}
-            SELECT count(DISTINCT response_code) AS distinct_codes, count(*) AS total_requests
-            FROM parsed""",
+        "response_code_totals": totals,
         "top_user_agents": f"""{_OF_PARSED}
             SELECT user_agent, count(*) AS total_requests FROM parsed GROUP BY user_agent
             ORDER BY total_requests DESC, user_agent LIMIT 5""",
-        "requests_per_user_agent": f"""{_OF_PARSED}
-            SELECT user_agent, count(*) AS total_requests FROM parsed GROUP BY user_agent""",
+        "requests_per_user_agent": per_agent,
         "requests_per_timestamp": f"""{_OF_PARSED}
             SELECT log_timestamp, count(*) AS total_requests FROM parsed GROUP BY log_timestamp
             ORDER BY total_requests, log_timestamp""",
-        "requests_per_ip": f"""{_OF_PARSED}
-            SELECT ip_address, count(*) AS total_requests FROM parsed GROUP BY ip_address
-            ORDER BY total_requests, ip_address""",
+        "requests_per_ip": per_ip,
+        "days_response_code_totals": totals,
+        "days_requests_per_user_agent": per_agent,
+        "days_requests_per_ip": per_ip,
         "partition_day_scan": f"""{_OF_FACTS}
             SELECT event_id, process_date, response_code FROM facts WHERE process_date = {_DAY}""",
         "day_has_data": f"""{_OF_FACTS}

@@ -1,0 +1,133 @@
+import threading
+from collections import Counter
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from logmill.__main__ import main
+from logmill.operators import reports
+from logmill.schema import ENRICHED_FIELDS
+from logmill.sources import partials as pt
+from logmill.sources.compact import compact
+from logmill.sources.tables import read_facts, write_facts
+from logmill.sources.versions import Store, Table
+
+from test_serving import COLUMNS
+
+FIRST = date(2024, 1, 1)
+FIGURES = {
+    "requests_per_user_agent": reports.requests_per_user_agent,
+    "requests_per_ip": reports.requests_per_ip,
+    "response_code_counts": reports.response_code_counts,
+    "response_code_totals": reports.response_code_totals,
+}
+
+
+def rows_of(spark, days, n=40):
+    """``n`` rows a day; agents, addresses and codes are NULL at times, one agent is hot."""
+    made = []
+    for day in days:
+        at = FIRST + timedelta(days=day)
+        for k in range(n):
+            agent = None if k % 11 == 0 else "hot" if k % 3 else f"agent {(day * k) % 17}"
+            address = None if k % 13 == 0 else f"10.0.{day % 7}.{k % 9}"
+            code = None if k % 17 == 0 else (k * day) % 40_000_000 if k % 5 == 0 else 200 + k % 4
+            made.append((address, "-", "-", None, code, k, "-", agent, 1, f"{at} 10:00", "GET", "/", "HTTP/1.0", at))
+    return spark.createDataFrame(made, COLUMNS)
+
+
+@pytest.fixture
+def paths(tmp_path):
+    return str(tmp_path / "facts"), str(tmp_path / "partials")
+
+
+def check(spark, paths, first=None, last=None):
+    facts, made = read_facts(spark, paths[0]), pt.read_partials(spark, paths[1], first, last)
+    if first:
+        facts = facts.where(F.col("process_date") >= F.lit(str(first)).cast("date"))
+    if last:
+        facts = facts.where(F.col("process_date") <= F.lit(str(last)).cast("date"))
+    for name, report in FIGURES.items():
+        got, want = getattr(pt, name)(made), report(facts)
+        assert got.columns == want.columns
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())), name
+    assert [tuple(r) for r in pt.requests_per_ip(made).collect()] == [tuple(r) for r in reports.requests_per_ip(facts).collect()]
+
+
+def test_thirty_days_from_partials_equal_the_facts(spark, paths):
+    for batch in range(3):
+        write_facts(rows_of(spark, range(batch * 10, batch * 10 + 10)), paths[0], "s", batch)
+    assert len(pt.refresh_partials(spark, *paths)) == 30
+    check(spark, paths)
+    check(spark, paths, FIRST + timedelta(days=3), "2024-01-20")
+    check(spark, paths, "2025-01-01")
+    plan = pt.response_code_totals(pt.read_partials(spark, paths[1], FIRST, FIRST))
+    files = plan.inputFiles()
+    assert files and all("/partials/" in f and "process_date=2024-01-01" in f for f in files)
+
+
+def test_only_days_that_changed_are_made_again(spark, paths, monkeypatch):
+    write_facts(rows_of(spark, range(5)), paths[0], "s", 0)
+    pt.refresh_partials(spark, *paths)
+    assert pt.refresh_partials(spark, *paths) == [] and pt.stale_days(spark, *paths) == []
+    write_facts(rows_of(spark, [2, 7]), paths[0], "s", 1)
+    read, entries = [], pt.read_entries
+    monkeypatch.setattr(pt, "read_entries", lambda *a: (read.extend(e["path"] for e in a[3]), entries(*a))[1])
+    assert pt.refresh_partials(spark, *paths) == ["2024-01-03", "2024-01-08"]
+    assert {p.split("=")[2][:10] for p in read} == {"2024-01-03", "2024-01-08"}
+    check(spark, paths)
+    # A batch written again without one of its days: the day goes.
+    write_facts(rows_of(spark, [2]), paths[0], "s", 1)
+    assert "2024-01-08" in pt.refresh_partials(spark, *paths)
+    check(spark, paths)
+    assert "2024-01-08" not in Table(spark, paths[1]).latest().days
+    compact(spark, paths[0], "2024-01-03", ENRICHED_FIELDS)
+    pt.refresh_partials(spark, *paths)
+    check(spark, paths)
+
+
+def test_a_refresh_that_fails_changes_nothing(spark, paths, monkeypatch):
+    write_facts(rows_of(spark, range(3)), paths[0], "s", 0)
+    pt.refresh_partials(spark, *paths)
+    before = Table(spark, paths[1]).latest()
+    write_facts(rows_of(spark, [1]), paths[0], "s", 1)
+    publish = Store.publish
+    for step in range(2):
+        left = [step]
+
+        def dying(*args):
+            if left[0] == 0:
+                raise RuntimeError("lost")
+            left[0] -= 1
+            return publish(*args)
+
+        monkeypatch.setattr(Store, "publish", dying)
+        with pytest.raises(RuntimeError, match="lost"):
+            pt.refresh_partials(spark, *paths)
+        monkeypatch.setattr(Store, "publish", publish)
+        assert Table(spark, paths[1]).latest() == before
+    assert pt.refresh_partials(spark, *paths) == ["2024-01-02"]
+    check(spark, paths)
+
+
+def test_refreshes_side_by_side(spark, paths):
+    write_facts(rows_of(spark, range(4)), paths[0], "s", 0)
+    threads = [threading.Thread(target=pt.refresh_partials, args=(spark, *paths)) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    check(spark, paths)
+
+
+def test_no_facts(spark, paths):
+    assert pt.refresh_partials(spark, *paths) == []
+    made = pt.read_partials(spark, paths[1])
+    assert tuple(pt.response_code_totals(made).first()) == (0, 0) and pt.requests_per_ip(made).count() == 0
+
+
+def test_days_from_the_command_line(spark, paths, capsys):
+    write_facts(rows_of(spark, range(3)), paths[0], "s", 0)
+    for made in (3, 0):
+        main(["days", *paths, "--first", "20240102"])
+        shown = capsys.readouterr().out
+        assert f"{made} days made anew" in shown and "distinct_codes" in shown and "|80 " in shown
