@@ -7,14 +7,14 @@ the ball can score, and leaves out a node for every query whose k-th score so fa
 above that. The k-th scores go along from shard to shard; before, each block has been
 through one shard, and the k-th scores found there are shared by all tasks of the block.
 
-Blocks meet shards by path, in rows of a few hundred bytes; trees and queries are read
-from the shared store where they are used.
+Blocks meet groups of shards by path, in rows of a few kB, dealt out to a bounded number of
+tasks; trees and queries are read from the shared store where they are used. No list of
+files passes through the driver.
 """
 
 import heapq
 import io
 import itertools
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +29,10 @@ from logmill.llm.common import read_table, stored
 from logmill.sources.shared import shared_folder
 
 SCALE, QUERY_EVERY, TOP = 64, 20, 20
-# Vectors of a shard and of a leaf, queries of a block, shards of a task.
+# Vectors of a shard and of a leaf, queries of a block, shards of a group (on average).
 SHARD, LEAF, BLOCK, GROUP = 8192, 64, 512, 16
+# Most tasks that pairs of a block and a group are dealt out to.
+TASKS = 20_000
 _LEAST = np.iinfo(np.int64).min
 _EXACT_DOUBLE, _LONG = float(1 << 53), float(1 << 63)
 
@@ -237,20 +239,18 @@ def search(queries: DataFrame, index: DataFrame, folder: str, top: int = TOP) ->
     spark = queries.sparkSession
     asked = queries.groupBy("vec_id").agg(F.min("parts").alias("parts"))
     blocks = _write_rows(asked, folder, "queries", BLOCK, lambda ids, rows: _pack(ids=ids, vectors=rows))
-    # One row per some thousand vectors: a file listing.
-    shards = sorted(row["path"] for row in index.collect())
-    groups = [shards[i : i + GROUP] for i in range(0, len(shards), GROUP)]
+    groups = -(-index.count() // GROUP)
     schema = "query_id bigint, vec_id bigint, score bigint"
     if not groups:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
 
     def first_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                block = Block.of(_unpack(path), top, None)
-                # Any shard will do; different blocks take different ones.
-                search_tree(block, _unpack(shards[zlib.crc32(path.encode()) % len(shards)]))
-                yield pa.RecordBatch.from_pydict({"path": [path], "kth": [block.kth().tobytes()]})
+            for row in batch.to_pylist():
+                block = Block.of(_unpack(row["path"]), top, None)
+                if row["shard"] is not None:
+                    search_tree(block, _unpack(row["shard"]))
+                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "kth": [block.kth().tobytes()]})
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,14 +262,20 @@ def search(queries: DataFrame, index: DataFrame, folder: str, top: int = TOP) ->
                 columns = (block.ids[line], block.found[line, place], block.scores[line, place])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
+    def place(path: str):
+        return F.pmod(F.xxhash64(path), F.lit(groups)).cast("int")
+
+    listed = index.groupBy(place("path").alias("number")).agg(F.sort_array(F.collect_list("path")).alias("shards"))
+    listed = stored(listed, "shard-lists")
+    # Any shard will do; different blocks take different ones. None, if the group has none.
+    some = listed.select("number", F.get("shards", F.lit(0)).alias("shard"))
     count = blocks.count()
-    first = stored(
-        blocks.repartition(max(1, count), "path").mapInArrow(first_scores, "path string, kth binary"), "first-scores"
-    )
-    listed = spark.createDataFrame(list(enumerate(groups)), "number int, shards array<string>")
-    every = F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("wanted")
+    started = blocks.select("path", place("path").alias("wanted")).join(some, F.col("wanted") == F.col("number"), "left")
+    started = started.select("path", "shard").repartition(min(TASKS, max(1, count)), "path")
+    first = stored(started.mapInArrow(first_scores, "path string, kth binary"), "first-scores")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("wanted")
     met = first.select("path", "kth", every).join(listed, F.col("wanted") == F.col("number"))
-    spread = met.repartition(max(1, count * len(groups)), "path", "number")
+    spread = met.repartition(min(TASKS, max(1, count * groups)), "path", "number")
     found = spread.select("path", "kth", "shards").mapInArrow(rest, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -52,6 +52,20 @@ def test_many_small_shards_blocks_and_groups(spark, tmp_path, monkeypatch):
     assert query(spark, tmp_path, rows) == expected(rows)
 
 
+def test_pairs_of_blocks_and_groups_share_few_tasks(spark, tmp_path, monkeypatch):
+    for name, size in (("SHARD", 20), ("LEAF", 4), ("BLOCK", 3), ("GROUP", 2), ("TASKS", 5)):
+        monkeypatch.setattr(bt, name, size)
+    rows = vectors(600)
+    table = bt.quantized(spark.createDataFrame(rows, VECTORS))
+    index = bt.write_index(table, str(tmp_path / "trees"))
+    monkeypatch.setattr(type(index), "collect", lambda df: pytest.fail("collected"))
+    found = bt.search(table.filter(f"vec_id % {bt.QUERY_EVERY} = 0"), index, str(tmp_path / "trees"))
+    monkeypatch.undo()
+    assert "Repartition" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
+    assert "RepartitionByExpression [path" in plan and "], 5" in plan
+    assert index.count() > 20 and sorted(map(tuple, found.collect())) == expected(rows)
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [
         *vectors(50, 3),
