@@ -4,9 +4,12 @@ Each is one aggregation: rows are combined within each task first, so a value th
 holds a third of the log still sends one row per task through the shuffle.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Codes of the bitmap that ``totals`` makes, 4 kB; other codes are counted only.
+_LEAST_CODE, _MOST_CODE = 1, 32768
+
 
 def content_size_stats(parsed: DataFrame) -> DataFrame:
     """Mean (truncated), smallest and largest body; NULLs for an empty log."""
@@ -39,6 +42,39 @@ def content_size_of(summary: DataFrame) -> DataFrame:
     )
 
 
+def totals(counts: Column) -> list[Column]:
+    """What ``content_size_from`` and ``code_totals_from`` need of the rows that ``counts`` is
+    true of: aggregates of bounded size that cannot overflow, to be observed while the rows
+    are written."""
+    size, code = F.when(counts, F.col("response_bytes")), F.when(counts, F.col("response_code"))
+    within = code.between(_LEAST_CODE, _MOST_CODE)
+    return [
+        F.count_if(counts).alias("total_requests"),
+        F.sum(size.cast("decimal(20,0)")).alias("sum_bytes"),
+        F.count(size).alias("sized"),
+        F.min(size).alias("min_bytes"),
+        F.max(size).alias("max_bytes"),
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.when(within, code).cast("bigint"))).alias("codes"),
+        F.count_if(~within).alias("odd_codes"),
+    ]
+
+
+def content_size_from(spark: SparkSession, found: dict) -> DataFrame:
+    """``content_size_stats`` from the values of ``totals``."""
+    mean = int(found["sum_bytes"]) // found["sized"] if found["sized"] else None
+    row = (mean, found["min_bytes"], found["max_bytes"])
+    return spark.createDataFrame([row], "avg_bytes bigint, min_bytes bigint, max_bytes bigint")
+
+
+def code_totals_from(spark: SparkSession, found: dict) -> DataFrame | None:
+    """``response_code_totals`` from the values of ``totals``; None if odd codes occur, whose
+    number is not bounded and needs a pass of its own."""
+    if found["odd_codes"]:
+        return None
+    codes = int.from_bytes(bytes(found["codes"])).bit_count()
+    return spark.createDataFrame([(codes, found["total_requests"])], "distinct_codes bigint, total_requests bigint")
+
+
 def response_code_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("response_code").agg(F.count("*").alias("total_count"))
 

@@ -10,7 +10,7 @@ from logmill.plans.batch import LogAnalysis, analyze
 from logmill.sources.events import read_event_lines
 from logmill.sources.tables import write_facts
 
-from conftest import SMALL
+from conftest import SMALL, VALID
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,45 @@ def test_shared_counts_give_the_same_reports(spark, log):
         empty = LogAnalysis(analysis.parsed.limit(0), analysis.malformed)
         assert empty.reports["content size"].collect() == [(None, None, None)]
         assert empty.reports["response codes"].collect() == [(0, 0)]
+
+
+def jobs(spark, act):
+    """Jobs that ``act`` starts."""
+    context, group = spark.sparkContext, f"counted {id(act)}"
+    context.setJobGroup(group, "")
+    try:
+        act()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sizes_and_numbers_of_codes_are_known_once_stored(spark, log, tmp_path):
+    analysis = analyze(spark, log, str(tmp_path / "parsed"))
+    shown = {name: analysis.reports[name] for name in ("content size", "response codes")}
+    for name, report in (("content size", reports.content_size_stats), ("response codes", reports.response_code_totals)):
+        want = report(analysis.parsed)
+        assert shown[name].columns == want.columns and shown[name].collect() == want.collect()
+        assert dict(shown[name].dtypes) == dict(want.dtypes)
+        assert "FileScan" not in shown[name]._jdf.queryExecution().executedPlan().toString()
+    assert jobs(spark, lambda: [r.collect() for r in shown.values()]) <= 2  # of a single row each, no files
+
+
+@pytest.mark.parametrize("codes", [[], [1, 32768, 200, 200], [0, 200], [32769], [2_000_000_000, 1, 1]])
+def test_observed_codes_of_any_size(spark, tmp_path, codes):
+    (tmp_path / "in").mkdir()
+    big = 999_999_999_999_999_999
+    text = "".join(VALID.replace(" 200 4988", f" {code} {big - k}") + "\n" for k, code in enumerate(codes))
+    (tmp_path / "in" / "a.log").write_text(text + "junk\n" * bool(codes))
+    analysis = analyze(spark, str(tmp_path / "in"), str(tmp_path / "parsed"))
+    assert [tuple(r) for r in analysis.reports["response codes"].collect()] == [(len(set(codes)), len(codes))]
+    sizes = [big - k for k in range(len(codes))]
+    want = (sum(sizes) // len(sizes), min(sizes), max(sizes)) if sizes else (None, None, None)
+    assert [tuple(r) for r in analysis.reports["content size"].collect()] == [want]
+
+
+def test_observed_sizes_do_not_overflow(spark, tmp_path):
+    big = 999_999_999_999_999_999
+    (tmp_path / "a.log").write_text((VALID.replace("4988", str(big)) + "\n") * 30)
+    analysis = analyze(spark, str(tmp_path / "a.log"), str(tmp_path / "parsed"))
+    assert [tuple(r) for r in analysis.reports["content size"].collect()] == [(big, big, big)]
