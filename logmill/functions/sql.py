@@ -1,4 +1,4 @@
-"""The two record functions under SQL names, for use in ``spark.sql``."""
+"""The record functions under SQL names, for use in ``spark.sql``."""
 
 from pyspark.sql import SparkSession
 
@@ -54,7 +54,17 @@ def _parse_log_body() -> str:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """``parse_json_string(payload)`` and ``parse_log(line)``; NULL where malformed."""
+    """``parse_json_string(payload)`` and ``parse_log(line)``, NULL where malformed, and the
+    table function ``log_fields(line)``: one row of the ten fields, NULLs where malformed.
+
+    ``FROM lines, LATERAL log_fields(value)`` parses a line once, however many fields are
+    selected and filtered; each use of ``parse_log(value).field`` may parse it again.
+    """
+    columns = ", ".join(f"{name} {kind}" for name, kind in LINE_FIELDS.items())
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION log_fields(line STRING) RETURNS TABLE ({columns}) "
+        f"RETURN SELECT * FROM inline(array({_parse_log_body()}))"
+    )
     struct = ", ".join(f"{name}: {kind}" for name, kind in LINE_FIELDS.items())
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION parse_log(line STRING) "

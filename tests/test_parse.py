@@ -161,6 +161,30 @@ def test_matches_brute_force_on_mutated_lines(spark, lines):
             assert tuple(row.fields) == want
         elif want == "no_match":
             assert row.fields is None
+    spread = spark.sql("SELECT id, f.* FROM mutated_lines, LATERAL log_fields(value) f").collect()
+    fields = {row.id: tuple(row.fields or [None] * len(LINE_FIELDS)) for row in rows}
+    assert len(spread) == len(rows) and {row[0]: tuple(row[1:]) for row in spread} == fields
+
+
+def test_table_function_parses_a_line_once(spark, tmp_path):
+    register_functions(spark)
+    texts = [VALID, VALID.replace(" 200 ", " 404 "), "junk", "", None, VALID.replace("4988", "9" * 30)]
+    spark.createDataFrame(list(enumerate(texts)), "id int, value string").write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("stored_lines")
+    found = spark.sql(
+        "SELECT id, ip_address, response_code FROM stored_lines, LATERAL log_fields(value) "
+        "WHERE response_code >= 200 AND response_bytes > 10 AND user_agent LIKE 'Moz%'"
+    )
+    assert sorted(map(tuple, found.collect())) == [(0, "1.2.3.4", 200), (1, "1.2.3.4", 404)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The pattern of plain lines and that of others.
+    assert plan.count("regexp_replace(") == 2 and "Join" not in plan and "EvalPython" not in plan
+    every = spark.sql("SELECT id, response_code, response_bytes FROM stored_lines, LATERAL log_fields(value)")
+    assert sorted(map(tuple, every.collect()), key=lambda r: r[0]) == [
+        (0, 200, 4988), (1, 404, 4988), (2, None, None), (3, None, None), (4, None, None), (5, 200, None),
+    ]
+    counted = spark.sql("SELECT response_code, count(*) AS n FROM stored_lines, LATERAL log_fields(value) GROUP BY 1")
+    assert dict(map(tuple, counted.collect())) == {200: 2, 404: 1, None: 3}
 
 
 def assembled(rng, count):
