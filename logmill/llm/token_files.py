@@ -10,6 +10,7 @@ of blocks; a block is a header, document ids, document lengths, control bytes an
 bytes of whole documents. Readers and writers hold one block at a time.
 """
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -47,8 +48,20 @@ _chunks = re.compile(
 ).findall
 
 
+def _splits_like_chunks(library) -> bool:
+    """Whether a tokenizer cuts wherever ``_chunks`` does: byte-level splitting by its own
+    pattern, nothing put in front, and texts not changed before."""
+    parts = json.loads(library.to_str())
+    cut = parts["pre_tokenizer"] or {}
+    byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return byte_level and parts["normalizer"] is None and not parts["truncation"] and not parts["padding"]
+
+
 class ChunkEncoder:
-    """The tokenizers library, with the ids of blank-led chunks remembered."""
+    """The tokenizers library, with the ids of blank-led chunks remembered.
+
+    Texts for tokenizers that split in another way go to the library whole.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -57,6 +70,7 @@ class ChunkEncoder:
         # Added tokens cut a text before anything else does.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory: dict[str, bytes] = {}
+        self.by_chunks = _splits_like_chunks(self.library)
         ids = [self.library.encode(t, add_special_tokens=False).ids for t in ("\n", "a\na", "a\n a")]
         alone = len(ids[0]) == 1 and all(i.count(ids[0][0]) == 1 and len(i) == 3 for i in ids[1:])
         self.line_end = ids[0][0] if alone else None
@@ -90,6 +104,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_chunks:
+            return self._library_ids(texts)
         rows, gaps, whole, new, asked, absent = [], [], [], {}, 0, 0
         look_up = self.memory.get
         for text in texts:

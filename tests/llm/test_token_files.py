@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from logmill.llm import files
 from logmill.llm import token_files as tf
+from conftest import CHECKED
 from odd import TEXTS, documents, folder
 
 FILE = public_tokenizers.path(tf.TOKENIZER)
@@ -42,6 +44,43 @@ def test_added_tokens_and_long_chunks(text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+def other_tokenizer(tmp_path, **changes):
+    parts = json.loads(open(FILE, encoding="utf-8").read()) | changes
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(parts), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+        {"normalizer": {"type": "Lowercase"}},
+        {"normalizer": {"type": "Replace", "pattern": {"String": " "}, "content": "_"}},
+    ],
+)
+def test_tokenizers_that_split_in_another_way(tmp_path, changes):
+    encoder = tf.ChunkEncoder(other_tokenizer(tmp_path, **changes))
+    assert not encoder.by_chunks and tf.load_encoder(FILE).by_chunks
+    texts = ["The cat sat.  On the MAT, 42 times!", "", " the the", "a\n\nb"]
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_every_public_tokenizer_file_gives_the_library_s_ids():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = tf.ChunkEncoder(public_tokenizers.path(name))
+        texts = [t for _, t, *_ in TEXTS if t]
+        want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_all_documents_are_encoded_as_by_the_library(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{CHECKED}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, tf.op8_token_files(spark, CHECKED).collect())) == sorted(expected(rows))
+
+
 def expected(rows):
     library, start, found = tf.load_encoder(FILE).library, 0, []
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
