@@ -51,10 +51,10 @@ _chunks = re.compile(
 def _splits_like_chunks(library) -> bool:
     """Whether a tokenizer cuts wherever ``_chunks`` does: byte-level splitting by its own
     pattern, nothing put in front, and texts not changed before."""
-    parts = json.loads(library.to_str())
-    cut = parts["pre_tokenizer"] or {}
+    # Only the splitter's own state: the whole tokenizer's has the vocabulary.
+    cut = json.loads(library.pre_tokenizer.__getstate__()) if library.pre_tokenizer else {}
     byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-    return byte_level and parts["normalizer"] is None and not parts["truncation"] and not parts["padding"]
+    return byte_level and library.normalizer is None and not library.truncation and not library.padding
 
 
 class ChunkEncoder:
