@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import files
-from logmill.llm.common import map_batches, read_table, remember, stored
+from logmill.llm.common import pieces, read_table, remember, stored
 from logmill.sources.shared import shared_folder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -47,6 +47,9 @@ _chunks = re.compile(
     rf" ?[{_LATIN}]++(?![^\x00-\x7f])| ?[^{_SPACE}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]"
 ).findall
 
+# Whole chunks that any such splitting leaves in one part.
+_is_word = re.compile(rf" ?[{_LATIN}]+").fullmatch
+
 
 def _splits_like_chunks(library) -> bool:
     """Whether a tokenizer cuts wherever ``_chunks`` does: byte-level splitting by its own
@@ -57,6 +60,34 @@ def _splits_like_chunks(library) -> bool:
     return byte_level and library.normalizer is None and not library.truncation and not library.padding
 
 
+class _ByteSigns(dict):
+    """By character: its bytes in the signs of byte-level vocabularies, as the library writes them."""
+
+    def __init__(self, splitter):
+        super().__init__()
+        self.splitter = splitter
+
+    def __missing__(self, code: int) -> str:
+        self[code] = signs = "".join(part for part, _ in self.splitter.pre_tokenize_str(chr(code)))
+        return signs
+
+
+class _Memory(dict):
+    """Ids by chunk. A chunk that is not there gives an empty place, filled once its ids are known."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__(known)
+        self.places: dict[str, bytearray] = {}
+        self.absent = 0
+
+    def __missing__(self, chunk: str) -> bytearray:
+        self.absent += 1
+        place = self.places.get(chunk)
+        if place is None:
+            place = self.places[chunk] = bytearray()
+        return place
+
+
 class ChunkEncoder:
     """The tokenizers library, with the ids of blank-led chunks remembered.
 
@@ -69,11 +100,9 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(tokenizer_file)
         # Added tokens cut a text before anything else does.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.memory = _Memory({})
         self.by_chunks = _splits_like_chunks(self.library)
-        ids = [self.library.encode(t, add_special_tokens=False).ids for t in ("\n", "a\na", "a\n a")]
-        alone = len(ids[0]) == 1 and all(i.count(ids[0][0]) == 1 and len(i) == 3 for i in ids[1:])
-        self.line_end = ids[0][0] if alone else None
+        self.model, self.signs = self.library.model, _ByteSigns(self.library.pre_tokenizer)
 
     @property
     def size(self) -> int:
@@ -84,51 +113,47 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, many in one call: a line end between them always is its own token."""
-        plain = [c for c in chunks if not c.isspace()] if self.line_end is not None else []
+        """Ids of chunks: words straight from the library's model, the others many in one
+        call, in which each is cut by itself."""
         found: dict[str, bytes] = {}
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            (joined,) = self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)
-            ids = np.array(joined.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) != len(part) - 1:
-                continue  # someone's own line end: these go one by one
-            data = ids.tobytes()
-            starts = [0, *(4 * (cuts + 1)).tolist()]
-            ends = [*(4 * cuts).tolist(), len(data)]
-            found.update((c, data[a:b]) for c, a, b in zip(part, starts, ends, strict=True))
-        rest = [c for c in chunks if c not in found]
-        found.update(zip(rest, self._library_ids(rest), strict=True))
+        tokenize, signs, rest = self.model.tokenize, self.signs, []
+        for chunk in chunks:
+            if _is_word(chunk):
+                ids = [token.id for token in tokenize(chunk.translate(signs))]
+                found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(chunk)
+        for start in range(0, len(rest), 4096):
+            part = rest[start : start + 4096]
+            (joined,) = self.library.encode_batch([part], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(joined.ids, "<u4").tobytes()
+            chunk_of = np.array(joined.word_ids, np.int64)
+            ends = (4 * np.searchsorted(chunk_of, np.arange(len(part)), "right")).tolist()
+            found.update((c, data[a:b]) for c, a, b in zip(part, [0, *ends], ends))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_chunks:
             return self._library_ids(texts)
-        rows, gaps, whole, new, asked, absent = [], [], [], {}, 0, 0
-        look_up = self.memory.get
+        memory, rows, whole, asked = self.memory, [], [], 0
+        memory.places, memory.absent = {}, 0
         for text in texts:
             if any(token in text for token in self.added):
                 whole.append(len(rows))
                 rows.append([])
                 continue
-            chunks = _chunks(text)
-            found = list(map(look_up, chunks))
+            found = list(map(memory.__getitem__, _chunks(text)))
             asked += len(found)
-            if None in found:
-                missing = [(k, chunks[k]) for k, ids in enumerate(found) if ids is None]
-                absent += len(missing)
-                gaps.append((found, missing))
-                new.update((chunk, None) for _, chunk in missing)
             rows.append(found)
-        fresh = self._chunk_ids(list(new))
-        for found, missing in gaps:
-            for k, chunk in missing:
-                found[k] = fresh[chunk]
+        places = memory.places
+        fresh = self._chunk_ids(list(places))
+        for chunk, ids in fresh.items():
+            places[chunk] += ids
         for row, ids in zip(whole, self._library_ids([texts[r] for r in whole]), strict=True):
             rows[row] = [ids]
-        self.memory = remember(self.memory, fresh, asked, absent, REMEMBERED)
+        kept = remember(memory, fresh, asked, memory.absent, REMEMBERED)
+        self.memory = memory if kept is memory else _Memory(kept)
         return [b"".join(found) for found in rows]
 
 
@@ -164,24 +189,37 @@ def decode_lengths(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int | None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (compressed little-endian 32-bit integers)."""
+    """Documents with ``doc_id``, ``n_tokens``, ``ids`` (compressed little-endian 32-bit
+    integers); then, from each task, rows with ``id`` and ``n`` only: how often its
+    documents have each id, at most one row per vocabulary id.
+    """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        texts = [text or "" for text in batch.column("text").to_pylist()]
-        found = [ids + end for ids in load_encoder(tokenizer_file).encode(texts)]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(ids) // 4 for ids in found], pa.int64()),
-                pa.array([pack(_planes(ids)) for ids in found], pa.binary()),
-            ],
-            ["doc_id", "n_tokens", "ids"],
-        )
+        encoder = load_encoder(tokenizer_file)
+        counts = np.zeros(encoder.size, np.int64)
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = [text or "" for text in piece.column("text").to_pylist()]
+                found = [ids + end for ids in encoder.encode(texts)]
+                counts += np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=len(counts))
+                yield rows(
+                    doc_id=piece.column("doc_id"),
+                    n_tokens=[len(ids) // 4 for ids in found],
+                    ids=[pack(_planes(ids)) for ids in found],
+                )
+        seen = np.flatnonzero(counts)
+        yield rows(id=seen, n=counts[seen])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_batches(rows, run, "doc_id bigint, n_tokens bigint, ids binary")
+    def rows(**given) -> pa.RecordBatch:
+        length = len(next(iter(given.values())))
+        columns = [pa.array(given[c], kind) if c in given else pa.nulls(length, kind) for c, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    kinds = dict(doc_id=pa.int64(), n_tokens=pa.int64(), ids=pa.binary(), id=pa.int64(), n=pa.int64())
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, id bigint, n bigint")
 
 
 def _planes(ids: bytes) -> bytes:
@@ -194,19 +232,10 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(halves.T).view("<u4").reshape(-1)
 
 
-def count_ids(encoded: DataFrame, size: int) -> dict[int, int]:
+def count_ids(encoded: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents; at most one entry per vocabulary id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                counts += np.bincount(_from_planes(blob), minlength=size)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"id": seen, "n": counts[seen]})
-
-    found = encoded.select("ids").mapInArrow(run, "id bigint, n bigint")
-    return {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    counts = encoded.filter(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("n"))
+    return {r["id"]: r["n"] for r in counts.collect()}
 
 
 def ids_by_rank(counts: dict[int, int], size: int) -> np.ndarray:
@@ -245,10 +274,10 @@ def write_token_files(
     spark = docs.sparkSession
     encoded = stored(encode_documents(docs, tokenizer_file, end_id), "token-ids")
     size = load_encoder(tokenizer_file).size
-    counts = count_ids(encoded, size)
+    counts = count_ids(encoded)
     order = ids_by_rank(counts, size)
     ranks = files.write_bytes(folder, "ranks", order.tobytes())
-    ordered = encoded.repartitionByRange(
+    ordered = encoded.filter(F.col("id").isNull()).repartitionByRange(
         max(1, -(-sum(counts.values()) // SHARD_IDS)), "doc_id", F.crc32("ids")
     ).sortWithinPartitions("doc_id", "ids")
 
