@@ -3,6 +3,9 @@
 The input is the ``events`` table, spelled as log lines or as topic records. Each
 query reads it whole. Times are returned as UTC wall clocks and dates as
 ``yyyy-MM-dd``, so that results do not depend on the session zone.
+
+Queries that store rows do so in a folder of their own for each call, which stays till the
+session ends: a result can be read at any time, however often the query is made again.
 """
 
 from collections.abc import Callable
@@ -20,7 +23,7 @@ from logmill.schema import ENRICHED_FIELDS, LINE_FIELDS, ddl
 from logmill.sources import partials
 from logmill.sources.events import read_event_lines, read_event_records, stream_event_records
 from logmill.sources.lines import decode_records, records
-from logmill.sources.shared import remove_folder, shared_folder
+from logmill.sources.shared import shared_folder
 from logmill.sources.tables import make_table, read_facts, read_quarantine, write_facts
 from logmill.streaming.pipelines import (
     DRAIN,
@@ -115,23 +118,9 @@ def enriched_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(_facts(spark, sf_dir))
 
 
-# The folder of each query's last run: (application, query, table folder) -> folder.
-_last: dict[tuple[str, str, str], str] = {}
-
-
-def _own_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
-    """A new folder for a query's tables. That of its last run on the same input goes,
-    so a result must be used before the query is made again."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key in _last:
-        remove_folder(spark, _last[key])
-    _last[key] = shared_folder(spark, name)
-    return _last[key]
-
-
 def partition_day_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the enriched rows by date, then read one date back."""
-    table = _own_folder(spark, "facts", sf_dir)
+    table = shared_folder(spark, "facts")
     write_facts(_facts(spark, sf_dir), table, load_id="events")
     stored = read_facts(spark, table, DAY, _EVENT_ID)
     rows = serving.day_rows(stored, DAY).select("event_id", "process_date", "response_code")
@@ -143,7 +132,7 @@ def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _own_folder(spark, "append", sf_dir)
+    folder = shared_folder(spark, "append")
     query = append_to_parquet(
         _stored_stream(spark, sf_dir), f"{folder}/facts", f"{folder}/checkpoint", DRAIN
     )
@@ -152,7 +141,7 @@ def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _own_folder(spark, "fan-out", sf_dir)
+    folder = shared_folder(spark, "fan-out")
     query = fan_out(
         _stored_stream(spark, sf_dir),
         [fact_writer(make_table(spark, f"{folder}/facts"))],
@@ -169,7 +158,7 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _own_folder(spark, "rollup", sf_dir)
+    folder = shared_folder(spark, "rollup")
     query = update_rollup(
         _stored_stream(spark, sf_dir), make_table(spark, f"{folder}/minutes"),
         f"{folder}/checkpoint", DRAIN,
@@ -183,7 +172,7 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _of_partials(figure: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Store the enriched rows by date and the partials of each day; a figure of all days."""
-        folder = _own_folder(spark, f"partials-{figure.__name__}", sf_dir)
+        folder = shared_folder(spark, f"partials-{figure.__name__}")
         write_facts(_facts(spark, sf_dir), f"{folder}/facts", load_id="events")
         partials.refresh_partials(spark, f"{folder}/facts", f"{folder}/partials")
         return figure(partials.read_partials(spark, f"{folder}/partials"))

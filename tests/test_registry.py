@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as registry
 from logmill.plans import catalog, oracles
 
-from conftest import CHECKED
+from conftest import CHECKED, SMALL
 
 TABLES = "events documents pages conversations labels benchmark".split()
 
@@ -51,6 +51,15 @@ def test_plan(spark, name):
         assert "GreaterThanOrEqual(ts,2024-01-05T00:00), LessThan(ts,2024-01-06T00:00)]" in plan
 
 
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("days_", "stream_", "partition_"))])
+def test_a_result_outlives_the_next_call_of_its_query(spark, name):
+    query = registry.queries()[name]
+    first, second = query(spark, SMALL), query(spark, SMALL)
+    want = comparable(second.columns, [tuple(r) for r in second.collect()])
+    assert comparable(first.columns, [tuple(r) for r in first.collect()]) == want
+    assert want[1]
+
+
 def test_entry(spark):
     rows = registry.entry(spark)
     assert rows.columns == ["process_timestamp", "response_code", "total_count"]
