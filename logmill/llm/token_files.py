@@ -13,8 +13,11 @@ bytes of whole documents. Readers and writers hold one block at a time.
 import json
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import files
-from logmill.llm.common import pieces, read_table, remember, stored
+from logmill.llm.common import pieces, read_table, stored
 from logmill.sources.shared import shared_folder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -60,6 +63,14 @@ def _splits_like_chunks(library) -> bool:
     return byte_level and library.normalizer is None and not library.truncation and not library.padding
 
 
+_id_of = attrgetter("id")
+
+
+@lru_cache(maxsize=1024)
+def _ids_struct(count: int) -> struct.Struct:
+    return struct.Struct(f"<{count}I")
+
+
 class _ByteSigns(dict):
     """By character: its bytes in the signs of byte-level vocabularies, as the library writes them."""
 
@@ -72,22 +83,6 @@ class _ByteSigns(dict):
         return signs
 
 
-class _Memory(dict):
-    """Ids by chunk. A chunk that is not there gives an empty place, filled once its ids are known."""
-
-    def __init__(self, known: dict[str, bytes]):
-        super().__init__(known)
-        self.places: dict[str, bytearray] = {}
-        self.absent = 0
-
-    def __missing__(self, chunk: str) -> bytearray:
-        self.absent += 1
-        place = self.places.get(chunk)
-        if place is None:
-            place = self.places[chunk] = bytearray()
-        return place
-
-
 class ChunkEncoder:
     """The tokenizers library, with the ids of blank-led chunks remembered.
 
@@ -100,7 +95,8 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(tokenizer_file)
         # Added tokens cut a text before anything else does.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory = _Memory({})
+        # A chunk that is not there gives an empty place, filled once its ids are known.
+        self.memory: defaultdict[str, bytes | bytearray] = defaultdict(bytearray)
         self.by_chunks = _splits_like_chunks(self.library)
         self.model, self.signs = self.library.model, _ByteSigns(self.library.pre_tokenizer)
 
@@ -117,12 +113,18 @@ class ChunkEncoder:
         call, in which each is cut by itself."""
         found: dict[str, bytes] = {}
         tokenize, signs, rest = self.model.tokenize, self.signs, []
+        blank = signs[ord(" ")]
         for chunk in chunks:
-            if _is_word(chunk):
-                ids = [token.id for token in tokenize(chunk.translate(signs))]
-                found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            # ASCII letters are their own signs.
+            if chunk.isascii() and chunk.removeprefix(" ").isalpha():
+                word = chunk.replace(" ", blank)
+            elif _is_word(chunk):
+                word = chunk.translate(signs)
             else:
                 rest.append(chunk)
+                continue
+            ids = list(map(_id_of, tokenize(word)))
+            found[chunk] = _ids_struct(len(ids)).pack(*ids)
         for start in range(0, len(rest), 4096):
             part = rest[start : start + 4096]
             (joined,) = self.library.encode_batch([part], is_pretokenized=True, add_special_tokens=False)
@@ -136,8 +138,9 @@ class ChunkEncoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_chunks:
             return self._library_ids(texts)
-        memory, rows, whole, asked = self.memory, [], [], 0
-        memory.places, memory.absent = {}, 0
+        # A call that fails leaves nothing remembered, so no place without its ids.
+        memory, self.memory = self.memory, defaultdict(bytearray)
+        rows, whole, asked, known = [], [], 0, len(memory)
         for text in texts:
             if any(token in text for token in self.added):
                 whole.append(len(rows))
@@ -146,15 +149,25 @@ class ChunkEncoder:
             found = list(map(memory.__getitem__, _chunks(text)))
             asked += len(found)
             rows.append(found)
-        places = memory.places
-        fresh = self._chunk_ids(list(places))
+        # Chunks that were absent stand last.
+        places = list(islice(reversed(memory), len(memory) - known))
+        fresh = self._chunk_ids(places)
         for chunk, ids in fresh.items():
-            places[chunk] += ids
+            memory[chunk] += ids
         for row, ids in zip(whole, self._library_ids([texts[r] for r in whole]), strict=True):
             rows[row] = [ids]
-        kept = remember(memory, fresh, asked, memory.absent, REMEMBERED)
-        self.memory = memory if kept is memory else _Memory(kept)
-        return [b"".join(found) for found in rows]
+        encoded = [b"".join(found) for found in rows]
+        if known < REMEMBERED:
+            memory.update(fresh)
+        elif 2 * len(fresh) > asked:
+            # What is remembered no longer fits the texts.
+            memory = defaultdict(bytearray, fresh)
+        else:
+            # What came first is mostly what comes often.
+            for chunk in fresh:
+                del memory[chunk]
+        self.memory = memory
+        return encoded
 
 
 @lru_cache(maxsize=2)
@@ -165,24 +178,34 @@ def load_encoder(tokenizer_file: str) -> ChunkEncoder:
 def encode_lengths(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit ranks."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    most = int(ranks.max(initial=0))
+    extra = (ranks > 0xFF).astype(np.uint8)
+    if most > 0xFFFF:
+        extra += ranks > 0xFFFF
+        extra += ranks > 0xFFFFFF
     lanes = np.zeros((-(-len(ranks) // 4), 4), np.uint8)
     lanes.reshape(-1)[: len(ranks)] = extra
     control = lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    # Columns that no rank needs are left out before bytes are chosen.
+    cells = ranks if most > 0xFFFF else ranks.astype("<u2")
+    needed = np.empty((len(ranks), cells.itemsize), bool)
+    for byte in range(cells.itemsize):
+        needed[:, byte] = extra >= byte
+    data = cells.view(np.uint8)[needed.reshape(-1)]
     return control.tobytes(), data.tobytes()
 
 
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def decode_lengths(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ranks that ``encode_lengths`` was given."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64)
+    starts -= lengths
     source = np.frombuffer(data, np.uint8)
-    ranks = np.zeros(count, np.uint32)
-    for byte in range(4):
+    ranks = source[starts].astype(np.uint32)
+    for byte in range(1, int(lengths.max(initial=1))):
         has = np.flatnonzero(lengths > byte)
         ranks[has] |= source[starts[has] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return ranks
@@ -227,8 +250,8 @@ def _planes(ids: bytes) -> bytes:
     return np.frombuffer(ids, "<u2").reshape(-1, 2).T.tobytes()
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    halves = np.frombuffer(zstandard.decompress(blob), "<u2").reshape(2, -1)
+def _from_planes(planes: bytes) -> np.ndarray:
+    halves = np.frombuffer(planes, "<u2").reshape(2, -1)
     return np.ascontiguousarray(halves.T).view("<u4").reshape(-1)
 
 
@@ -284,7 +307,7 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.empty(size, np.uint32)
         rank_of[order] = np.arange(size, dtype=np.uint32)
-        shard = TaskContext.get().partitionId()
+        shard, unpack = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         path, stream = files.open_output(folder, f"shard-{shard:06d}")
         n_docs = n_ids = waiting = 0
         keys, parts = [], []
@@ -299,7 +322,7 @@ def write_token_files(
                 for key, blob in zip(
                     batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True
                 ):
-                    ids = _from_planes(blob)
+                    ids = _from_planes(unpack(blob))
                     if waiting + len(ids) > BLOCK_IDS:
                         flush()
                         keys, parts, waiting = [], [], 0

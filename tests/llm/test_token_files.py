@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -126,3 +127,32 @@ def test_other_files_are_refused(tmp_path):
     path = files.write_bytes(f"file://{tmp_path}", "x", b"0" * 64)
     with files.open_input(path) as stream, pytest.raises(ValueError, match="not a token file"):
         list(tf.read_blocks(stream))
+
+
+def test_a_call_that_fails_leaves_no_chunk_without_ids(monkeypatch):
+    encoder = tf.ChunkEncoder(FILE)
+    encoder.encode(["the cat"])
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(encoder, "_chunk_ids", lambda chunks: (_ for _ in ()).throw(RuntimeError("broken")))
+        encoder.encode(["the dog"])
+    want = encoder.library.encode("the dog", add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(["the dog"])[0], "<u4").tolist() == want
+
+
+def test_full_memory_keeps_what_came_first(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 4)
+    encoder = tf.ChunkEncoder(FILE)
+    for text in ("a b c d e", "a b c x a b", "k l m n o", "a b k l m"):
+        want = encoder.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
+    assert set(encoder.memory) == {"a", " b", " k"} and all(encoder.memory.values())
+
+
+def test_decoding_a_block_takes_little_memory():
+    ranks = (np.arange(1 << 20) % 40_000).astype("<u4")
+    control, data = tf.encode_lengths(ranks)
+    tracemalloc.start()
+    assert (tf.decode_lengths(control, data, len(ranks)) == ranks).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36 * len(ranks)
