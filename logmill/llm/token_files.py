@@ -16,7 +16,6 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 from operator import attrgetter
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import files
-from logmill.llm.common import pieces, read_table, stored
+from logmill.llm.common import pieces, read_table, remember, stored
 from logmill.sources.shared import shared_folder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -95,8 +94,11 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(tokenizer_file)
         # Added tokens cut a text before anything else does.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # A chunk that is not there gives an empty place, filled once its ids are known.
-        self.memory: defaultdict[str, bytes | bytearray] = defaultdict(bytearray)
+        # Ids by chunk. One that is not there gets an empty place, filled once its ids are known,
+        # without a step in Python for each.
+        self.places: defaultdict[str, bytearray] = defaultdict(bytearray)
+        self.kind = type("Memory", (dict,), {"__missing__": self.places.__getitem__})
+        self.memory: dict[str, bytes] = self.kind()
         self.by_chunks = _splits_like_chunks(self.library)
         self.model, self.signs = self.library.model, _ByteSigns(self.library.pre_tokenizer)
 
@@ -138,9 +140,8 @@ class ChunkEncoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_chunks:
             return self._library_ids(texts)
-        # A call that fails leaves nothing remembered, so no place without its ids.
-        memory, self.memory = self.memory, defaultdict(bytearray)
-        rows, whole, asked, known = [], [], 0, len(memory)
+        memory, places, rows, whole, asked = self.memory, self.places, [], [], 0
+        places.clear()
         for text in texts:
             if any(token in text for token in self.added):
                 whole.append(len(rows))
@@ -149,25 +150,18 @@ class ChunkEncoder:
             found = list(map(memory.__getitem__, _chunks(text)))
             asked += len(found)
             rows.append(found)
-        # Chunks that were absent stand last.
-        places = list(islice(reversed(memory), len(memory) - known))
-        fresh = self._chunk_ids(places)
+        fresh = self._chunk_ids(list(places))
         for chunk, ids in fresh.items():
-            memory[chunk] += ids
+            places[chunk] += ids
         for row, ids in zip(whole, self._library_ids([texts[r] for r in whole]), strict=True):
             rows[row] = [ids]
-        encoded = [b"".join(found) for found in rows]
-        if known < REMEMBERED:
-            memory.update(fresh)
-        elif 2 * len(fresh) > asked:
-            # What is remembered no longer fits the texts.
-            memory = defaultdict(bytearray, fresh)
-        else:
-            # What came first is mostly what comes often.
-            for chunk in fresh:
-                del memory[chunk]
-        self.memory = memory
-        return encoded
+        # Few different ones cost little, however often they come.
+        absent = len(places)
+        if 8 * absent > asked:
+            absent = sum(type(ids) is bytearray for found in rows for ids in found)
+        kept = remember(memory, fresh, asked, absent, REMEMBERED)
+        self.memory = memory if kept is memory else self.kind(kept)
+        return [b"".join(found) for found in rows]
 
 
 @lru_cache(maxsize=2)
