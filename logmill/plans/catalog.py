@@ -4,11 +4,13 @@ The input is the ``events`` table, spelled as log lines or as topic records. Eac
 query reads it whole. Times are returned as UTC wall clocks and dates as
 ``yyyy-MM-dd``, so that results do not depend on the session zone.
 
-Queries that store rows do so in a folder of their own for each call, which stays till the
-session ends: a result can be read at any time, however often the query is made again.
+Queries that store rows do so in a folder of their own for each call, which stays at least as
+long as the result is held: it can be read however often the query is made again.
 """
 
+import weakref
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from logmill.schema import ENRICHED_FIELDS, LINE_FIELDS, ddl
 from logmill.sources import partials
 from logmill.sources.events import read_event_lines, read_event_records, stream_event_records
 from logmill.sources.lines import decode_records, records
-from logmill.sources.shared import shared_folder
+from logmill.sources.shared import remove_folder, shared_folder
 from logmill.sources.tables import make_table, read_facts, read_quarantine, write_facts
 from logmill.streaming.pipelines import (
     DRAIN,
@@ -118,9 +120,35 @@ def enriched_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(_facts(spark, sf_dir))
 
 
-def partition_day_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Results and their folders: (application, query, table folder) -> those that may be in use.
+_results: dict[tuple[str, str, str], list[tuple[weakref.ref[DataFrame], str]]] = {}
+
+
+def _with_folder(name: str):
+    """Give a query a new folder for its tables. Those of its earlier calls on the same input go
+    with the next call, but for results that are still held; hold a result as long as
+    anything that is derived from it is used."""
+
+    def wrap(query: Callable[[SparkSession, str, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            kept = _results.setdefault((spark.sparkContext.applicationId, name, sf_dir), [])
+            for entry in [entry for entry in kept if entry[0]() is None]:
+                remove_folder(spark, entry[1])
+                kept.remove(entry)
+            folder = shared_folder(spark, name)
+            result = query(spark, sf_dir, folder)
+            kept.append((weakref.ref(result), folder))
+            return result
+
+        return run
+
+    return wrap
+
+
+@_with_folder("facts")
+def partition_day_scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Store the enriched rows by date, then read one date back."""
-    table = shared_folder(spark, "facts")
     write_facts(_facts(spark, sf_dir), table, load_id="events")
     stored = read_facts(spark, table, DAY, _EVENT_ID)
     rows = serving.day_rows(stored, DAY).select("event_id", "process_date", "response_code")
@@ -131,8 +159,8 @@ def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(stream_event_records(spark, sf_dir), keep=["event_id"])
 
 
-def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "append")
+@_with_folder("append")
+def stream_parse_append(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     query = append_to_parquet(
         _stored_stream(spark, sf_dir), f"{folder}/facts", f"{folder}/checkpoint", DRAIN
     )
@@ -140,8 +168,8 @@ def stream_parse_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zone_free(read_appended(spark, f"{folder}/facts", extra=_EVENT_ID))
 
 
-def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "fan-out")
+@_with_folder("fan-out")
+def stream_foreach_batch(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     query = fan_out(
         _stored_stream(spark, sf_dir),
         [fact_writer(make_table(spark, f"{folder}/facts"))],
@@ -157,8 +185,8 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "rollup")
+@_with_folder("rollup")
+def stream_minute_rollup(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     query = update_rollup(
         _stored_stream(spark, sf_dir), make_table(spark, f"{folder}/minutes"),
         f"{folder}/checkpoint", DRAIN,
@@ -170,9 +198,9 @@ def stream_minute_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _of_partials(figure: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @_with_folder(f"partials-{figure.__name__}")
+    def query(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
         """Store the enriched rows by date and the partials of each day; a figure of all days."""
-        folder = shared_folder(spark, f"partials-{figure.__name__}")
         write_facts(_facts(spark, sf_dir), f"{folder}/facts", load_id="events")
         partials.refresh_partials(spark, f"{folder}/facts", f"{folder}/partials")
         return figure(partials.read_partials(spark, f"{folder}/partials"))
