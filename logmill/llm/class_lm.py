@@ -2,16 +2,18 @@
 
 The probability of a token is that of its class after the class before, times that of
 the token within its class. Exchange clustering assigns all words that occur at least
-``MIN_COUNT`` times to classes, whose number grows with theirs: word by word, the class is sought that raises the likelihood of the class
-bigrams most; moves are made for a share of the words at a time and kept only if the
+``MIN_COUNT`` times to classes, whose number grows with theirs: word by word, the class is
+sought that raises the likelihood of the class bigrams most; moves are made for a share of the words at a time and kept only if the
 likelihood rises. Words seen once stand for those never seen: both share classes by their
 shape, so every word has one. Class transitions and word counts come from all training
 texts. A text ends with an end token, which also stands before its first word.
 
-Texts are read three times: words are counted, then pairs of neighbouring classes, then
-texts are scored. What frequent words need is sent to the tasks (``KNOWN_WORDS`` entries
-at most); the counts and numbers of all other words meet the texts in joins. The classes
-are sent out as one integer for each clustered word.
+Texts are read twice: words are counted, then texts are written as numbers of their words,
+of which pairs of neighbours are counted and scores are made. What frequent words need is
+sent to the tasks (``KNOWN_WORDS`` entries at most); the counts and numbers of all other
+words meet the texts in one join, once for each chunk of texts. Pairs are counted in sorted
+arrays, a block of words at a time, and stay in them for the exchange. The classes are sent
+out as one integer for each clustered word.
 """
 
 import math
@@ -21,11 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm.common import crc_fold, free, map_batches, pieces, read_table, stored
+from logmill.llm.common import crc_fold, free, pieces, read_table, stored
 
 FOLDS, HELD_OUT = 7, 2
 # Occurrences of a word with a class of its own choice.
@@ -34,7 +35,7 @@ MIN_COUNT = 2
 EXCHANGE_WORDS: int | None = None
 CLASSES: int | None = None
 # Words whose counts are sent out.
-KNOWN_WORDS = 1 << 16
+KNOWN_WORDS = 1 << 18
 ROUNDS = 6
 # Weight of the class's own frequency in a transition.
 PRIOR = 5.0
@@ -42,6 +43,9 @@ PRIOR = 5.0
 HELD_WORDS = 400_000
 # Pairs that a task holds before it passes counts on; words whose moves are weighed at once.
 HELD_PAIRS, BLOCK = 1 << 20, 256
+# Text whose words are looked up together; tokens for each two blocks of words, and so many
+# blocks at least; neighbours in a row of a block.
+CHUNK_BYTES, BLOCK_TOKENS, BLOCKS, ROW_PAIRS = 1 << 19, 1 << 22, 64, 1 << 16
 # Counts up to this have their gains in a table.
 SMALL = 8
 # Cells whose gains are added up at once.
@@ -115,6 +119,9 @@ class Vocabulary:
     shape_types: np.ndarray
     # So many of the words have a class of their own.
     exchanged: int
+    # Numbers fall with the count: each different count, and the first number that has it.
+    levels: np.ndarray
+    starts: np.ndarray
 
     def units(self) -> np.ndarray:
         """What is counted in pairs, by known word: itself or its shape."""
@@ -170,7 +177,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
         elif cut:
             rest = F.col("n") <= cut
         tail = words.filter(rest & (F.col("n") >= MIN_COUNT)).orderBy(F.desc("n"), "word")
-        tail = stored(tail.select("word", "shape", "n", F.monotonically_increasing_id().alias("id")), "lm-tail")
+        tail = written = stored(tail.select("word", "shape", "n", F.monotonically_increasing_id().alias("id")), "lm-tail")
         part = F.shiftright("id", 33)
         start, starts = len(known), {}
         for row in sorted(tail.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
@@ -184,6 +191,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
             shape_types[row["shape"]] -= row["types"]
         numbers = tail.select(F.col("word").alias("numbered"), "unit")
         units = stored(counts.join(numbers, F.col("word") == F.col("numbered"), "left").drop("numbered"), "lm-units")
+        free(written)
     return Vocabulary(
         {bytes(row["word"]): i for i, row in enumerate(known)},
         np.array([row["n"] for row in known], np.int64),
@@ -193,6 +201,8 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
         shape_tokens,
         shape_types,
         exchanged,
+        np.array([row["n"] for row in by_count], np.int64),
+        np.cumsum([0, *[row["types"] for row in by_count]])[:-1],
     ), units
 
 
@@ -214,89 +224,227 @@ class _Numbers(dict):
         self.others = []
 
 
-# Seed of Spark's xxhash64.
-_SEED = 42
+def coded(docs: DataFrame, known: Vocabulary, counts: DataFrame | None, row: Column, trained: Column, text: str = "text") -> DataFrame:
+    """The texts as numbers of their words, a row for each chunk of texts, stored.
 
+    ``row`` and ``trained`` are lists of what was asked for, ``ends`` says where each text
+    ends in ``line``, both int32 as bytes. A word is its number, as in ``vocabulary``; one
+    without a number is -1 - shape - SHAPES * count. Without ``counts``, words that are not
+    known are taken for unseen ones.
+    """
+    size = len(known.words)
+    shared = docs.sparkSession.sparkContext.broadcast(known.words)
+    rows = _texts(docs, text, F.monotonically_increasing_id().alias("chunk"), row.alias("row"), trained.alias("trained"))
+    kinds = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in ("row", "trained"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(shared.value)
+        for batch in batches:
+            for piece in pieces(batch, most=CHUNK_BYTES):
+                lines, ends = [], np.zeros(piece.num_rows, "<i4")
+                for place, value in enumerate(piece.column("text").to_pylist()):
+                    words = words_of(value)
+                    lines.append(np.fromiter(map(numbers.__getitem__, words), "<i4", len(words)))
+                    ends[place] = len(words)
+                whole = pa.array([0, piece.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, piece.column(c)) for c in ("row", "trained")]
+                columns = [
+                    piece.column("chunk").slice(0, 1),
+                    *lists,
+                    pa.array([ends.cumsum(dtype="<i4").tobytes()], pa.binary()),
+                    pa.array([np.concatenate(lines).tobytes()], pa.binary()),
+                    pa.array([numbers.others], pa.list_(pa.binary())),
+                ]
+                numbers.forget()
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "row", "trained", "ends", "line", "others"])
+
+    lines = stored(rows.mapInArrow(encode, f"chunk bigint, {kinds}, ends binary, line binary, others array<binary>"), "lm-lines")
+    if counts is None:
+        whole = lines.withColumn("met", F.lit(None).cast("array<bigint>"))
+    else:
+        # A count that does not fit would be that of a word rarer than all known ones.
+        code = F.coalesce("unit", (F.lit(-1) - F.col("shape") - SHAPES * F.col("n")).cast("int"))
+        seen = counts.filter(F.col("shape") < SHAPES).select("word", code.cast("bigint").alias("code"))
+        rare = lines.select("chunk", F.posexplode("others").alias("place", "other")).join(seen, F.col("word") == F.col("other"))
+        entry = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("code").bitwiseAND((1 << 32) - 1))
+        met = rare.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(entry).alias("met"))
+        whole = lines.join(met, F.col("chunk") == F.col("of"), "left")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for line, others, met in zip(*(batch.column(c) for c in ("line", "others", "met")), strict=True):
+                line, codes = np.frombuffer(line.as_buffer(), "<i4").copy(), np.zeros(len(others), "<i4")
+                entries = met.values.to_numpy() if met.is_valid else np.zeros(0, np.int64)
+                codes[entries >> 32] = entries.astype("<i4")
+                absent = np.ones(len(codes), bool)
+                absent[entries >> 32] = False
+                for place in np.flatnonzero(absent).tolist():
+                    codes[place] = -1 - shape(others[place].as_py())
+                other = line >= size
+                line[other] = codes[line[other] - size]
+                lines.append(line.tobytes())
+            columns = [*(batch.column(c) for c in ("row", "trained", "ends")), pa.array(lines, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "trained", "ends", "line"])
+
+    whole = whole.select("row", "trained", "ends", "line", "others", "met")
+    found = stored(whole.mapInArrow(resolve, f"{kinds}, ends binary, line binary"), "lm-coded")
+    free(lines)
+    return found
 
-def _place_of(word: bytes) -> int:
-    """A negative number for a word that is not known: 59 bits of its hash, and its shape."""
-    return -1 - (xxhash.xxh64_intdigest(word, _SEED) >> 5 << 4 | int(shape(word)))
 
+def _units_of(line: np.ndarray, exchanged: int, shapes: np.ndarray) -> np.ndarray:
+    """What is counted in pairs, by word: itself or its shape."""
+    units = line.astype(np.int64)
+    if (some := np.flatnonzero(line < 0)).size:
+        units[some] = exchanged + ((-1 - line[some]) & (SHAPES - 1))
+    if (some := np.flatnonzero(line >= exchanged)).size:
+        units[some] = shapes[line[some]] + np.int64(exchanged)
+    return units
 
-def _place(word: Column, shape: Column) -> Column:
-    return F.lit(-1) - F.shiftleft(F.shiftrightunsigned(F.xxhash64(word), 5), 4).bitwiseOR(shape.cast("bigint"))
 
+def _between_ends(units: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
+    """The texts one after the other, with the end before the first and after each."""
+    found = np.full(len(units) + len(ends) + 1, end, np.int64)
+    found[np.arange(1, len(units) + 1) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] = units
+    return found
 
-def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """``first``, ``second``, ``n``: neighbouring units in all texts, stored.
 
-    Words that are not known are counted under a number of hash and shape, which the join
-    with ``counts`` exchanges for their ``unit``; without one they are of their shape's.
-    (Two clustered words of one number, one pair in 10^17, are taken for the first of them.)
+@dataclass(frozen=True)
+class Blocks:
+    """Which block of pairs a pair is in, and where: all of a clustered word are in one.
+
+    Blocks of even number hold even words. A key orders by block, word and neighbour; what
+    stands before the word is numbered after all units. Pairs with other units first are
+    dealt out by the second.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        numbers = _Numbers(known.words)
-        units, end, base = known.units(), known.boundary, known.boundary + 1
-        lines, held = [], 0
+    exchanged: int
+    blocks: int
 
-        def flush() -> pa.RecordBatch:
-            others = numbers.others
-            # Other words have places of their own beyond all units.
-            unit = np.concatenate([units, base + np.arange(len(others))])
-            size = base + len(others)
-            keys = [np.zeros(0, np.int64)]
-            for line in lines:
-                own = np.full(len(line) + 2, end, np.int64)
-                own[1:-1] = unit[line]
-                keys.append(own[:-1] * size + own[1:])
-            found, times = np.unique(np.concatenate(keys), return_counts=True)
-            places = np.concatenate([np.arange(base), np.fromiter(map(_place_of, others), np.int64, len(others))])
-            numbers.forget()
-            columns = [pa.array(places[found // size]), pa.array(places[found % size]), pa.array(times, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["first", "second", "n"])
+    @property
+    def units(self) -> int:
+        return self.exchanged + SHAPES + 1
 
-        for batch in batches:
-            for piece in pieces(batch):
-                for value in piece.column("text").to_pylist():
-                    words = words_of(value)
-                    lines.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-                    held += len(words) + 1
-                if held > HELD_PAIRS:
-                    yield flush()
-                    lines, held = [], 0
-        yield flush()
+    @property
+    def most(self) -> int:
+        """Clustered words in a block."""
+        return -(-self.exchanged // self.blocks)
 
-    found = _texts(docs, text).mapInArrow(run, "first bigint, second bigint, n bigint")
-    found = found.groupBy("first", "second").agg(F.sum("n").alias("n"))
-    raw = []
-    if counts is not None and known.exchanged > len(known.words):
-        units = counts.filter(F.col("unit").isNotNull()).select(_place(F.col("word"), F.col("shape")).alias("place"), "unit")
-        units = units.groupBy("place").agg(F.min("unit").cast("bigint").alias("unit"))
-        for side in ("first", "second"):
-            found = stored(found, "lm-raw")
-            raw.append(found)
-            met = found.filter(F.col(side) < 0).join(units, F.col(side) == F.col("place"), "left")
-            met = met.withColumn(side, F.coalesce("unit", side)).select(*found.columns)
-            found = found.filter(F.col(side) >= 0).union(met)
-    for side in ("first", "second"):
-        of_shape = known.exchanged + (F.lit(-1) - F.col(side)).bitwiseAND(SHAPES - 1)
-        found = found.withColumn(side, F.when(F.col(side) < 0, of_shape).otherwise(F.col(side)).cast("int"))
-    found = stored(found.groupBy("first", "second").agg(F.sum("n").alias("n")), "lm-pairs")
-    free(*raw)
-    return found
+    @property
+    def width(self) -> int:
+        """Keys of a block."""
+        return (self.most + SHAPES + 1) * 2 * self.units
+
+    def keys(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        size = 2 * self.units
+        own = np.where(first < self.exchanged, first, second)
+        place = np.where(first < self.exchanged, first // self.blocks, self.most + first - self.exchanged)
+        after = own % self.blocks * self.width + place * size + second
+        some = second < self.exchanged
+        first, second = first[some], second[some]
+        before = second % self.blocks * self.width + second // self.blocks * size + self.units + first
+        return np.concatenate([after, before])
+
+    def words(self, block: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, neighbour) by key of a block."""
+        place, other = np.divmod(keys - block * self.width, 2 * self.units)
+        return np.where(place < self.most, place * self.blocks + block, self.exchanged + place - self.most), other
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones: mostly zero, so that they compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
+def _sums(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys in order, sums of ``n``; how often each occurs)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.diff(np.append(starts, len(keys))) if n is None else np.add.reduceat(n, starts)
 
 
-def _packed(pairs: DataFrame) -> DataFrame:
-    """The pairs as bytes, thousands in a row: read in every round without a step for each."""
+def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """``pairs_of`` all texts; without ``counts``, words that are not known are of their shape's unit."""
+    lines = coded(docs, known, counts, F.lit(0), F.lit(True), text)
+    pairs = pairs_of(lines, known)
+    free(lines)
+    return pairs
+
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        arrays = [batch.column(c).to_numpy().astype(k) for c, k in (("first", "<i4"), ("second", "<i4"), ("n", "<i8"))]
-        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["first", "second", "n"])
+def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
+    """Neighbouring units in the texts to learn from, counted by blocks of words, stored.
+
+    ``block``, then as bytes: ``word``, ``ends`` (where its neighbours end), ``other`` and
+    ``n``. Units that stand before a word are numbered after all units.
+    """
+    deal = Blocks(known.exchanged, max(BLOCKS, 2 * -(-known.tokens // BLOCK_TOKENS)))
+    exchanged, end = known.exchanged, known.boundary
+    shared = lines.sparkSession.sparkContext.broadcast(known.shapes.astype(np.int8))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, n = _sums(np.concatenate(keys))
+            cuts = np.searchsorted(found, np.arange(deal.blocks + 1) * deal.width).tolist()
+            for block in range(deal.blocks):
+                if (part := slice(cuts[block], cuts[block + 1])).start < part.stop:
+                    data = [_planes(np.diff(found[part], prepend=0)), _planes(n[part].astype("<i4"))]
+                    columns = [pa.array([block], pa.int32()), *(pa.array([d], pa.binary()) for d in data)]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "n"])
 
-    return pairs.mapInArrow(lambda batches: map(run, batches), "first binary, second binary, n binary")
+        for batch in batches:
+            for trained, ends, line in zip(*(batch.column(c) for c in ("trained", "ends", "line")), strict=True):
+                ends = np.frombuffer(ends.as_buffer(), "<i4").astype(np.int64)
+                units = _units_of(np.frombuffer(line.as_buffer(), "<i4"), exchanged, shared.value)
+                whole = _between_ends(units, ends, end)
+                used = np.repeat(trained.values.to_numpy(zero_copy_only=False), np.diff(ends, prepend=0) + 1)
+                keys.append(deal.keys(whole[:-1][used], whole[1:][used]))
+                held += len(used)
+                if held > HELD_PAIRS:
+                    yield from flush()
+                    keys, held = [], 0
+        if keys:
+            yield from flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        keys = np.concatenate([np.cumsum(_from_planes(d.as_py(), "<i8")) for d in table.column("keys")])
+        keys, n = _sums(keys, np.concatenate([_from_planes(d.as_py(), "<i4") for d in table.column("n")]).astype(np.int64))
+        word, other = deal.words(block, keys)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        ends = np.append(starts[1:], len(word))
+        # Rows of whole words, by where those begin.
+        cuts = np.append(np.flatnonzero(np.diff(starts // ROW_PAIRS, prepend=-1)), len(starts)).tolist()
+        found = []
+        for low, high in zip(cuts, cuts[1:]):
+            pairs = slice(starts[low], ends[high - 1])
+            parts = word[starts[low:high]], ends[low:high] - starts[low], other[pairs], n[pairs]
+            found.append((block, *(p.astype(k).tobytes() for p, k in zip(parts, ("<i4", "<i4", "<i4", "<i8"), strict=True))))
+        columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 4), strict=True)]
+        return pa.Table.from_arrays(columns, ["block", "word", "ends", "other", "n"])
+
+    found = lines.select("trained", "ends", "line").mapInArrow(count, "block int, keys binary, n binary")
+    merged = found.groupBy("block").applyInArrow(merge, "block int, word binary, ends binary, other binary, n binary")
+    return stored(merged, "lm-pairs")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(word, where its neighbours end, neighbours, their counts) of each row of ``pairs_of``."""
+    kinds = {"word": "<i4", "ends": "<i4", "other": "<i4", "n": "<i8"}
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in kinds), strict=True):
+            yield tuple(np.frombuffer(part.as_buffer(), k) for part, k in zip(row, kinds.values(), strict=True))
 
 
 def _xlogx(values: np.ndarray) -> np.ndarray:
@@ -341,68 +489,29 @@ def best_move(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
 
 def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Counts of neighbouring classes; ``classes`` is by unit, the end's is the last."""
-    return _matrix_of(_packed(pairs), classes)
-
-
-def _matrix_of(packed: DataFrame, classes: np.ndarray) -> np.ndarray:
-    size = int(classes[-1]) + 1
-    shared = packed.sparkSession.sparkContext.broadcast(classes)
+    size, units = int(classes[-1]) + 1, len(classes)
+    shared = pairs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, cells = shared.value, np.zeros(size * size)
-        for batch in batches:
-            for first, second, n in zip(*(batch.column(c) for c in ("first", "second", "n"))):
-                first, second = (np.frombuffer(c.as_buffer(), "<i4") for c in (first, second))
-                cell = classes[first] * size + classes[second]
-                found, place = np.unique(cell, return_inverse=True)
-                cells[found] += np.bincount(place, np.frombuffer(n.as_buffer(), "<i8"), len(found))
-        seen = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(cells[seen].astype(np.int64))], ["cell", "n"])
-
-    found = packed.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(size * size)
-    matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return matrix.reshape(size, size)
-
-
-def neighbours(pairs: DataFrame, exchanged: int, units: int) -> DataFrame:
-    """``word``, ``other``, ``n``: a row for each clustered word, its neighbours and their counts
-    as bytes; units before it are numbered after all units."""
-    after = pairs.select(F.col("first").alias("word"), F.col("second").alias("other"), "n")
-    before = pairs.select(F.col("second").alias("word"), (F.col("first") + units).alias("other"), "n")
-    both = after.union(before).filter(F.col("word") < exchanged)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def rows(table: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-            word, other, n = (np.asarray(table.column(c)) for c in ("word", "other", "n"))
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            ends = np.append(starts, len(word))
-            columns = [pa.array(word[starts])]
-            for values in (other.astype("<i4"), n.astype("<i8")):
-                offsets = pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes())
-                columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(values.tobytes())]))
-            return pa.RecordBatch.from_arrays(columns, ["word", "other", "n"])
-
-        for batch in batches:
-            word = batch.column("word").to_numpy()
-            if not len(word):
-                continue
-            # The last word may go on in the next batch.
-            last = int(np.searchsorted(word, word[-1]))
-            if held and word[0] != held[-1].column("word")[0].as_py():
-                yield rows(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield rows(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield rows(pa.Table.from_batches(held))
-
-    sorted_rows = both.repartition("word").sortWithinPartitions("word")
-    return sorted_rows.mapInArrow(run, "word int, other binary, n binary")
+        for word, ends, other, n in _blocks(batches):
+            first, after = np.repeat(word, np.diff(ends, prepend=0)), other < units
+            cells += np.bincount(classes[first[after]] * size + classes[other[after]], n[after], size * size)
+        cells = cells.astype("<i8").reshape(size, size)
+        seen = np.flatnonzero(cells.any(1))
+        columns = [pa.array(seen.astype(np.int32)), pa.array([cells[c].tobytes() for c in seen], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["first", "cells"])
+
+    def add(table: pa.Table) -> pa.Table:
+        cells = sum(np.frombuffer(c.as_buffer(), "<i8") for c in table.column("cells"))
+        return pa.Table.from_arrays([table.column("first").slice(0, 1), pa.array([cells.tobytes()], pa.binary())], ["first", "cells"])
+
+    schema = "first int, cells binary"
+    found = pairs.select("word", "ends", "other", "n").mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).toArrow()
+    matrix = np.zeros((size, size))
+    for first, cells in zip(found["first"].to_pylist(), found["cells"].to_pylist()):
+        matrix[first] = np.frombuffer(cells, "<i8")
+    return matrix
 
 
 def _rise(values: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -475,32 +584,35 @@ class Gains:
         return best, gain[at, best] - stay
 
 
-def _proposals(near: DataFrame, classes: np.ndarray, matrix: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+def _proposals(pairs: DataFrame, classes: np.ndarray, matrix: np.ndarray, exchanged: int, part: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, classes) of every second word that gains by a move, the greatest gain first."""
-    shared = near.sparkSession.sparkContext.broadcast((classes, matrix))
+    shared = pairs.sparkSession.sparkContext.broadcast((classes, matrix))
     size, units = len(matrix), len(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (classes, matrix), gains = shared.value, None
-        for batch in batches:
+        for word, ends, other, n in _blocks(batches):
             gains = gains or Gains(matrix)
-            for start in range(0, batch.num_rows, BLOCK):
-                block = batch.slice(start, BLOCK)
-                word, other, n = (block.column(c) for c in ("word", "other", "n"))
-                word = word.to_numpy()
-                parts = [np.frombuffer(part.as_buffer(), "<i4") for part in other]
-                times, other = np.array([len(p) for p in parts]), np.concatenate(parts)
-                n = np.concatenate([np.frombuffer(part.as_buffer(), "<i8") for part in n])
-                row = np.repeat(np.arange(len(word)), times)
-                cells = (row * 2 + other // units) * size + classes[other % units]
-                counts = np.bincount(cells, n, len(word) * 2 * size).reshape(-1, 2, size)
-                self_pairs = np.bincount(row, n * (other == word[row]), len(word))
-                best, gain = gains.best(classes[word], counts[:, 0], counts[:, 1], self_pairs)
-                good = (best != classes[word]) & (gain > 1e-6)
-                columns = [pa.array(gain[good]), pa.array(word[good]), pa.array(best[good].astype(np.int32))]
+            # Units without a choice come last.
+            for start in range(0, int(np.searchsorted(word, exchanged)), BLOCK):
+                some = word[start : start + BLOCK]
+                some = some[some < exchanged]
+                stop = start + len(some)
+                low = ends[start - 1] if start else 0
+                times = np.diff(ends[start:stop], prepend=low)
+                beside, often = other[low : ends[stop - 1]], n[low : ends[stop - 1]]
+                row = np.repeat(np.arange(len(some)), times)
+                side = beside >= units
+                cells = (row * 2 + side) * size + classes[beside - side * units]
+                counts = np.bincount(cells, often, len(some) * 2 * size).reshape(-1, 2, size)
+                self_pairs = np.bincount(row, often * (beside == some[row]), len(some))
+                best, gain = gains.best(classes[some], counts[:, 0], counts[:, 1], self_pairs)
+                good = (best != classes[some]) & (gain > 1e-6)
+                columns = [pa.array(gain[good]), pa.array(some[good]), pa.array(best[good].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["gain", "word", "class"])
 
-    found = near.filter(F.col("word") % 2 == part).mapInArrow(run, "gain double, word int, class int").toArrow()
+    half = pairs.filter(F.col("block") % 2 == part).select("word", "ends", "other", "n")
+    found = half.mapInArrow(run, "gain double, word int, class int").toArrow()
     gain, word, new = (found[c].to_numpy() for c in ("gain", "word", "class"))
     order = np.lexsort((word, -gain))
     return word[order], new[order]
@@ -512,19 +624,17 @@ def exchange(pairs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> tuple
     The driver holds an integer for each clustered word and the class matrix.
     """
     learnt = class_count(known.exchanged)
-    classes = np.concatenate([np.arange(known.exchanged) % learnt, learnt + np.arange(SHAPES + 1)])
+    classes = np.concatenate([np.arange(known.exchanged) % learnt, learnt + np.arange(SHAPES + 1)]).astype(np.int32)
     matrix = class_matrix(pairs, classes)
-    near = stored(neighbours(pairs, known.exchanged, len(classes)), "lm-near")
-    packed = stored(_packed(pairs), "lm-packed")
     idle = 0
     for number in range(rounds):
-        words, new = _proposals(near, classes, matrix, number % 2)
+        words, new = _proposals(pairs, classes, matrix, known.exchanged, number % 2)
         kept = False
         # Moves that are good one by one may spoil each other; then fewer are made.
         while len(words) and not kept:
             trial = classes.copy()
             trial[words] = new
-            then = _matrix_of(packed, trial)
+            then = class_matrix(pairs, trial)
             if likelihood(then) > likelihood(matrix):
                 classes, matrix, kept = trial, then, True
             else:
@@ -534,7 +644,6 @@ def exchange(pairs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> tuple
         idle = 0 if kept else idle + 1
         if idle == 2:
             break
-    free(near, packed)
     return classes, matrix
 
 
@@ -575,16 +684,40 @@ class ClassModel:
         }
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
-    """(model, all word counts). An empty table gives a model that has seen nothing."""
-    counts = stored(word_counts(docs, text), "lm-words")
-    known, counts = vocabulary(counts)
-    pairs = pair_counts(docs, known, text, counts)
+def learn_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """(vocabulary, all word counts)."""
+    words = stored(word_counts(docs, text), "lm-words")
+    known, counts = vocabulary(words)
+    if hasattr(counts, "_stored_at"):
+        free(words)
+    return known, counts
+
+
+def learn_classes(lines: DataFrame, known: Vocabulary) -> ClassModel:
+    """The model of the texts to learn from, as ``coded``."""
+    pairs = pairs_of(lines, known)
     model = ClassModel(known, *exchange(pairs, known))
     free(pairs)
+    return model
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
+    """(model, all word counts). An empty table gives a model that has seen nothing."""
+    known, counts = learn_words(docs, text)
+    lines = coded(docs, known, counts, F.lit(0), F.lit(True), text)
+    model = learn_classes(lines, known)
+    free(lines)
     return model, counts
 
 
+# What ``score`` adds to kept columns.
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def _kept(keep: list[str]) -> Column:
+    return F.struct(*[c for c in keep if c not in RESULTS])
+
+
 def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Kept columns, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``perplexity``.
 
@@ -592,76 +725,54 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: list[str]
     the add-one unigram model's. NULL and empty texts are the end token alone. Repeated
     rows stay; kept columns named like a result give way to it.
     """
-    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
-    kept = [c for c in keep if c not in results]
-    known = model.known
-    context = docs.sparkSession.sparkContext
-    shared_words, shared = context.broadcast(known.words), context.broadcast((model.tables(), model.classes, len(known.words)))
-    ends = 1 if known.tokens else 0
+    return scores_of(coded(docs, model.known, counts, _kept(keep), F.lit(True), text), model)
+
+
+def scores_of(lines: DataFrame, model: ClassModel) -> DataFrame:
+    """What ``score`` returns, of texts as ``coded``."""
+    known, tables, exchanged = model.known, model.tables(), model.known.exchanged
+    rest = tables["emission"][len(known.words) : len(known.words) + SHAPES]
+    shared = lines.sparkSession.sparkContext.broadcast(
+        (known.shapes.astype(np.int8), known.levels, known.starts, model.classes, tables["steps"], tables["tokens"], rest)
+    )
+    ends_seen, boundary = 1 if known.tokens else 0, known.boundary
     # The end token is counted in every training text.
     end_count = math.log10(model.matrix[:, -1].sum() + 1)
-    rows = _texts(docs, text, F.monotonically_increasing_id().alias("number"), F.struct(*kept).alias("row"))
-
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Texts as known words' numbers, after them places among the text's other words."""
-        numbers, lines, others = _Numbers(shared_words.value), [], []
-        for value in batch.column("text").to_pylist():
-            words = words_of(value)
-            lines.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            others.append(numbers.others)
-            numbers.forget()
-        columns = [pa.array(lines, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.binary()))]
-        return pa.RecordBatch.from_arrays([batch.column("number"), batch.column("row"), *columns], ["number", "row", "line", "others"])
-
-    row_type = rows.schema["row"].dataType.simpleString()
-    lines = stored(map_batches(rows, encode, f"number bigint, row {row_type}, line array<int>, others array<binary>"), "lm-lines")
-    rare = lines.select("number", F.posexplode("others").alias("place", "other"))
-    seen = counts.filter(F.col("shape") < SHAPES).select("word", "n", "unit")
-    met = rare.join(seen, F.col("word") == F.col("other")).groupBy(F.col("number").alias("of"))
-    met = met.agg(F.collect_list(F.struct("place", "n", F.coalesce("unit", F.lit(-1)).alias("unit"))).alias("met"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables, classes, size = shared.value
-        learnt, found = len(tables["steps"]) - SHAPES - 1, []
-        lines = zip(*(batch.column(c).to_pylist() for c in ("line", "others", "met")), strict=True)
-        for words, others, met in lines:
-            # Tables of this text's words: the known ones, then its others, then the end.
-            shapes = np.array([shape(w) for w in others], np.int64)
-            own, emission, counts = learnt + shapes, tables["emission"][size + shapes], np.zeros(len(others))
-            in_met = np.zeros(len(others), bool)
-            for entry in met or ():
-                place, n = entry["place"], math.log10(entry["n"] + 1)
-                in_met[place], counts[place] = True, n
-                if entry["unit"] < 0:
-                    emission[place] += n
-                else:
-                    own[place] = classes[entry["unit"]]
-                    emission[place] = math.log10(entry["n"]) - tables["tokens"][own[place]]
-            line = np.array(words, np.int64)
-            rare = line >= size
-            places = line[rare] - size
-            of = np.full(len(line) + 2, len(tables["steps"]) - 1)
-            emitted, base = np.zeros(len(line)), np.zeros(len(line))
-            for values, table, others_table in ((of[1:-1], "class", own), (emitted, "emission", emission), (base, "count", counts)):
-                values[~rare] = tables[table][line[~rare]]
-                values[rare] = others_table[places]
-            total = tables["steps"][of[:-1], of[1:]].sum() + emitted.sum()
-            in_known = len(line) - len(places) + int(in_met[places].sum()) + ends
-            found.append((len(line) + 1, in_known, float(base.sum() + end_count), float(total)))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_tokens", "n_known", "base", "total"])
-
-    whole = lines.join(met, F.col("number") == F.col("of"), "left").select("row", "line", "others", "met")
-
-    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                yield run(batch.slice(start, BLOCK))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, levels, starts, classes, steps, tokens, rest = shared.value
+        for batch in batches:
+            for row, ends, line in zip(*(batch.column(c) for c in ("row", "ends", "line")), strict=True):
+                ends = np.frombuffer(ends.as_buffer(), "<i4").astype(np.int64)
+                line = np.frombuffer(line.as_buffer(), "<i4")
+                units = _units_of(line, exchanged, shapes)
+                n = -1 - line.astype(np.int64) >> 4
+                numbered = np.flatnonzero(line >= 0)
+                if numbered.size:
+                    n[numbered] = levels[np.searchsorted(starts, line[numbered], "right") - 1]
+                count = np.log10(n + 1.0)
+                # Within a shape: (count + 1) of all its seen words and one unseen.
+                emitted, own = np.empty(len(line)), units < exchanged
+                emitted[own] = np.log10(n[own]) - tokens[classes[units[own]]]
+                emitted[~own] = count[~own] + rest[units[~own] - exchanged]
+                whole = classes[_between_ends(units, ends, boundary)]
+                step = steps[whole[:-1], whole[1:]]
+                begins = np.append(0, ends[:-1])
+                of = np.repeat(np.arange(len(ends)), ends - begins)
+                total = np.add.reduceat(step, begins + np.arange(len(ends))) + np.bincount(of, emitted, len(ends))
+                columns = [
+                    row.values,
+                    pa.array(ends - begins + 1),
+                    pa.array(np.bincount(of, n > 0, len(ends)).astype(np.int64) + ends_seen),
+                    pa.array(np.bincount(of, count, len(ends)) + end_count),
+                    pa.array(total),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "n_known", "base", "total"])
+
+    row_type = lines.schema["row"].dataType.elementType.simpleString()
     schema = f"row {row_type}, n_tokens bigint, n_known bigint, base double, total double"
     total = F.col("total")
-    return whole.mapInArrow(run_all, schema).select(
+    return lines.select("row", "ends", "line").mapInArrow(run, schema).select(
         "row.*",
         "n_tokens",
         "n_known",
@@ -680,6 +791,8 @@ def held_out(key: Column) -> Column:
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
-    model, counts = train(docs.filter(~held_out(F.col("doc_id"))))
-    found = score(docs, model, counts, ["doc_id"])
+    trained = ~held_out(F.col("doc_id"))
+    known, counts = learn_words(docs.filter(trained))
+    lines = coded(docs, known, counts, _kept(["doc_id"]), trained)
+    found = scores_of(lines, learn_classes(lines, known))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *found.columns[1:])

@@ -59,12 +59,12 @@ def crc_fold(key: Column, folds: int) -> Column:
 PIECE_BYTES = 2 << 20
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of some MB of ``column``, each of at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for row, size in enumerate(sizes.tolist()):
-        if row > start and held + size > PIECE_BYTES:
+        if row > start and held + size > most:
             yield batch.slice(start, row - start)
             start, held = row, 0
         held += size
