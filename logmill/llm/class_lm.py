@@ -49,7 +49,9 @@ CHUNK_BYTES, BLOCK_TOKENS, BLOCKS, ROW_PAIRS = 1 << 19, 1 << 22, 64, 1 << 16
 # Counts up to this have their gains in a table.
 SMALL = 8
 # Cells whose gains are added up at once.
-_CELLS = 4096
+_CELLS = 256
+# Smaller shares of a round's moves that are tried in one reading of the pairs.
+TRIALS = 4
 # White space, so never a word.
 END = b"\n"
 SHAPES = 16
@@ -68,13 +70,13 @@ def shape(word: bytes) -> int:
     )
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space."""
-    return (text or "").encode().lower().split()
+    return (text or b"").lower().split()
 
 
 def _texts(docs: DataFrame, text: str, *more: Column) -> DataFrame:
-    return docs.select(*more, F.col(text).cast("string").alias("text"))
+    return docs.select(*more, F.col(text).cast("string").cast("binary").alias("text"))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -385,7 +387,7 @@ def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
     """Neighbouring units in the texts to learn from, counted by blocks of words, stored.
 
     ``block``, then as bytes: ``word``, ``ends`` (where its neighbours end), ``other`` and
-    ``n``. Units that stand before a word are numbered after all units.
+    ``n``, as wide as the row's largest. Units that stand before a word are numbered after all units.
     """
     deal = Blocks(known.exchanged, max(BLOCKS, 2 * -(-known.tokens // BLOCK_TOKENS)))
     exchanged, end = known.exchanged, known.boundary
@@ -430,7 +432,8 @@ def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
         for low, high in zip(cuts, cuts[1:]):
             pairs = slice(starts[low], ends[high - 1])
             parts = word[starts[low:high]], ends[low:high] - starts[low], other[pairs], n[pairs]
-            found.append((block, *(p.astype(k).tobytes() for p, k in zip(parts, ("<i4", "<i4", "<i4", "<i8"), strict=True))))
+            kinds = ("<i4", "<i4", "<i4", np.min_scalar_type(parts[3].max()))
+            found.append((block, *(p.astype(k).tobytes() for p, k in zip(parts, kinds, strict=True))))
         columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 4), strict=True)]
         return pa.Table.from_arrays(columns, ["block", "word", "ends", "other", "n"])
 
@@ -441,10 +444,11 @@ def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(word, where its neighbours end, neighbours, their counts) of each row of ``pairs_of``."""
-    kinds = {"word": "<i4", "ends": "<i4", "other": "<i4", "n": "<i8"}
     for batch in batches:
-        for row in zip(*(batch.column(c) for c in kinds), strict=True):
-            yield tuple(np.frombuffer(part.as_buffer(), k) for part, k in zip(row, kinds.values(), strict=True))
+        for row in zip(*(batch.column(c) for c in ("word", "ends", "other", "n")), strict=True):
+            *parts, n = (part.as_buffer() for part in row)
+            word, ends, other = (np.frombuffer(part, "<i4") for part in parts)
+            yield word, ends, other, np.frombuffer(n, f"<u{n.size // len(other)}")
 
 
 def _xlogx(values: np.ndarray) -> np.ndarray:
@@ -489,15 +493,30 @@ def best_move(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
 
 def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Counts of neighbouring classes; ``classes`` is by unit, the end's is the last."""
-    size, units = int(classes[-1]) + 1, len(classes)
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+    return _matrices(pairs, classes, np.zeros(0, np.int32), np.zeros(0, np.int32), [0])[0]
+
+
+def _moved(classes: np.ndarray, words: np.ndarray, new: np.ndarray) -> np.ndarray:
+    classes = classes.copy()
+    classes[words] = new
+    return classes
+
+
+def _matrices(pairs: DataFrame, classes: np.ndarray, words: np.ndarray, new: np.ndarray, firsts: list[int]) -> list[np.ndarray]:
+    """The class matrix after so many first moves, for each number of them in one reading."""
+    size, units, many = int(classes[-1]) + 1, len(classes), len(firsts)
+    shared = pairs.sparkSession.sparkContext.broadcast((classes, words, new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, cells = shared.value, np.zeros(size * size)
+        classes, words, new = shared.value
+        trials = [_moved(classes, words[:k], new[:k]) for k in firsts]
+        cells = np.zeros((many, size * size))
         for word, ends, other, n in _blocks(batches):
-            first, after = np.repeat(word, np.diff(ends, prepend=0)), other < units
-            cells += np.bincount(classes[first[after]] * size + classes[other[after]], n[after], size * size)
-        cells = cells.astype("<i8").reshape(size, size)
+            after = np.flatnonzero(other < units)
+            first, second, often = np.repeat(word, np.diff(ends, prepend=0))[after], other[after], n[after]
+            for trial, counts in zip(trials, cells):
+                counts += np.bincount(trial[first] * size + trial[second], often, size * size)
+        cells = cells.astype("<i8").reshape(many * size, size)
         seen = np.flatnonzero(cells.any(1))
         columns = [pa.array(seen.astype(np.int32)), pa.array([cells[c].tobytes() for c in seen], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["first", "cells"])
@@ -508,16 +527,21 @@ def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
 
     schema = "first int, cells binary"
     found = pairs.select("word", "ends", "other", "n").mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).toArrow()
-    matrix = np.zeros((size, size))
+    matrices = np.zeros((many * size, size))
     for first, cells in zip(found["first"].to_pylist(), found["cells"].to_pylist()):
-        matrix[first] = np.frombuffer(cells, "<i8")
-    return matrix
+        matrices[first] = np.frombuffer(cells, "<i8")
+    return list(matrices.reshape(many, size, size))
 
 
 def _rise(values: np.ndarray, more: np.ndarray) -> np.ndarray:
     return _xlogx(values + more) - _xlogx(values)
 
 
+def _cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what is not zero."""
+    return np.divmod(np.flatnonzero(counts), counts.shape[1])
+
+
 class Gains:
     """What ``best_move`` finds, for many words at once.
 
@@ -528,23 +552,40 @@ class Gains:
     def __init__(self, matrix: np.ndarray):
         self.matrix, self.size = matrix, len(matrix)
         self.learnt = self.size - SHAPES - 1
-        # By the class beside the word: what learnt classes gain by small counts, a row for
-        # each count and class.
-        self.sides = (matrix[: self.learnt].T.copy(), matrix[:, : self.learnt].copy())
-        self.small = [np.concatenate([_rise(side, np.float64(k)) for k in range(SMALL + 1)]) for side in self.sides]
+        # By side, count and class beside the word: what learnt classes gain by small counts.
+        self.sides = np.concatenate([matrix[: self.learnt].T, matrix[:, : self.learnt]])
+        self.logs = _xlogx(self.sides)
+        rises = [_xlogx(self.sides + k) - self.logs for k in range(1, SMALL + 1)]
+        self.small = np.stack(rises).reshape(SMALL, 2, self.size, self.learnt).swapaxes(0, 1).reshape(-1, self.learnt)
         self.rows, self.columns = matrix.sum(1), matrix.sum(0)
 
-    def _spread(self, number: int, row: np.ndarray, beside: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
-        """Gains by the classes beside the words, of cells sorted by row."""
-        gain = np.zeros((words, self.learnt))
+    def _spread(self, row: np.ndarray, side: np.ndarray, beside: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+        """Gains by the classes beside the words, a cell for each word, side and class."""
         few = n <= SMALL
-        for start in range(0, len(row), _CELLS):
-            part = slice(start, start + _CELLS)
-            rises = self.small[number][np.where(few[part], n[part], 0).astype(np.int64) * self.size + beside[part]]
-            if (many := np.flatnonzero(~few[part])).size:
-                rises[many] = _rise(self.sides[number][beside[part][many]], n[part][many, None])
-            begins = np.flatnonzero(np.diff(row[part], prepend=-1))
-            gain[row[part][begins]] += np.add.reduceat(rises, begins)
+        of, place = row[few], (side[few] * SMALL + n[few].astype(np.int64) - 1) * self.size + beside[few]
+        # The first cells of all words, then the second ones; words with most cells first.
+        often = np.bincount(of, minlength=words)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(words, np.int64)
+        rank[order] = np.arange(words)
+        by_row = np.argsort(of, kind="stable")
+        turn = np.empty(len(of), np.int64)
+        turn[by_row] = np.arange(len(of)) - np.repeat(np.cumsum(often) - often, often)
+        place = place[np.argsort(turn * words + rank[of], kind="stable")]
+        ranked, rises, start = np.zeros((words, self.learnt)), np.empty((words, self.learnt)), 0
+        for many in np.bincount(turn).tolist():
+            np.take(self.small, place[start : start + many], axis=0, out=rises[:many], mode="clip")
+            ranked[:many] += rises[:many]
+            start += many
+        gain = ranked[rank]
+        rest = np.flatnonzero(~few)
+        rest = rest[np.argsort(row[rest], kind="stable")]
+        for start in range(0, len(rest), _CELLS):
+            part = rest[start : start + _CELLS]
+            at, own = side[part] * self.size + beside[part], row[part]
+            rises = _xlogx(self.sides[at] + n[part, None]) - self.logs[at]
+            begins = np.flatnonzero(np.diff(own, prepend=-1))
+            gain[own[begins]] += np.add.reduceat(rises, begins)
         return gain
 
     def _totals(self, sums: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -557,16 +598,20 @@ class Gains:
         matrix, learnt, at = self.matrix, self.learnt, np.arange(len(own))
         s, total_a, total_b = self_pairs, after.sum(1), before.sum(1)
         own_a, own_b = after[at, own], before[at, own]
-        (row_a, side_a), (row_b, side_b) = np.nonzero(after), np.nonzero(before)
+        (row_a, side_a), (row_b, side_b) = _cells(after), _cells(before)
         n_a, n_b = after[row_a, side_a], before[row_b, side_b]
-        gain = self._spread(0, row_a, side_a, n_a, len(own)) + self._spread(1, row_b, side_b, n_b, len(own))
+        both = [np.concatenate(c) for c in ((row_a, row_b), (side_a, side_b), (n_a, n_b))]
+        gain = self._spread(both[0], np.repeat([0, 1], [len(row_a), len(row_b)]), both[1], both[2], len(own))
         # Pairs with the word's own class do not hold the word itself.
         for counts, other, to in ((own_a, before, matrix.T), (own_b, after, matrix)):
             if (some := np.flatnonzero(counts)).size:
                 cells, n = to[own[some], :learnt], counts[some, None]
                 gain[some] += _rise(cells - other[some, :learnt], n - s[some, None]) - _rise(cells, n)
         # Crossings, where the word meets the class itself.
-        met_row, met = np.nonzero((after[:, :learnt] > 0) | (before[:, :learnt] > 0) | (s[:, None] > 0))
+        with_itself = (np.flatnonzero(s)[:, None] * self.size + np.arange(learnt)).ravel()
+        met = np.unique(np.concatenate([row_a * self.size + side_a, row_b * self.size + side_b, with_itself]))
+        met_row, met = np.divmod(met, self.size)
+        met_row, met = met_row[met < learnt], met[met < learnt]
         a, b, cross = after[met_row, met], before[met_row, met], matrix[met, met]
         gain[met_row, met] += _rise(cross, a + b + s[met_row]) - _rise(cross, a) - _rise(cross, b)
         gain -= self._totals(self.rows, total_a) + self._totals(self.columns, total_b)
@@ -629,18 +674,19 @@ def exchange(pairs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> tuple
     idle = 0
     for number in range(rounds):
         words, new = _proposals(pairs, classes, matrix, known.exchanged, number % 2)
-        kept = False
-        # Moves that are good one by one may spoil each other; then fewer are made.
-        while len(words) and not kept:
-            trial = classes.copy()
-            trial[words] = new
-            then = class_matrix(pairs, trial)
-            if likelihood(then) > likelihood(matrix):
-                classes, matrix, kept = trial, then, True
-            else:
-                # The best one alone gains what was foretold.
-                fewer = max(len(words) // 4, 1) if len(words) > 1 else 0
-                words, new = words[:fewer], new[:fewer]
+        # Moves that are good one by one may spoil each other; then a quarter is made, the best
+        # ones. The best one alone gains what was foretold.
+        tries, kept = [len(words)] if len(words) else [], False
+        while tries and tries[-1] > 1:
+            tries.append(max(tries[-1] // 4, 1))
+        at, step = 0, 1
+        while at < len(tries) and not kept:
+            firsts = tries[at : at + step]
+            for moves, then in zip(firsts, _matrices(pairs, classes, words, new, firsts)):
+                if likelihood(then) > likelihood(matrix):
+                    classes, matrix, kept = _moved(classes, words[:moves], new[:moves]), then, True
+                    break
+            at, step = at + step, TRIALS
         idle = 0 if kept else idle + 1
         if idle == 2:
             break
