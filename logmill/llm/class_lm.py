@@ -52,6 +52,8 @@ SMALL = 8
 _CELLS = 256
 # Smaller shares of a round's moves that are tried in one reading of the pairs.
 TRIALS = 4
+# Columns of the pairs.
+AFTER, BEFORE = ("word", "ends", "other", "n"), ("ends_before", "before", "n_before")
 # White space, so never a word.
 END = b"\n"
 SHAPES = 16
@@ -386,8 +388,9 @@ def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text", counts:
 def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
     """Neighbouring units in the texts to learn from, counted by blocks of words, stored.
 
-    ``block``, then as bytes: ``word``, ``ends`` (where its neighbours end), ``other`` and
-    ``n``, as wide as the row's largest. Units that stand before a word are numbered after all units.
+    ``block``, then as bytes ``word`` and, of the units after it, ``ends`` (where a word's
+    end), ``other`` and ``n``, as wide as the row's largest; for clustered words the same of
+    the units before it.
     """
     deal = Blocks(known.exchanged, max(BLOCKS, 2 * -(-known.tokens // BLOCK_TOKENS)))
     exchanged, end = known.exchanged, known.boundary
@@ -425,30 +428,38 @@ def pairs_of(lines: DataFrame, known: Vocabulary) -> DataFrame:
         keys, n = _sums(keys, np.concatenate([_from_planes(d.as_py(), "<i4") for d in table.column("n")]).astype(np.int64))
         word, other = deal.words(block, keys)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
-        ends = np.append(starts[1:], len(word))
+        # Where each word's neighbours end, by side.
+        before = other >= deal.units
+        stops = np.append(starts[1:], len(word))
+        stops_before = np.cumsum(before)[stops - 1]
+        sides = (
+            (np.append(0, stops - stops_before), other[~before], n[~before]),
+            (np.append(0, stops_before), other[before] - deal.units, n[before]),
+        )
         # Rows of whole words, by where those begin.
         cuts = np.append(np.flatnonzero(np.diff(starts // ROW_PAIRS, prepend=-1)), len(starts)).tolist()
         found = []
         for low, high in zip(cuts, cuts[1:]):
-            pairs = slice(starts[low], ends[high - 1])
-            parts = word[starts[low:high]], ends[low:high] - starts[low], other[pairs], n[pairs]
-            kinds = ("<i4", "<i4", "<i4", np.min_scalar_type(parts[3].max()))
-            found.append((block, *(p.astype(k).tobytes() for p, k in zip(parts, kinds, strict=True))))
-        columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 4), strict=True)]
-        return pa.Table.from_arrays(columns, ["block", "word", "ends", "other", "n"])
+            row = [block, word[starts[low:high]].astype("<i4").tobytes()]
+            for bounds, beside, often in sides:
+                part = slice(bounds[low], bounds[high])
+                kind = np.min_scalar_type(often[part].max(initial=0))
+                row += [(bounds[low + 1 : high + 1] - bounds[low]).astype("<i4").tobytes(), beside[part].astype("<i4").tobytes()]
+                row.append(often[part].astype(kind).tobytes())
+            found.append(row)
+        columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), *[pa.binary()] * 7), strict=True)]
+        return pa.Table.from_arrays(columns, ["block", *AFTER, *BEFORE])
 
     found = lines.select("trained", "ends", "line").mapInArrow(count, "block int, keys binary, n binary")
-    merged = found.groupBy("block").applyInArrow(merge, "block int, word binary, ends binary, other binary, n binary")
-    return stored(merged, "lm-pairs")
+    columns = ", ".join(f"{c} binary" for c in (*AFTER, *BEFORE))
+    return stored(found.groupBy("block").applyInArrow(merge, f"block int, {columns}"), "lm-pairs")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(word, where its neighbours end, neighbours, their counts) of each row of ``pairs_of``."""
-    for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("word", "ends", "other", "n")), strict=True):
-            *parts, n = (part.as_buffer() for part in row)
-            word, ends, other = (np.frombuffer(part, "<i4") for part in parts)
-            yield word, ends, other, np.frombuffer(n, f"<u{n.size // len(other)}")
+def _beside(ends: pa.Scalar, other: pa.Scalar, n: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word's neighbours end, neighbours, their counts) on one side, in a row of ``pairs_of``."""
+    ends, other = (np.frombuffer(part.as_buffer(), "<i4") for part in (ends, other))
+    width = len(n.as_buffer()) // max(len(other), 1)
+    return ends, other, np.frombuffer(n.as_buffer(), f"<u{width or 1}")
 
 
 def _xlogx(values: np.ndarray) -> np.ndarray:
@@ -504,18 +515,20 @@ def _moved(classes: np.ndarray, words: np.ndarray, new: np.ndarray) -> np.ndarra
 
 def _matrices(pairs: DataFrame, classes: np.ndarray, words: np.ndarray, new: np.ndarray, firsts: list[int]) -> list[np.ndarray]:
     """The class matrix after so many first moves, for each number of them in one reading."""
-    size, units, many = int(classes[-1]) + 1, len(classes), len(firsts)
+    size, many = int(classes[-1]) + 1, len(firsts)
     shared = pairs.sparkSession.sparkContext.broadcast((classes, words, new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, words, new = shared.value
         trials = [_moved(classes, words[:k], new[:k]) for k in firsts]
         cells = np.zeros((many, size * size))
-        for word, ends, other, n in _blocks(batches):
-            after = np.flatnonzero(other < units)
-            first, second, often = np.repeat(word, np.diff(ends, prepend=0))[after], other[after], n[after]
-            for trial, counts in zip(trials, cells):
-                counts += np.bincount(trial[first] * size + trial[second], often, size * size)
+        for batch in batches:
+            for word, *side in zip(*(batch.column(c) for c in AFTER), strict=True):
+                word, (ends, other, n) = np.frombuffer(word.as_buffer(), "<i4"), _beside(*side)
+                times, often = np.diff(ends, prepend=0), n.astype(np.float64)
+                for trial, counts in zip(trials, cells):
+                    first = np.repeat(trial[word].astype(np.int64) * size, times)
+                    counts += np.bincount(first + trial[other], often, size * size)
         cells = cells.astype("<i8").reshape(many * size, size)
         seen = np.flatnonzero(cells.any(1))
         columns = [pa.array(seen.astype(np.int32)), pa.array([cells[c].tobytes() for c in seen], pa.binary())]
@@ -526,7 +539,7 @@ def _matrices(pairs: DataFrame, classes: np.ndarray, words: np.ndarray, new: np.
         return pa.Table.from_arrays([table.column("first").slice(0, 1), pa.array([cells.tobytes()], pa.binary())], ["first", "cells"])
 
     schema = "first int, cells binary"
-    found = pairs.select("word", "ends", "other", "n").mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).toArrow()
+    found = pairs.select(*AFTER).mapInArrow(run, schema).groupBy("first").applyInArrow(add, schema).toArrow()
     matrices = np.zeros((many * size, size))
     for first, cells in zip(found["first"].to_pylist(), found["cells"].to_pylist()):
         matrices[first] = np.frombuffer(cells, "<i8")
@@ -632,31 +645,36 @@ class Gains:
 def _proposals(pairs: DataFrame, classes: np.ndarray, matrix: np.ndarray, exchanged: int, part: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, classes) of every second word that gains by a move, the greatest gain first."""
     shared = pairs.sparkSession.sparkContext.broadcast((classes, matrix))
-    size, units = len(matrix), len(classes)
+    size = len(matrix)
+
+    def counts(side: tuple[np.ndarray, ...], start: int, stop: int, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(counts by word and class beside it, words of the neighbours, neighbours, their counts)."""
+        ends, other, n = side
+        low = ends[start - 1] if start else 0
+        row = np.repeat(np.arange(stop - start), np.diff(ends[start:stop], prepend=low))
+        beside, often = other[low : ends[stop - 1]], n[low : ends[stop - 1]]
+        found = np.bincount(row * size + classes[beside], often, (stop - start) * size)
+        return found.reshape(-1, size), row, beside, often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (classes, matrix), gains = shared.value, None
-        for word, ends, other, n in _blocks(batches):
-            gains = gains or Gains(matrix)
-            # Units without a choice come last.
-            for start in range(0, int(np.searchsorted(word, exchanged)), BLOCK):
-                some = word[start : start + BLOCK]
-                some = some[some < exchanged]
-                stop = start + len(some)
-                low = ends[start - 1] if start else 0
-                times = np.diff(ends[start:stop], prepend=low)
-                beside, often = other[low : ends[stop - 1]], n[low : ends[stop - 1]]
-                row = np.repeat(np.arange(len(some)), times)
-                side = beside >= units
-                cells = (row * 2 + side) * size + classes[beside - side * units]
-                counts = np.bincount(cells, often, len(some) * 2 * size).reshape(-1, 2, size)
-                self_pairs = np.bincount(row, often * (beside == some[row]), len(some))
-                best, gain = gains.best(classes[some], counts[:, 0], counts[:, 1], self_pairs)
-                good = (best != classes[some]) & (gain > 1e-6)
-                columns = [pa.array(gain[good]), pa.array(some[good]), pa.array(best[good].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["gain", "word", "class"])
-
-    half = pairs.filter(F.col("block") % 2 == part).select("word", "ends", "other", "n")
+        for batch in batches:
+            for word, *sides in zip(*(batch.column(c) for c in (*AFTER, *BEFORE)), strict=True):
+                gains = gains or Gains(matrix)
+                word, sides = np.frombuffer(word.as_buffer(), "<i4"), (_beside(*sides[:3]), _beside(*sides[3:]))
+                # Units without a choice come last.
+                last = int(np.searchsorted(word, exchanged))
+                for start in range(0, last, BLOCK):
+                    stop = min(start + BLOCK, last)
+                    some = word[start:stop]
+                    after, row, beside, often = counts(sides[0], start, stop, classes)
+                    self_pairs = np.bincount(row, often * (beside == some[row]), len(some))
+                    best, gain = gains.best(classes[some], after, counts(sides[1], start, stop, classes)[0], self_pairs)
+                    good = (best != classes[some]) & (gain > 1e-6)
+                    columns = [pa.array(gain[good]), pa.array(some[good]), pa.array(best[good].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["gain", "word", "class"])
+
+    half = pairs.filter(F.col("block") % 2 == part).select(*AFTER, *BEFORE)
     found = half.mapInArrow(run, "gain double, word int, class int").toArrow()
     gain, word, new = (found[c].to_numpy() for c in ("gain", "word", "class"))
     order = np.lexsort((word, -gain))
