@@ -179,3 +179,29 @@ def test_all_words_seen_twice_are_clustered(spark, monkeypatch):
     assert units == set(range(500, 3000))
     found = lm.score(docs, model, counts, ["doc_id"]).collect()
     assert all(r["n_known"] == r["n_tokens"] == 302 for r in found)
+
+
+def test_pairs_come_in_blocks_not_a_row_each(spark, monkeypatch):
+    # Many words in few rows; some known, some met in the join, some without a class of their own.
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 20)
+    draw = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in draw.zipf(1.4, 300) % 500) for _ in range(20)]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    known, counts = lm.learn_words(docs)
+    pairs = lm.pair_counts(docs, known, counts=counts)
+    units = {bytes(r["word"]): r["unit"] for r in counts.filter("unit is not null").collect()} | known.words
+    number = lambda t: known.boundary if t is END else units[t] if units.get(t, known.exchanged) < known.exchanged else known.exchanged + int(lm.shape(t))
+    want = Counter()
+    for text in texts:
+        line = [END, *tokens(text)]
+        want.update((number(a), number(b)) for a, b in zip(line, line[1:]))
+    rows, found, before = pairs.collect(), Counter(), Counter()
+    for row in rows:
+        word = np.frombuffer(row["word"], "<i4").tolist()
+        for names, into in ((("ends", "other", "n"), found), (("ends_before", "before", "n_before"), before)):
+            ends, beside = (np.frombuffer(row[c], "<i4") for c in names[:2])
+            n = np.frombuffer(row[names[2]], f"<u{len(row[names[2]]) // max(len(beside), 1) or 1}")
+            for own, other, k in zip(np.repeat(word, np.diff(ends, prepend=0)).tolist(), beside.tolist(), n.tolist()):
+                into[(own, other) if into is found else (other, own)] += k
+    assert found == want and before == {p: n for p, n in want.items() if p[1] < known.exchanged}
+    assert len(rows) <= lm.BLOCKS < len(want) / 10
